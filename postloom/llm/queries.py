@@ -61,7 +61,7 @@ ORACLES = {
     "op2_topk_search": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) t FROM documents),
 p AS (SELECT doc_id, t, count(*) tf FROM w GROUP BY ALL), l AS (SELECT doc_id, sum(tf) n FROM p GROUP BY ALL),
 s AS (SELECT (SELECT count(*) FROM documents) c, (SELECT sum(n) FROM l) / (SELECT count(*) FROM documents) a), f AS (SELECT t, count(*) df FROM p GROUP BY t),
-r AS (SELECT q.doc_id query_id, p.doc_id, sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a))) score
+r AS (SELECT q.doc_id query_id, p.doc_id, sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * n / a))) score
 FROM p q JOIN p ON p.t = q.t JOIN f ON f.t = q.t JOIN l ON l.doc_id = p.doc_id, s WHERE q.doc_id % 100 = 0 GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank, doc_id, round(score, 6) AS score FROM r QUALIFY rank <= 10""",
     "op4_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') x FROM documents),
