@@ -21,7 +21,7 @@ def grams(w):
     return [zlib.crc32(x.encode()) % SIZE for x in {w, *(w[i : i + 5] for i in range(len(w) - 4))}]
 
 
-def fit(x, y, steps=300, rate=0.5, l2=1e-4):
+def fit(x, y, steps=300, rate=0.5, l2=1e-3):
     """Logistic regression by Adam on a dense matrix; weights and, last, bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w = m = v = np.zeros(x.shape[1])
@@ -37,15 +37,19 @@ def predict(x, w):
 
 
 def train(rows, keep=600, folds=3):
-    """(chosen features, chain weights, cut) from (doc_id, features, labels) of the bounded sample."""
+    """(chosen features, chain weights, cut) from (doc_id, features, labels) of the bounded sample.
+
+    Chosen: at most `keep` features that toxic documents hold more often than clean ones do, by over 4 deviations and in 3 documents at least.
+    """
     y = np.array([r[2] for r in rows], float)
     counts = np.zeros((2, SIZE))
     for r in rows:
         counts[r[2][-1]][r[1]] += 1
     n = np.array([(y[:, -1] == 0).sum(), (y[:, -1] == 1).sum()])
-    p = counts / np.maximum(n, 1)[:, None]
-    z = (p[1] - p[0]) / np.sqrt(p.mean(0) / max(1, n.min()) + 1e-9)
-    chosen = np.argsort(-np.abs(z), kind="stable")[:keep]
+    due = n[1] * (counts[0] + 0.5) / (n[0] + 1)
+    z = np.where(counts[1] >= 3, (counts[1] - due) / np.sqrt(due + 0.25), 0)
+    chosen = np.argsort(-z, kind="stable")[: min(keep, max(1, int((z > 4).sum())))]
+    keep = len(chosen)
     at = {f: i for i, f in enumerate(chosen.tolist())}
     x = np.zeros((len(rows), keep), np.float32)
     for i, r in enumerate(rows):
