@@ -38,6 +38,15 @@ def handle(s):
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def parity(s):
+    """256 parity bits as 4 longs. Two sets' bits differ in no more places than their elements do, so the count bounds the difference from below."""
+    bits = np.bincount((s & U(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def most(r, s):
     """Largest symmetric difference of linked sets of r and s elements: 9 * difference <= r + s at similarity 0.8."""
     return (r + s) // 9
@@ -120,6 +129,12 @@ def verify(texts, pairs, classes):
     return pairs.join(sa, "a").join(sb, "b").where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))").select("a", "b").distinct()
 
 
+def may_link(a, b):
+    """SQL over n{a}, p0{a}.. and n{b}, p0{b}..: false only for pairs that cannot be linked, by sizes and by parity bits."""
+    apart = " + ".join(f"bit_count({p}{a} ^ {p}{b})" for p in PARITY)
+    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and 9 * ({apart}) <= n{a} + n{b}"
+
+
 def classes_of(df, id_col="doc_id", text_col="text"):
     """doc_id, n_shingles, component_id of every row: components of the graph that links sets of Jaccard similarity 0.8 or more.
 
@@ -128,8 +143,16 @@ def classes_of(df, id_col="doc_id", text_col="text"):
     several components, pairs of different components are verified too, so no link that could join two components is lost. Extra columns are not carried.
     """
     texts = df.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text")
-    profile = materialise(run_over(texts, lambda: lambda d, s: [(d, len(s), handle(s) if len(s) else None)], "doc_id bigint, n_shingles bigint, fp binary"), "profile")
-    classes = materialise(profile.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+
+    def describe(d, s):
+        if not len(s):
+            return [(d, 0, *[None] * 6)]
+        h = handle(s)
+        return [(d, len(s), h, int.from_bytes(h[:8], "little", signed=True), *parity(s))]
+
+    profile = materialise(run_over(texts, lambda: describe, "doc_id bigint, n_shingles bigint, fp binary, node bigint, " + ", ".join(f"{p} bigint" for p in PARITY)), "profile")
+    known = profile.where("fp is not null and doc_id is not null").groupBy("fp")
+    classes = materialise(known.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(k) for c, k in [("n_shingles", "n"), ("node", "node"), *zip(PARITY, PARITY)]]), "classes")
     bands = classes.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()
     plans = {int(r.b) + 1: allocate(2 ** (int(r.b) + 1) - 1, r["count"]) for r in bands if r.b >= 2}
     texts_of = texts.where("doc_id is not null")
@@ -146,27 +169,30 @@ def classes_of(df, id_col="doc_id", text_col="text"):
 
         return step
 
-    found = run_over(texts_of, emit, "sig bigint, node bigint")
-    first = "min(node) over (partition by sig)"
-    found = found.selectExpr("sig", "node", f"{first} lead", "max(node) over (partition by sig) last").where("lead <> last")
-    code = F.udf(lambda x: int.from_bytes(x[:8], "little", signed=True), "bigint")
-    nodes = materialise(classes.select("rep", "n", code("fp").alias("node")), "nodes")
-    met = materialise(found.select("sig", "node", "lead").distinct().join(nodes, "node").select("sig", "rep", "n", "lead"), "buckets")
-    lead = nodes.select(F.col("node").alias("lead"), F.col("rep").alias("lrep"), F.col("n").alias("ln"))
-    fits = "5 * least(n, {0}) >= 4 * greatest(n, {0})"
-    star = met.join(lead, "lead").where("rep <> lrep and " + fits.format("ln")).selectExpr("least(rep, lrep) a", "greatest(rep, lrep) b").distinct()
+    found = materialise(run_over(texts_of, emit, "sig bigint, node bigint"), "signatures")
+    shared = found.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
+    met = materialise(found.join(shared, "sig").distinct(), "buckets")
+    facts = ["rep", "n", *PARITY]
+    near = met.where("node <> lead").select("node", "lead").distinct()
+    x = classes.select("node", *[F.col(c).alias(f"{c}_x") for c in facts])
+    y = classes.select(F.col("node").alias("lead"), *[F.col(c).alias(f"{c}_y") for c in facts])
+    star = near.join(x, "node").join(y, "lead").where("rep_x <> rep_y and " + may_link("_x", "_y")).selectExpr("least(rep_x, rep_y) a", "greatest(rep_x, rep_y) b").distinct()
     star = materialise(star, "star")
     links = materialise(verify(texts_of, star, classes), "links")
     comp = connected_components(links)
-    named = met.select("sig", "rep", "n").distinct().join(comp, met.rep == comp.node, "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    named = materialise(named, "named")
-    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    left = materialise(named.join(mixed, "sig"), "mixed")
-    other = left.selectExpr("sig", "rep r2", "n n2", "c c2")
-    more = left.join(other, "sig").where("c < c2 and " + fits.format("n2")).selectExpr("least(rep, r2) a", "greatest(rep, r2) b").distinct().join(star, ["a", "b"], "left_anti")
+    named = materialise(classes.join(comp, classes.rep == comp.node, "left").select("fp", classes.node, *facts, F.coalesce("component", "rep").alias("c")), "named")
+    told = materialise(met.select("sig", "node").join(named.drop("fp"), "node").drop("node"), "told")
+    mixed = told.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
+    left = materialise(told.join(mixed, "sig"), "mixed")
+    x, y = (left.select("sig", *[F.col(c).alias(f"{c}{k}") for c in [*facts, "c"]]) for k in ("_x", "_y"))
+    more = x.join(y, "sig").where("c_x < c_y and " + may_link("_x", "_y")).selectExpr("least(rep_x, rep_y) a", "greatest(rep_x, rep_y) b").distinct().join(star, ["a", "b"], "left_anti")
     more = materialise(more, "more")
+    final = named.select("fp", F.col("c").alias("component_id"))
     if not more.isEmpty():
-        comp = connected_components(links.union(verify(texts_of, more, classes)))
-    final = classes.join(comp, classes.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        joined = named.select(F.col("rep").alias("r"), "c").distinct()
+        extra = verify(texts_of, more, classes)
+        ends = extra.join(joined.toDF("a", "ca"), "a").join(joined.toDF("b", "cb"), "b").select("ca", "cb")
+        again = connected_components(ends, "ca", "cb")
+        final = named.join(again, named.c == again.node, "left").select("fp", F.coalesce("component", "c").alias("component_id"))
     out = profile.join(final, "fp", "left")
     return out.selectExpr("doc_id", "n_shingles", "case when doc_id is null then null else coalesce(component_id, doc_id) end component_id")
