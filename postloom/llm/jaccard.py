@@ -38,12 +38,14 @@ def handle(s):
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-PARITY = ["p0", "p1", "p2", "p3"]
+#: Leads of a bucket that the second round verifies its members against.
+LEADS = 4
+PARITY = [f"p{i}" for i in range(8)]
 
 
 def parity(s):
-    """256 parity bits as 4 longs. Two sets' bits differ in no more places than their elements do, so the count bounds the difference from below."""
-    bits = np.bincount((s & U(255)).astype(np.int64), minlength=256) & 1
+    """512 parity bits as 8 longs. Two sets' bits differ in no more places than their elements do, so the count bounds the difference from below."""
+    bits = np.bincount((s & U(511)).astype(np.int64), minlength=512) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -139,14 +141,14 @@ def classes_of(df, id_col="doc_id", text_col="text"):
     """doc_id, n_shingles, component_id of every row: components of the graph that links sets of Jaccard similarity 0.8 or more.
 
     Null or empty text: an empty set, its own component. Null ids: component null, linked with nothing. Rows that repeat an id each keep their own text's component.
-    Exact copies form one class first. In each bucket every class is verified against the bucket's smallest; then, for buckets that still hold
-    several components, pairs of different components are verified too, so no link that could join two components is lost. Extra columns are not carried.
+    Exact copies form one class first. In each bucket every class is verified against the bucket's smallest; then, in buckets that still hold
+    several components, against a few more leads; then all pairs of different components are verified, so no link that could join two components is lost. Extra columns are not carried.
     """
     texts = df.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text")
 
     def describe(d, s):
         if not len(s):
-            return [(d, 0, *[None] * 6)]
+            return [(d, 0, *[None] * (2 + len(PARITY)))]
         h = handle(s)
         return [(d, len(s), h, int.from_bytes(h[:8], "little", signed=True), *parity(s))]
 
@@ -172,27 +174,46 @@ def classes_of(df, id_col="doc_id", text_col="text"):
     found = materialise(run_over(texts_of, emit, "sig bigint, node bigint"), "signatures")
     shared = found.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
     met = materialise(found.join(shared, "sig").distinct(), "buckets")
-    facts = ["rep", "n", *PARITY]
-    near = met.where("node <> lead").select("node", "lead").distinct()
-    x = classes.select("node", *[F.col(c).alias(f"{c}_x") for c in facts])
-    y = classes.select(F.col("node").alias("lead"), *[F.col(c).alias(f"{c}_y") for c in facts])
-    star = near.join(x, "node").join(y, "lead").where("rep_x <> rep_y and " + may_link("_x", "_y")).selectExpr("least(rep_x, rep_y) a", "greatest(rep_x, rep_y) b").distinct()
-    star = materialise(star, "star")
-    links = materialise(verify(texts_of, star, classes), "links")
-    comp = connected_components(links)
-    named = materialise(classes.join(comp, classes.rep == comp.node, "left").select("fp", classes.node, *facts, F.coalesce("component", "rep").alias("c")), "named")
-    told = materialise(met.select("sig", "node").join(named.drop("fp"), "node").drop("node"), "told")
-    mixed = told.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    left = materialise(told.join(mixed, "sig"), "mixed")
-    x, y = (left.select("sig", *[F.col(c).alias(f"{c}{k}") for c in [*facts, "c"]]) for k in ("_x", "_y"))
-    more = x.join(y, "sig").where("c_x < c_y and " + may_link("_x", "_y")).selectExpr("least(rep_x, rep_y) a", "greatest(rep_x, rep_y) b").distinct().join(star, ["a", "b"], "left_anti")
-    more = materialise(more, "more")
+    facts = ["rep", "n", *PARITY, "c"]
+
+    def candidates(x, y, on, tried, apart="c_x <> c_y"):
+        """Untried pairs of classes in different components that may be linked."""
+        pairs = x.join(y, on).where(apart + " and " + may_link("_x", "_y")).selectExpr("least(rep_x, rep_y) a", "greatest(rep_x, rep_y) b").distinct()
+        return materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+    def side(df, k, *keys):
+        return df.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in facts])
+
+    def merged(named, pairs):
+        """named with the components that verified pairs join."""
+        at = named.select("rep", "c")
+        ends = verify(texts_of, pairs, classes).join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select("ca", "cb")
+        comp = connected_components(ends, "ca", "cb")
+        return materialise(named.join(comp, named.c == comp.node, "left").select("fp", named.node, *facts[:-1], F.coalesce("component", "c").alias("c")), "named")
+
+    def unsettled(named):
+        """Members (sig, node) of buckets that hold several components, once for buckets of the same members; and some leads of each."""
+        told = materialise(met.select("sig", "node").join(named.select("node", "c"), "node"), "told")
+        members = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
+        leads = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(2, 2 + LEADS)])).alias("leads")
+        mixed = told.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *members, leads).where("lo <> hi")
+        mixed = mixed.groupBy("k", "h1", "h2").agg(F.min_by(F.struct("sig", "leads"), "sig").alias("m")).select("m.*")
+        return told.select("sig", "node").join(mixed, "sig")
+
+    named = classes.withColumn("c", F.col("rep"))
+    near, tried = met.where("node <> lead").select("node", "lead").distinct(), None
+    for last in (False, True):
+        x = near.join(side(named, "_x", "node"), "node")
+        pairs = candidates(x, side(named, "_y", F.col("node").alias("lead")), "lead", tried)
+        tried = pairs if tried is None else tried.union(pairs)
+        named = merged(named, pairs)
+        left = unsettled(named)
+        if not last:
+            near = left.select("node", F.explode("leads").alias("lead")).where("node <> lead").distinct()
+    left = materialise(left.select("sig", "node").join(named, "node"), "mixed")
+    pairs = candidates(side(left, "_x", "sig"), side(left, "_y", "sig"), "sig", tried, "c_x < c_y")
+    if not pairs.isEmpty():
+        named = merged(named, pairs)
     final = named.select("fp", F.col("c").alias("component_id"))
-    if not more.isEmpty():
-        joined = named.select(F.col("rep").alias("r"), "c").distinct()
-        extra = verify(texts_of, more, classes)
-        ends = extra.join(joined.toDF("a", "ca"), "a").join(joined.toDF("b", "cb"), "b").select("ca", "cb")
-        again = connected_components(ends, "ca", "cb")
-        final = named.join(again, named.c == again.node, "left").select("fp", F.coalesce("component", "c").alias("component_id"))
     out = profile.join(final, "fp", "left")
     return out.selectExpr("doc_id", "n_shingles", "case when doc_id is null then null else coalesce(component_id, doc_id) end component_id")
