@@ -131,7 +131,7 @@ class Encoder:
     def learn(self, wanted):
         """Put the units of a set into the cache."""
         found = {u: self.find(u) for u in wanted}
-        new = {p for ps in found.values() for p in ps} - self.pieces.keys()
+        new = {p for ps in found.values() for p in ps}.difference(self.pieces)
         if len(self.pieces) + len(new) > self.limit:
             self.pieces.clear()
             new = {p for ps in found.values() for p in ps}
@@ -158,7 +158,7 @@ class Encoder:
                 words = text.split(" ")
                 cuts.append([words[0], *[" " + w for w in words[1:]]])
         every = set().union(*cuts)
-        wanted = every - self.units.keys()
+        wanted = every.difference(self.units)
         if len(self.units) + len(wanted) > self.limit:
             self.units.clear()
             wanted = every

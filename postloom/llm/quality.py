@@ -29,7 +29,7 @@ def features(text, cache):
     words = (text or "").split()
     if not words:
         return np.empty(0, np.int64)
-    for w in set(words) - cache.keys():
+    for w in set(words).difference(cache):  # of the dict: a difference from its keys view walks the whole cache
         cache[w] = zlib.crc32(w.lower().encode()) << 3 | shape(w)
     x = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
     if len(cache) > 400_000:
@@ -55,11 +55,13 @@ def count_models(texts, good):
     def run(frames):
         cache, total = {}, np.zeros((2, size))
         for f in frames:
-            for d, t in zip(f.doc_id, f.text):
-                n = np.bincount(features(t, cache), minlength=size)
-                total[0] += n
-                if d in sent.value:
-                    total[1] += n
+            for at in range(0, len(f), 100):
+                part = f.iloc[at : at + 100]
+                got = [features(t, cache) for t in part.text]
+                total[0] += np.bincount(np.concatenate(got), minlength=size)
+                mine = [x for x, d in zip(got, part.doc_id) if d in sent.value]
+                if mine:
+                    total[1] += np.bincount(np.concatenate(mine), minlength=size)
         for at in range(0, size, 2048):
             yield pd.DataFrame({"chunk": [at], "raw": [total[0, at : at + 2048].tolist()], "target": [total[1, at : at + 2048].tolist()]})
 
