@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import materialise
-from .arrow import Packed, in_parts, rows
+from .arrow import CACHE, in_parts, rows
 
 
 class Capacities:
@@ -58,13 +58,48 @@ def best_fit(lengths, size):
     return where, offset, fill
 
 
-def word_encoder(path, end=0):
-    """text -> uint32 ids, then id `end`. White space always separates this tokenizer's words, so each word is encoded once and cached."""
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    cache = Packed(lambda w: np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
-    last = np.array([end], "<u4").tobytes()
-    return lambda text: b"".join([cache[w] if len(w) < 100 else cache.pack(w) for w in text.split()]) + last
+class WordEncoder:
+    """Texts -> uint32 ids as bytes, then id `end`. White space always separates this tokenizer's words, so each word is encoded once, new ones together, and cached."""
+
+    def __init__(self, path, end=0, limit=CACHE):
+        self.tokenizer, self.cache, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer.encode_special_tokens = True
+        self.last = np.array([end], "<u4").tobytes()
+
+    def learn(self, words, together=100):
+        """Put words into the cache; the first character of each id's token tells which word of the joined text it belongs to."""
+        for at in range(0, len(words), together):
+            part = words[at : at + together]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            starts = np.array([o[0] for o in e.offsets], np.int64)
+            ends = np.cumsum([len(w) + 1 for w in part])
+            to = (4 * np.searchsorted(starts, ends)).tolist()
+            self.cache.update(zip(part, [ids[x:y] for x, y in zip([0, *to], to)]))
+
+    def __call__(self, texts):
+        words = [(t or "").split() for t in texts]
+        every = set().union(*words)
+        new = every.difference(self.cache)
+        if len(self.cache) + len(new) > self.limit:
+            self.cache.clear()
+            new = every
+        self.learn(list(new))
+        out = [b"".join(map(self.cache.__getitem__, w)) + self.last for w in words]
+        for w in [w for w in new if len(w) >= 100]:
+            del self.cache[w]
+        return out
+
+
+_encoders = {}
+
+
+def word_encoder(path):
+    """This worker's encoder of a tokenizer file: its cache serves all tasks of the worker."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin string, offset long, fill int"
@@ -80,8 +115,7 @@ def pieces(df, tokenizer, size=2048, keep_ids=False, id_col="doc_id", text_col="
         for k, batch in enumerate(batches):
             out = []
             for b in in_parts([batch]):
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = encode(text or "")
+                for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist())):
                     for p, at in enumerate(range(0, len(ids), 4 * size)):
                         x = ids[at : at + 4 * size]
                         out.append((doc, p, at // 4, len(x) // 4, zlib.crc32(x), x if keep_ids else None))
