@@ -1,8 +1,10 @@
 """Best-fit packing of token ids into sequences of bounded length."""
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -58,6 +60,14 @@ def best_fit(lengths, size):
     return where, offset, fill
 
 
+def words_of(text):
+    """Runs of characters that are not Unicode white space; str.split alone would also cut at the four separators U+001C to U+001F."""
+    return text.split() if not separators(text) else not_white(text)
+
+
+separators, not_white = re.compile("[\x1c-\x1f]").search, regex.compile(r"[^\p{White_Space}]+").findall
+
+
 class WordEncoder:
     """Texts -> uint32 ids as bytes, then id `end`. White space always separates this tokenizer's words, so each word is encoded once, new ones together, and cached."""
 
@@ -78,7 +88,7 @@ class WordEncoder:
             self.cache.update(zip(part, [ids[x:y] for x, y in zip([0, *to], to)]))
 
     def __call__(self, texts):
-        words = [(t or "").split() for t in texts]
+        words = [words_of(t or "") for t in texts]
         every = set().union(*words)
         new = every.difference(self.cache)
         if len(self.cache) + len(new) > self.limit:

@@ -54,6 +54,12 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack(frame(spark, []), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_words_are_encoded_as_the_tokenizer_does():
+    e, r = packing.WordEncoder(P.path("word_bpe_49k.json")), random.Random(4)
+    texts = ["".join(r.choice("ab é\u0301\n\t 1'sß漢\x1c\x1f\x85.  İΣ🙂") for _ in range(r.randrange(60))) for _ in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_search_finds_the_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 16))
