@@ -1,10 +1,11 @@
-"""Masked pseudo-likelihood: a window network in numpy predicts every word from two words on either side."""
+"""Masked pseudo-likelihood of every word: a window network in numpy predicts its class from the classes of two words on either side, counts over the corpus the word in its class."""
 import zlib
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import Window as W, functions as F
 
 from ..session import materialise
 
@@ -17,9 +18,56 @@ def split(p):
     return p[:e].reshape(len(OFFSETS), V, D), p[e : e + u].reshape(D, V), p[e + u :]
 
 
-def ids_of(text, vocab):
-    words = (text or "").lower().split()
-    return np.array([vocab.get(w) or V - 32 + zlib.crc32(w[-3:].encode()) % 32 for w in words], np.int64)
+def cut(batches, most=2**18):
+    """Rows of two kinds: a chunk of whole documents (ids, lengths, words as places in the chunk's word list), and each word of that list with its hash class and count."""
+    from pyspark import TaskContext
+
+    chunk, ids, lens, x, held, places = TaskContext.get().partitionId() << 33, [], [], [], 0, defaultdict()
+    places.default_factory = places.__len__
+
+    def emit():
+        at = np.concatenate(x) if x else np.empty(0, np.int32)
+        words, k = list(places), len(places)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([at.tobytes()], pa.binary()), *[pa.nulls(1, f.type) for f in list(CUT)[4:]]], schema=CUT)
+        h = [zlib.crc32(w[-3:].encode()) % 32 for w in words]
+        cols = [np.full(k, chunk), *[pa.nulls(k, f.type) for f in list(CUT)[1:4]], pa.array(words, pa.string()), np.arange(k, dtype=np.int32), np.array(h, np.int32), np.bincount(at, minlength=k).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], schema=CUT)
+
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            words = (t or "").lower().split()
+            x.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+            ids.append(d)
+            lens.append(len(words))
+            held += len(words)
+            if held >= most or len(ids) >= most:
+                yield from emit()
+                chunk, ids, lens, x, held = chunk + 1, [], [], [], 0
+                places.clear()
+    if ids:
+        yield from emit()
+
+
+CUT = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("x", pa.binary()), ("w", pa.string()), ("j", pa.int32()), ("h", pa.int32()), ("n", pa.int64())])
+CODED = pa.schema([("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("x", pa.binary()), ("within", pa.list_(pa.float64()))])
+
+
+def code(docs, words):
+    """A chunk's words as classes, and each document's sum of log P(word | class)."""
+    k = words.num_rows
+    classes, log_p, j = np.zeros(k, np.uint8), np.zeros(k), words["j"].to_numpy()
+    classes[j], log_p[j] = words["c"].to_numpy(), words["log_p"].to_numpy()
+    at, lens = np.frombuffer(docs["x"][0].as_py(), np.int32), np.array(docs["lens"][0].as_py(), np.int64)
+    within = np.bincount(np.repeat(np.arange(len(lens)), lens), log_p[at], len(lens))
+    return pa.Table.from_arrays([docs["ids"], docs["lens"], pa.array([classes[at].tobytes()], pa.binary()), pa.array([within], pa.list_(pa.float64()))], schema=CODED)
+
+
+def documents(batch):
+    """(ids, lengths, arrays of classes, sums within classes) of each chunk in a batch."""
+    for r in range(batch.num_rows):
+        ids, lens, x, within = (c[r] for c in batch.columns)
+        n = lens.values.to_numpy()
+        yield ids.values, n, np.split(np.frombuffer(x.as_py(), np.uint8).astype(np.int64), np.cumsum(n)[:-1]), within.values.to_numpy()
 
 
 MOST = 1024
@@ -69,55 +117,58 @@ def log_likelihood(x, p):
 def score(docs, rate=2.0, id_col="doc_id", text_col="text", seed=1):
     """doc_id, n_words, log_likelihood (sum), mean_log_likelihood of every row; null or empty text: 0 words, 0, null.
 
-    Words are counted over all documents and the V - 33 commonest keep ids, the rest share 32 hashed ids. Every partition trains on its whole
-    text from one start; the parameters are averaged, weighted by words, in two levels.
+    P(word | neighbours) = P(class | neighbours' classes) * P(word | class). Words are counted over all documents, in a distributed table; the V - 33
+    commonest are classes of their own, each other one belongs to one of 32 classes by its ending and has its share of that class's count.
+    Every partition trains on its whole text from one start; the parameters are averaged, weighted by words, in two levels.
     """
     spark = docs.sparkSession
     x = docs.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text")
-
-    def count(frames):
-        for f in frames:
-            n = Counter()
-            for t in f.text:
-                n.update((t or "").lower().split())
-            yield pd.DataFrame({"w": list(n), "n": list(n.values())}).astype({"w": str, "n": "int64"})
-
-    top = x.select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(V - 33).collect()
-    vocab = spark.sparkContext.broadcast({r.w: i + 1 for i, r in enumerate(top)})
+    cuts = materialise(x.mapInArrow(cut, "chunk long, ids array<long>, lens array<long>, x binary, w string, j int, h int, n long"), "cuts")
+    w = W.partitionBy("w").orderBy("chunk")
+    total = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    words = materialise(cuts.where("w is not null").select("w", "chunk", "j", "h", total.alias("total"), (F.row_number().over(w) == 1).alias("first")), "words")
+    once = words.where("first")
+    top = once.orderBy(F.desc("total"), "w").limit(V - 33).select("w", "h", "total").collect()
+    size = {r.h: r.n for r in once.groupBy("h").agg(F.sum("total").alias("n")).collect()}
+    rest = [size.get(h, 0) - sum(r.total for r in top if r.h == h) for h in range(32)]
+    vocab = spark.createDataFrame([(r.w, i + 1) for i, r in enumerate(top)], "w string, id int")
+    log_p = F.when(F.col("id").isNull(), F.log(F.col("total") / F.element_at(F.array(*map(F.lit, rest)), F.col("h") + 1))).otherwise(0.0)
+    named = words.join(F.broadcast(vocab), "w", "left").select("chunk", "j", F.coalesce("id", F.col("h") + (V - 32)).alias("c"), log_p.alias("log_p"))
+    chunks = cuts.where("x is not null").select("chunk", "ids", "lens", "x")
+    coded = chunks.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(code, "ids array<long>, lens array<long>, x binary, within array<double>")
+    coded = materialise(coded, "coded")
     begin = np.random.default_rng(seed).normal(0, 0.1, SHAPE).astype(np.float32)
 
-    def train(frames):
+    def train(batches):
         from pyspark import TaskContext
 
         flat, n = begin.copy(), 0
         p = split(flat)
-        for f in frames:
-            for t in f.text:
-                ids = ids_of(t, vocab.value)
-                for at in range(0, len(ids), MOST):
-                    step(ids[at : at + MOST], p, rate)
-                n += len(ids)
-        for k, part in enumerate(np.array_split(flat, 8)):
-            yield pd.DataFrame({"k": [k], "g": [TaskContext.get().partitionId() % 32], "n": [n], "p": [part.tobytes()]})
+        for b in batches:
+            for _, _, texts, _ in documents(b):
+                for ids in texts:
+                    for at in range(0, len(ids), MOST):
+                        step(ids[at : at + MOST], p, rate)
+                    n += len(ids)
+        parts = [part.tobytes() for part in np.array_split(flat, 8)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([TaskContext.get().partitionId() % 32] * 8, pa.int32()), pa.array([n] * 8, pa.int64()), pa.array(parts, pa.binary())], names=["k", "g", "n", "p"])
 
     def mean(f):
         n = int(f.n.sum())
         p = sum(np.frombuffer(b, np.float32) * np.float32(m / max(n, 1)) for b, m in zip(f.p, f.n))
         return pd.DataFrame({"k": [f.k.iloc[0]], "n": [n], "p": [np.asarray(p, np.float32).tobytes()]})
 
-    halves = x.select("text").mapInPandas(train, "k int, g int, n long, p binary").groupBy("k", "g").applyInPandas(mean, "k int, n long, p binary")
+    halves = coded.mapInArrow(train, "k int, g int, n long, p binary").groupBy("k", "g").applyInPandas(mean, "k int, n long, p binary")
     parts = materialise(halves.groupBy("k").applyInPandas(mean, "k int, n long, p binary"), "network").orderBy("k").collect()
     flat = np.concatenate([np.frombuffer(r.p, np.float32) for r in parts]) if parts else begin
     net = spark.sparkContext.broadcast(flat)
 
-    def judge(frames):
+    def judge(batches):
         p = split(net.value)
-        for f in frames:
-            out = []
-            for t in f.text:
-                ids = ids_of(t, vocab.value)
-                out.append((len(ids), log_likelihood(ids, p)))
-            yield pd.DataFrame({"doc_id": f.doc_id, "n_words": [a for a, _ in out], "log_likelihood": [b for _, b in out]})
-
-    got = x.mapInPandas(judge, "doc_id long, n_words long, log_likelihood double")
+        for b in batches:
+            for ids, n, texts, within in documents(b):
+                sums = within + np.array([log_likelihood(t, p) for t in texts])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
+
+    got = coded.mapInArrow(judge, "doc_id long, n_words long, log_likelihood double")
     return got.withColumn("mean_log_likelihood", F.expr("log_likelihood / nullif(n_words, 0)"))

@@ -89,3 +89,10 @@ def test_licences_and_likelihood_return_every_row(spark):
     assert {r.doc_id: r.licences for r in licences.scan(frame(spark)).collect()}[6] == "MIT"
     got = likelihood.score(frame(spark)).toPandas()
     assert len(got) == len(TEXTS) and got.set_index("doc_id").n_words[7] == 3000
+
+
+def test_likelihood_tells_words_of_a_class_apart(spark):
+    rows = [(i, " ".join(f"filler{j}" for j in range(250))) for i in range(10)] + [(100, "filler1 filler2 rareing filler3 filler4")]
+    rows += [(200 + i, "filler1 filler2 oftening filler3 filler4") for i in range(5)] + [(300, "ofter"), (None, None)]
+    got = likelihood.score(frame(spark, [(d, t) for d, t in rows])).toPandas().set_index("doc_id")
+    assert len(got) == len(rows) and np.isclose(got.log_likelihood[200] - got.log_likelihood[100], np.log(5))
