@@ -137,13 +137,8 @@ def may_link(a, b):
     return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and 9 * ({apart}) <= n{a} + n{b}"
 
 
-def classes_of(df, id_col="doc_id", text_col="text"):
-    """doc_id, n_shingles, component_id of every row: components of the graph that links sets of Jaccard similarity 0.8 or more.
-
-    Null or empty text: an empty set, its own component. Null ids: component null, linked with nothing. Rows that repeat an id each keep their own text's component.
-    Exact copies form one class first. In each bucket every class is verified against the bucket's smallest; then, in buckets that still hold
-    several components, against a few more leads; then all pairs of different components are verified, so no link that could join two components is lost. Extra columns are not carried.
-    """
+def buckets(df, id_col="doc_id", text_col="text"):
+    """(texts with an id, profile of every row, classes of exact copies, (sig, node) of every signature that several classes share)."""
     texts = df.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text")
 
     def describe(d, s):
@@ -174,6 +169,44 @@ def classes_of(df, id_col="doc_id", text_col="text"):
     found = materialise(run_over(texts_of, emit, "sig bigint, node bigint"), "signatures")
     shared = found.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
     met = materialise(found.join(shared, "sig").distinct(), "buckets")
+    return texts_of, profile, classes, met
+
+
+def links_of(df, id_col="doc_id", text_col="text"):
+    """(links, members): every pair (a < b) of classes of equal sets that are linked, and doc_id, n_shingles, class_id, n_links, component_id of every row.
+
+    a, b and class_id are the class's 64-bit node; n_links counts the other classes that a row's class is linked with. Null or empty text has no class; rows with a null id
+    have none either and are linked with nothing. Every pair of classes that shares a bucket and may be linked is verified, also within a component; components are those of classes_of.
+    """
+    texts, profile, classes, met = buckets(df, id_col, text_col)
+    same = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
+    kept = met.groupBy("sig").agg(*same).groupBy("k", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    named = classes.select("node", "n", *PARITY)
+    at = materialise(met.join(kept, "sig").join(named, "node"), "members")
+    x, y = (at.select("sig", *[F.col(c).alias(f"{c}{k}") for c in named.columns]) for k in ("_x", "_y"))
+    pairs = materialise(x.join(y, "sig").where("node_x < node_y and " + may_link("_x", "_y")).selectExpr("node_x a", "node_y b").distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    need = classes.join(nodes, "node").select("fp", F.col("rep").alias("doc_id"), "node")
+    sets = run_over(texts.join(need.select("doc_id").distinct(), "doc_id", "left_semi"), lambda: lambda d, s: [(d, handle(s), s.view(np.int64))], "doc_id bigint, fp binary, s array<bigint>")
+    sets = materialise(sets.join(need, ["fp", "doc_id"]).dropDuplicates(["node"]).select("node", "s"), "sets")
+    linked = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))")
+    links = materialise(linked.select("a", "b"), "links")
+    rep = classes.select("node", "rep")
+    comp = connected_components(links.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b").select("ra", "rb"), "ra", "rb")
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    of = classes.select("fp", "node", "rep").join(degree, "node", "left").join(comp.toDF("rep", "component"), "rep", "left").select("fp", F.col("node").alias("class_id"), "n_links", F.coalesce("component", "rep").alias("component_id"))
+    out = profile.drop("node").join(of, "fp", "left").selectExpr("doc_id", "n_shingles", "case when doc_id is not null then class_id end class_id", "case when doc_id is null then 0 else coalesce(n_links, 0) end n_links", "case when doc_id is null then null else coalesce(component_id, doc_id) end component_id")
+    return links, out
+
+
+def classes_of(df, id_col="doc_id", text_col="text"):
+    """doc_id, n_shingles, component_id of every row: components of the graph that links sets of Jaccard similarity 0.8 or more.
+
+    Null or empty text: an empty set, its own component. Null ids: component null, linked with nothing. Rows that repeat an id each keep their own text's component.
+    Exact copies form one class first. In each bucket every class is verified against the bucket's smallest; then, in buckets that still hold
+    several components, against a few more leads; then all pairs of different components are verified, so no link that could join two components is lost; links within a component are left to links_of. Extra columns are not carried.
+    """
+    texts_of, profile, classes, met = buckets(df, id_col, text_col)
     facts = ["rep", "n", *PARITY, "c"]
 
     def candidates(x, y, on, tried, apart="c_x <> c_y"):

@@ -25,7 +25,7 @@ def op3_quality(spark, sf_dir):
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard.classes_of(documents(spark, sf_dir))
+    return jaccard.links_of(documents(spark, sf_dir))[1].select("doc_id", "n_shingles", "component_id")
 
 
 def op5_licence_scan(spark, sf_dir):

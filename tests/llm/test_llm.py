@@ -111,3 +111,20 @@ def test_licences_wrapped_over_lines(spark):
     cases += [("x\nThis project is licensed under the MIT License\ny", "MIT"), ("a line\nThis project is licensed under the\nMIT License.", "MIT"), ("the MIT license is short", ""), (None, ""), ("All rights reserved.\r\nx", "All-rights-reserved")]
     got = {r.doc_id: r.licences for r in licences.scan(frame(spark, [(i, c) for i, (c, _) in enumerate(cases)])).collect()}
     assert got == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_jaccard_links_equal_brute_force(spark):
+    r, rows = random.Random(6), list(TEXTS)
+    for i in range(25):
+        w = [f"w{i}_{j}" for j in range(r.choice([6, 12, 60, 120]))]
+        rows += [(1000 + 10 * i + k, " ".join(w[: len(w) - k * (1 + len(w) // 30)])) for k in range(r.choice([1, 3, 6]))]
+    links, members = jaccard.links_of(frame(spark, rows))
+    sets = {d: frozenset(jaccard.shingles(t).tolist()) for d, t in rows if d is not None}
+    kinds = {s for s in sets.values() if s}
+    near = {s: {o for o in kinds if o != s and 100 * len(s & o) >= 80 * len(s | o)} for s in kinds}
+    got, classes = members.collect(), jaccard.classes_of(frame(spark, rows)).collect()
+    assert {(g.doc_id, g.n_links) for g in got} == {(d, len(near.get(s, ()))) for d, s in sets.items()} | {(None, 0)} and max(map(len, near.values())) > 2
+    of = {g.class_id: sets[g.doc_id] for g in got if g.class_id is not None}
+    pairs = [(of[x.a], of[x.b]) for x in links.collect()]
+    assert {*pairs, *[(b, a) for a, b in pairs]} == {(a, b) for a in kinds for b in near[a]} and 2 * len(pairs) == sum(map(len, near.values()))
+    assert sorted((g.doc_id or 0, g.component_id or 0) for g in got) == sorted((c.doc_id or 0, c.component_id or 0) for c in classes)
