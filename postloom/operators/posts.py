@@ -21,9 +21,23 @@ def suffix_duplicates(df, key="id", order=("file", "pos")):
     return df.withColumn("unique_id", F.when(n == 0, F.col(key)).otherwise(F.concat(key, F.lit("__dup"), n.cast("string"))))
 
 
-def class_terms(df, cluster="cluster", content="content", key="id", least_posts=2, most=50_000):
-    """Term, cluster, count for the commonest terms that at least `least_posts` posts hold."""
-    t = df.select(cluster, F.col(key).alias("post"), F.explode(text.tokens(F.col(content))).alias("term"))
+#: Common English words that are no terms.
+STOP = tuple(
+    "about above after again against all also although always among and another any anyone anything are around because been before behind being below between both but can cannot could did does doing done down during each either else enough even "
+    "ever every everyone everything few first for former from further get give had has have having hence her here hers herself him himself his how however into its itself just last latter least less made make many may might mine more moreover most "
+    "much must myself neither never nevertheless next nobody none nor not nothing now off often once one only onto other others otherwise our ours ourselves out over own per perhaps please put rather same see seem seemed seems several she should "
+    "since some someone something sometimes somewhere still such than that the their theirs them themselves then thence there therefore these they this those though through thus together too toward towards under until upon very was well were what "
+    "whatever when whence whenever where whereas wherever whether which while who whoever whole whom whose why will with within without would yet you your yours yourself yourselves".split()
+)
+
+
+def class_terms(df, cluster="cluster", content="content", key="id", least_posts=2, most=50_000, stop=(), grams=1):
+    """Term, cluster, count for the commonest terms that at least `least_posts` posts hold: words but `stop`, and with grams=2 pairs of words next to each other once those are taken out."""
+    t = df.select(cluster, F.col(key).alias("post"), text.tokens(F.col(content)).alias("term"))
+    t = t.withColumn("term", F.filter("term", lambda w: ~w.isin(*stop))) if stop else t
+    if grams == 2:
+        t = t.withColumn("term", F.concat("term", F.zip_with(F.expr("slice(term, 1, greatest(size(term) - 1, 0))"), F.expr("slice(term, 2, greatest(size(term) - 1, 0))"), lambda x, y: F.concat_ws(" ", x, y))))
+    t = t.select(cluster, "post", F.explode("term").alias("term"))
     per = t.groupBy(cluster, "term").agg(F.count("*").alias("n"), F.count_distinct("post").alias("posts"))
     total = per.groupBy("term").agg(F.sum("n").alias("f"), F.sum("posts").alias("posts")).where(F.col("posts") >= least_posts).orderBy(F.desc("f"), "term").limit(most)
     return per.drop("posts").join(total.select("term", "f"), "term")

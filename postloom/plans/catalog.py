@@ -41,6 +41,18 @@ def ctfidf_top_terms(s, d):
     return posts.ctfidf(posts.class_terms(docs_v(s, d)))
 
 
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in posts.STOP) + "]"
+
+
+@query(f"""WITH w AS (SELECT lang, doc_id, list_filter(string_split({CLEAN}, ' '), lambda x: length(x) >= 3 AND NOT list_contains({STOP_SQL}, x)) x FROM documents),
+t AS (SELECT lang, doc_id, unnest(list_concat(x, list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1]))) term FROM w), u AS (SELECT lang, term, count(*) n, count(DISTINCT doc_id) d FROM t GROUP BY ALL),
+g AS (SELECT term, sum(n) f FROM u GROUP BY term HAVING sum(d) >= 2 ORDER BY f DESC, term LIMIT 50000), c AS (SELECT lang, u.term, n, f FROM u JOIN g USING (term)),
+z AS (SELECT lang, sum(n) size FROM c GROUP BY 1), s AS (SELECT c.lang AS cluster, term, round(sqrt(n / size) * ln((SELECT floor(avg(size)) FROM z) / greatest(f, 1) + 1), 6) score FROM c JOIN z ON z.lang = c.lang)
+SELECT cluster, term, score, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS INT) place FROM s QUALIFY place <= 10""")
+def ctfidf_top_ngrams(s, d):
+    return posts.ctfidf(posts.class_terms(docs_v(s, d), stop=posts.STOP, grams=2))
+
+
 @query("SELECT doc_id AS id, 1 + 9 * (rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2) / count(n_chars) OVER (PARTITION BY source) AS rank FROM documents")
 def engagement_rank_per_file(s, d):
     return posts.engagement_rank(docs_v(s, d)).select("id", "rank")

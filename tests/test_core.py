@@ -4,7 +4,7 @@ import random
 import duckdb
 import pytest
 
-from postloom.operators import edges
+from postloom.operators import edges, posts
 from postloom.operators.components import connected_components
 from postloom.plans import catalog
 
@@ -42,3 +42,9 @@ def test_matching_equals_sequential_greedy(spark):
             inn[b] -= 1
             want.add((a, b))
     assert got == want
+
+
+def test_terms_are_pairs_of_words_without_stop_words(spark):
+    rows = [(1, "a", "red and the house"), (2, "a", "red house"), (3, "b", "and"), (4, "b", None)]
+    got = posts.class_terms(spark.createDataFrame(rows, "id long, cluster string, content string"), stop=posts.STOP, grams=2).collect()
+    assert {(r.cluster, r.term, r.n) for r in got} == {("a", "red", 2), ("a", "house", 2), ("a", "red house", 2)}
