@@ -14,11 +14,12 @@ def near_in_time(posts, least, hours):
     return pairs.withColumn("cos", dot(F.col("a_embedding"), F.col("embedding"))).where(F.col("cos") > least)
 
 
-def follow(posts, least, tau=6.0, hours=48.0, influence=False):
-    """Follow edges, or influence edges (the newer post more engaged), with force cos * exp(-dt / tau)."""
+def follow(posts, least, tau=6.0, hours=48.0, influence=False, threshold=None):
+    """Follow edges, or influence edges (the newer post more engaged), with force cos * exp(-dt / tau), above `threshold` if given."""
     p = near_in_time(posts, least, hours)
     p = p.where("engagement > a_engagement") if influence else p
-    return p.select(F.col("a_id").alias("source"), F.col("id").alias("target"), (F.col("cos") * F.exp(F.greatest(F.lit(-88.0), -F.col("dt") / tau))).alias("force"))
+    e = p.select(F.col("a_id").alias("source"), F.col("id").alias("target"), (F.col("cos") * F.exp(F.greatest(F.lit(-88.0), -F.col("dt") / tau))).alias("force"))
+    return e if threshold is None else e.where(F.col("force") > threshold)
 
 
 def bridges(posts, least):

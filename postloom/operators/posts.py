@@ -4,11 +4,23 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import text
 
 
-def engagement_rank(df, file="file", value="engagement"):
-    """1 + 9 * percentile rank with average ties within a file; null values stay null."""
-    w, n = W.partitionBy(file), F.count(value).over(W.partitionBy(file))
+def engagement_rank(df, file="file", value="engagement", constant=10.0):
+    """1 + 9 * percentile rank with average ties within a file; null values stay null. A file whose values are all equal gets `constant`, if given."""
+    w = W.partitionBy(file)
+    n = F.count(value).over(w)
     r = F.rank().over(w.orderBy(F.col(value).asc_nulls_last())) + (F.count("*").over(W.partitionBy(file, value)) - 1) / 2
-    return df.withColumn("rank", F.when(F.col(value).isNotNull(), 1 + 9 * r / n))
+    rank = F.when(F.col(value).isNotNull(), 1 + 9 * r / n)
+    if constant is not None:
+        rank = F.when(F.col(value).isNotNull() & (F.min(value).over(w) == F.max(value).over(w)), F.lit(constant)).otherwise(rank)
+    return df.withColumn("rank", rank)
+
+
+def mean_vectors(df, cluster="cluster_id", vector="embedding"):
+    """cluster, size and mean vector of each cluster, null clusters left out."""
+    x = df.where(F.col(cluster).isNotNull())
+    means = x.select(cluster, F.posexplode(vector).alias("pos", "x")).groupBy(cluster, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    means = means.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).getField("mean").alias("mean_vector"))
+    return x.groupBy(cluster).agg(F.count("*").alias("size")).join(means, cluster, "left")
 
 
 def fill_median(df, value="engagement"):

@@ -55,7 +55,14 @@ def ctfidf_top_ngrams(s, d):
 
 @query("SELECT doc_id AS id, 1 + 9 * (rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2) / count(n_chars) OVER (PARTITION BY source) AS rank FROM documents")
 def engagement_rank_per_file(s, d):
-    return posts.engagement_rank(docs_v(s, d)).select("id", "rank")
+    return posts.engagement_rank(docs_v(s, d), constant=None).select("id", "rank")
+
+
+@query("""WITH v AS (SELECT doc_id AS id, doc_id % 3 AS file, CASE WHEN doc_id % 3 = 0 THEN 7 ELSE n_chars END AS e FROM documents)
+SELECT id, CASE WHEN min(e) OVER f = max(e) OVER f THEN 10.0::DOUBLE ELSE 1 + 9 * (rank() OVER (PARTITION BY file ORDER BY e) + (count(*) OVER (PARTITION BY file, e) - 1) / 2) / count(e) OVER f END AS rank FROM v WINDOW f AS (PARTITION BY file)""")
+def engagement_rank_constant_file(s, d):
+    v = table(s, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("file"), F.expr("case when doc_id % 3 = 0 then 7 else n_chars end").alias("engagement"))
+    return posts.engagement_rank(v).select("id", "rank")
 
 
 @query("SELECT event_id AS id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END, (SELECT quantile_cont(value, 0.5) FROM events WHERE event_id % 3 <> 0), 5.5) AS engagement FROM events")
@@ -95,6 +102,16 @@ def influence_candidates(s, d):
     return edges.follow(posts_v(s, d), 0.3, influence=True).withColumn("force", F.round("force", 6))
 
 
+@query(f"SELECT * FROM ({pair_sql('')}) WHERE force > 0.01")
+def follow_above_force(s, d):
+    return edges.follow(posts_v(s, d), 0.3, threshold=0.01).withColumn("force", F.round("force", 6))
+
+
+@query(f"SELECT * FROM ({pair_sql('AND b.engagement > a.engagement')}) WHERE force > 0.01")
+def influence_above_force(s, d):
+    return edges.follow(posts_v(s, d), 0.3, influence=True, threshold=0.01).withColumn("force", F.round("force", 6))
+
+
 BRIDGE = f"WITH {POSTS} SELECT a.id AS source, b.id AS target, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS force FROM p a JOIN p b ON a.id < b.id AND a.cluster_id <> b.cluster_id AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3"
 
 
@@ -161,6 +178,12 @@ def cluster_stats(s, d):
     return table(s, d, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.count("*").alias("size"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("first_mean"))
 
 
+@query("WITH v AS (SELECT label, embedding, len(embedding) n FROM embeddings WHERE label IS NOT NULL), x AS (SELECT label, unnest(range(0, n)) pos, unnest(embedding)::DOUBLE x FROM v), c AS (SELECT label, count(*) size FROM v GROUP BY 1) SELECT label AS cluster_id, size, CAST(pos AS INT) AS pos, round(avg(x), 6) AS mean FROM x JOIN c USING (label) GROUP BY ALL")
+def cluster_mean_vectors(s, d):
+    m = posts.mean_vectors(table(s, d, "embeddings").select(F.col("label").alias("cluster_id"), "embedding"))
+    return m.select("cluster_id", "size", F.posexplode("mean_vector").alias("pos", "mean")).withColumn("mean", F.round("mean", 6))
+
+
 @query("SELECT event_id, CASE WHEN value >= (SELECT quantile_cont(value, 0.95) FROM events) THEN 'mega' WHEN value >= (SELECT quantile_cont(value, 0.8) FROM events) THEN 'big' ELSE 'normal' END AS size FROM events")
 def size_buckets(s, d):
     e = table(s, d, "events")

@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.operators import edges, posts
 from postloom.operators.components import connected_components
@@ -48,3 +49,10 @@ def test_terms_are_pairs_of_words_without_stop_words(spark):
     rows = [(1, "a", "red and the house"), (2, "a", "red house"), (3, "b", "and"), (4, "b", None)]
     got = posts.class_terms(spark.createDataFrame(rows, "id long, cluster string, content string"), stop=posts.STOP, grams=2).collect()
     assert {(r.cluster, r.term, r.n) for r in got} == {("a", "red", 2), ("a", "house", 2), ("a", "red house", 2)}
+
+
+def test_whole_mean_vector_and_constant_file(spark):
+    x = spark.createDataFrame([(1, [1.0, 4.0]), (1, [3.0, 0.0]), (2, [5.0, 6.0]), (None, [9.0, 9.0])], "cluster_id long, embedding array<double>")
+    assert {(r.cluster_id, r.size, *r.mean_vector) for r in posts.mean_vectors(x).select("cluster_id", F.col("size").alias("size"), "mean_vector").collect()} == {(1, 2, 2.0, 2.0), (2, 1, 5.0, 6.0)}
+    f = spark.createDataFrame([("a", 3), ("a", 3), ("a", None), ("b", 1), ("b", 2)], "file string, engagement int")
+    assert sorted((r.file, r.engagement or 0, r.rank) for r in posts.engagement_rank(f).collect()) == [("a", 0, None), ("a", 3, 10.0), ("a", 3, 10.0), ("b", 1, 5.5), ("b", 2, 10.0)]
