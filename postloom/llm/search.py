@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: inverted index with block maxima, searched per shard by WAND bounds and merged with global statistics."""
+"""Exact BM25 top-k: inverted index, searched per shard by a max-score scan (term at a time; block maxima computed at query time, no document pivots) and merged with global statistics."""
 import hashlib
 import re
 
