@@ -44,19 +44,19 @@ def usable(df, id_col, vec_col):
 
 
 def search(df, k=10, every=100, sample=8192, depth=0.02, least=1000, block=4096, id_col="vec_id", vec_col="embedding"):
-    """k nearest by Euclidean distance for rows whose id divides by `every`. Null, zero, non-finite vectors and those of another dimension than the sample's first take no part; a repeated id counts once.
+    """k nearest by Euclidean distance for rows whose id divides by `every`. Null, zero, non-finite vectors and those of another dimension than the commonest take no part; a repeated id counts once.
 
     Codebooks come from a sample of at most `sample` rows; each Arrow batch is encoded, scored by tables, and its best max(least, depth * rows) are reranked exactly.
     Queries are sent in blocks of `block` rows at most, so what is broadcast is bounded. Empty input gives no rows.
     """
     spark, x = df.sparkSession, usable(df, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    some = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    sizes = x.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     shape = "query_id long, vec_id long, score double"
-    if some.empty:
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(some.v[0])
-    books = spark.sparkContext.broadcast(train(np.stack([v for v in some.v if len(v) == dim])))
-    x = materialise(x.where(F.size("v") == dim), "vectors")
+    x = materialise(x.where(F.size("v") == sizes[0].d), "vectors")
+    some = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    books = spark.sparkContext.broadcast(train(np.stack(some.v)))
     queries = x.where(f"vec_id % {every} = 0")
     n = max(1, -(-queries.count() * 5 // (4 * block)))
     out = None

@@ -128,3 +128,10 @@ def test_jaccard_links_equal_brute_force(spark):
     pairs = [(of[x.a], of[x.b]) for x in links.collect()]
     assert {*pairs, *[(b, a) for a, b in pairs]} == {(a, b) for a in kinds for b in near[a]} and 2 * len(pairs) == sum(map(len, near.values()))
     assert sorted((g.doc_id or 0, g.component_id or 0) for g in got) == sorted((c.doc_id or 0, c.component_id or 0) for c in classes)
+
+
+def test_search_keeps_the_commonest_dimension(spark):
+    ids = spark.range(20).orderBy("id").selectExpr("id", "xxhash64(id) h").orderBy("h", "id").collect()
+    rows = [(r.id, [1.0 + r.id] * (3 if i == 0 else 4)) for i, r in enumerate(ids)]
+    got = vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).toPandas()
+    assert set(got.query_id) == {r.id for r in ids[1:]}
