@@ -1,52 +1,38 @@
-"""Exact n-gram Jaccard join by universe partition: segment signatures, one-deletion neighbourhoods, cost-based allocation, exact verification."""
+"""Exact n-gram Jaccard join by universe partition: signatures of segment subsets and one-deletion neighbourhoods, cost-based allocation, exact verification.
+
+A vertex of the link graph is a set of shingles, not an id: rows of equal sets are one class, named `node`, the first 64 bits of the set's digest.
+"""
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..session import materialise
-from .arrow import Packed, in_parts, lists, rows
-
-U = np.uint64
-_word = Packed(lambda w: hashlib.blake2b(w, digest_size=8).digest())
-
-
-def mix(h):
-    """splitmix64 finaliser."""
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-def shingles(text, n=5):
-    """Sorted distinct 64-bit hashes of the n-word shingles; fewer words make one shingle; no words, none."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, and only ASCII white space splits
-    if not words:
-        return np.empty(0, U)
-    h = np.frombuffer(b"".join(map(_word.__getitem__, words)), U)
-    m = max(1, len(h) - n + 1)
-    out = np.full(m, min(n, len(h)), U)
-    for i in range(min(n, len(h))):
-        out = mix(out * U(0x9E3779B97F4A7C15) + h[i : i + m])
-    return np.unique(out)
-
-
-def handle(s):
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-
-
-#: Leads of a bucket that the second round verifies its members against.
-LEADS = 4
-PARITY = [f"p{i}" for i in range(8)]
-
-
-def parity(s):
-    """512 parity bits as 8 longs. Two sets' bits differ in no more places than their elements do, so the count bounds the difference from below."""
-    bits = np.bincount((s & U(511)).astype(np.int64), minlength=512) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+from .arrow import U, by_bytes, lists, mix, words_of_rows
+
+GRAM = 5
+
+
+def sets_of(column, n=GRAM):
+    """For each row of a string column, the sorted distinct 64-bit hashes of its n-word shingles; fewer words make one shingle; no words, none."""
+    h, at = words_of_rows(column)
+    m = max(0, len(h) - n + 1)
+    whole = np.full(m, n, U)
+    for i in range(n):
+        whole = mix(whole * U(0x9E3779B97F4A7C15) + h[i : i + m])
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        if hi - lo >= n:
+            yield np.unique(whole[lo : hi - n + 1])
+        elif hi == lo:
+            yield np.empty(0, U)
+        else:
+            one = np.full(1, hi - lo, U)
+            for x in h[lo:hi]:
+                one = mix(one * U(0x9E3779B97F4A7C15) + x)
+            yield one
 
 
 def most(r, s):
@@ -54,24 +40,35 @@ def most(r, s):
     return (r + s) // 9
 
 
+#: The cost model takes this share of all documents to share some passage, and such a passage to be half of a document.
+COMMON, SHARED = 1e-3, 0.5
+
+
+@lru_cache(1024)
 def allocate(hi, docs):
-    """(one-deletion segments, exact segments, universe share of the former) of a size band, by least expected cost.
+    """(one-deletion segments m1, exact segments m0, universe share of the former, subset size k) of a size band, by least expected cost.
 
-    With D differences, either a one-deletion segment differs at most once, or D - 2 * m1 differences are left for m0 exact segments.
-    Cost: signatures a document emits, plus collisions expected from kept segments that are empty.
+    Of D differences either some one-deletion segment holds at most one, or at most D - 2 * m1 fall in the m0 exact segments. A document keeps D - 2 * m1 + k
+    of these, by an order that depends on their content alone, so two linked sets keep k in common: every k-subset of those kept is a signature.
+    Cost: signatures a document emits, plus documents expected to meet it by chance under each.
     """
     h, size, best = most(hi, hi * 5 // 4), 0.75 * hi, None
     for m1 in range(0, min(3, (h + 1) // 2) + 1):
-        need = max(0, h - 2 * m1 + 1)
-        for slack in (1, 1.1, 1.25, 1.5) if need else (1,):
-            m0 = int(np.ceil(need * slack))
-            share = 2 * m1 / (2 * m1 + m0)
-            filled = m0 * (1 - np.exp(-size * (1 - share) / m0)) if m0 else 0
-            empty = need * np.exp(-max(0, filled - need)) if m0 else 0
-            short = m1 * (1 + size * share / m1) * np.exp(-size * share / m1) if m0 and m1 else 0
-            cost = need + m1 + size * share + (empty + short) * docs * 1e-3
-            if best is None or cost < best[0]:
-                best = cost, m1, m0, share
+        for k in (1, 2):
+            need = h - 2 * m1 + k
+            if need < k:
+                need, ms = 0, [0]
+            else:
+                ms = sorted({int(np.ceil(need * x)) for x in (1, 1.1, 1.25, 1.5)})
+            for m0 in ms:
+                share = 2 * m1 / (2 * m1 + m0) if m1 else 0.0
+                keys = need * (need - 1) / 2 if k == 2 else need
+                held = size * (1 - share) / m0 if m0 else 0
+                met = keys * np.exp(-held * (1 - SHARED) * k)
+                short = m1 * (1 + size * share / m1) * np.exp(-size * share / m1 * (1 - SHARED)) if m1 else 0
+                cost = keys + m1 + size * share + (met + short) * docs * COMMON
+                if best is None or cost < best[0]:
+                    best = cost, m1, m0, share, k
     return best[1:]
 
 
@@ -79,174 +76,254 @@ def band(n):
     return int(n).bit_length()
 
 
-def signatures(s, plans):
-    """Signatures of a sorted set: own band's scheme, and the band below if a linked set may lie there. Two linked sets share one.
+def signatures(s, docs):
+    """Signatures of a sorted set: own band's scheme, and the band below if a linked set may lie there. Two linked sets share one. `docs` steers the cost only.
 
-    Segments are ranges of the hash universe. Among exact segments a document keeps all but as many as may differ, larger ones first;
-    that order depends on a segment's content alone, so two sets that share enough segments keep a common one.
+    Segments are ranges of the hash universe; larger ones, which fewer documents share, are kept first.
     """
     n, out = len(s), []
-    total, at = np.concatenate([[U(0)], np.cumsum(mix(s), dtype=U)]), s.astype(np.float64) / 2.0**64
+    total, at = np.zeros(n + 1, U), s >> U(11)
+    np.cumsum(mix(s), out=total[1:])
+    at = at.astype(np.float64) / 2.0**53
     for b in (band(n), band(n) - 1):
         top = 2**b - 1
-        if b < 3 or b not in plans or (b < band(n) and 5 * top < 4 * n):
+        if b < 3 or (b < band(n) and 5 * top < 4 * n):
             continue
-        m1, m0, share = plans[b]
+        m1, m0, share, k = allocate(top, docs)
         limit = most(n, n * 5 // 4 if b == band(n) else top)
-        edges = np.concatenate([np.arange(m1) * share / max(m1, 1), share + np.arange(m0 + 1) * (1 - share) / max(m0, 1)])[: m1 + m0 + 1]
+        edges = np.concatenate([np.arange(m1) * share / max(m1, 1), share + np.arange(m0) * (1 - share) / max(m0, 1)])
         cut = np.searchsorted(at, edges)
-        cut[0], cut = 0, np.append(cut[: m1 + m0], n)
+        cut[0], cut = 0, np.append(cut, n)
         sums, count = total[cut[1:]] - total[cut[:-1]], np.diff(cut)
         seed = mix(np.arange(m1 + m0).astype(U) + U(b << 32))
         full = mix(sums ^ seed)
         out.append(full[:m1])
         for i in range(m1):
             out.append(mix((sums[i] - mix(s[cut[i] : cut[i + 1]])) ^ seed[i]))
-        kept = max(0, limit - 2 * m1 + 1)
-        out.append(full[m1:][np.lexsort((full[m1:], -count[m1:]))[:kept]])
+        keep = max(0, limit - 2 * m1 + k) if m0 else 0
+        kept = full[m1:][np.lexsort((full[m1:], -count[m1:]))[:keep]]
+        if k == 2 and len(kept):
+            i, j = np.triu_indices(len(kept), 1)
+            kept = mix(np.minimum(kept[i], kept[j]) * U(3) + np.maximum(kept[i], kept[j]))
+        out.append(kept)
     return np.unique(np.concatenate(out)) if out else np.empty(0, U)
 
 
-def run_over(df, fn, schema):
-    """fn(doc_id, set) -> row tuples, over the whole text of each row."""
-    fields = pa.schema([(f.name, {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}[f.dataType.simpleString()]) for f in T._parse_datatype_string(schema)])
+NARROW, PARITY = 400, [f"p{i}" for i in range(8)]
 
-    def run(batches):
-        step = fn()
-        for b in in_parts(batches):
-            got = [r for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in step(d, shingles(t))]
-            yield rows(fields, [list(c) for c in zip(*got)] if got else [[]] * len(fields))
 
-    return df.mapInArrow(run, schema)
+def parity(s, bits=512):
+    """`bits` parity bits as longs. Two sets' bits differ in no more places than their elements do, so the count bounds the difference from below."""
+    return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def verify(texts, pairs, classes):
-    """Pairs (a, b) of class representatives that are linked, by exact intersection of their sets."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    need = texts.join(ids, "doc_id", "left_semi")
-    sets = run_over(need, lambda: lambda d, s: [(d, handle(s), s.view(np.int64))], "doc_id bigint, fp binary, s array<bigint>")
-    sets = materialise(sets.join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi"), "sets")
-    sa, sb = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    return pairs.join(sa, "a").join(sb, "b").where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))").select("a", "b").distinct()
+def wide(s):
+    """For a set of over NARROW elements, 2 to 4 parity bits an element: 512 would say nothing of large differences."""
+    return parity(s, 2 << band(len(s))) if len(s) > NARROW else None
 
 
 def may_link(a, b):
-    """SQL over n{a}, p0{a}.. and n{b}, p0{b}..: false only for pairs that cannot be linked, by sizes and by parity bits."""
+    """SQL over n{a}, p0{a}.., w{a} and those of b: false only for pairs that cannot be linked, by sizes and by parity bits. The longer array of bits is folded onto the shorter."""
     apart = " + ".join(f"bit_count({p}{a} ^ {p}{b})" for p in PARITY)
-    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and 9 * ({apart}) <= n{a} + n{b}"
+    half = "transform(slice({0}, 1, size({0}) div 2), (v, i) -> v ^ {0}[i + size({0}) div 2])"
+    x, y = (f"if(size({p}) > size({q}), {half.format(p)}, {p})" for p, q in ((f"w{a}", f"w{b}"), (f"w{b}", f"w{a}")))
+    by_wide = f"9 * aggregate(zip_with({x}, {y}, (u, v) -> bit_count(u ^ v)), 0, (t, c) -> t + c) <= n{a} + n{b}"
+    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) and 9 * ({apart}) <= n{a} + n{b} and (w{a} is null or w{b} is null or {by_wide})"
+
 
+FACTS = [("n", pa.int64()), *[(p, pa.int64()) for p in PARITY], ("w", pa.list_(pa.int64()))]
+PROFILE = "key long, th long, doc_id long, node long, n long, " + ", ".join(f"{p} long" for p in PARITY) + ", w array<long>, sigs array<long>"
 
-def buckets(df, id_col="doc_id", text_col="text"):
-    """(texts with an id, profile of every row, classes of exact copies, (sig, node) of every signature that several classes share)."""
-    texts = df.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text")
 
-    def describe(d, s):
-        if not len(s):
-            return [(d, 0, *[None] * (2 + len(PARITY)))]
-        h = handle(s)
-        return [(d, len(s), h, int.from_bytes(h[:8], "little", signed=True), *parity(s))]
+def profiles(df, id_col, text_col, carry):
+    """One row per row of df, from one reading of its text: a row number, the text's hash (JVM), the set's node, size, parity bits and, unless this worker has just seen the set, signatures."""
+    docs = df.count()
+    x = df.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
 
-    profile = materialise(run_over(texts, lambda: describe, "doc_id bigint, n_shingles bigint, fp binary, node bigint, " + ", ".join(f"{p} bigint" for p in PARITY)), "profile")
-    known = profile.where("fp is not null and doc_id is not null").groupBy("fp")
-    classes = materialise(known.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(k) for c, k in [("n_shingles", "n"), ("node", "node"), *zip(PARITY, PARITY)]]), "classes")
-    bands = classes.groupBy(F.floor(F.log2("n")).alias("b")).count().collect()
-    plans = {int(r.b) + 1: allocate(2 ** (int(r.b) + 1) - 1, r["count"]) for r in bands if r.b >= 2}
-    texts_of = texts.where("doc_id is not null")
+    def run(batches):
+        from pyspark import TaskContext
+
+        key, seen = TaskContext.get().partitionId() << 33, set()
+        for b in by_bytes(batches, 2):
+            node, n, bits, ws, sigs = [], [], [], [], []
+            for s in sets_of(b.column(2)):
+                d = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
+                node.append(int.from_bytes(d, "little", signed=True) if len(s) else None)
+                n.append(len(s))
+                bits.append(parity(s))
+                ws.append(wide(s))
+                if len(s) < 4 or d in seen:
+                    sigs.append(None)
+                else:
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(d)
+                    sigs.append(signatures(s, docs).view(np.int64))
+            bits = np.array(bits, np.int64).reshape(-1, len(PARITY))
+            key, keys = key + len(n), pa.array(np.arange(key, key + len(n)))
+            some = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [0 if x is None else len(x) for x in xs]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *[x for x in xs if x is not None]])), mask=pa.array([x is None for x in xs]))
+            cols = [keys, b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(PARITY))], some(ws), some(sigs)]
+            names = ["key", "th", "doc_id", "node", "n", *PARITY, "w", "sigs"]
+            yield pa.RecordBatch.from_arrays([*cols, *([b.column(3)] if carry else [])], names=[*names, *(["row"] if carry else [])])
+
+    kind = PROFILE + (f", row {x.schema['row'].dataType.simpleString()}" if carry and not any(c in x.schema["row"].dataType.simpleString() for c in " `-") else "")
+    if carry and kind == PROFILE:
+        from pyspark.sql.types import StructType
+
+        kind = StructType([*df.sparkSession.createDataFrame([], PROFILE).schema.fields, x.schema["row"]])
+    return materialise(x.mapInArrow(run, kind), "profile")
+
+
+def bitmap(nodes, words=1 << 17):
+    """(place, bits): a map of `words` longs at most in which every hash of a one-column frame has its bit; its size does not grow with the data."""
+    h = nodes.toDF("h").where("h is not null")
+    return h.selectExpr(f"cast(pmod(shiftright(h, 6), {words}) as int) place", "shiftleft(1L, cast(h & 63 as int)) bit").groupBy("place").agg(F.bit_or("bit").alias("bits"))
+
+
+def sets_for(df, text_col, hashes):
+    """(node, s) of the rows whose text hash is in a one-column frame, and of a few others that share its bit. The text does not move."""
+    x = df.select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"))
+    x = x.withColumn("place", F.expr(f"cast(pmod(shiftright(h, 6), {1 << 17}) as int)")).join(F.broadcast(bitmap(hashes)), "place").where("shiftleft(1L, cast(h & 63 as int)) & bits <> 0").select("text")
 
-    def emit():
+    def run(batches):
         seen = set()
+        for b in by_bytes(batches, 0):
+            node, out = [], []
+            for s in sets_of(b.column(0)):
+                d = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                if len(s) and d not in seen:
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(d)
+                    node.append(d)
+                    out.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists(out, np.int64)], names=["node", "s"])
+
+    return x.mapInArrow(run, "node long, s array<long>")
+
+
+def verify(df, text_col, pairs, classes):
+    """The linked ones of pairs (a, b) of nodes, by exact intersection of their sets."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    hashes = nodes.join(classes.select("node", "th"), "node").select("th")
+    sets = materialise(sets_for(df, text_col, hashes).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))").select("a", "b")
+
+
+def buckets(df, id_col, text_col, carry=False, nameless=False):
+    """(profile, classes of equal sets, (sig, node, lead) of every signature that several classes share). Rows with a null id are in classes only if `nameless`."""
+    profile = profiles(df, id_col, text_col, carry)
+    known = profile.where("node is not null" if nameless else "node is not null and doc_id is not null")
+    first = known.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"))
+    facts = known.select("key", "th", *[c for c, _ in FACTS])
+    classes = materialise(first.join(facts, "key").drop("key"), "classes")
+    found = known.select("node", F.explode("sigs").alias("sig"))
+    shared = found.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
+    return profile, classes, materialise(found.join(shared, "sig").distinct(), "buckets")
 
-        def step(d, s):
-            if len(s) < 4 or (h := handle(s)) in seen:
-                return []
-            seen.add(h)
-            node = int.from_bytes(h[:8], "little", signed=True)
-            return [(x, node) for x in signatures(s, plans).view(np.int64).tolist()]
 
-        return step
+def once(met, *keep):
+    """Of buckets that hold the same classes, the one of least signature: a row per bucket, with what `keep` aggregates."""
+    same = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
+    return met.groupBy("sig").agg(*same, *keep)
 
-    found = materialise(run_over(texts_of, emit, "sig bigint, node bigint"), "signatures")
-    shared = found.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
-    met = materialise(found.join(shared, "sig").distinct(), "buckets")
-    return texts_of, profile, classes, met
+
+def candidates(x, y, on, apart, tried=None):
+    pairs = x.join(y, on).where(f"{apart} and " + may_link("_x", "_y")).selectExpr("least(node_x, node_y) a", "greatest(node_x, node_y) b").distinct()
+    return materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+
+def side(df, k, *keys):
+    return df.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in ("node", *[c for c, _ in FACTS], "c") if c in df.columns])
 
 
 def links_of(df, id_col="doc_id", text_col="text"):
     """(links, members): every pair (a < b) of classes of equal sets that are linked, and doc_id, n_shingles, class_id, n_links, component_id of every row.
 
-    a, b and class_id are the class's 64-bit node; n_links counts the other classes that a row's class is linked with. Null or empty text has no class; rows with a null id
-    have none either and are linked with nothing. Every pair of classes that shares a bucket and may be linked is verified, also within a component; components are those of classes_of.
+    a, b and class_id are the class's node; n_links counts the other classes that a row's class is linked with. Null or empty text has no class; rows with a null id
+    have none either and are linked with nothing. Every pair of classes that shares a bucket and may be linked is verified, also within a component: as many steps as there are
+    links, at least, so quadratic in a group of near copies. Components are those of classes_of, which does not need every link. Extra columns are not carried.
     """
-    texts, profile, classes, met = buckets(df, id_col, text_col)
-    same = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
-    kept = met.groupBy("sig").agg(*same).groupBy("k", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-    named = classes.select("node", "n", *PARITY)
-    at = materialise(met.join(kept, "sig").join(named, "node"), "members")
-    x, y = (at.select("sig", *[F.col(c).alias(f"{c}{k}") for c in named.columns]) for k in ("_x", "_y"))
-    pairs = materialise(x.join(y, "sig").where("node_x < node_y and " + may_link("_x", "_y")).selectExpr("node_x a", "node_y b").distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = classes.join(nodes, "node").select("fp", F.col("rep").alias("doc_id"), "node")
-    sets = run_over(texts.join(need.select("doc_id").distinct(), "doc_id", "left_semi"), lambda: lambda d, s: [(d, handle(s), s.view(np.int64))], "doc_id bigint, fp binary, s array<bigint>")
-    sets = materialise(sets.join(need, ["fp", "doc_id"]).dropDuplicates(["node"]).select("node", "s"), "sets")
-    linked = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))")
-    links = materialise(linked.select("a", "b"), "links")
-    rep = classes.select("node", "rep")
-    comp = connected_components(links.join(rep.toDF("a", "ra"), "a").join(rep.toDF("b", "rb"), "b").select("ra", "rb"), "ra", "rb")
+    profile, classes, met = buckets(df, id_col, text_col)
+    kept = once(met).groupBy("k", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    at = materialise(met.select("sig", "node").join(kept, "sig").join(classes, "node"), "members")
+    pairs = candidates(side(at, "_x", "sig"), side(at, "_y", "sig"), "sig", "node_x < node_y")
+    links = materialise(verify(df, text_col, pairs, classes), "links")
+    comp = connected_components(links, "a", "b").toDF("node", "c")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of = classes.select("fp", "node", "rep").join(degree, "node", "left").join(comp.toDF("rep", "component"), "rep", "left").select("fp", F.col("node").alias("class_id"), "n_links", F.coalesce("component", "rep").alias("component_id"))
-    out = profile.drop("node").join(of, "fp", "left").selectExpr("doc_id", "n_shingles", "case when doc_id is not null then class_id end class_id", "case when doc_id is null then 0 else coalesce(n_links, 0) end n_links", "case when doc_id is null then null else coalesce(component_id, doc_id) end component_id")
-    return links, out
+    out = named_rows(profile, classes.join(comp, "node", "left").select("node", "rep", F.coalesce("c", "node").alias("c")))
+    out = out.join(degree, "node", "left")
+    return links, out.selectExpr("doc_id", "n_shingles", "case when doc_id is not null then node end class_id", "case when doc_id is null then 0 else coalesce(n_links, 0) end n_links", "component_id")
 
 
-def classes_of(df, id_col="doc_id", text_col="text"):
-    """doc_id, n_shingles, component_id of every row: components of the graph that links sets of Jaccard similarity 0.8 or more.
+def named_rows(profile, named):
+    """Every row with its component's smallest id: named is (node, rep, c)."""
+    least = named.groupBy("c").agg(F.min("rep").alias("component"))
+    return profile.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named.join(least, "c").select("node", "component"), "node", "left").withColumn("component_id", F.expr("case when doc_id is null then null else coalesce(component, doc_id) end"))
+
+
+#: Classes of a bucket that the second round verifies its members against.
+LEADS = 4
 
-    Null or empty text: an empty set, its own component. Null ids: component null, linked with nothing. Rows that repeat an id each keep their own text's component.
-    Exact copies form one class first. In each bucket every class is verified against the bucket's smallest; then, in buckets that still hold
-    several components, against a few more leads; then all pairs of different components are verified, so no link that could join two components is lost; links within a component are left to links_of. Extra columns are not carried.
-    """
-    texts_of, profile, classes, met = buckets(df, id_col, text_col)
-    facts = ["rep", "n", *PARITY, "c"]
 
-    def candidates(x, y, on, tried, apart="c_x <> c_y"):
-        """Untried pairs of classes in different components that may be linked."""
-        pairs = x.join(y, on).where(apart + " and " + may_link("_x", "_y")).selectExpr("least(rep_x, rep_y) a", "greatest(rep_x, rep_y) b").distinct()
-        return materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+def components_of(df, text_col, classes, met):
+    """(node, rep, c): c is equal for classes that links join.
 
-    def side(df, k, *keys):
-        return df.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in facts])
+    In each bucket every class is verified against the bucket's smallest; then, in buckets that still hold several components, against a few more; then
+    all pairs of different components that sizes and parity bits leave are verified, so no link that could join two components is lost.
+    """
 
     def merged(named, pairs):
         """named with the components that verified pairs join."""
-        at = named.select("rep", "c")
-        ends = verify(texts_of, pairs, classes).join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select("ca", "cb")
-        comp = connected_components(ends, "ca", "cb")
-        return materialise(named.join(comp, named.c == comp.node, "left").select("fp", named.node, *facts[:-1], F.coalesce("component", "c").alias("c")), "named")
+        at = named.select("node", "c")
+        ends = verify(df, text_col, pairs, classes).join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select("ca", "cb")
+        comp = connected_components(ends, "ca", "cb").toDF("c", "to")
+        return materialise(named.join(comp, "c", "left").select("node", "rep", *[c for c, _ in FACTS], F.coalesce("to", "c").alias("c")), "named")
 
     def unsettled(named):
         """Members (sig, node) of buckets that hold several components, once for buckets of the same members; and some leads of each."""
         told = materialise(met.select("sig", "node").join(named.select("node", "c"), "node"), "told")
-        members = [F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
         leads = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(2, 2 + LEADS)])).alias("leads")
-        mixed = told.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *members, leads).where("lo <> hi")
+        mixed = once(told, F.min("c").alias("lo"), F.max("c").alias("hi"), leads).where("lo <> hi")
         mixed = mixed.groupBy("k", "h1", "h2").agg(F.min_by(F.struct("sig", "leads"), "sig").alias("m")).select("m.*")
         return told.select("sig", "node").join(mixed, "sig")
 
-    named = classes.withColumn("c", F.col("rep"))
+    named = classes.drop("th").withColumn("c", F.col("node"))
     near, tried = met.where("node <> lead").select("node", "lead").distinct(), None
     for last in (False, True):
-        x = near.join(side(named, "_x", "node"), "node")
-        pairs = candidates(x, side(named, "_y", F.col("node").alias("lead")), "lead", tried)
+        x = near.join(named.select("node", *[F.col(c).alias(f"{c}_x") for c in (*[c for c, _ in FACTS], "c")]), "node").withColumnRenamed("node", "node_x")
+        y = named.select(F.col("node").alias("lead"), *[F.col(c).alias(f"{c}_y") for c in (*[c for c, _ in FACTS], "c")])
+        pairs = candidates(x, y.withColumn("node_y", F.col("lead")), "lead", "c_x <> c_y", tried)
         tried = pairs if tried is None else tried.union(pairs)
         named = merged(named, pairs)
         left = unsettled(named)
         if not last:
             near = left.select("node", F.explode("leads").alias("lead")).where("node <> lead").distinct()
     left = materialise(left.select("sig", "node").join(named, "node"), "mixed")
-    pairs = candidates(side(left, "_x", "sig"), side(left, "_y", "sig"), "sig", tried, "c_x < c_y")
-    if not pairs.isEmpty():
-        named = merged(named, pairs)
-    final = named.select("fp", F.col("c").alias("component_id"))
-    out = profile.join(final, "fp", "left")
-    return out.selectExpr("doc_id", "n_shingles", "case when doc_id is null then null else coalesce(component_id, doc_id) end component_id")
+    pairs = candidates(side(left, "_x", "sig"), side(left, "_y", "sig"), "sig", "c_x < c_y", tried)
+    return named if pairs.isEmpty() else merged(named, pairs)
+
+
+def classes_of(df, id_col="doc_id", text_col="text"):
+    """doc_id, n_shingles, component_id of every row: components of the graph that links sets of Jaccard similarity 0.8 or more.
+
+    Null or empty text: an empty set, its own component. Null ids: component null, linked with nothing. Rows that repeat an id each keep their own text's component.
+    An empty table gives no rows. Links within a component are left to links_of. Extra columns are not carried.
+    """
+    profile, classes, met = buckets(df, id_col, text_col)
+    return named_rows(profile, components_of(df, text_col, classes, met)).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_first(df, id_col="doc_id", text_col="text"):
+    """One row of df for each component, that of the smallest id (null ids last), as it is; all rows without words.
+
+    Decided by row: of rows that repeat an id and text one stays, and a text of its own stays whatever its id. All of df's columns come back, whatever their names.
+    """
+    profile, classes, met = buckets(df, id_col, text_col, carry=True, nameless=True)
+    named = components_of(df, text_col, classes, met).select("node", "c")
+    # the first row of each class, then of each component: both aggregate before they shuffle
+    first = profile.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f"))
+    kept = first.join(named, "node").groupBy("c").agg(F.min("f").alias("f")).select(F.col("f.key").alias("key"))
+    out = profile.select("key", "node", "row")
+    out = out.where("node is null").unionByName(out.where("node is not null").join(kept, "key", "left_semi"))
+    return out.select("row.*")

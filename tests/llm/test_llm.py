@@ -6,7 +6,7 @@ import public_tokenizers as P
 import tiktoken
 from tokenizers import Tokenizer
 
-from postloom.llm import bpe, jaccard, likelihood, licences, packing, search, vectors
+from postloom.llm import bpe, likelihood, licences, packing, search, vectors
 
 TEXTS = [(1, None), (2, ""), (3, "A b c d e f g"), (4, "a B c d e f g"), (5, "one two"), (6, " Released under the MIT License. x"), (7, "word " * 3000), (None, "a b c d e f g"), (3, "A b c d e f g")]
 
@@ -25,27 +25,6 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert sorted(bytes(x.decoded) for x in bpe.decode(bpe.encode(frame(spark, rows), path, P.PATTERN), path).collect()) == sorted((t or "").encode() for _, t in rows)
 
 
-def test_jaccard_classes_equal_brute_force(spark):
-    r, rows = random.Random(2), list(TEXTS)
-    for i in range(40):
-        w = [f"w{i}_{j}" for j in range(r.choice([4, 6, 9, 12, 25, 60]))]
-        for k in range(3):
-            x = list(w)
-            for _ in range(r.choice([0, 1, 1, 2])):
-                x[r.randrange(len(x))] = f"z{r.random()}"
-            rows.append((1000 + 3 * i + k, " ".join(x)))
-    own = [(d, set(jaccard.shingles(t).tolist())) for d, t in rows if d is not None]
-    up = {d: d for d, _ in own}
-    for a, x in own:
-        for b, y in own:
-            if x and 100 * len(x & y) >= 80 * len(x | y):
-                lo, hi = sorted((up[a], up[b]))
-                up = {k: lo if v == hi else v for k, v in up.items()}
-    got = jaccard.classes_of(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    assert {(g.doc_id, g.component_id) for g in got} == {*up.items(), (None, None)}
-
-
 def test_packing_is_whole_and_gapless(spark):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     got = packing.pack(frame(spark), P.path("word_bpe_49k.json")).toPandas().sort_values(["sequence_id", "offset"])
@@ -113,23 +92,6 @@ def test_licences_wrapped_over_lines(spark):
     assert got == {i: w for i, (_, w) in enumerate(cases)}
 
 
-def test_jaccard_links_equal_brute_force(spark):
-    r, rows = random.Random(6), list(TEXTS)
-    for i in range(25):
-        w = [f"w{i}_{j}" for j in range(r.choice([6, 12, 60, 120]))]
-        rows += [(1000 + 10 * i + k, " ".join(w[: len(w) - k * (1 + len(w) // 30)])) for k in range(r.choice([1, 3, 6]))]
-    links, members = jaccard.links_of(frame(spark, rows))
-    sets = {d: frozenset(jaccard.shingles(t).tolist()) for d, t in rows if d is not None}
-    kinds = {s for s in sets.values() if s}
-    near = {s: {o for o in kinds if o != s and 100 * len(s & o) >= 80 * len(s | o)} for s in kinds}
-    got, classes = members.collect(), jaccard.classes_of(frame(spark, rows)).collect()
-    assert {(g.doc_id, g.n_links) for g in got} == {(d, len(near.get(s, ()))) for d, s in sets.items()} | {(None, 0)} and max(map(len, near.values())) > 2
-    of = {g.class_id: sets[g.doc_id] for g in got if g.class_id is not None}
-    pairs = [(of[x.a], of[x.b]) for x in links.collect()]
-    assert {*pairs, *[(b, a) for a, b in pairs]} == {(a, b) for a in kinds for b in near[a]} and 2 * len(pairs) == sum(map(len, near.values()))
-    assert sorted((g.doc_id or 0, g.component_id or 0) for g in got) == sorted((c.doc_id or 0, c.component_id or 0) for c in classes)
-
-
 def test_search_keeps_the_commonest_dimension(spark):
     ids = spark.range(20).orderBy("id").selectExpr("id", "xxhash64(id) h").orderBy("h", "id").collect()
     rows = [(r.id, [1.0 + r.id] * (3 if i == 0 else 4)) for i, r in enumerate(ids)]

@@ -1,7 +1,7 @@
 import shutil
 
 import corpus_pipeline as pipeline
-from postloom.llm import jaccard
+from test_jaccard import shingles
 
 DIR = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_stages_keep_what_they_should(spark, tmp_path):
         kept.append(spark.read.parquet(f"{tmp_path}/{k}"))
         assert k == len(pipeline.STAGES) - 1 or sorted(kept[-1].columns) == sorted(docs.columns), name
     was, now = kept[2].select("doc_id", "text").collect(), {r.doc_id for r in kept[3].select("doc_id").collect()}
-    sets = {r.doc_id: set(jaccard.shingles(r.text).tolist()) for r in was}
+    sets = {r.doc_id: shingles(r.text) for r in was}
     root = {i: i for i in sets}
     for a, x in sets.items():
         for b, y in sets.items():
