@@ -18,12 +18,8 @@ def keep_clean(spark, docs, sf_dir):
 
 
 def keep_one(spark, docs, sf_dir):
-    """The document of smallest id of each near-duplicate group; documents with a null id stay.
-
-    Decided by id, not by row: rows that repeat an id and text all stay, and where one text of a repeated id copies an earlier document, every row of that id goes.
-    """
-    gone = jaccard.classes_of(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group, that of smallest id; decided by row, so a text of its own stays even under a repeated id. Documents without words stay."""
+    return jaccard.keep_first(docs)
 
 
 def pack(spark, docs, sf_dir):
