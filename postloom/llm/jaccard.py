@@ -218,8 +218,10 @@ def buckets(df, id_col, text_col, carry=False, nameless=False):
     facts = known.select("key", "th", *[c for c, _ in FACTS])
     classes = materialise(first.join(facts, "key").drop("key"), "classes")
     found = known.select("node", F.explode("sigs").alias("sig"))
-    shared = found.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
-    return profile, classes, materialise(found.join(shared, "sig").distinct(), "buckets")
+    shared = found.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")  # copies count too: this shuffle takes half the room of one with the nodes
+    met = materialise(found.join(shared, "sig").distinct(), "shared")
+    leads = met.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
+    return profile, classes, materialise(met.join(leads, "sig"), "buckets")
 
 
 def once(met, *keep):

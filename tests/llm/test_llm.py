@@ -4,9 +4,8 @@ import random
 import numpy as np
 import public_tokenizers as P
 import tiktoken
-from tokenizers import Tokenizer
 
-from postloom.llm import bpe, likelihood, licences, packing, search, vectors
+from postloom.llm import bpe, likelihood, licences, search, vectors
 
 TEXTS = [(1, None), (2, ""), (3, "A b c d e f g"), (4, "a B c d e f g"), (5, "one two"), (6, " Released under the MIT License. x"), (7, "word " * 3000), (None, "a b c d e f g"), (3, "A b c d e f g")]
 
@@ -25,20 +24,6 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert sorted(bytes(x.decoded) for x in bpe.decode(bpe.encode(frame(spark, rows), path, P.PATTERN), path).collect()) == sorted((t or "").encode() for _, t in rows)
 
 
-def test_packing_is_whole_and_gapless(spark):
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    got = packing.pack(frame(spark), P.path("word_bpe_49k.json")).toPandas().sort_values(["sequence_id", "offset"])
-    assert got.length.sum() == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in TEXTS)
-    assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all() and got.groupby("sequence_id").length.sum().max() <= 2048
-    assert packing.pack(frame(spark, []), P.path("word_bpe_49k.json")).count() == 0
-
-
-def test_words_are_encoded_as_the_tokenizer_does():
-    e, r = packing.WordEncoder(P.path("word_bpe_49k.json")), random.Random(4)
-    texts = ["".join(r.choice("ab é\u0301\n\t 1'sß漢\x1c\x1f\x85.  İΣ🙂") for _ in range(r.randrange(60))) for _ in range(400)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
-
-
 def test_search_finds_the_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 16))
