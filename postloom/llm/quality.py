@@ -5,9 +5,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .arrow import in_parts
 
 BUCKETS, SHAPES = 1 << 15, 8
 
@@ -32,7 +34,7 @@ def features(text, cache):
     for w in set(words).difference(cache):  # of the dict: a difference from its keys view walks the whole cache
         cache[w] = zlib.crc32(w.lower().encode()) << 3 | shape(w)
     x = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-    if len(cache) > 400_000:
+    if len(cache) > 300_000:
         cache.clear()
     h, s = x >> 3, x & 7
     s[1:][h[1:] == h[:-1]] = 7
@@ -52,21 +54,18 @@ def count_models(texts, good):
     """Counts of each bucket in raw text (all rows) and in target text (rows in `good`)."""
     sent, size = texts.sparkSession.sparkContext.broadcast(good), BUCKETS + 512
 
-    def run(frames):
+    def run(batches):
         cache, total = {}, np.zeros((2, size))
-        for f in frames:
-            for at in range(0, len(f), 100):
-                part = f.iloc[at : at + 100]
-                got = [features(t, cache) for t in part.text]
-                total[0] += np.bincount(np.concatenate(got), minlength=size)
-                mine = [x for x, d in zip(got, part.doc_id) if d in sent.value]
-                if mine:
-                    total[1] += np.bincount(np.concatenate(mine), minlength=size)
-        for at in range(0, size, 2048):
-            yield pd.DataFrame({"chunk": [at], "raw": [total[0, at : at + 2048].tolist()], "target": [total[1, at : at + 2048].tolist()]})
-
-    parts = texts.mapInPandas(run, "chunk int, raw array<double>, target array<double>")
-    cells = parts.selectExpr("chunk", "posexplode(arrays_zip(raw, target)) as (i, v)").groupBy((F.col("chunk") + F.col("i")).alias("i")).agg(F.sum("v.raw").alias("raw"), F.sum("v.target").alias("target")).toPandas()
+        for b in in_parts(batches, 100):
+            got = [features(t, cache) for t in b.column(1).to_pylist()]
+            total[0] += np.bincount(np.concatenate(got), minlength=size)
+            mine = [x for x, d in zip(got, b.column(0).to_pylist()) if d in sent.value]
+            if mine:
+                total[1] += np.bincount(np.concatenate(mine), minlength=size)
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[0, some]), pa.array(total[1, some])], names=["i", "raw", "target"])
+
+    cells = texts.mapInArrow(run, "i int, raw double, target double").groupBy("i").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     out = np.zeros((2, size))
     out[:, cells.i] = cells[["raw", "target"]].to_numpy().T
     return out
@@ -82,13 +81,13 @@ def log_ratio(counts, prior=50.0):
     return out
 
 
-def threshold(scores, y):
-    """The cut between rejected and kept labelled documents of best balanced accuracy, in the middle of its gap."""
+def threshold(scores, y, even=True):
+    """The cut between labelled documents of kind 0 and 1 of best accuracy, in the middle of its gap; if even, both kinds weigh the same."""
     order = np.argsort(scores)
     s, y = scores[order], np.asarray(y)[order]
     if not len(y) or y.all() or not y.any():
         return -np.inf
-    gain = np.concatenate([[0], np.cumsum(np.where(y == 0, 1 / (y == 0).sum(), -1 / y.sum()))])
+    gain = np.concatenate([[0], np.cumsum(np.where(y == 0, 1 / (y == 0).sum(), -1 / y.sum()) if even else np.where(y == 0, 1, -1))])
     k = int(gain.argmax())
     return -np.inf if k == 0 else (s[k - 1] + s[min(k, len(s) - 1)]) / 2
 
@@ -107,15 +106,16 @@ def kth_largest(df, col, k):
     return lo
 
 
-def resample(docs, labels, carry=(), seed=7, most=20_000):
-    """(carry, doc_id, log_weight, gumbel_key, keep): keep the k largest log weight + Gumbel keys, compared at 2^-20, ties kept.
+def resample(docs, labels, carry=False, seed=7, most=20_000):
+    """doc_id, log_weight, gumbel_key, keep of every row, and with carry the row itself as a struct: keep the k largest log weight + Gumbel keys, compared at 2^-20, ties kept.
 
     k is the number of documents whose log weight passes the cut learnt on at most `most` labelled rows, so the sample is as large as the text
-    that resembles the target. Null or empty text weighs 0. Without labels of both kinds every row is kept. Null ids are scored like others.
+    that resembles the target. Null or empty text weighs 0. Without labels of both kinds every row is kept. Null ids are scored like others, and
+    rows of one id share its Gumbel draw. The names of other columns don't matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
     y = sample_labels(labels, "quality", most)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ratio = spark.sparkContext.broadcast(log_ratio(count_models(texts, {d for d, v in y.items() if v})) if any(y.values()) else np.zeros(BUCKETS + 512))
 
     @F.pandas_udf("double")
@@ -124,15 +124,14 @@ def resample(docs, labels, carry=(), seed=7, most=20_000):
         for part in parts:
             yield pd.Series([float(ratio.value[features(t, cache)].sum()) for t in part])
 
-    scored = docs.select(*carry, F.col("doc_id").cast("long").alias("_doc"), weigh("text").alias("_weight"))
-    uniform = f"(shiftrightunsigned(xxhash64(_doc, {seed}), 11) + 0.5D) / 9007199254740992D"
-    scored = materialise(scored.withColumn("_key", F.expr(f"_weight - ln(-ln({uniform}))")).withColumn("_k", F.expr("cast(floor(_key * 1048576) as bigint)")), "weights")
-    known = spark.createDataFrame(list(y.items()), "_doc long, y int") if y else None
+    scored = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col("doc_id").cast("long").alias("doc_id"), weigh(F.col("text").cast("string")).alias("log_weight"))
+    uniform = f"(shiftrightunsigned(xxhash64(doc_id, {seed}), 11) + 0.5D) / 9007199254740992D"
+    scored = materialise(scored.withColumn("gumbel_key", F.expr(f"log_weight - ln(-ln({uniform}))")).withColumn("k", F.expr("cast(floor(gumbel_key * 1048576) as bigint)")), "weights")
     cut = -np.inf
-    if known is not None:
-        lab = scored.select("_doc", "_weight").join(F.broadcast(known), "_doc").toPandas()
-        cut = threshold(lab._weight.to_numpy(), lab.y.to_numpy())
-    k = scored.where(F.col("_weight") >= float(cut)).count()
-    edge = kth_largest(scored, "_k", k) if k else 2**62
-    return scored.select(*carry, F.col("_doc").alias("_doc_id"), F.col("_weight").alias("_log_weight"), F.col("_key").alias("_gumbel_key"), (F.col("_k") >= F.lit(edge)).alias("_keep"))
-
+    if len(set(y.values())) == 2:
+        known = spark.createDataFrame(list(y.items()), "doc_id long, y int")
+        lab = scored.select("doc_id", "log_weight").join(F.broadcast(known), "doc_id").toPandas()
+        cut = threshold(lab.log_weight.to_numpy(), lab.y.to_numpy())
+    k = scored.where(F.col("log_weight") >= float(cut)).count()
+    edge = kth_largest(scored, "k", k) if k else 2**62
+    return scored.withColumn("keep", F.col("k") >= F.lit(edge)).drop("k")

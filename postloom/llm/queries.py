@@ -20,8 +20,7 @@ def op2_topk_search(spark, sf_dir):
 
 
 def op3_quality(spark, sf_dir):
-    out = quality.resample(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return out.selectExpr("_doc_id doc_id", "_log_weight log_weight", "_gumbel_key gumbel_key", "_keep keep")
+    return quality.resample(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op4_jaccard_join(spark, sf_dir):
@@ -43,8 +42,8 @@ def op7_token_matrices(spark, sf_dir, tokenizer=P.path("word_bpe_49k.json")):
 
 def op8_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    out = toxicity.chain_probabilities(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return out.select("doc_id", *[F.col("_p")[i].alias(f"p_{c}") for i, c in enumerate(toxicity.CHAIN)], F.col("_toxic").alias("toxic"))
+    out = toxicity.chain_probabilities(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *[F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(toxicity.CHAIN)], "toxic")
 
 
 def op9_best_fit_packing(spark, sf_dir, tokenizer=P.path("word_bpe_49k.json")):
