@@ -6,15 +6,14 @@ from postloom.session import materialise, table
 
 
 def keep_quality(spark, docs, sf_dir):
-    """Documents the resampler keeps."""
-    out = quality.resample(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return out.where("_keep").select(*docs.columns)
+    """Documents the resampler keeps; without labels, all of them."""
+    return quality.resample(docs, table(spark, sf_dir, "labels"), carry=True).where("keep").select("row.*")
 
 
 def keep_clean(spark, docs, sf_dir):
-    """Documents the chain doesn't call toxic."""
+    """Documents the chain doesn't call toxic; without labels of both kinds, all of them."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.chain_probabilities(docs, model, docs.columns).where("not _toxic").select(*docs.columns)
+    return toxicity.chain_probabilities(docs, model, carry=True).where("not toxic").select("row.*")
 
 
 def keep_one(spark, docs, sf_dir):
