@@ -1,4 +1,5 @@
 """Shared working folder: intermediate tables go where every executor can read them."""
+import gc
 import tempfile
 import uuid
 
@@ -22,5 +23,11 @@ def materialise(df, tag):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark):
+    """Let Spark delete the shuffle files of plans that nobody holds any more; else they stay until the driver's memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
