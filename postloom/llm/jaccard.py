@@ -7,10 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..operators.components import connected_components
-from ..session import materialise
+from ..session import materialise, release
 from .arrow import U, by_bytes, lists, mix, words_of_rows
 
 GRAM = 5
@@ -135,10 +135,10 @@ FACTS = [("n", pa.int64()), *[(p, pa.int64()) for p in PARITY], ("w", pa.list_(p
 PROFILE = "key long, th long, doc_id long, node long, n long, " + ", ".join(f"{p} long" for p in PARITY) + ", w array<long>, sigs array<long>"
 
 
-def profiles(df, id_col, text_col, carry):
+def profiles(df, id_col, text_col):
     """One row per row of df, from one reading of its text: a row number, the text's hash (JVM), the set's node, size, parity bits and, unless this worker has just seen the set, signatures."""
     docs = df.count()
-    x = df.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    x = df.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -164,14 +164,9 @@ def profiles(df, id_col, text_col, carry):
             some = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [0 if x is None else len(x) for x in xs]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *[x for x in xs if x is not None]])), mask=pa.array([x is None for x in xs]))
             cols = [keys, b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(PARITY))], some(ws), some(sigs)]
             names = ["key", "th", "doc_id", "node", "n", *PARITY, "w", "sigs"]
-            yield pa.RecordBatch.from_arrays([*cols, *([b.column(3)] if carry else [])], names=[*names, *(["row"] if carry else [])])
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kind = PROFILE + (f", row {x.schema['row'].dataType.simpleString()}" if carry and not any(c in x.schema["row"].dataType.simpleString() for c in " `-") else "")
-    if carry and kind == PROFILE:
-        from pyspark.sql.types import StructType
-
-        kind = StructType([*df.sparkSession.createDataFrame([], PROFILE).schema.fields, x.schema["row"]])
-    return materialise(x.mapInArrow(run, kind), "profile")
+    return materialise(x.mapInArrow(run, PROFILE), "profile")
 
 
 def bitmap(nodes, words=1 << 17):
@@ -210,9 +205,9 @@ def verify(df, text_col, pairs, classes):
     return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where("180 * size(array_intersect(x, y)) >= 80 * (size(x) + size(y))").select("a", "b")
 
 
-def buckets(df, id_col, text_col, carry=False, nameless=False):
+def buckets(df, id_col, text_col, nameless=False):
     """(profile, classes of equal sets, (sig, node, lead) of every signature that several classes share). Rows with a null id are in classes only if `nameless`."""
-    profile = profiles(df, id_col, text_col, carry)
+    profile = profiles(df, id_col, text_col)
     known = profile.where("node is not null" if nameless else "node is not null and doc_id is not null")
     first = known.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"))
     facts = known.select("key", "th", *[c for c, _ in FACTS])
@@ -221,7 +216,9 @@ def buckets(df, id_col, text_col, carry=False, nameless=False):
     shared = found.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")  # copies count too: this shuffle takes half the room of one with the nodes
     met = materialise(found.join(shared, "sig").distinct(), "shared")
     leads = met.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("sig", "lead")
-    return profile, classes, materialise(met.join(leads, "sig"), "buckets")
+    met = materialise(met.join(leads, "sig"), "buckets")
+    release(df.sparkSession)
+    return profile, classes, met
 
 
 def once(met, *keep):
@@ -319,13 +316,16 @@ def classes_of(df, id_col="doc_id", text_col="text"):
 def keep_first(df, id_col="doc_id", text_col="text"):
     """One row of df for each component, that of the smallest id (null ids last), as it is; all rows without words.
 
-    Decided by row: of rows that repeat an id and text one stays, and a text of its own stays whatever its id. All of df's columns come back, whatever their names.
+    Of rows that repeat an id and text one stays, and a text of its own stays whatever its id. All of df's columns come back, whatever their names.
     """
-    profile, classes, met = buckets(df, id_col, text_col, carry=True, nameless=True)
+    profile, classes, met = buckets(df, id_col, text_col, nameless=True)
     named = components_of(df, text_col, classes, met).select("node", "c")
     # the first row of each class, then of each component: both aggregate before they shuffle
-    first = profile.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f"))
-    kept = first.join(named, "node").groupBy("c").agg(F.min("f").alias("f")).select(F.col("f.key").alias("key"))
-    out = profile.select("key", "node", "row")
-    out = out.where("node is null").unionByName(out.where("node is not null").join(kept, "key", "left_semi"))
-    return out.select("row.*")
+    first = profile.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "th")).alias("f"))
+    kept = materialise(first.join(named, "node").groupBy("c").agg(F.min("f").alias("f")).select("f.doc_id", "f.th"), "kept")
+    text = F.col(text_col).cast("string")
+    words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = df.where(words).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["th"] == kept["th"]), "left_semi")
+    once = rows.withColumn("r", F.row_number().over(W.partitionBy("doc_id", "th").orderBy("doc_id")))  # partitioned and sorted so already
+    return once.where("r = 1").select("row.*").unionByName(df.where(~words))

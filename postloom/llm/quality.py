@@ -124,9 +124,13 @@ def resample(docs, labels, carry=False, seed=7, most=20_000):
         for part in parts:
             yield pd.Series([float(ratio.value[features(t, cache)].sum()) for t in part])
 
-    scored = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col("doc_id").cast("long").alias("doc_id"), weigh(F.col("text").cast("string")).alias("log_weight"))
     uniform = f"(shiftrightunsigned(xxhash64(doc_id, {seed}), 11) + 0.5D) / 9007199254740992D"
-    scored = materialise(scored.withColumn("gumbel_key", F.expr(f"log_weight - ln(-ln({uniform}))")).withColumn("k", F.expr("cast(floor(gumbel_key * 1048576) as bigint)")), "weights")
+
+    def scores(carry):
+        x = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col("doc_id").cast("long").alias("doc_id"), weigh(F.col("text").cast("string")).alias("log_weight"))
+        return x.withColumn("gumbel_key", F.expr(f"log_weight - ln(-ln({uniform}))")).withColumn("k", F.expr("cast(floor(gumbel_key * 1048576) as bigint)"))
+
+    scored = materialise(scores(False), "weights")
     cut = -np.inf
     if len(set(y.values())) == 2:
         known = spark.createDataFrame(list(y.items()), "doc_id long, y int")
@@ -134,4 +138,5 @@ def resample(docs, labels, carry=False, seed=7, most=20_000):
         cut = threshold(lab.log_weight.to_numpy(), lab.y.to_numpy())
     k = scored.where(F.col("log_weight") >= float(cut)).count()
     edge = kth_largest(scored, "k", k) if k else 2**62
-    return scored.withColumn("keep", F.col("k") >= F.lit(edge)).drop("k")
+    # with rows, weights are found anew as the rows are read, which gives the same ones: a second copy of all text would be dearer
+    return (scores(True) if carry else scored).withColumn("keep", F.col("k") >= F.lit(edge)).drop("k")

@@ -83,7 +83,7 @@ def test_components_links_and_survivors(spark, rows):
             first.setdefault(g[i], i)
     kept = jaccard.keep_first(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "node", "n", "row"]
-    ids = lambda x: sorted(("" if d is None else str(d), "" if s else t or "", len(s)) for d, t, s in x)
+    ids = lambda x: sorted(("" if d is None else str(d), t or "", len(s)) if not s else ("", "", len(s)) if d is None else (str(d), "", len(s)) for d, t, s in x)
     assert ids((r.doc_id, r.text, shingles(r.text)) for r in kept.collect()) == ids((*rows[i], sets[i]) for i in [*first.values(), *[i for i, s in enumerate(sets) if not s]])
 
 
