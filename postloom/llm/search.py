@@ -1,20 +1,28 @@
-"""Exact BM25 top-k: inverted index, searched per shard by a max-score scan (term at a time; block maxima computed at query time, no document pivots) and merged with global statistics."""
+"""Exact BM25 top-k: an inverted index with stored block maxima, searched per shard by block-max WAND and merged with global statistics.
+
+The pivot is a block of documents, not a single one, so that numpy handles it: blocks are visited in order of the sum of their lists' stored maxima, and the first block whose sum falls short of the
+k-th best score ends the search. The lists beyond a shard's commonest terms hold few postings; they are read first, in one step, and sharpen the bounds of the blocks.
+"""
 import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from ..session import materialise
-from .arrow import Packed
+from .arrow import Packed, by_bytes
 
-K1, B, BLOCK = 1.2, 0.75, 64
+K1, B, BLOCK = 1.2, 0.75, 32
+#: Bytes of a shard's matrix of common terms by documents, and of text that a shard holds at most, but for one document.
+ROOM, SHARD = 1 << 25, 1 << 26
+#: Distinct terms of the queries that are sent out at once.
+SENT = 1 << 21
 terms_of = re.compile(r"[^\W_]+").findall
 
 
 def term_cache():
-    return Packed(lambda u: b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in terms_of(u)))
+    return Packed(lambda u: b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in terms_of(u)), 250_000)
 
 
 def terms(text, cache):
@@ -23,121 +31,198 @@ def terms(text, cache):
     return (*np.unique(h, return_counts=True), len(h))
 
 
-def build(frames):
-    """One index row per Arrow batch: term hashes, list starts, postings (local document, count), lengths."""
-    cache = term_cache()
-    for f in frames:
-        got = [terms(t, cache) for t in f.text]
-        if not got:
-            continue
+RAW = "n long, total long, ids binary, len binary, terms binary, starts binary, doc binary, tf binary"
+
+
+def build(batches):
+    """One index row per shard: term hashes, list starts, postings (place of the document, count) in document order, lengths."""
+    cache, ids, got, held = term_cache(), [], [], 0
+
+    def shard():
         h = np.concatenate([g[0] for g in got])
         doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[0]) for g in got])
         tf = np.concatenate([g[1] for g in got]).astype(np.int32)
         order = np.argsort(h, kind="stable")
         t, first = np.unique(h[order], return_index=True)
-        yield pd.DataFrame({"ids": [f.doc_id.to_numpy(np.int64).tobytes()], "len": [np.array([g[2] for g in got], np.int64).tobytes()], "terms": [t.tobytes()], "starts": [np.append(first, len(h)).astype(np.int64).tobytes()], "doc": [doc[order].tobytes()], "tf": [tf[order].tobytes()]})
-
-
-def wand(lists, weights, docs, k):
-    """Exact scores of the k best documents. lists: (documents ascending, impacts) per query term.
-
-    Lists are opened from the highest upper bound down. Once the bounds left cannot lift an unseen document to the k-th score, only documents
-    already seen are followed, and each block's maximum rules out those that cannot reach it; the rest are scored in full.
-    """
-    upper = np.array([w * imp.max() for (_, imp), w in zip(lists, weights)])
-    order = np.argsort(-upper, kind="stable")
-    rest = np.append(np.cumsum(upper[order][::-1])[::-1], 0.0)
-    acc, seen, edge, j = np.zeros(docs), np.zeros(docs, bool), 0.0, 0
-    for j, i in enumerate(order):
-        if rest[j] < edge:
-            break
-        d, imp = lists[i]
-        acc[d] += weights[i] * imp
-        seen[d] = True
-        if j % 8 == 7 and docs > k:
-            edge = np.partition(acc, docs - k)[docs - k] - 1e-9
-    else:
-        j = len(order)
-    c = np.flatnonzero(seen & (acc + rest[j] >= edge))
-    if j < len(order) and len(c):
-        bound = acc[c].copy()
-        for i in order[j:]:
-            d, imp = lists[i]
-            at = np.searchsorted(d[::BLOCK], c, side="right") - 1
-            top = np.maximum.reduceat(imp, np.arange(0, len(d), BLOCK))
-            bound += np.where(at >= 0, weights[i] * top[at], 0)
-        c = c[bound >= edge]
-    exact = np.zeros(len(c))
-    for i in range(len(lists)):
-        d, imp = lists[i]
-        at = np.minimum(np.searchsorted(d, c), len(d) - 1)
-        exact += np.where(d[at] == c, weights[i] * imp[at], 0)
-    return c, exact
-
-
-def topk(docs, k=10, every=100, block=1024, id_col="doc_id", text_col="text"):
+        ln = np.array([g[2] for g in got], np.int64)
+        parts = [np.array(ids, np.int64), ln, t, np.append(first, len(h)).astype(np.int64), doc[order], tf[order]]
+        return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(ln.sum())]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=[x.split()[0] for x in RAW.split(", ")])
+
+    for b in by_bytes(batches, 1):
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids.append(d)
+            got.append(terms(t, cache))
+            held += len(t or "")
+            if held >= SHARD:
+                yield shard()
+                ids, got, held = [], [], 0
+    if ids:
+        yield shard()
+
+
+def read(row, *kinds):
+    return [np.frombuffer(row[name], kind) for name, kind in kinds]
+
+
+POSTINGS = (("ids", np.int64), ("len", np.int64), ("terms", np.uint64), ("starts", np.int64), ("doc", np.int32), ("impact", np.float32), ("common", np.int32), ("maxima", np.float32))
+INDEX = "ids binary, len binary, terms binary, starts binary, doc binary, impact binary, tf binary, common binary, maxima binary"
+
+
+def impacts(mean):
+    """Adds each posting's impact, the shard's commonest terms (as places) and, for these, the maximum of every block of documents."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ln, starts, doc, tf = read(r, ("len", np.int64), ("starts", np.int64), ("doc", np.int32), ("tf", np.int32))
+                impact = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * ln[doc] / mean))).astype(np.float32)
+                most = max(1, ROOM // (4 * len(ln)))
+                df = np.diff(starts)
+                common = np.sort(np.argsort(-df, kind="stable")[:most]).astype(np.int32)
+                maxima = matrix(common, starts, doc, impact, len(ln)).reshape(len(common), -(-len(ln) // BLOCK), BLOCK).max(2)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (r["ids"], r["len"], r["terms"], r["starts"], r["doc"], impact.tobytes(), r["tf"], common.tobytes(), maxima.tobytes())], names=[x.split()[0] for x in INDEX.split(", ")])
+
+    return run
+
+
+def matrix(common, starts, doc, impact, docs):
+    """Impacts of the common terms by documents, padded to whole blocks."""
+    out = np.zeros((len(common), -(-docs // BLOCK) * BLOCK), np.float32)
+    for i, t in enumerate(common.tolist()):
+        out[i, doc[starts[t] : starts[t + 1]]] = impact[starts[t] : starts[t + 1]]
+    return out
+
+
+class Shard:
+    """A shard's index, ready for queries."""
+
+    def __init__(self, row):
+        self.ids, self.len, self.terms, self.starts, self.doc, self.impact, common, maxima = read(row, *POSTINGS)
+        self.tf = np.frombuffer(row["tf"], np.int32)
+        self.docs, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        self.matrix = matrix(common, self.starts, self.doc, self.impact, self.docs).reshape(len(common), self.blocks, BLOCK)
+        self.maxima = maxima.reshape(len(common), self.blocks)
+        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.keys = np.repeat(np.arange(len(self.terms)), np.diff(self.starts)) * np.int64(self.docs) + self.doc
+        self.visited = 0
+
+    def candidates(self, lists, weights, k, least=0.0):
+        """Places of the documents that may be among the k best and reach `least`. lists: places of the query's terms; weights: their idf."""
+        row = self.row[lists]
+        rare, of, w = lists[row < 0], weights[row < 0], weights[row >= 0].astype(np.float32)
+        row = row[row >= 0]
+        first, n = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        score = np.bincount(self.doc[at], np.repeat(of, n) * self.impact[at], self.blocks * BLOCK).astype(np.float32)
+        score = score.reshape(-1, BLOCK)
+        bound = score.max(1) + w @ self.maxima[row]
+        order = np.argsort(-bound, kind="stable")
+        slack, edge, best, seen, lo, step = 1e-4 * float(bound.max(initial=0)) + 1e-9, least, np.empty(0, np.float32), [], 0, 4
+        while lo < len(order):
+            take = order[lo : lo + step]
+            take = take[bound[take] + slack >= edge]
+            if not len(take):
+                break
+            lo, step = lo + step, 2 * step
+            self.visited += len(take)
+            score[take] += np.tensordot(w, self.matrix[row[:, None], take[None]], 1)
+            seen.append(take)
+            best = np.concatenate([best, score[take].ravel()])
+            if len(best) > k:
+                best = np.partition(best, len(best) - k)[len(best) - k :]
+                edge = max(edge, float(best[0]))
+        if not seen:
+            return np.empty(0, np.int64)
+        seen = np.concatenate(seen)
+        b, i = np.nonzero((score[seen] + slack >= edge) & (score[seen] > 0))
+        c = seen[b] * BLOCK + i
+        return c[c < self.docs]
+
+    def top(self, lists, weights, k, mean, least=0.0):
+        """(ids, exact scores) of the k best, ties to the smaller id. Terms are added in the order given, so that equal documents score the same in every shard."""
+        c = self.candidates(lists, weights, k, least)
+        keys = lists[:, None] * np.int64(self.docs) + c
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        tf = np.where(self.keys[at] == keys, self.tf[at], 0)
+        exact = (weights[:, None] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.len[c] / mean)))).sum(0)
+        best = np.lexsort((self.ids[c], -exact))[:k]
+        return self.ids[c][best], exact[best]
+
+
+def topk(docs, k=10, every=100, id_col="doc_id", text_col="text"):
     """query_id, rank, doc_id, score: for rows whose id divides by `every`, the k best of all rows by BM25 over the query's distinct terms.
 
     A row may find itself. Ties go to the smaller id; rows without a shared term are not returned, nor rows with a null id; null text has no terms.
-    A repeated id is a separate row. Queries go out in blocks of about `block` rows; frequencies are counted over all documents.
+    A repeated id is a separate row, and if it is a query's, its rows' terms are one query. Extra columns don't matter; an empty table gives no rows.
+    Frequencies are counted over all documents. Queries go out in blocks of about SENT terms, one job a block.
     """
     spark = docs.sparkSession
-    x = docs.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text").where("doc_id is not null")
-    index = materialise(x.mapInPandas(build, "ids binary, len binary, terms binary, starts binary, doc binary, tf binary"), "index")
-
-    def sizes(frames):
-        for f in frames:
-            yield pd.DataFrame({"n": [len(np.frombuffer(v, np.int64)) for v in f.len], "t": [int(np.frombuffer(v, np.int64).sum()) for v in f.len]})
-
-    n, total = index.select("len").mapInPandas(sizes, "n long, t long").agg(F.sum("n"), F.sum("t")).first()
-    queries = x.where(f"doc_id % {every} = 0")
-    blocks, out = max(1, -(-queries.count() // block)), None
-    for at in range(blocks if n else 0):
+    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    raw = materialise(x.mapInArrow(build, RAW), "postings")
+    n, total = raw.agg(F.sum("n"), F.sum("total")).first()
+    none = spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    if not total:
+        return none
+    mean = total / n
+    index = materialise(raw.mapInArrow(impacts(mean), INDEX), "index")
+
+    def hashes(batches):
         cache = term_cache()
-        q = [(r.doc_id, terms(r.text, cache)[0]) for r in queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == at).toLocalIterator()]
-        if not q:
+        for b in by_bytes(batches, 1):
+            got = [terms(t, cache)[0].view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "t"])
+
+    queries = materialise(x.where(f"doc_id % {every} = 0").mapInArrow(hashes, "doc_id long, t array<long>"), "queries")
+    blocks, out = -(-(queries.agg(F.sum(F.size("t"))).first()[0] or 0) // SENT), None
+    for at in range(blocks):
+        q = {}
+        for r in queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == at).toLocalIterator():
+            q.setdefault(r.doc_id, []).append(np.array(r.t, np.int64).view(np.uint64))
+        q = [(i, np.unique(np.concatenate(t))) for i, t in sorted(q.items())]
+        if not any(len(t) for _, t in q):
             continue
         vocab = np.unique(np.concatenate([t for _, t in q]))
         words = spark.sparkContext.broadcast(vocab)
 
-        def frequency(frames):
+        def frequency(batches):
             df = np.zeros(len(words.value), np.int64)
-            for f in frames:
-                for t, s in zip(f.terms, f.starts):
-                    t, s = np.frombuffer(t, np.uint64), np.diff(np.frombuffer(s, np.int64))
-                    i = np.minimum(np.searchsorted(t, words.value), max(0, len(t) - 1))
+            for b in batches:
+                for r in b.to_pylist():
+                    t, s = read(r, ("terms", np.uint64), ("starts", np.int64))
                     if len(t):
-                        df += np.where(t[i] == words.value, s[i], 0)
+                        i = np.minimum(np.searchsorted(t, words.value), len(t) - 1)
+                        df += np.where(t[i] == words.value, np.diff(s)[i], 0)
             some = np.flatnonzero(df)
-            yield pd.DataFrame({"i": some, "df": df[some]})
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["i", "df"])
 
-        got = index.select("terms", "starts").mapInPandas(frequency, "i long, df long").groupBy("i").agg(F.sum("df").alias("df")).toPandas()
+        got = index.select("terms", "starts").mapInArrow(frequency, "i long, df long").groupBy("i").agg(F.sum("df").alias("df")).toPandas()
         df = np.zeros(len(vocab))
         df[got.i] = got.df
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        sent = spark.sparkContext.broadcast([(i, np.searchsorted(vocab, t)) for i, t in q])
-        weight = spark.sparkContext.broadcast(idf)
-
-        def score(frames):
-            for f in frames:
-                for r in f.itertuples():
-                    ids, ln, t, s, doc, tf = (np.frombuffer(v, d) for v, d in zip((r.ids, r.len, r.terms, r.starts, r.doc, r.tf), (np.int64, np.int64, np.uint64, np.int64, np.int32, np.int32)))
-                    if not len(t):
+        weight = spark.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
+        sent = spark.sparkContext.broadcast([(i, np.searchsorted(vocab, t).astype(np.int32)) for i, t in q])
+
+        def score(batches):
+            least = np.zeros(len(sent.value))  # k-th best score of each query so far in this task: later shards need not look below it
+            for b in batches:
+                for r in b.to_pylist():
+                    s = Shard(r)
+                    if not len(s.terms):
                         continue
-                    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * ln[doc] / (total / n)))
-                    at = np.minimum(np.searchsorted(t, words.value), len(t) - 1)
-                    has = t[at] == words.value
-                    for qid, w in sent.value:
+                    at = np.minimum(np.searchsorted(s.terms, words.value), len(s.terms) - 1)
+                    has, found = s.terms[at] == words.value, []
+                    for j, (i, w) in enumerate(sent.value):
                         w = w[has[w]]
-                        if not len(w):
-                            continue
-                        c, v = wand([(doc[s[i] : s[i + 1]], impact[s[i] : s[i + 1]]) for i in at[w]], weight.value[w], len(ids), k)
-                        best = np.lexsort((ids[c], -v))[:k]
-                        yield pd.DataFrame({"query_id": qid, "doc_id": ids[c][best], "score": v[best]})
-
-        part = index.mapInPandas(score, "query_id long, doc_id long, score double")
+                        if len(w):
+                            d, v = s.top(at[w], weight.value[w], k, mean, least[j])
+                            if len(v) == k:
+                                least[j] = max(least[j], v[-1])
+                            found += zip([i] * len(d), d.tolist(), v.tolist())
+                    cols = list(zip(*found)) or [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"])
+
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+        part = index.mapInArrow(score, "query_id long, doc_id long, score double").withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "doc_id", "score")
+        part = materialise(part, "found")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query_id", "rank", "doc_id", "score")
+    return none if out is None else out

@@ -43,10 +43,11 @@ def features(text):
 
 def fit(x, y, steps=300, rate=0.15, l2=1e-3):
     """Logistic regression by Adam on a dense matrix; weights and, last, bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     w = m = v = np.zeros(x.shape[1])
     for t in range(1, steps + 1):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y) + l2 * w
+        error = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30))) - y
+        g = x.T @ error.astype(np.float32) / len(y) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from postloom.llm import bpe, likelihood, licences, search, vectors
+from postloom.llm import bpe, likelihood, licences, vectors
 
 TEXTS = [(1, None), (2, ""), (3, "A b c d e f g"), (4, "a B c d e f g"), (5, "one two"), (6, " Released under the MIT License. x"), (7, "word " * 3000), (None, "a b c d e f g"), (3, "A b c d e f g")]
 
@@ -33,22 +33,6 @@ def test_search_finds_the_nearest(spark):
     assert set(got.query_id) == {0, 100, 200, 300} and hits >= 36
 
 
-def test_bm25_equals_brute_force(spark):
-    r = random.Random(3)
-    rows = [(i, " ".join(f"t{int(r.paretovariate(0.6)) % 80}" for _ in range(r.randrange(30)))) for i in range(300)]
-    cache = search.term_cache()
-    own = [search.terms(t, cache) for _, t in rows]
-    df = {}
-    for h, _, _ in own:
-        for w in h:
-            df[w] = df.get(w, 0) + 1
-    mean = sum(n for *_, n in own) / len(own)
-    for q, g in search.topk(frame(spark, rows)).toPandas().groupby("query_id"):
-        idf = {w: np.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) for w in own[q][0]}
-        s = [sum(idf[w] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / mean)) for w, c in zip(h, tf) if w in idf) for h, tf, n in own]
-        assert np.allclose(g.sort_values("rank").score, sorted([v for v in s if v > 0], reverse=True)[:10])
-
-
 def test_licences_and_likelihood_return_every_row(spark):
     assert {r.doc_id: r.licences for r in licences.scan(frame(spark)).collect()}[6] == "MIT"
     got = likelihood.score(frame(spark)).toPandas()
