@@ -3,12 +3,12 @@
 The pivot is a block of documents, not a single one, so that numpy handles it: blocks are visited in order of the sum of their lists' stored maxima, and the first block whose sum falls short of the
 k-th best score ends the search. The lists beyond a shard's commonest terms hold few postings; they are read first, in one step, and sharpen the bounds of the blocks.
 """
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
+from xxhash import xxh3_64_digest
 
 from ..session import materialise
 from .arrow import Packed, by_bytes
@@ -22,7 +22,8 @@ terms_of = re.compile(r"[^\W_]+").findall
 
 
 def term_cache():
-    return Packed(lambda u: b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in terms_of(u)), 250_000)
+    """White-space separated unit -> the 64-bit hashes of its terms: one term if it is letters and digits throughout."""
+    return Packed(lambda u: xxh3_64_digest(u) if u.isalnum() else b"".join(map(xxh3_64_digest, terms_of(u))), 250_000)
 
 
 def terms(text, cache):
@@ -60,6 +61,13 @@ def build(batches):
         yield shard()
 
 
+def index_rows(batches):
+    """{column: value}, binary ones as buffers, which are not copied."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {name: c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for name, c in zip(b.schema.names, b.columns)}
+
+
 def read(row, *kinds):
     return [np.frombuffer(row[name], kind) for name, kind in kinds]
 
@@ -72,15 +80,14 @@ def impacts(mean):
     """Adds each posting's impact, the shard's commonest terms (as places) and, for these, the maximum of every block of documents."""
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ln, starts, doc, tf = read(r, ("len", np.int64), ("starts", np.int64), ("doc", np.int32), ("tf", np.int32))
-                impact = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * ln[doc] / mean))).astype(np.float32)
-                most = max(1, ROOM // (4 * len(ln)))
-                df = np.diff(starts)
-                common = np.sort(np.argsort(-df, kind="stable")[:most]).astype(np.int32)
-                maxima = matrix(common, starts, doc, impact, len(ln)).reshape(len(common), -(-len(ln) // BLOCK), BLOCK).max(2)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (r["ids"], r["len"], r["terms"], r["starts"], r["doc"], impact.tobytes(), r["tf"], common.tobytes(), maxima.tobytes())], names=[x.split()[0] for x in INDEX.split(", ")])
+        for r in index_rows(batches):
+            ln, starts, doc, tf = read(r, ("len", np.int64), ("starts", np.int64), ("doc", np.int32), ("tf", np.int32))
+            impact = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * ln[doc] / mean))).astype(np.float32)
+            most = max(1, ROOM // (4 * len(ln)))
+            df = np.diff(starts)
+            common = np.sort(np.argsort(-df, kind="stable")[:most]).astype(np.int32)
+            maxima = matrix(common, starts, doc, impact, len(ln)).reshape(len(common), -(-len(ln) // BLOCK), BLOCK).max(2)
+            yield pa.RecordBatch.from_arrays([pa.array([x.to_pybytes() if isinstance(x, pa.Buffer) else x.tobytes()], pa.binary()) for x in (r["ids"], r["len"], r["terms"], r["starts"], r["doc"], impact, r["tf"], common, maxima)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     return run
 
@@ -118,13 +125,13 @@ class Shard:
         score = score.reshape(-1, BLOCK)
         bound = score.max(1) + w @ self.maxima[row]
         order = np.argsort(-bound, kind="stable")
-        slack, edge, best, seen, lo, step = 1e-4 * float(bound.max(initial=0)) + 1e-9, least, np.empty(0, np.float32), [], 0, 4
+        slack, edge, best, seen, lo, step = 1e-4 * float(bound.max(initial=0)) + 1e-9, least, np.empty(0, np.float32), [], 0, 8
         while lo < len(order):
             take = order[lo : lo + step]
             take = take[bound[take] + slack >= edge]
             if not len(take):
                 break
-            lo, step = lo + step, 2 * step
+            lo, step = lo + step, 3 * step
             self.visited += len(take)
             score[take] += np.tensordot(w, self.matrix[row[:, None], take[None]], 1)
             seen.append(take)
@@ -187,12 +194,11 @@ def topk(docs, k=10, every=100, id_col="doc_id", text_col="text"):
 
         def frequency(batches):
             df = np.zeros(len(words.value), np.int64)
-            for b in batches:
-                for r in b.to_pylist():
-                    t, s = read(r, ("terms", np.uint64), ("starts", np.int64))
-                    if len(t):
-                        i = np.minimum(np.searchsorted(t, words.value), len(t) - 1)
-                        df += np.where(t[i] == words.value, np.diff(s)[i], 0)
+            for r in index_rows(batches):
+                t, s = read(r, ("terms", np.uint64), ("starts", np.int64))
+                if len(t):
+                    i = np.minimum(np.searchsorted(t, words.value), len(t) - 1)
+                    df += np.where(t[i] == words.value, np.diff(s)[i], 0)
             some = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["i", "df"])
 
@@ -204,25 +210,25 @@ def topk(docs, k=10, every=100, id_col="doc_id", text_col="text"):
 
         def score(batches):
             least = np.zeros(len(sent.value))  # k-th best score of each query so far in this task: later shards need not look below it
-            for b in batches:
-                for r in b.to_pylist():
-                    s = Shard(r)
-                    if not len(s.terms):
-                        continue
-                    at = np.minimum(np.searchsorted(s.terms, words.value), len(s.terms) - 1)
-                    has, found = s.terms[at] == words.value, []
-                    for j, (i, w) in enumerate(sent.value):
-                        w = w[has[w]]
-                        if len(w):
-                            d, v = s.top(at[w], weight.value[w], k, mean, least[j])
-                            if len(v) == k:
-                                least[j] = max(least[j], v[-1])
-                            found += zip([i] * len(d), d.tolist(), v.tolist())
-                    cols = list(zip(*found)) or [[], [], []]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"])
+            for r in index_rows(batches):
+                s = Shard(r)
+                if not len(s.terms):
+                    continue
+                at = np.minimum(np.searchsorted(s.terms, words.value), len(s.terms) - 1)
+                has, found = s.terms[at] == words.value, []
+                for j, (i, w) in enumerate(sent.value):
+                    w = w[has[w]]
+                    if len(w):
+                        d, v = s.top(at[w], weight.value[w], k, mean, least[j])
+                        if len(v) == k:
+                            least[j] = max(least[j], v[-1])
+                        found += zip([i] * len(d), d.tolist(), v.tolist())
+                cols = list(zip(*found)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"])
 
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        part = index.mapInArrow(score, "query_id long, doc_id long, score double").withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "doc_id", "score")
+        # few tasks, so that a task sees several shards, but twice as many as cores
+        part = index.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(score, "query_id long, doc_id long, score double").withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "doc_id", "score")
         part = materialise(part, "found")
         out = part if out is None else out.unionByName(part)
     return none if out is None else out
