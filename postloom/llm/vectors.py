@@ -1,12 +1,12 @@
-"""Approximate nearest neighbours by additive quantisation: beam-searched full-dimensional residual codebooks, table scoring, exact reranking."""
+"""Approximate nearest neighbours by additive quantisation: beam-searched full-dimensional residual codebooks, stored codes and norms, table scoring, exact reranking."""
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from ..session import materialise
 
 
-def train(x, books=8, words=256, steps=6, seed=0):
+def train(x, books=16, words=256, steps=6, seed=0):
     """books x words x dim residual codebooks by k-means on a sample."""
     rng, out, rest = np.random.default_rng(seed), [], np.array(x, np.float32)
     for _ in range(books):
@@ -39,57 +39,78 @@ def encode(x, books, beam=4):
 
 
 def usable(df, id_col, vec_col):
-    bad = f"exists({vec_col}, v -> v is null or isnan(v) or abs(v) = double('inf'))"
-    return df.selectExpr(f"cast({id_col} as long) vec_id", f"cast({vec_col} as array<double>) v").where(f"vec_id is not null and v is not null and not {bad.replace(vec_col, 'v', 1)} and exists(v, x -> x <> 0)")
+    """key (a row number), vec_id, v of the rows that take part."""
+    v = df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    return v.where("vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
 
 
-def search(df, k=10, every=100, sample=8192, depth=0.02, least=1000, block=4096, id_col="vec_id", vec_col="embedding"):
-    """k nearest by Euclidean distance for rows whose id divides by `every`. Null, zero, non-finite vectors and those of another dimension than the commonest take no part; a repeated id counts once.
+def matrix(column):
+    """n x dim array of a column of lists of one length."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
-    Codebooks come from a sample of at most `sample` rows; each Arrow batch is encoded, scored by tables, and its best max(least, depth * rows) are reranked exactly.
-    Queries are sent in blocks of `block` rows at most, so what is broadcast is bounded. Empty input gives no rows.
+
+def search(df, k=10, every=100, sample=8192, depth=0.03, least=40, id_col="vec_id", vec_col="embedding"):
+    """query_id, rank, vec_id, score: the k nearest found, by Euclidean distance in double precision, of the rows whose id divides by `every`, among all other rows of their dimension.
+
+    Null, zero and non-finite vectors and null ids take no part. A repeated id is a row of its own, as query and as candidate. Ties go to the smaller id; extra columns don't matter; an empty table gives no rows.
+    For each dimension, codebooks come from a sample of at most `sample` rows, then every row's codes and norm are stored once. Of each Arrow batch the max(least, depth * rows) nearest by tables are
+    reranked on the original vectors. Queries go out in blocks of bounded size, one job a block.
     """
-    spark, x = df.sparkSession, usable(df, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = x.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    shape = "query_id long, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = materialise(x.where(F.size("v") == sizes[0].d), "vectors")
-    some = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    spark = df.sparkSession
+    x = materialise(usable(df, id_col, vec_col), "vectors")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sorted(x.groupBy(F.size("v").alias("d")).count().collect(), key=lambda r: r.d):
+        out = out.unionByName(of_dimension(x.where(F.size("v") == r.d), r.d, k, every, sample, depth, least))
+    return out
+
+
+def of_dimension(x, dim, k, every, sample, depth, least):
+    spark = x.sparkSession
+    some = x.select("v", F.xxhash64("vec_id", "key").alias("h")).orderBy("h").limit(sample).toPandas()
     books = spark.sparkContext.broadcast(train(np.stack(some.v)))
-    queries = x.where(f"vec_id % {every} = 0")
-    n = max(1, -(-queries.count() * 5 // (4 * block)))
-    out = None
-    for at in range(n):
-        q = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == at).toPandas()
+
+    def store(batches):
+        for b in batches:
+            if b.num_rows:
+                codes, norms = zip(*[encode(v, books.value) for v in np.array_split(matrix(b.column(2)), -(-b.num_rows // 1000))])
+                codes = np.concatenate(codes)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.concatenate(norms).astype(np.float32))], names=["key", "vec_id", "v", "codes", "norm"])
+
+    coded = materialise(x.mapInArrow(store, "key long, vec_id long, v array<double>, codes binary, norm float"), "codes")
+    queries = coded.where(f"vec_id % {every} = 0").select("key", "vec_id", "v")
+    blocks, out = -(-queries.count() * dim // (1 << 19)), None
+    for at in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == at).toPandas()
         if q.empty:
             continue
-        sent = spark.sparkContext.broadcast((q.vec_id.to_numpy(), np.stack(q.v)))
+        sent = spark.sparkContext.broadcast((q.key.to_numpy(), q.vec_id.to_numpy(), np.stack(q.v)))
 
-        def run(frames):
-            ids, qs = sent.value
-            tables = np.einsum("mwd,qd->qmw", books.value, qs.astype(np.float32))
-            for f in frames:
-                if not len(f):
+        def run(batches):
+            keys, names, qs = sent.value
+            for b in batches:
+                n = b.num_rows
+                if not n:
                     continue
-                own, v = f.vec_id.to_numpy(), np.stack(f.v)
-                order = np.argsort(own)
-                own, v = own[order], v[order]
-                codes, norms = encode(v, books.value)
-                r = min(len(own), max(least, int(depth * len(own))))
-                for i, t in zip(ids, range(len(ids))):
-                    near = norms - 2 * sum(tables[t, m][codes[:, m]] for m in range(len(books.value)))
-                    edge = np.partition(near, r - 1)[r - 1]
-                    c = np.flatnonzero(near <= edge)
-                    c = c[np.argsort(near[c], kind="stable")][: r + 1]
-                    c = c[own[c] != i]
-                    d = np.sqrt(((v[c] - qs[t]) ** 2).sum(1))
-                    top = np.lexsort((own[c], d))[:k]
-                    yield pd.DataFrame({"query_id": i, "vec_id": own[c][top], "score": d[top]})
-
-        part = x.mapInPandas(run, shape)
+                key, own, v, norms = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2)), b.column(4).to_numpy()
+                codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(n, -1)
+                depth_of = min(n, max(least, int(np.ceil(depth * n))) + 1)  # one more, as the query itself may be among them
+                found = []
+                for lo in range(0, len(keys), 64):
+                    part = qs[lo : lo + 64]
+                    near = np.repeat(norms[None], len(part), 0)
+                    for m, book in enumerate(books.value):
+                        near -= (2 * part.astype(np.float32) @ book.T)[:, codes[:, m]]
+                    c = np.argpartition(near, depth_of - 1, axis=1)[:, :depth_of]
+                    d = np.sqrt(((v[c] - part[:, None]) ** 2).sum(2))
+                    d[key[c] == keys[lo : lo + 64, None]] = np.inf
+                    best = np.lexsort((own[c], d))[:, :k]
+                    ids, d = np.take_along_axis(own[c], best, 1), np.take_along_axis(d, best, 1)
+                    row, col = np.nonzero(d < np.inf)
+                    found.append((keys[lo + row], names[lo + row], ids[row, col], d[row, col]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["q", "query_id", "vec_id", "score"])
+
+        best = Window.partitionBy("q").orderBy("score", "vec_id")
+        part = coded.mapInArrow(run, "q long, query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}")
+        part = materialise(part.select("query_id", "rank", "vec_id", "score"), "found")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out

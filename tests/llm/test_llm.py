@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from postloom.llm import bpe, likelihood, licences, vectors
+from postloom.llm import bpe, likelihood, licences
 
 TEXTS = [(1, None), (2, ""), (3, "A b c d e f g"), (4, "a B c d e f g"), (5, "one two"), (6, " Released under the MIT License. x"), (7, "word " * 3000), (None, "a b c d e f g"), (3, "A b c d e f g")]
 
@@ -24,15 +24,6 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert sorted(bytes(x.decoded) for x in bpe.decode(bpe.encode(frame(spark, rows), path, P.PATTERN), path).collect()) == sorted((t or "").encode() for _, t in rows)
 
 
-def test_search_finds_the_nearest(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16)]
-    got = vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=60).toPandas()
-    hits = sum(len(set(g.vec_id) & set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11])) for q, g in got.groupby("query_id"))
-    assert set(got.query_id) == {0, 100, 200, 300} and hits >= 36
-
-
 def test_licences_and_likelihood_return_every_row(spark):
     assert {r.doc_id: r.licences for r in licences.scan(frame(spark)).collect()}[6] == "MIT"
     got = likelihood.score(frame(spark)).toPandas()
@@ -61,8 +52,3 @@ def test_licences_wrapped_over_lines(spark):
     assert got == {i: w for i, (_, w) in enumerate(cases)}
 
 
-def test_search_keeps_the_commonest_dimension(spark):
-    ids = spark.range(20).orderBy("id").selectExpr("id", "xxhash64(id) h").orderBy("h", "id").collect()
-    rows = [(r.id, [1.0 + r.id] * (3 if i == 0 else 4)) for i, r in enumerate(ids)]
-    got = vectors.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).toPandas()
-    assert set(got.query_id) == {r.id for r in ids[1:]}
