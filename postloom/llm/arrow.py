@@ -87,8 +87,8 @@ def powers(n):
 
 
 def word_hashes(data, piece=1 << 22):
-    """(64-bit hash, first byte) of each word of a byte array: A-Z lower-cased, words end at space and U+0009 to U+000D. At most about `piece` bytes, and one word, at a time."""
-    found, firsts, lo = [], [], 0
+    """(64-bit hash, first byte, last three lower-cased bytes as a number) of each word of a byte array: A-Z lower-cased, words end at space and U+0009 to U+000D. At most about `piece` bytes, and one word, at a time."""
+    found, firsts, lasts, lo = [], [], [], 0
     while lo < len(data):
         hi = min(len(data), lo + piece)
         while hi < len(data) and not SPACE[data[hi]]:
@@ -105,12 +105,14 @@ def word_hashes(data, piece=1 << 22):
             values *= powers(int(n.max()))[np.arange(len(values)) - np.repeat(first, n)]
             found.append(mix(np.add.reduceat(values, first) + n.astype(U)))
             firsts.append(start + lo)
+            last = np.concatenate([np.zeros(2, np.int64), LOWER[x]])
+            lasts.append(last[end + 1] + (last[end] << 8) + (last[end - 1] << 16))
         lo = hi
-    return (np.concatenate(found), np.concatenate(firsts)) if found else (np.empty(0, U), np.empty(0, np.int64))
+    return tuple(map(np.concatenate, (found, firsts, lasts))) if found else (np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def words_of_rows(column):
-    """(hashes of the words of all rows, place of each row's first word among them, and the end)."""
+def words_of_rows(column, endings=False):
+    """(hashes of the words of all rows, place of each row's first word among them, and the end); with endings, also each word's last three bytes (or what stands before a shorter one) as a number."""
     data, at = utf8(column)
     space = at[1:-1]
     if len(space) and len(data):  # a word ends with its row
@@ -118,5 +120,6 @@ def words_of_rows(column):
         cut = np.unique(inner)
         data = np.insert(data, cut, 32)
         at = at + np.searchsorted(cut, at, side="left")
-    h, first = word_hashes(data)
-    return h, np.searchsorted(first, at, side="left")
+    h, first, last = word_hashes(data)
+    at = np.searchsorted(first, at, side="left")
+    return (h, at, last) if endings else (h, at)

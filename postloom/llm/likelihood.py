@@ -1,15 +1,13 @@
 """Masked pseudo-likelihood of every word: a window network in numpy predicts its class from the classes of two words on either side, counts over the corpus the word in its class."""
-import zlib
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..session import materialise
+from .arrow import U, by_bytes, mix, words_of_rows
 
-V, D, OFFSETS = 256, 16, (-2, -1, 1, 2)
+V, ENDINGS, D, OFFSETS = 128, 32, 16, (-2, -1, 1, 2)  # classes, of which so many by ending; width; places seen
 SHAPE = len(OFFSETS) * V * D + D * V + V
 
 
@@ -18,37 +16,33 @@ def split(p):
     return p[:e].reshape(len(OFFSETS), V, D), p[e : e + u].reshape(D, V), p[e + u :]
 
 
+CUT = "chunk long, ids array<long>, lens array<long>, x binary, w array<long>, h array<int>, n array<long>"
+
+
 def cut(batches, most=2**18):
-    """Rows of two kinds: a chunk of whole documents (ids, lengths, words as places in the chunk's word list), and each word of that list with its hash class and count."""
+    """A row for each chunk of whole documents, of about `most` words: ids, lengths, words as places in the chunk's list of words, and that list with each word's ending class and count."""
     from pyspark import TaskContext
 
-    chunk, ids, lens, x, held, places = TaskContext.get().partitionId() << 33, [], [], [], 0, defaultdict()
-    places.default_factory = places.__len__
+    chunk, held = TaskContext.get().partitionId() << 33, []
 
     def emit():
-        at = np.concatenate(x) if x else np.empty(0, np.int32)
-        words, k = list(places), len(places)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([at.tobytes()], pa.binary()), *[pa.nulls(1, f.type) for f in list(CUT)[4:]]], schema=CUT)
-        h = [zlib.crc32(w[-3:].encode()) % 32 for w in words]
-        cols = [np.full(k, chunk), *[pa.nulls(k, f.type) for f in list(CUT)[1:4]], pa.array(words, pa.string()), np.arange(k, dtype=np.int32), np.array(h, np.int32), np.bincount(at, minlength=k).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], schema=CUT)
-
-    for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words = (t or "").lower().split()
-            x.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
-            ids.append(d)
-            lens.append(len(words))
-            held += len(words)
-            if held >= most or len(ids) >= most:
-                yield from emit()
-                chunk, ids, lens, x, held = chunk + 1, [], [], [], 0
-                places.clear()
-    if ids:
-        yield from emit()
-
-
-CUT = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("x", pa.binary()), ("w", pa.string()), ("j", pa.int32()), ("h", pa.int32()), ("n", pa.int64())])
+        words = np.concatenate([x[2] for x in held])
+        w, first, at, n = np.unique(words, return_index=True, return_inverse=True, return_counts=True)
+        h = mix(np.concatenate([x[3] for x in held])[first].astype(U)) % U(ENDINGS)
+        row = [[chunk], [[d for x in held for d in x[0]]], [np.concatenate([x[1] for x in held])], [at.astype(np.int32).tobytes()], [w.view(np.int64)], [h.astype(np.int32)], [n]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=[x.split()[0] for x in CUT.split(", ")])
+
+    for b in by_bytes(batches, 1):
+        h, at, last = words_of_rows(b.column(1), endings=True)
+        held.append((b.column(0).to_pylist(), np.diff(at), h, last))
+        if sum(len(x[2]) for x in held) >= most or sum(len(x[0]) for x in held) >= most:
+            yield emit()
+            chunk, held = chunk + 1, []
+    if held:
+        yield emit()
+
+
 CODED = pa.schema([("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("x", pa.binary()), ("within", pa.list_(pa.float64()))])
 
 
@@ -117,25 +111,25 @@ def log_likelihood(x, p):
 def score(docs, rate=2.0, id_col="doc_id", text_col="text", seed=1):
     """doc_id, n_words, log_likelihood (sum), mean_log_likelihood of every row; null or empty text: 0 words, 0, null.
 
-    P(word | neighbours) = P(class | neighbours' classes) * P(word | class). Words are counted over all documents, in a distributed table; the V - 33
-    commonest are classes of their own, each other one belongs to one of 32 classes by its ending and has its share of that class's count.
+    Words end at space and U+0009 to U+000D; only A-Z are lower-cased. P(word | neighbours) = P(class | neighbours' classes) * P(word | class). Words are counted over all documents, in a
+    distributed table that grows with the corpus; the commonest are classes of their own, each other one belongs to one of ENDINGS classes by its last three bytes and has its share of that class's count.
+    Null and repeated ids are rows like others; extra columns don't matter; an empty table gives no rows.
     Every partition trains on its whole text from one start; the parameters are averaged, weighted by words, in two levels.
     """
     spark = docs.sparkSession
-    x = docs.selectExpr(f"cast({id_col} as long) doc_id", f"{text_col} text")
-    cuts = materialise(x.mapInArrow(cut, "chunk long, ids array<long>, lens array<long>, x binary, w string, j int, h int, n long"), "cuts")
-    w = W.partitionBy("w").orderBy("chunk")
-    total = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    words = materialise(cuts.where("w is not null").select("w", "chunk", "j", "h", total.alias("total"), (F.row_number().over(w) == 1).alias("first")), "words")
-    once = words.where("first")
-    top = once.orderBy(F.desc("total"), "w").limit(V - 33).select("w", "h", "total").collect()
-    size = {r.h: r.n for r in once.groupBy("h").agg(F.sum("total").alias("n")).collect()}
-    rest = [size.get(h, 0) - sum(r.total for r in top if r.h == h) for h in range(32)]
-    vocab = spark.createDataFrame([(r.w, i + 1) for i, r in enumerate(top)], "w string, id int")
+    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    cuts = materialise(x.mapInArrow(cut, CUT), "cuts")
+    words = cuts.select("chunk", F.posexplode(F.arrays_zip("w", "h", "n")).alias("j", "a")).select("chunk", "j", "a.w", "a.h", "a.n")
+    totals = materialise(words.groupBy("w").agg(F.min("h").alias("h"), F.sum("n").alias("total")), "words")
+    top = totals.orderBy(F.desc("total"), "w").limit(V - ENDINGS - 1).collect()
+    size = {r.h: r.n for r in totals.groupBy("h").agg(F.sum("total").alias("n")).collect()}
+    rest = [size.get(h, 0) - sum(r.total for r in top if r.h == h) for h in range(ENDINGS)]
+    own = spark.createDataFrame([(r.w, i + 1) for i, r in enumerate(top)], "w long, id int")
     log_p = F.when(F.col("id").isNull(), F.log(F.col("total") / F.element_at(F.array(*map(F.lit, rest)), F.col("h") + 1))).otherwise(0.0)
-    named = words.join(F.broadcast(vocab), "w", "left").select("chunk", "j", F.coalesce("id", F.col("h") + (V - 32)).alias("c"), log_p.alias("log_p"))
-    chunks = cuts.where("x is not null").select("chunk", "ids", "lens", "x")
-    coded = chunks.groupBy("chunk").cogroup(named.groupBy("chunk")).applyInArrow(code, "ids array<long>, lens array<long>, x binary, within array<double>")
+    known = totals.join(F.broadcast(own), "w", "left").select("w", F.coalesce("id", F.col("h") + (V - ENDINGS)).alias("c"), log_p.alias("log_p"))
+    named = words.select((F.col("chunk") + 0).alias("part"), "j", "w").join(known, "w").select("part", "j", "c", "log_p")
+    chunks = cuts.select("chunk", "ids", "lens", "x")
+    coded = chunks.groupBy("chunk").cogroup(named.groupBy("part")).applyInArrow(code, "ids array<long>, lens array<long>, x binary, within array<double>")
     coded = materialise(coded, "coded")
     begin = np.random.default_rng(seed).normal(0, 0.1, SHAPE).astype(np.float32)
 

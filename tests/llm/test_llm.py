@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from postloom.llm import bpe, likelihood, licences
+from postloom.llm import bpe, licences
 
 TEXTS = [(1, None), (2, ""), (3, "A b c d e f g"), (4, "a B c d e f g"), (5, "one two"), (6, " Released under the MIT License. x"), (7, "word " * 3000), (None, "a b c d e f g"), (3, "A b c d e f g")]
 
@@ -24,19 +24,6 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert sorted(bytes(x.decoded) for x in bpe.decode(bpe.encode(frame(spark, rows), path, P.PATTERN), path).collect()) == sorted((t or "").encode() for _, t in rows)
 
 
-def test_licences_and_likelihood_return_every_row(spark):
-    assert {r.doc_id: r.licences for r in licences.scan(frame(spark)).collect()}[6] == "MIT"
-    got = likelihood.score(frame(spark)).toPandas()
-    assert len(got) == len(TEXTS) and got.set_index("doc_id").n_words[7] == 3000
-
-
-def test_likelihood_tells_words_of_a_class_apart(spark):
-    rows = [(i, " ".join(f"filler{j}" for j in range(250))) for i in range(10)] + [(100, "filler1 filler2 rareing filler3 filler4")]
-    rows += [(200 + i, "filler1 filler2 oftening filler3 filler4") for i in range(5)] + [(300, "ofter"), (None, None)]
-    got = likelihood.score(frame(spark, [(d, t) for d, t in rows])).toPandas().set_index("doc_id")
-    assert len(got) == len(rows) and np.isclose(got.log_likelihood[200] - got.log_likelihood[100], np.log(5))
-
-
 def test_licences_wrapped_over_lines(spark):
     mit = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
     bsd = "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
