@@ -4,7 +4,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from .arrow import U, by_bytes, mix, words_of_rows
 
 V, ENDINGS, D, OFFSETS = 128, 32, 16, (-2, -1, 1, 2)  # classes, of which so many by ending; width; places seen
@@ -46,16 +46,6 @@ def cut(batches, most=2**18):
 CODED = pa.schema([("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("x", pa.binary()), ("within", pa.list_(pa.float64()))])
 
 
-def code(docs, words):
-    """A chunk's words as classes, and each document's sum of log P(word | class)."""
-    k = words.num_rows
-    classes, log_p, j = np.zeros(k, np.uint8), np.zeros(k), words["j"].to_numpy()
-    classes[j], log_p[j] = words["c"].to_numpy(), words["log_p"].to_numpy()
-    at, lens = np.frombuffer(docs["x"][0].as_py(), np.int32), np.array(docs["lens"][0].as_py(), np.int64)
-    within = np.bincount(np.repeat(np.arange(len(lens)), lens), log_p[at], len(lens))
-    return pa.Table.from_arrays([docs["ids"], docs["lens"], pa.array([classes[at].tobytes()], pa.binary()), pa.array([within], pa.list_(pa.float64()))], schema=CODED)
-
-
 def documents(batch):
     """(ids, lengths, arrays of classes, sums within classes) of each chunk in a batch."""
     for r in range(batch.num_rows):
@@ -120,17 +110,29 @@ def score(docs, rate=2.0, id_col="doc_id", text_col="text", seed=1):
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cuts = materialise(x.mapInArrow(cut, CUT), "cuts")
     words = cuts.select("chunk", F.posexplode(F.arrays_zip("w", "h", "n")).alias("j", "a")).select("chunk", "j", "a.w", "a.h", "a.n")
-    totals = materialise(words.groupBy("w").agg(F.min("h").alias("h"), F.sum("n").alias("total")), "words")
+    size = {r.h: r.n for r in words.groupBy("h").agg(F.sum("n").alias("n")).collect()}
+    totals = materialise(words.groupBy("w").agg(F.min("h").alias("h"), F.sum("n").alias("total")).where("total > 1"), "words")  # a word that is not there occurs once
     top = totals.orderBy(F.desc("total"), "w").limit(V - ENDINGS - 1).collect()
-    size = {r.h: r.n for r in totals.groupBy("h").agg(F.sum("total").alias("n")).collect()}
     rest = [size.get(h, 0) - sum(r.total for r in top if r.h == h) for h in range(ENDINGS)]
     own = spark.createDataFrame([(r.w, i + 1) for i, r in enumerate(top)], "w long, id int")
     log_p = F.when(F.col("id").isNull(), F.log(F.col("total") / F.element_at(F.array(*map(F.lit, rest)), F.col("h") + 1))).otherwise(0.0)
     known = totals.join(F.broadcast(own), "w", "left").select("w", F.coalesce("id", F.col("h") + (V - ENDINGS)).alias("c"), log_p.alias("log_p"))
     named = words.select((F.col("chunk") + 0).alias("part"), "j", "w").join(known, "w").select("part", "j", "c", "log_p")
-    chunks = cuts.select("chunk", "ids", "lens", "x")
+    chunks = cuts.select("chunk", "ids", "lens", "x", "h")
+    single = -np.log(np.maximum(rest, 1))
+
+    def code(docs, words):
+        """A chunk's words as classes, and each document's sum of log P(word | class)."""
+        h = docs["h"].combine_chunks().values.to_numpy()
+        classes, log_p, j = (h + (V - ENDINGS)).astype(np.uint8), single[h], words["j"].to_numpy()
+        classes[j], log_p[j] = words["c"].to_numpy(), words["log_p"].to_numpy()
+        at, lens = np.frombuffer(docs["x"][0].as_py(), np.int32), np.array(docs["lens"][0].as_py(), np.int64)
+        within = np.bincount(np.repeat(np.arange(len(lens)), lens), log_p[at], len(lens))
+        return pa.Table.from_arrays([docs["ids"], docs["lens"], pa.array([classes[at].tobytes()], pa.binary()), pa.array([within], pa.list_(pa.float64()))], schema=CODED)
+
     coded = chunks.groupBy("chunk").cogroup(named.groupBy("part")).applyInArrow(code, "ids array<long>, lens array<long>, x binary, within array<double>")
     coded = materialise(coded, "coded")
+    release(spark)
     begin = np.random.default_rng(seed).normal(0, 0.1, SHAPE).astype(np.float32)
 
     def train(batches):
