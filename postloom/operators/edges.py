@@ -1,32 +1,124 @@
-"""Candidate edges between posts (id, embedding, cluster_id, timestamp, engagement) and greedy matching."""
+"""Candidate edges between posts (id, embedding, cluster_id, timestamp, engagement), greedy matching, and the edge builder.
+
+Similar pairs come from one kernel: posts are dealt into blocks of bounded size, and each pair of blocks that may hold pairs meets in one task, where a matrix product gives all cosines and only those that pass leave it.
+"""
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
-from ..functions.text import IN, OUT, dot, tier
+from ..functions.text import IN, OUT, tier
 from ..session import materialise
+from .components import connected_components
+
+#: Posts a block holds, about.
+BLOCK = 1024
+
+
+def similar(posts, least, hours=None, rising=False, falling=False, differ=False, block=BLOCK):
+    """(source, target, cos, dt) of pairs whose embeddings' dot product is above `least`; null ids and embeddings take no part.
+
+    hours: source is older, by at most so many (else source < target and dt is null); rising: the target's engagement is greater, falling: the source's; differ: both have clusters, unlike ones.
+    A time bucket, or the whole table without hours, is split by id into blocks of about `block` posts, so a hot bucket is many tasks.
+    """
+    p = posts.where("id is not null and embedding is not null")
+    p = p.select("id", F.col("embedding").cast("array<double>").alias("v"), "cluster_id" if differ else F.lit(None).cast("int").alias("cluster_id"), F.col("engagement").cast("double").alias("e") if rising or falling else F.lit(0.0).alias("e"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(3.6e9)).alias("t") if hours else F.lit(0.0).alias("t"))
+    if hours:
+        p = p.where("t is not null")
+    if differ:
+        p = p.where("cluster_id is not null")
+    p = p.withColumn("k", F.floor(F.col("t") / hours) if hours else F.lit(0).cast("long"))
+    subs = p.groupBy("k").agg(F.ceil(F.count("*") / block).alias("subs"))
+    after = subs.select((F.col("k") - 1).alias("k"), F.col("subs").alias("next"))
+    before = subs.select((F.col("k") + 1).alias("k"), F.col("subs").alias("last"))
+    p = p.join(subs.join(after, "k", "left").join(before, "k", "left"), "k").withColumn("s", F.expr("pmod(xxhash64(id), subs)"))
+    # a group is (bucket, block, bucket or the next one, block); a post is on its left, its right or both
+    own = F.expr("transform(sequence(0L, subs - 1), x -> named_struct('g', named_struct('k', k, 'a', least(s, x), 'l', k, 'b', greatest(s, x)), 'side', if(s = x, 2, if(s < x, 0, 1))))")
+    later = F.expr("transform(sequence(0L, coalesce(next, 0L)), x -> named_struct('g', named_struct('k', k, 'a', s, 'l', k + 1, 'b', x), 'side', 0))")
+    earlier = F.expr("transform(sequence(0L, coalesce(last, 0L)), x -> named_struct('g', named_struct('k', k - 1, 'a', x, 'l', k, 'b', s), 'side', 1))")
+    groups = F.concat(own, F.slice(later, 1, F.coalesce("next", F.lit(0)).cast("int")), F.slice(earlier, 1, F.coalesce("last", F.lit(0)).cast("int"))) if hours else own
+    p = p.select("id", "v", "cluster_id", "e", "t", F.explode(groups).alias("x")).select("id", "v", "cluster_id", "e", "t", "x.side", F.col("x.g").alias("g"))
+    kind = posts.schema["id"].dataType.simpleString()
+
+    def meet(pdf):
+        x, y = pdf[pdf.side != 1], pdf[pdf.side != 0]
+        both = (pdf.side == 2).any()
+        out = pd.DataFrame({"source": [], "target": [], "cos": [], "dt": []}).astype({"source": pdf.id.dtype, "target": pdf.id.dtype, "cos": float, "dt": float})
+        if not len(x) or not len(y):
+            return out
+        a, b = (np.stack(z.v.to_numpy()) for z in (x, y))
+        cos = a @ b.T
+        i, j = np.nonzero(cos > least)
+        if both:
+            i, j = i[i < j], j[i < j]
+        c = cos[i, j]
+        x, y = x.iloc[i].reset_index(drop=True), y.iloc[j].reset_index(drop=True)
+        dt = y.t - x.t
+        turn = (dt < 0) if hours else (x.id > y.id)
+        s, t = x.id.where(~turn, y.id), y.id.where(~turn, x.id)
+        es, et = x.e.where(~turn, y.e), y.e.where(~turn, x.e)
+        ok = pd.Series(True, x.index)
+        if hours:
+            ok &= (dt.abs() > 0) & (dt.abs() <= hours)
+        if rising:
+            ok &= et > es
+        if falling:
+            ok &= es > et
+        if differ:
+            ok &= x.cluster_id != y.cluster_id
+        return pd.DataFrame({"source": s, "target": t, "cos": c, "dt": dt.abs() if hours else None})[ok]
 
+    return p.groupBy("g").applyInPandas(meet, f"source {kind}, target {kind}, cos double, dt double")
 
-def near_in_time(posts, least, hours):
-    """Pairs older -> newer within `hours` and above a cosine: an equi-join on time buckets, then the exact predicates."""
-    t = F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(3.6e9)
-    p = posts.where("timestamp is not null").withColumn("t", t).withColumn("k", F.floor(F.col("t") / hours))
-    a = p.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "embedding", "engagement", "t")], F.explode(F.array("k", F.col("k") + 1)).alias("k"))
-    pairs = a.join(p, "k").withColumn("dt", F.col("t") - F.col("a_t")).where((F.col("dt") > 0) & (F.col("dt") <= hours))
-    return pairs.withColumn("cos", dot(F.col("a_embedding"), F.col("embedding"))).where(F.col("cos") > least)
+
+def decayed(tau):
+    return F.col("cos") * F.exp(F.greatest(F.lit(-88.0), -F.col("dt") / tau))
 
 
 def follow(posts, least, tau=6.0, hours=48.0, influence=False, threshold=None):
     """Follow edges, or influence edges (the newer post more engaged), with force cos * exp(-dt / tau), above `threshold` if given."""
-    p = near_in_time(posts, least, hours)
-    p = p.where("engagement > a_engagement") if influence else p
-    e = p.select(F.col("a_id").alias("source"), F.col("id").alias("target"), (F.col("cos") * F.exp(F.greatest(F.lit(-88.0), -F.col("dt") / tau))).alias("force"))
+    e = similar(posts, least, hours, rising=influence).select("source", "target", decayed(tau).alias("force"))
+    return e if threshold is None else e.where(F.col("force") > threshold)
+
+
+def by_engagement(posts, least, threshold=None):
+    """Where there are no times: from the more engaged post to a less engaged one of greater id, force the cosine."""
+    e = similar(posts, least, falling=True).select("source", "target", F.col("cos").alias("force"))
     return e if threshold is None else e.where(F.col("force") > threshold)
 
 
 def bridges(posts, least):
-    """Pairs of different clusters above a cosine, smaller id first: a blocked theta join."""
-    a = posts.where("cluster_id is not null").select(F.col("id").alias("source"), F.col("embedding").alias("x"), F.col("cluster_id").alias("c"))
-    p = a.join(a.toDF("target", "y", "d"), F.expr("source < target and c <> d")).withColumn("force", dot(F.col("x"), F.col("y")))
-    return p.where(F.col("force") > least).select("source", "target", "force")
+    """Pairs of different clusters above a cosine, smaller id first."""
+    return similar(posts, least, differ=True).select("source", "target", F.col("cos").alias("force"))
+
+
+def adaptive_threshold(posts, percent):
+    """The exact percentile, interpolated, of the positive cosines of all pairs."""
+    from .posts import percentile
+
+    return percentile(similar(posts, 0.0).select("cos"), "cos", percent / 100)
+
+
+def graft(posts, hubs, chain_posts, least, force=1.0):
+    """Each hub to the nearest chain post of its cluster at a cosine of `least` or more, ties to the smaller id. hubs and chain_posts hold an id each."""
+    p = posts.select("id", "cluster_id", F.col("embedding").cast("array<double>").alias("v")).where("cluster_id is not null")
+    h, c = p.join(hubs.select("id"), "id", "left_semi"), p.join(chain_posts.select("id"), "id", "left_semi")
+    # a cluster's chain posts are split into blocks; each block's best competes
+    salts = c.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+    c = c.join(salts, "cluster_id").withColumn("salt", F.expr("pmod(xxhash64(id), salts)")).select("cluster_id", "salt", F.col("id").alias("target"), F.col("v").alias("y"))
+    h = h.join(salts, "cluster_id").select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("source"), F.col("v").alias("x"))
+    kind = posts.schema["id"].dataType.simpleString()
+
+    def nearest(key, left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"source": [], "target": [], "cos": []})
+        right = right.sort_values("target")
+        cos = np.stack(left.x.to_numpy()) @ np.stack(right.y.to_numpy()).T
+        at = cos.argmax(1)
+        return pd.DataFrame({"source": left.source.to_numpy(), "target": right.target.to_numpy()[at], "cos": cos[np.arange(len(at)), at]})
+
+    found = h.groupBy("cluster_id", "salt").cogroup(c.groupBy("cluster_id", "salt")).applyInPandas(nearest, f"source {kind}, target {kind}, cos double")
+    best = found.groupBy("source").agg(F.max("cos").alias("top")).join(found, "source").where("cos = top").groupBy("source").agg(F.min("target").alias("target"), F.max("cos").alias("cos"))
+    return best.where(F.col("cos") >= least).select("source", "target", F.lit(float(force)).alias("force"), "cos")
 
 
 def match(edges, quotas):
@@ -49,3 +141,181 @@ def match(edges, quotas):
 def tier_quotas(posts):
     t = tier(F.col("engagement"))
     return posts.select("id", F.element_at(F.array(*map(F.lit, OUT)), t).alias("cap_out"), F.element_at(F.array(*map(F.lit, IN)), t).alias("cap_in"))
+
+
+def one_to_one(edges):
+    """Greedy matching by (force desc, source, target) in which no post has two edges, whichever end: rounds of edges that are the best at both their ends."""
+    left, taken = materialise(edges.where("source <> target"), "edges"), None
+    while not left.isEmpty():
+        key = F.struct((-F.col("force")).alias("f"), "source", "target")
+        ends = left.select(F.col("source").alias("id"), key.alias("key")).union(left.select("target", key))
+        best = materialise(ends.groupBy("id").agg(F.min("key").alias("best")), "best")
+        e = left.withColumn("key", key).join(best.toDF("source", "bs"), "source").join(best.toDF("target", "bt"), "target")
+        won = materialise(e.where("key = bs and key = bt").select("source", "target", "force"), "won")
+        taken = won if taken is None else taken.unionByName(won)
+        gone = won.select(F.col("source").alias("id")).union(won.select("target"))
+        left = left.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
+        left = materialise(left, "left")
+    return taken if taken is not None else edges.limit(0).select("source", "target", "force")
+
+
+def second_pass(candidates, posts, first, cap_out, cap_in):
+    """(candidates, quotas) of the second matching: posts that the first one touched drop out, but for those of the top tier, which may still be targets."""
+    touched = first.select(F.col("source").alias("id")).union(first.select("target")).distinct()
+    top = posts.where(tier(F.col("engagement")) == 6).select("id")
+    barred = touched.join(top, "id", "left_anti")
+    kept = candidates.join(barred.toDF("source"), "source", "left_anti").join(barred.toDF("target"), "target", "left_anti")
+    kept = kept.join(touched.join(top, "id", "left_semi").toDF("source"), "source", "left_anti")
+    return kept, posts.select("id", F.lit(cap_out).alias("cap_out"), F.lit(cap_in).alias("cap_in"))
+
+
+#: Edge types in order of priority when components are joined, least first to be cut, and their weights in the layout.
+PRIORITY = {"influence": 0, "follow": 1, "bridge": 2}
+
+
+def priority(c):
+    return F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), c)
+
+
+def prune_bridges(edges, components):
+    """(kept, dropped with a reason) of typed edges between components: those within one go, and of the rest a spanning forest stays, by (type priority, force desc, source, target).
+
+    Borůvka rounds: each component takes its best edge out, which is the sequential result as the order is strict. components: node, component; an unknown end counts as its own component.
+    """
+    comp = components.select("node", "component")
+    e = edges.join(comp.toDF("source", "cs"), "source", "left").join(comp.toDF("target", "ct"), "target", "left").select("source", "target", "type", "force", F.coalesce("cs", "source").alias("a"), F.coalesce("ct", "target").alias("b"))
+    inside = e.where("a = b").withColumn("reason", F.lit("inside"))
+    left, kept = materialise(e.where("a <> b"), "between"), None
+    every = left
+    while not left.isEmpty():
+        key = F.struct(priority(F.col("type")).alias("p"), (-F.col("force")).alias("f"), "source", "target", "type")
+        keyed = left.withColumn("key", key)
+        best = keyed.select(F.col("a").alias("c"), "key").union(keyed.select("b", "key")).groupBy("c").agg(F.min("key").alias("key")).select("key").distinct()
+        won = materialise(keyed.join(best, "key", "left_semi").drop("key"), "won")
+        kept = won if kept is None else kept.unionByName(won)
+        c = connected_components(won, "a", "b")
+        left = left.join(c.toDF("a", "na"), "a", "left").join(c.toDF("b", "nb"), "b", "left").select("source", "target", "type", "force", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).where("a <> b")
+        left = materialise(left, "left")
+    cols = ["source", "target", "type", "force"]
+    if kept is None:
+        kept = every
+    dropped = every.join(kept.select("source", "target", "type"), ["source", "target", "type"], "left_anti").withColumn("reason", F.lit("redundant"))
+    return kept.select(*cols), inside.select(*cols, "reason").unionByName(dropped.select(*cols, "reason"))
+
+
+def cut_edges(nodes, links):
+    """{link index: size of one side} of the links (pairs of positions) whose loss parts their component, by one depth-first walk."""
+    around = [[] for _ in nodes]
+    for k, (a, b) in enumerate(links):
+        around[a].append((b, k))
+        around[b].append((a, k))
+    order, low, size, cut = {}, {}, {}, {}
+    for root in range(len(nodes)):
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        size[root], stack = 1, [(root, None, iter(around[root]))]
+        while stack:
+            v, via, rest = stack[-1]
+            for w, k in rest:
+                if k == via:
+                    continue
+                if w in order:
+                    low[v] = min(low[v], order[w])
+                else:
+                    order[w] = low[w] = len(order)
+                    size[w] = 1
+                    stack.append((w, k, iter(around[w])))
+                    break
+            else:
+                stack.pop()
+                if stack:
+                    u = stack[-1][0]
+                    low[u], size[u] = min(low[u], low[v]), size[u] + size[v]
+                    if low[v] > order[u]:
+                        cut[via] = size[v]
+    return cut
+
+
+def split_component(nodes, edges, cap):
+    """Indices of the edges cut so that pieces hold at most `cap` nodes, as far as cut edges allow. edges: (source, target, type priority, force), undirected.
+
+    One edge at a time, the most disposable type and then the weakest force first: the first that leaves both sides within the cap, else the one that halves the piece best.
+    """
+    gone, todo = [], [(list(nodes), list(range(len(edges))))]
+    while todo:
+        part, mine = todo.pop()
+        if len(part) <= cap:
+            continue
+        at = {v: i for i, v in enumerate(part)}
+        links = [(at[edges[k][0]], at[edges[k][1]]) for k in mine]
+        found = cut_edges(part, links)
+        if not found:
+            continue
+        ranked = sorted(found, key=lambda i: (-edges[mine[i]][2], edges[mine[i]][3], edges[mine[i]][:2]))
+        fits = [i for i in ranked if found[i] <= cap and len(part) - found[i] <= cap]
+        pick = fits[0] if fits else min(ranked, key=lambda i: abs(len(part) - 2 * found[i]))
+        gone.append(mine[pick])
+        keep = [k for i, k in enumerate(mine) if i != pick]
+        side, stack, around = {part[links[pick][0]]}, [part[links[pick][0]]], {}
+        for k in keep:
+            around.setdefault(edges[k][0], []).append(edges[k][1])
+            around.setdefault(edges[k][1], []).append(edges[k][0])
+        while stack:
+            for w in around.get(stack.pop(), []):
+                if w not in side:
+                    side.add(w)
+                    stack.append(w)
+        todo.append(([v for v in part if v in side], [k for k in keep if edges[k][0] in side]))
+        todo.append(([v for v in part if v not in side], [k for k in keep if edges[k][0] not in side]))
+    return sorted(gone)
+
+
+def split_oversized(edges, cap):
+    """Typed edges without those cut to bring components within `cap` nodes. Smaller components pass through untouched; only larger ones reach a task, one each."""
+    comp = connected_components(edges, "source", "target")
+    big = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("component")
+    at = edges.join(comp.select(F.col("node").alias("source"), "component"), "source").join(big, "component")
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def cut(pdf):
+        pdf = pdf.sort_values(["source", "target", "type"]).reset_index(drop=True)
+        rows = list(zip(pdf.source, pdf.target, pdf.type.map(PRIORITY).fillna(-1), pdf.force))
+        return pdf.loc[split_component(sorted({*pdf.source, *pdf.target}), rows, cap), ["source", "target", "type"]]
+
+    gone = at.select("component", "source", "target", "type", "force").groupBy("component").applyInPandas(cut, f"source {kind}, target {kind}, type string")
+    return edges.join(gone, ["source", "target", "type"], "left_anti")
+
+
+def build(posts, nova, spokes, least=0.9, tau=6.0, hours=48.0, percent=0.0, caps=(2, 2), graft_least=0.9, cap=None):
+    """All edges of a corpus (source, target, type, force): grafts, the two matchings, pruned bridges, and the chains' and pools' own edges; components over `cap` split.
+
+    posts: id, embedding, cluster_id, timestamp, engagement. nova and spokes: source, target, force.
+    """
+    cols = ["source", "target", "type", "force"]
+    typed = lambda e, t: e.withColumn("type", F.lit(t)).select(*cols)
+    posts = materialise(posts, "posts")
+    threshold = adaptive_threshold(posts, percent) if percent else None
+    timed = posts.where("timestamp is not null").limit(1).count() > 0
+    ends = nova.select(F.col("source").alias("id")).union(nova.select("target")).distinct()
+    grafts = graft(posts, spokes.select(F.col("source").alias("id")).distinct(), ends, graft_least)
+    influence = materialise(follow(posts, least, tau, hours, True, threshold) if timed else by_engagement(posts, least, threshold), "influence")
+    first = materialise(match(influence, tier_quotas(posts)), "first")
+    later = follow(posts, least, tau, hours, False, threshold) if timed else influence
+    kept, quotas = second_pass(later, posts, first, *caps)
+    second = materialise(match(kept, quotas), "second")
+    between = one_to_one(bridges(posts, least))
+    skeleton = typed(nova, "nova").unionByName(typed(spokes, "adept_spoke")).unionByName(typed(grafts, "adept_graft"))
+    skeleton = materialise(skeleton, "skeleton")
+    loose = typed(first, "influence").unionByName(typed(second, "follow")).unionByName(typed(between, "bridge"))
+    joined, _ = prune_bridges(loose, connected_components(skeleton, "source", "target"))
+    out = skeleton.unionByName(joined)
+    return split_oversized(materialise(out, "edges"), cap) if cap else out
+
+
+def incremental(new, existing, make):
+    """Edges that touch a new post: `make` over both tables (columns that one lacks are null), then those with a new end."""
+    both = new.unionByName(existing, allowMissingColumns=True)
+    e = make(both)
+    ids = new.select("id").distinct()
+    return e.join(ids.toDF("source"), "source", "left_semi").unionByName(e.join(ids.toDF("source"), "source", "left_anti").join(ids.toDF("target"), "target", "left_semi").select(*e.columns))
