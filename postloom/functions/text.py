@@ -18,16 +18,143 @@ def content_id(c):
 
 
 def truncate_words(c, n):
-    """At most n characters, cut at the last space inside them, with an ellipsis."""
+    """At most n characters, cut at the last space inside them unless that is the first character, without white space at the end, and an ellipsis."""
     head = F.substring(c, 1, n)
-    last = F.length(head) - F.locate(" ", F.reverse(head))
-    cut = F.when(F.instr(head, " ") > 1, head.substr(F.lit(1), last)).otherwise(head)
-    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+    at = F.when(F.locate(" ", F.reverse(head)) > 0, F.length(head) - F.locate(" ", F.reverse(head))).otherwise(F.lit(0))
+    cut = F.when(at > 0, head.substr(F.lit(1), at)).otherwise(head)
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.regexp_replace(cut, r"\s+$", ""), F.lit("…")))
+
+
+def truncate_hard(c, n):
+    """At most n characters, the last of them an ellipsis if any was cut."""
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n - 1), F.lit("…")))
+
+
+def snippet(c, n=160):
+    """One table cell: no pipes or line breaks, at most n characters."""
+    return F.substring(F.regexp_replace(c, r"[|\r\n]", " "), 1, n)
+
+
+def defuse(c, wide=True):
+    """Angle brackets as look-alikes that are no markup: full-width ones or guillemets."""
+    return F.translate(c, "<>", "＜＞" if wide else "‹›")
+
+
+def single_line(c):
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def sanitise(c):
+    """Without control characters but line feeds and tabs."""
+    return F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F]", "")
 
 
 def slug(c):
-    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
-    return F.when(s == "", "query").otherwise(F.substring(s, 1, 40))
+    s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 40)
+    return F.when(s == "", "query").otherwise(s)
+
+
+def heading_slug(c):
+    """Lower case, without marks but hyphens, each space a hyphen."""
+    return F.replace(F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}_ -]", ""), F.lit(" "), F.lit("-"))
+
+
+CITED = r"(?i)\[(E[0-9]+)(?:, *id +([\w-]+))?\]"
+
+
+def citations(c):
+    """Array of (handle, id or empty) of each citation [E1] or [E1, id x]."""
+    return F.zip_with(F.regexp_extract_all(c, F.lit(CITED), F.lit(1)), F.regexp_extract_all(c, F.lit(CITED), F.lit(2)), lambda h, i: F.struct(F.upper(h).alias("handle"), i.alias("id")))
+
+
+def label_of(c):
+    """What follows `topic:`, or else the first line, without quotes; null for a refusal, nothing, or over eight words."""
+    line = F.regexp_extract(c, r"(?i)topic\s*:\s*([^\n]+)", 1)
+    line = F.trim(F.regexp_replace(F.when(line == "", F.regexp_extract(c, r"([^\n]*)", 1)).otherwise(line), "[\"'`*“”]", ""))
+    bad = (line == "") | (F.size(F.split(line, r"\s+")) > 8) | line.rlike("(?i)^(i am sorry|i'm sorry|sorry|i cannot|i can't|as an ai)")
+    return F.when(~bad, line)
+
+
+def outer_json(c):
+    """The outermost {...} of a text, code fences or not; null if there is none."""
+    s = F.regexp_extract(F.regexp_replace(c, r"```[a-zA-Z]*", ""), r"(?s)\{.*\}", 0)
+    return F.when(s != "", s)
+
+
+def sub_questions(answer, question):
+    """The array `sub_queries` of an answer's JSON; the question alone if it can't be read or is empty."""
+    got = F.from_json(outer_json(answer), "sub_queries array<string>")["sub_queries"]
+    got = F.filter(F.transform(got, F.trim), lambda q: q.isNotNull() & (q != ""))
+    return F.when(F.size(got) > 0, got).otherwise(F.array(question))
+
+
+def cache_key(model, c):
+    """Key of a text's embedding by a model."""
+    return F.substring(F.sha2(F.concat(F.lit(f"{model}:"), c), 256), 1, 16)
+
+
+def instruct(prompt, c):
+    return F.concat(F.lit(f"Instruct: {prompt}\nQuery:"), c)
+
+
+def parse_time(c):
+    """A timestamp from a number of seconds or from text in ISO form, with or without offset, or as day and time apart; null if none fits. The session's time zone should be UTC."""
+    s = c.cast("string")
+    seconds = s.try_cast("double")
+    tries = [F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "MM/dd/yyyy", "EEE, dd MMM yyyy HH:mm:ss Z")]
+    return F.coalesce(F.when(seconds.isNotNull(), F.timestamp_seconds(seconds)), s.try_cast("timestamp"), *tries)
+
+
+def iso(c):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def number(c, default=0.0):
+    """A finite double, or the default."""
+    x = c.try_cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(float(default))).otherwise(x)
+
+
+def cluster_name(c):
+    return F.when(c >= 0, F.format_string("cluster_%04d", c))
+
+
+def norm(v):
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a, b):
+    return dot(a, b) / (norm(a) * norm(b))
+
+
+def scaled(v, least):
+    """A vector over its norm; over `least` if the norm is smaller."""
+    n = F.greatest(norm(v), F.lit(float(least)))
+    return F.transform(v, lambda x: x.cast("double") / n)
+
+
+def truncated(v, dim):
+    """The first dim entries at norm 1."""
+    return scaled(F.slice(v, 1, dim), 1e-10)
+
+
+def unit(v):
+    """At norm 1; a zero vector stays."""
+    n = norm(v)
+    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+
+
+def node_size(engagement, largest, mult=1.0, scale=1.0):
+    return 2.5 * (0.6 + 0.4 * F.sqrt(1 + engagement / largest)) * mult * scale
+
+
+def plain(c):
+    """Lower case without accents of Latin letters."""
+    return F.translate(F.lower(c), ACCENTED, BARE)
+
+
+#: Accented Latin letters and what they are without.
+ACCENTED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def dot(a, b):

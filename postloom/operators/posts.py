@@ -5,7 +5,8 @@ from ..functions import text
 
 
 def engagement_rank(df, file="file", value="engagement", constant=10.0):
-    """1 + 9 * percentile rank with average ties within a file; null values stay null. A file whose values are all equal gets `constant`, if given."""
+    """1 + 9 * percentile rank with average ties within a file; null, NaN and non-numeric values get null. A file whose values are all equal gets `constant`, if given."""
+    df = df.withColumn(value, numeric(F.col(value)))
     w = W.partitionBy(file)
     n = F.count(value).over(w)
     r = F.rank().over(w.orderBy(F.col(value).asc_nulls_last())) + (F.count("*").over(W.partitionBy(file, value)) - 1) / 2
@@ -23,9 +24,62 @@ def mean_vectors(df, cluster="cluster_id", vector="embedding"):
     return x.groupBy(cluster).agg(F.count("*").alias("size")).join(means, cluster, "left")
 
 
-def fill_median(df, value="engagement"):
-    mid = df.agg(F.percentile(value, 0.5).alias("_mid"))
-    return df.crossJoin(F.broadcast(mid)).withColumn(value, F.coalesce(value, "_mid", F.lit(5.5))).drop("_mid")
+def numeric(c):
+    """As a double; null where it is none or NaN."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def order_statistic(df, value, rank, few=10_000):
+    """The value of a rank (from 0) among the non-null doubles of a column: counted in ranges, the one that holds the rank refined until it has few values. No task sees a whole column's distinct values."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    lo, hi, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    while lo < hi and n > few:
+        width = (hi - lo) / 1024
+        if lo + width <= lo:
+            break
+        part = x.where(F.col("x").between(lo, hi)).withColumn("b", F.least(F.floor((F.col("x") - lo) / width), F.lit(1023)))
+        for r in sorted(part.groupBy("b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
+            if rank < r.n:
+                lo, hi, n = r.lo, r.hi, r.n
+                break
+            rank -= r.n
+    if lo == hi:
+        return lo
+    return sorted(r.x for r in x.where(F.col("x").between(lo, hi)).collect())[rank]
+
+
+def percentile(df, value, q):
+    """The exact percentile (q from 0 to 1), interpolated between neighbours; None for a column without values."""
+    n = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low = order_statistic(df, value, int(at))
+    if at == int(at):
+        return low
+    return low + (at - int(at)) * (order_statistic(df, value, int(at) + 1) - low)
+
+
+def fill_median(df, value="engagement", default=5.5):
+    """Missing values get the median of the others, or `default` where there are none."""
+    mid = percentile(df, value, 0.5)
+    return df.withColumn(value, F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(None)), F.lit(default if mid is None else mid)))
+
+
+def size_buckets(df, value="engagement", cuts=(0.8, 0.95)):
+    """'mega', 'big' or 'normal' by the column's percentiles."""
+    big, mega = (percentile(df, value, q) for q in cuts)
+    v = F.col(value)
+    return df.withColumn("size", F.when(v >= F.lit(mega), "mega").when(v >= F.lit(big), "big").otherwise("normal"))
+
+
+def ensure_ids(df, order, key="id", content="content"):
+    """Missing or blank ids become the content's hash, which may repeat; a source id that repeats gets a suffix in `order`."""
+    blank = F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == ""
+    df = df.withColumn("_made", blank).withColumn(key, F.when(blank, text.content_id(F.col(content))).otherwise(F.col(key).cast("string")))
+    n = F.row_number().over(W.partitionBy(key, "_made").orderBy(*order)) - 1
+    return df.withColumn(key, F.when(~F.col("_made") & (n > 0), F.concat(key, F.lit("__dup"), n.cast("string"))).otherwise(F.col(key))).drop("_made")
 
 
 def suffix_duplicates(df, key="id", order=("file", "pos")):
@@ -84,6 +138,55 @@ def best_per(df, group, order):
 
 
 def relevance_floor(df, score="score", ratio=0.8, fallback=10, key="id"):
-    top = df.agg(F.greatest(F.max(score), F.lit(0.0)).alias("_top"))
-    w = df.crossJoin(F.broadcast(top)).where(F.col(score) >= ratio * F.col("_top")).drop("_top")
-    return w if fallback is None else w.unionByName(df.orderBy(F.desc(score), key).limit(fallback).join(top.where("_top is null"), F.lit(True), "left_semi"))
+    """Rows of at least ratio * the best score (0 if that is not positive); where none is left, the `fallback` best."""
+    best = df.agg(F.max(score)).first()[0]
+    if best is None:
+        return df.limit(0)
+    floor = ratio * best if best > 0 else 0.0
+    if best >= floor or not fallback:
+        return df.where(F.col(score) >= F.lit(floor))
+    return df.orderBy(F.desc(score), key).limit(fallback)
+
+
+def representatives(df, most=15, cluster="cluster_id", key="id", vector="embedding"):
+    """The posts of each cluster nearest by cosine to its mean vector: all of them where there are no more than `most`."""
+    x = df.where(F.col(cluster).isNotNull())
+    s = x.join(mean_vectors(x, cluster, vector).select(cluster, "mean_vector"), cluster).withColumn("score", F.round(text.cosine(F.col(vector), F.col("mean_vector")), 6))
+    s = s.select(cluster, key, "score").withColumn("place", F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("score"), key)))
+    return s.where(F.col("place") <= most)
+
+
+def keyword_labels(terms, cluster="cluster", top=5):
+    """A cluster's label: its best terms, joined."""
+    best = terms.where((F.col("place") <= top) & (F.col("score") > 0)).groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    return best.select(cluster, F.array_join(F.col("t.term"), " · ").alias("label"))
+
+
+def first_seen(df, group="group_pos", post="post", cluster="cluster", least=2):
+    """Of posts that several groups of a cluster claim, each stays with the first; groups then below `least` go, and what they claimed stays used up."""
+    x = df.withColumn("_r", F.row_number().over(W.partitionBy(cluster, post).orderBy(group, "pos"))).where("_r = 1").drop("_r")
+    return x.join(x.groupBy(cluster, group).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(cluster, group), [cluster, group], "left_semi")
+
+
+def merge_seeds(*frames, key="id", score="score"):
+    """Union of the seeds of several questions, each post once with its best score."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return best_per(out, key, [F.desc(score)])
+
+
+def pool_roles(df, pool="hub", key="id", ts="timestamp"):
+    """hub, pioneer (earliest), latest (if later than the earliest) or member of each post of a pool; undated posts are neither earliest nor latest, and ties go to the smaller id."""
+    dated = F.struct(ts, key)
+    of = df.where(F.col(ts).isNotNull()).groupBy(pool).agg(F.min(dated).alias("lo"), F.max(F.struct(F.col(ts))).alias("hi"), F.min(F.struct(F.col(ts))).alias("first"))
+    last = df.where(F.col(ts).isNotNull()).join(of.select(pool, F.col(f"hi.{ts}").alias("_t")), pool).where(F.col(ts) == F.col("_t")).groupBy(pool).agg(F.min(key).alias("_last"))
+    x = df.join(of, pool, "left").join(last, pool, "left")
+    role = F.when(F.col(key) == F.col(pool), "hub").when(F.col(key) == F.col(f"lo.{key}"), "pioneer").when((F.col(f"hi.{ts}") > F.col(f"first.{ts}")) & (F.col(key) == F.col("_last")), "latest").otherwise("member")
+    return x.select(*df.columns, role.alias("role"))
+
+
+def budgeted(df, budget, size="n", order="rank"):
+    """Groups in order until their sizes add up to `budget`, the one that crosses it included. Groups are few: one a seed."""
+    before = F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return df.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < budget)

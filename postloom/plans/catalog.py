@@ -52,6 +52,13 @@ def content_hash_ids(s, d):
     return table(s, d, "documents").select("doc_id", text.content_id("text").alias("id"))
 
 
+@query("""WITH v AS (SELECT doc_id, source, text, CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN NULL ELSE 'p' || (doc_id // 6) END id FROM documents), w AS (SELECT *, coalesce(trim(id), '') = '' made, CASE WHEN coalesce(trim(id), '') = '' THEN substr(sha1(text), 1, 16) ELSE id END k FROM v)
+SELECT doc_id, k || CASE WHEN NOT made AND n > 1 THEN '__dup' || (n - 1) ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY k, made ORDER BY source, doc_id) n FROM w)""")
+def repaired_ids(s, d):
+    x = table(s, d, "documents").select("doc_id", "source", "text", F.expr("case when doc_id % 3 = 0 then '  ' when doc_id % 3 = 2 then concat('p', doc_id div 6) end").alias("id"))
+    return posts.ensure_ids(x, ("source", "doc_id"), content="text").select("doc_id", "id")
+
+
 @query("SELECT doc_id, h || CASE WHEN n = 1 THEN '' ELSE '__dup' || (n - 1) END AS unique_id FROM (SELECT doc_id, substr(sha1(text), 1, 16) h, row_number() OVER (PARTITION BY sha1(text) ORDER BY source, doc_id) n FROM documents)")
 def dup_suffix(s, d):
     x = table(s, d, "documents").select("doc_id", text.content_id("text").alias("id"), "source")
@@ -146,7 +153,13 @@ def seed_dedupe_by_component(s, d):
 
 @query(f"WITH {SCORED} SELECT * FROM v WHERE score >= 0.8 * greatest((SELECT max(score) FROM v WHERE id <> 0), 0) AND id <> 0")
 def relevance_floor(s, d):
-    return posts.relevance_floor(scored(s, d).where("id <> 0"), fallback=None)
+    return posts.relevance_floor(scored(s, d).where("id <> 0"))
+
+
+@query(f"WITH {SCORED} SELECT id, label, -abs(score) - 1 AS score FROM v ORDER BY score DESC, id LIMIT 10")
+def relevance_floor_fallback(s, d):
+    """All scores negative: the ten best stay."""
+    return posts.relevance_floor(scored(s, d).withColumn("score", -F.abs("score") - 1))
 
 
 @query("SELECT label AS cluster_id, count(*) AS size, round(avg(embedding[1]::DOUBLE), 6) AS first_mean FROM embeddings GROUP BY label")
@@ -162,6 +175,4 @@ def cluster_mean_vectors(s, d):
 
 @query("SELECT event_id, CASE WHEN value >= (SELECT quantile_cont(value, 0.95) FROM events) THEN 'mega' WHEN value >= (SELECT quantile_cont(value, 0.8) FROM events) THEN 'big' ELSE 'normal' END AS size FROM events")
 def size_buckets(s, d):
-    e = table(s, d, "events")
-    cut = e.agg(F.percentile("value", F.array(F.lit(0.8), F.lit(0.95))).alias("p"))
-    return e.crossJoin(F.broadcast(cut)).select("event_id", F.expr("case when value >= p[1] then 'mega' when value >= p[0] then 'big' else 'normal' end").alias("size"))
+    return posts.size_buckets(table(s, d, "events"), "value").select("event_id", "size")

@@ -1,0 +1 @@
+"""Readers of posts, and services of embeddings and answers."""
