@@ -84,7 +84,7 @@ def outer_json(c):
 def sub_questions(answer, question):
     """The array `sub_queries` of an answer's JSON; the question alone if it can't be read or is empty."""
     got = F.from_json(outer_json(answer), "sub_queries array<string>")["sub_queries"]
-    got = F.filter(F.transform(got, F.trim), lambda q: q.isNotNull() & (q != ""))
+    got = F.filter(F.transform(got, lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != ""))
     return F.when(F.size(got) > 0, got).otherwise(F.array(question))
 
 
@@ -101,7 +101,7 @@ def parse_time(c):
     """A timestamp from a number of seconds or from text in ISO form, with or without offset, or as day and time apart; null if none fits. The session's time zone should be UTC."""
     s = c.cast("string")
     seconds = s.try_cast("double")
-    tries = [F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "MM/dd/yyyy", "EEE, dd MMM yyyy HH:mm:ss Z")]
+    tries = [F.try_to_timestamp(F.regexp_replace(s, "^[A-Za-z]{3}, ", ""), F.lit(f)) for f in ("yyyy/MM/dd HH:mm", "MM/dd/yyyy", "dd MMM yyyy HH:mm:ss Z")]
     return F.coalesce(F.when(seconds.isNotNull(), F.timestamp_seconds(seconds)), s.try_cast("timestamp"), *tries)
 
 

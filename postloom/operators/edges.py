@@ -95,7 +95,7 @@ def adaptive_threshold(posts, percent):
     """The exact percentile, interpolated, of the positive cosines of all pairs."""
     from .posts import percentile
 
-    return percentile(similar(posts, 0.0).select("cos"), "cos", percent / 100)
+    return percentile(materialise(similar(posts, 0.0).select("cos"), "cosines"), "cos", percent / 100)
 
 
 def graft(posts, hubs, chain_posts, least, force=1.0):
@@ -104,7 +104,7 @@ def graft(posts, hubs, chain_posts, least, force=1.0):
     h, c = p.join(hubs.select("id"), "id", "left_semi"), p.join(chain_posts.select("id"), "id", "left_semi")
     # a cluster's chain posts are split into blocks; each block's best competes
     salts = c.groupBy("cluster_id").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    c = c.join(salts, "cluster_id").withColumn("salt", F.expr("pmod(xxhash64(id), salts)")).select("cluster_id", "salt", F.col("id").alias("target"), F.col("v").alias("y"))
+    c = c.join(salts, "cluster_id").withColumn("salt", F.expr("pmod(xxhash64(id), salts)")).select(F.col("cluster_id").alias("k"), F.col("salt").alias("part"), F.col("id").alias("target"), F.col("v").alias("y"))
     h = h.join(salts, "cluster_id").select("cluster_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("source"), F.col("v").alias("x"))
     kind = posts.schema["id"].dataType.simpleString()
 
@@ -116,7 +116,7 @@ def graft(posts, hubs, chain_posts, least, force=1.0):
         at = cos.argmax(1)
         return pd.DataFrame({"source": left.source.to_numpy(), "target": right.target.to_numpy()[at], "cos": cos[np.arange(len(at)), at]})
 
-    found = h.groupBy("cluster_id", "salt").cogroup(c.groupBy("cluster_id", "salt")).applyInPandas(nearest, f"source {kind}, target {kind}, cos double")
+    found = h.groupBy("cluster_id", "salt").cogroup(c.groupBy("k", "part")).applyInPandas(nearest, f"source {kind}, target {kind}, cos double")
     best = found.groupBy("source").agg(F.max("cos").alias("top")).join(found, "source").where("cos = top").groupBy("source").agg(F.min("target").alias("target"), F.max("cos").alias("cos"))
     return best.where(F.col("cos") >= least).select("source", "target", F.lit(float(force)).alias("force"), "cos")
 

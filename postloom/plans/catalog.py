@@ -113,12 +113,6 @@ def tier_quotas(s, d):
     return edges.tier_quotas(posts_v(s, d))
 
 
-@query()
-def bmatching_pass1(s, d):
-    p = posts_v(s, d)
-    return edges.match(edges.follow(p, 0.3, influence=True), edges.tier_quotas(p))
-
-
 @query("SELECT conv_id, turn, concat(conv_id, '_', lag(turn) OVER w) AS parent, CAST(row_number() OVER w - 1 AS INT) AS depth, CASE WHEN row_number() OVER w = 1 THEN 'pioneer' ELSE 'offspring' END AS role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)".replace("concat(conv_id, '_', lag(turn) OVER w)", "lag(conv_id || '_' || turn) OVER w"))
 def chain_links(s, d):
     c = table(s, d, "conversations").select("conv_id", "turn", F.concat_ws("_", "conv_id", "turn").alias("id"))
@@ -176,3 +170,6 @@ def cluster_mean_vectors(s, d):
 @query("SELECT event_id, CASE WHEN value >= (SELECT quantile_cont(value, 0.95) FROM events) THEN 'mega' WHEN value >= (SELECT quantile_cont(value, 0.8) FROM events) THEN 'big' ELSE 'normal' END AS size FROM events")
 def size_buckets(s, d):
     return posts.size_buckets(table(s, d, "events"), "value").select("event_id", "size")
+
+
+from . import graphs, tables, texts  # noqa: E402, F401  registers their queries
