@@ -27,10 +27,14 @@ def similar(posts, least, hours=None, rising=False, falling=False, differ=False,
     if differ:
         p = p.where("cluster_id is not null")
     p = p.withColumn("k", F.floor(F.col("t") / hours) if hours else F.lit(0).cast("long"))
-    subs = p.groupBy("k").agg(F.ceil(F.count("*") / block).alias("subs"))
-    after = subs.select((F.col("k") - 1).alias("k"), F.col("subs").alias("next"))
-    before = subs.select((F.col("k") + 1).alias("k"), F.col("subs").alias("last"))
-    p = p.join(subs.join(after, "k", "left").join(before, "k", "left"), "k").withColumn("s", F.expr("pmod(xxhash64(id), subs)"))
+    if hours:
+        subs = p.groupBy("k").agg(F.ceil(F.count("*") / block).alias("subs"))
+        after = subs.select((F.col("k") - 1).alias("k"), F.col("subs").alias("next"))
+        before = subs.select((F.col("k") + 1).alias("k"), F.col("subs").alias("last"))
+        p = p.join(subs.join(after, "k", "left").join(before, "k", "left"), "k")
+    else:
+        p = p.withColumn("subs", F.lit(max(1, -(-p.count() // block))).cast("long"))
+    p = p.withColumn("s", F.expr("pmod(xxhash64(id), subs)"))
     # a group is (bucket, block, bucket or the next one, block); a post is on its left, its right or both
     own = F.expr("transform(sequence(0L, subs - 1), x -> named_struct('g', named_struct('k', k, 'a', least(s, x), 'l', k, 'b', greatest(s, x)), 'side', if(s = x, 2, if(s < x, 0, 1))))")
     later = F.expr("transform(sequence(0L, coalesce(next, 0L)), x -> named_struct('g', named_struct('k', k, 'a', s, 'l', k + 1, 'b', x), 'side', 0))")

@@ -115,7 +115,12 @@ def diagonal_mixture(df, k, steps=50, tries=3, tol=1e-3, floor=1e-6, seed=42, ve
     n, mean, cov = moments(x, "v")
     best = None
     for t in range(tries):
-        start = np.stack([r.v for r in x.orderBy(F.xxhash64("v", F.lit(seed + t)), "v").limit(k).collect()])
+        some, rng = np.stack([r.v for r in x.orderBy(F.xxhash64("v", F.lit(seed + t)), "v").limit(50 * k).collect()]), np.random.default_rng(seed + t)
+        start = [some[0]]  # far apart: each next one by its squared distance to those there
+        while len(start) < min(k, len(some)):
+            far = ((some[:, None] - np.array(start)) ** 2).sum(2).min(1)
+            start.append(some[rng.choice(len(some), p=far / far.sum())] if far.sum() > 0 else some[len(start)])
+        start = np.array(start)
         w, mu, var, last = np.full(len(start), 1 / len(start)), start, np.tile(np.maximum(np.diag(cov), floor), (len(start), 1)), -np.inf
         for _ in range(steps):
             sent = df.sparkSession.sparkContext.broadcast((w, mu, var))

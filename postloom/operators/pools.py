@@ -44,9 +44,9 @@ def density(posts, dc=2.0, membership=50.0, gamma=80.0, rows=512):
                 denser = np.flatnonzero(rank < rank[lo + i])
                 if len(denser):
                     parent[lo + i] = denser[np.lexsort((denser, np.round(d[i, denser], 9)))[0]]
-                    delta[lo + i] = d[i, parent[lo + i]]
+                    delta[lo + i] = np.linalg.norm(x[lo + i] - x[parent[lo + i]])  # without the product's rounding
                 else:
-                    delta[lo + i] = d[i].max()
+                    delta[lo + i] = np.sqrt(((x - x[lo + i]) ** 2).sum(1)).max()
         g = rho * delta
         return pd.DataFrame({"cluster_id": pdf.cluster_id, "id": pdf.id, "rho": rho, "delta": delta, "parent": [pdf.id[p] if p >= 0 else None for p in parent], "gamma": g, "hub": (g >= np.percentile(g, gamma)) & (rho > 0), "near": (delta <= np.percentile(delta, membership)) & (parent >= 0)})
 

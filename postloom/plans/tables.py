@@ -8,10 +8,10 @@ from ..session import table
 from .registry import POSTS, docs_v, posts_v, query
 
 
-@query("SELECT doc_id AS id, len(embedding) AS dim, label FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
+@query("SELECT doc_id AS id, coalesce(len(embedding), -1) AS dim, coalesce(label, -1) AS label FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
 def posts_with_embeddings(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return docs_v(s, d).select("id").join(e, "id", "left").select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dim"), "label")
+    return docs_v(s, d).select("id").join(e, "id", "left").select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).otherwise(-1).cast("long").alias("dim"), F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 @query("SELECT doc_id AS id, source AS file, coalesce(quality, -1) AS cluster_label, coalesce(toxic, -1) AS cluster_topic FROM documents LEFT JOIN labels USING (doc_id)")
