@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..session import materialise, release
 from .arrow import U, by_bytes, mix, words_of_rows
 
+#: Commonest words whose counts every worker holds; those of the others are joined.
+TOP = 1 << 17
 V, ENDINGS, D, OFFSETS = 128, 32, 16, (-2, -1, 1, 2)  # classes, of which so many by ending; width; places seen
 SHAPE = len(OFFSETS) * V * D + D * V + V
 
@@ -17,13 +19,14 @@ def split(p):
 
 
 CUT = "chunk long, ids array<long>, lens array<long>, x binary, w array<long>, h array<int>, n array<long>"
+CODED = "key long, ids array<long>, lens array<long>, x binary, within array<double>, rest_doc array<long>, rest_w array<long>"
 
 
 def cut(batches, most=2**18):
-    """A row for each chunk of whole documents, of about `most` words: ids, lengths, words as places in the chunk's list of words, and that list with each word's ending class and count."""
+    """A row for each chunk of whole documents, of about `most` words and as many documents at most: ids, lengths, words as places in the chunk's list of words, and that list with each word's ending class and count."""
     from pyspark import TaskContext
 
-    chunk, held = TaskContext.get().partitionId() << 33, []
+    chunk, held = TaskContext.get().partitionId() << 16, []
 
     def emit():
         words = np.concatenate([x[2] for x in held])
@@ -43,15 +46,37 @@ def cut(batches, most=2**18):
         yield emit()
 
 
-CODED = pa.schema([("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("x", pa.binary()), ("within", pa.list_(pa.float64()))])
+def code(top, rest):
+    """Chunks with words as classes, and each document's sum of log P(word | class) but for the counts of words that are not among the commonest, which are listed with their document's key."""
+    top_w, top_class, top_log = top
+    least = np.log(np.maximum(rest, 1))
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                chunk, ids, lens, x, w, h = (b.column(i)[r] for i in range(6))
+                w, h, lens = w.values.to_numpy(), h.values.to_numpy(), lens.values.to_numpy()
+                at = np.frombuffer(x.as_buffer(), np.int32)
+                place = np.minimum(np.searchsorted(top_w, w), len(top_w) - 1) if len(top_w) else np.zeros(len(w), np.int64)
+                known = top_w[place] == w if len(top_w) else np.zeros(len(w), bool)
+                classes = np.where(known, top_class[place] if len(top_w) else 0, h + (V - ENDINGS)).astype(np.uint8)
+                log_p = np.where(known, top_log[place] if len(top_w) else 0, -least[h])
+                doc = np.repeat(np.arange(len(lens)), lens)
+                within = np.bincount(doc, log_p[at], len(lens))
+                key = chunk.as_py() << 20
+                more = ~known[at]
+                cols = [pa.array([key]), pa.array([ids.values], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([classes[at].tobytes()], pa.binary()), pa.array([within], pa.list_(pa.float64())), pa.array([key + doc[more]], pa.list_(pa.int64())), pa.array([w[at[more]]], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in CODED.split(", ")])
+
+    return run
 
 
 def documents(batch):
-    """(ids, lengths, arrays of classes, sums within classes) of each chunk in a batch."""
+    """(key of the first, ids, lengths, arrays of classes, sums within classes) of each chunk in a batch."""
     for r in range(batch.num_rows):
-        ids, lens, x, within = (c[r] for c in batch.columns)
+        key, ids, lens, x, within = (c[r] for c in batch.columns[:5])
         n = lens.values.to_numpy()
-        yield ids.values, n, np.split(np.frombuffer(x.as_py(), np.uint8).astype(np.int64), np.cumsum(n)[:-1]), within.values.to_numpy()
+        yield key.as_py(), ids.values, n, np.split(np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64), np.cumsum(n)[:-1]), within.values.to_numpy()
 
 
 MOST = 1024
@@ -112,27 +137,18 @@ def score(docs, rate=2.0, id_col="doc_id", text_col="text", seed=1):
     words = cuts.select("chunk", F.posexplode(F.arrays_zip("w", "h", "n")).alias("j", "a")).select("chunk", "j", "a.w", "a.h", "a.n")
     size = {r.h: r.n for r in words.groupBy("h").agg(F.sum("n").alias("n")).collect()}
     totals = materialise(words.groupBy("w").agg(F.min("h").alias("h"), F.sum("n").alias("total")).where("total > 1"), "words")  # a word that is not there occurs once
-    top = totals.orderBy(F.desc("total"), "w").limit(V - ENDINGS - 1).collect()
-    rest = [size.get(h, 0) - sum(r.total for r in top if r.h == h) for h in range(ENDINGS)]
-    own = spark.createDataFrame([(r.w, i + 1) for i, r in enumerate(top)], "w long, id int")
-    log_p = F.when(F.col("id").isNull(), F.log(F.col("total") / F.element_at(F.array(*map(F.lit, rest)), F.col("h") + 1))).otherwise(0.0)
-    known = totals.join(F.broadcast(own), "w", "left").select("w", F.coalesce("id", F.col("h") + (V - ENDINGS)).alias("c"), log_p.alias("log_p"))
-    named = words.select((F.col("chunk") + 0).alias("part"), "j", "w").join(known, "w").select("part", "j", "c", "log_p")
-    chunks = cuts.select("chunk", "ids", "lens", "x", "h")
-    single = -np.log(np.maximum(rest, 1))
-
-    def code(docs, words):
-        """A chunk's words as classes, and each document's sum of log P(word | class)."""
-        h = docs["h"].combine_chunks().values.to_numpy()
-        classes, log_p, j = (h + (V - ENDINGS)).astype(np.uint8), single[h], words["j"].to_numpy()
-        classes[j], log_p[j] = words["c"].to_numpy(), words["log_p"].to_numpy()
-        at, lens = np.frombuffer(docs["x"][0].as_py(), np.int32), np.array(docs["lens"][0].as_py(), np.int64)
-        within = np.bincount(np.repeat(np.arange(len(lens)), lens), log_p[at], len(lens))
-        return pa.Table.from_arrays([docs["ids"], docs["lens"], pa.array([classes[at].tobytes()], pa.binary()), pa.array([within], pa.list_(pa.float64()))], schema=CODED)
-
-    coded = chunks.groupBy("chunk").cogroup(named.groupBy("part")).applyInArrow(code, "ids array<long>, lens array<long>, x binary, within array<double>")
-    coded = materialise(coded, "coded")
+    top = totals.orderBy(F.desc("total"), "w").limit(TOP).toPandas()
+    own = np.arange(len(top)) < V - ENDINGS - 1
+    rest = np.array([size.get(h, 0) for h in range(ENDINGS)], float) - np.bincount(top.h[own], top.total[own], ENDINGS)
+    classes = np.where(own, np.arange(len(top)) + 1, top.h + (V - ENDINGS))
+    log_p = np.where(own, 0.0, np.log(top.total / np.maximum(rest, 1)[top.h]))
+    order = np.argsort(top.w.to_numpy())
+    run = code((top.w.to_numpy()[order], classes[order], log_p[order]), rest)
+    coded = materialise(cuts.select("chunk", "ids", "lens", "x", "w", "h").mapInArrow(run, CODED), "coded")
+    counts = coded.select(F.explode(F.arrays_zip("rest_doc", "rest_w")).alias("a")).select(F.col("a.rest_doc").alias("key"), F.col("a.rest_w").alias("w"))
+    more = materialise(counts.join(totals.select("w", F.log("total").alias("log_total")), "w").groupBy("key").agg(F.sum("log_total").alias("more")), "more")
     release(spark)
+    coded = coded.select("key", "ids", "lens", "x", "within")
     begin = np.random.default_rng(seed).normal(0, 0.1, SHAPE).astype(np.float32)
 
     def train(batches):
@@ -141,7 +157,7 @@ def score(docs, rate=2.0, id_col="doc_id", text_col="text", seed=1):
         flat, n = begin.copy(), 0
         p = split(flat)
         for b in batches:
-            for _, _, texts, _ in documents(b):
+            for _, _, _, texts, _ in documents(b):
                 for ids in texts:
                     for at in range(0, len(ids), MOST):
                         step(ids[at : at + MOST], p, rate)
@@ -162,9 +178,10 @@ def score(docs, rate=2.0, id_col="doc_id", text_col="text", seed=1):
     def judge(batches):
         p = split(net.value)
         for b in batches:
-            for ids, n, texts, within in documents(b):
+            for key, ids, n, texts, within in documents(b):
                 sums = within + np.array([log_likelihood(t, p) for t in texts])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(n))), ids, pa.array(n, pa.int64()), pa.array(sums, pa.float64())], names=["key", "doc_id", "n_words", "log_likelihood"])
 
-    got = coded.mapInArrow(judge, "doc_id long, n_words long, log_likelihood double")
+    got = coded.mapInArrow(judge, "key long, doc_id long, n_words long, log_likelihood double").join(more, "key", "left")
+    got = got.select("doc_id", "n_words", (F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
     return got.withColumn("mean_log_likelihood", F.expr("log_likelihood / nullif(n_words, 0)"))

@@ -46,7 +46,7 @@ def build(batches):
         order = np.argsort(h, kind="stable")
         t, first = np.unique(h[order], return_index=True)
         ln = np.array([g[2] for g in got], np.int64)
-        parts = [np.array(ids, np.int64), ln, t, np.append(first, len(h)).astype(np.int64), doc[order], tf[order]]
+        parts = [np.array(ids, np.int64), ln, t, np.append(first, len(h)).astype(np.int64), doc[order], tf[order].astype(np.uint16) if tf.max(initial=0) < 1 << 16 else tf[order]]
         return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(ln.sum())]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=[x.split()[0] for x in RAW.split(", ")])
 
     for b in by_bytes(batches, 1):
@@ -72,22 +72,36 @@ def read(row, *kinds):
     return [np.frombuffer(row[name], kind) for name, kind in kinds]
 
 
-POSTINGS = (("ids", np.int64), ("len", np.int64), ("terms", np.uint64), ("starts", np.int64), ("doc", np.int32), ("impact", np.float32), ("common", np.int32), ("maxima", np.float32))
-INDEX = "ids binary, len binary, terms binary, starts binary, doc binary, impact binary, tf binary, common binary, maxima binary"
+POSTINGS = (("ids", np.int64), ("len", np.int64), ("terms", np.uint64), ("starts", np.int64), ("doc", np.int32), ("common", np.int32), ("maxima", np.float32))
+INDEX = "ids binary, len binary, terms binary, starts binary, doc binary, tf binary, common binary, maxima binary"
+
+
+def counts(buffer, n):
+    """The n counts of a buffer of 16-bit numbers, or of 32-bit ones where some don't fit."""
+    return np.frombuffer(buffer, np.uint16 if len(memoryview(buffer)) == 2 * n else np.int32)
+
+
+def impact_of(tf, ln, doc, mean):
+    norm = (K1 * (1 - B + B * ln / mean)).astype(np.float32)[doc]
+    tf = tf.astype(np.float32)
+    norm += tf
+    tf *= np.float32(K1 + 1)
+    tf /= norm
+    return tf
 
 
 def impacts(mean):
-    """Adds each posting's impact, the shard's commonest terms (as places) and, for these, the maximum of every block of documents."""
+    """Adds the shard's commonest terms (as places) and, for these, the maximum of every block of documents."""
 
     def run(batches):
         for r in index_rows(batches):
-            ln, starts, doc, tf = read(r, ("len", np.int64), ("starts", np.int64), ("doc", np.int32), ("tf", np.int32))
-            impact = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * ln[doc] / mean))).astype(np.float32)
+            ln, starts, doc = read(r, ("len", np.int64), ("starts", np.int64), ("doc", np.int32))
+            impact = impact_of(counts(r["tf"], len(doc)), ln, doc, mean)
             most = max(1, ROOM // (4 * len(ln)))
             df = np.diff(starts)
             common = np.sort(np.argsort(-df, kind="stable")[:most]).astype(np.int32)
             maxima = matrix(common, starts, doc, impact, len(ln)).reshape(len(common), -(-len(ln) // BLOCK), BLOCK).max(2)
-            yield pa.RecordBatch.from_arrays([pa.array([x.to_pybytes() if isinstance(x, pa.Buffer) else x.tobytes()], pa.binary()) for x in (r["ids"], r["len"], r["terms"], r["starts"], r["doc"], impact, r["tf"], common, maxima)], names=[x.split()[0] for x in INDEX.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([x.to_pybytes() if isinstance(x, pa.Buffer) else x.tobytes()], pa.binary()) for x in (r["ids"], r["len"], r["terms"], r["starts"], r["doc"], r["tf"], common, maxima)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     return run
 
@@ -103,9 +117,10 @@ def matrix(common, starts, doc, impact, docs):
 class Shard:
     """A shard's index, ready for queries."""
 
-    def __init__(self, row):
-        self.ids, self.len, self.terms, self.starts, self.doc, self.impact, common, maxima = read(row, *POSTINGS)
-        self.tf = np.frombuffer(row["tf"], np.int32)
+    def __init__(self, row, mean):
+        self.ids, self.len, self.terms, self.starts, self.doc, common, maxima = read(row, *POSTINGS)
+        self.tf = counts(row["tf"], len(self.doc))
+        self.impact = impact_of(self.tf, self.len, self.doc, mean)
         self.docs, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK)
         self.matrix = matrix(common, self.starts, self.doc, self.impact, self.docs).reshape(len(common), self.blocks, BLOCK)
         self.maxima = maxima.reshape(len(common), self.blocks)
@@ -151,7 +166,7 @@ class Shard:
         c = self.candidates(lists, weights, k, least)
         keys = lists[:, None] * np.int64(self.docs) + c
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        tf = np.where(self.keys[at] == keys, self.tf[at], 0)
+        tf = np.where(self.keys[at] == keys, self.tf[at], 0).astype(float)
         exact = (weights[:, None] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.len[c] / mean)))).sum(0)
         best = np.lexsort((self.ids[c], -exact))[:k]
         return self.ids[c][best], exact[best]
@@ -211,7 +226,7 @@ def topk(docs, k=10, every=100, id_col="doc_id", text_col="text"):
         def score(batches):
             least = np.zeros(len(sent.value))  # k-th best score of each query so far in this task: later shards need not look below it
             for r in index_rows(batches):
-                s = Shard(r)
+                s = Shard(r, mean)
                 if not len(s.terms):
                     continue
                 at = np.minimum(np.searchsorted(s.terms, words.value), len(s.terms) - 1)

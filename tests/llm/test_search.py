@@ -53,7 +53,7 @@ def shard_of(texts, mean=None):
 
     raw = next(search.build([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]))
     mean = raw.to_pylist()[0]["total"] / len(texts)
-    return search.Shard(next(search.index_rows(search.impacts(mean)([raw])))), mean
+    return search.Shard(next(search.index_rows(search.impacts(mean)([raw]))), mean), mean
 
 
 def test_blocks_that_cannot_matter_are_not_read():
