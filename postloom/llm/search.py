@@ -132,8 +132,9 @@ class Shard:
     def candidates(self, lists, weights, k, least=0.0):
         """Places of the documents that may be among the k best and reach `least`. lists: places of the query's terms; weights: their idf."""
         row = self.row[lists]
-        rare, of, w = lists[row < 0], weights[row < 0], weights[row >= 0].astype(np.float32)
-        row = row[row >= 0]
+        is_rare = row < 0
+        rare, of, w = lists[is_rare], weights[is_rare], weights[~is_rare].astype(np.float32)
+        row = row[~is_rare]
         first, n = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
         at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         score = np.bincount(self.doc[at], np.repeat(of, n) * self.impact[at], self.blocks * BLOCK).astype(np.float32)
@@ -163,7 +164,7 @@ class Shard:
 
     def top(self, lists, weights, k, mean, least=0.0):
         """(ids, exact scores) of the k best, ties to the smaller id. Terms are added in the order given, so that equal documents score the same in every shard."""
-        c = self.candidates(lists, weights, k, least)
+        c = np.sort(self.candidates(lists, weights, k, least))  # then the keys ascend too, which the search profits from
         keys = lists[:, None] * np.int64(self.docs) + c
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         tf = np.where(self.keys[at] == keys, self.tf[at], 0).astype(float)
