@@ -2,7 +2,7 @@
 import public_tokenizers as P
 
 from postloom.llm import jaccard, packing, quality, toxicity
-from postloom.session import materialise, table
+from postloom.session import clear, exists, materialise, table
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -30,8 +30,15 @@ STAGES = [("quality", keep_quality), ("toxicity", keep_clean), ("jaccard", keep_
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir, folder=None):
+    """The last stage's rows. With a folder, each stage's table stays there under its name, and a run that was broken off goes on after the last whole one; working tables go after each stage."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k}-{name}" if folder else None
+        if path and exists(spark, f"{path}/_SUCCESS"):
+            docs = spark.read.parquet(path)
+            continue
+        docs = materialise(stage(spark, docs, sf_dir), name, path)
+        if path:
+            clear(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,14 +15,34 @@ def shared_dir(spark):
     return found
 
 
-def materialise(df, tag):
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Folders of working tables that this process has written.
+_written = []
+
+
+def materialise(df, tag, path=None):
+    """Write df as Parquet in the shared folder, or at a path, and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/postloom-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    if path is None:
+        folder = f"{shared_dir(spark)}/postloom-{uuid.uuid4().hex}"
+        _written.append(folder)
+        path = f"{folder}/{tag}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark, path):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def clear(spark):
+    """Delete the working tables written so far: once the results that read them are stored."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    release(spark)
+
+
 def release(spark):
     """Let Spark delete the shuffle files of plans that nobody holds any more; else they stay until the driver's memory runs short."""
     gc.collect()
