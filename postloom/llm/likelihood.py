@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, release
 from .arrow import U, by_bytes, mix, words_of_rows
+from .quality import kth_largest
 
 #: Commonest words whose counts every worker holds; those of the others are joined.
 TOP = 1 << 17
@@ -137,7 +138,8 @@ def score(docs, rate=2.0, id_col="doc_id", text_col="text", seed=1):
     words = cuts.select("chunk", F.posexplode(F.arrays_zip("w", "h", "n")).alias("j", "a")).select("chunk", "j", "a.w", "a.h", "a.n")
     size = {r.h: r.n for r in words.groupBy("h").agg(F.sum("n").alias("n")).collect()}
     totals = materialise(words.groupBy("w").agg(F.min("h").alias("h"), F.sum("n").alias("total")).where("total > 1"), "words")  # a word that is not there occurs once
-    top = totals.orderBy(F.desc("total"), "w").limit(TOP).toPandas()
+    edge = kth_largest(totals, "total", TOP) if totals.count() > TOP else 1  # not by a sorted limit, of which each task would send TOP rows to the driver
+    top = totals.where(F.col("total") > int(edge)).toPandas().sort_values(["total", "w"], ascending=[False, True], ignore_index=True)
     own = np.arange(len(top)) < V - ENDINGS - 1
     rest = np.array([size.get(h, 0) for h in range(ENDINGS)], float) - np.bincount(top.h[own], top.total[own], ENDINGS)
     classes = np.where(own, np.arange(len(top)) + 1, top.h + (V - ENDINGS))

@@ -45,9 +45,11 @@ def features(text, cache):
 
 
 def sample_labels(labels, column, most=20_000):
-    """doc_id -> 0 or 1 of at most `most` labelled documents, chosen by a hash; the smaller of conflicting labels holds. Null labels are ignored."""
+    """doc_id -> 0 or 1 of about `most` labelled documents, or all if there are fewer, chosen by a hash; the smaller of conflicting labels holds. Null labels are ignored."""
     one = labels.where(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(F.min(column).alias("y"))
-    return {r.doc_id: int(r.y) for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
+    n = one.count()
+    some = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < most) if n > most else one
+    return {r.doc_id: int(r.y) for r in some.collect()}
 
 
 def count_models(texts, good):
@@ -109,7 +111,7 @@ def kth_largest(df, col, k):
 def resample(docs, labels, carry=False, seed=7, most=20_000):
     """doc_id, log_weight, gumbel_key, keep of every row, and with carry the row itself as a struct: keep the k largest log weight + Gumbel keys, compared at 2^-20, ties kept.
 
-    k is the number of documents whose log weight passes the cut learnt on at most `most` labelled rows, so the sample is as large as the text
+    k is the number of documents whose log weight passes the cut learnt on about `most` labelled rows, so the sample is as large as the text
     that resembles the target. Null or empty text weighs 0. Without labels of both kinds every row is kept. Null ids are scored like others, and
     rows of one id share its Gumbel draw. The names of other columns don't matter; an empty table gives no rows.
     """

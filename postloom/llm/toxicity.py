@@ -87,7 +87,7 @@ def train(x, y, ids, folds=3):
 
 
 def learn(docs, labels, most=6000, keep=600):
-    """(feature -> column, chain weights, cut) from at most `most` labelled documents; None without both kinds of label.
+    """(feature -> column, chain weights, cut) from about `most` labelled documents; None without both kinds of label.
 
     Features, counted in a distributed table: at most `keep` that toxic documents hold more often than clean ones do, by over 4 deviations and in 3 documents at least.
     The driver gets those and the chosen ones of each labelled document. Null ids and labels take no part; each row of a repeated id does.

@@ -53,7 +53,7 @@ def search(df, k=10, every=100, sample=8192, depth=0.03, least=40, id_col="vec_i
     """query_id, rank, vec_id, score: the k nearest found, by Euclidean distance in double precision, of the rows whose id divides by `every`, among all other rows of their dimension.
 
     Null, zero and non-finite vectors and null ids take no part. A repeated id is a row of its own, as query and as candidate. Ties go to the smaller id; extra columns don't matter; an empty table gives no rows.
-    For each dimension, codebooks come from a sample of at most `sample` rows, then every row's codes and norm are stored once. Of each Arrow batch the max(least, depth * rows) nearest by tables are
+    For each dimension, codebooks come from a sample of about `sample` rows, chosen by a hash, then every row's codes and norm are stored once. Of each Arrow batch the max(least, depth * rows) nearest by tables are
     reranked on the original vectors. Queries go out in blocks of bounded size, one job a block.
     """
     spark = df.sparkSession
@@ -66,7 +66,8 @@ def search(df, k=10, every=100, sample=8192, depth=0.03, least=40, id_col="vec_i
 
 def of_dimension(x, dim, k, every, sample, depth, least):
     spark = x.sparkSession
-    some = x.select("v", F.xxhash64("vec_id", "key").alias("h")).orderBy("h").limit(sample).toPandas()
+    rows = x.count()
+    some = x.where(F.pmod(F.xxhash64("vec_id", "key"), F.lit(max(rows, sample))) < sample).select("v", F.xxhash64("key").alias("h")).toPandas().sort_values("h") if rows > sample else x.select("v").toPandas()
     books = spark.sparkContext.broadcast(train(np.stack(some.v)))
 
     def store(batches):
