@@ -192,9 +192,9 @@ def few(s, d):
     return table(s, d, "embeddings").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("embedding"), F.expr("timestamp_seconds(vec_id div 3)").alias("timestamp"), (F.col("vec_id") % 10).cast("double").alias("engagement"))
 
 
-@query(f"WITH {DPC} SELECT label AS cluster_id, id, rho, round(coalesce(best[1], far), 6) AS delta, coalesce(best[2], -1) AS parent FROM n")
+@query(f"WITH {DPC} SELECT label AS cluster_id, id, rho, round(coalesce(best[1], far), 5) AS delta, coalesce(best[2], -1) AS parent FROM n")
 def pool_rho_delta(s, d):
-    return D.density(few(s, d), dc=20.0).select("cluster_id", "id", "rho", F.round("delta", 6).alias("delta"), F.coalesce("parent", F.lit(-1)).alias("parent"))
+    return D.density(few(s, d), dc=20.0).select("cluster_id", "id", "rho", F.round("delta", 5).alias("delta"), F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 @query(f"""WITH RECURSIVE {DPC}, g AS (SELECT *, coalesce(best[1], far) delta, rho * coalesce(best[1], far) gamma, best[2] parent FROM n), q AS (SELECT label, quantile_cont(gamma, 0.8) gq, quantile_cont(delta, 0.7) dq FROM g GROUP BY label),
