@@ -3,7 +3,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, jaccard, licences, likelihood, packing, quality, search, toxicity, vectors
+from . import bpe, jaccard, licences, likelihood, packing, quality, search, toxicity, vectors, words
 
 
 def documents(spark, sf_dir):
@@ -54,7 +54,12 @@ def op10_masked_likelihood(spark, sf_dir):
     return likelihood.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_quality, op4_jaccard_join, op5_licence_scan, op6_nearest_neighbours, op7_token_matrices, op8_toxicity, op9_best_fit_packing, op10_masked_likelihood)}
+def op11_word_table(spark, sf_dir, tokenizer=P.path("word_bpe_49k.json")):
+    out = words.decode(words.encode(documents(spark, sf_dir), tokenizer), tokenizer)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_quality, op4_jaccard_join, op5_licence_scan, op6_nearest_neighbours, op7_token_matrices, op8_toxicity, op9_best_fit_packing, op10_masked_likelihood, op11_word_table)}
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
     "op2_topk_search": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) t FROM documents),
