@@ -3,7 +3,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, jaccard, licences, likelihood, packing, quality, search, toxicity, vectors, words
+from . import bpe, changes, jaccard, licences, likelihood, packing, quality, search, toxicity, vectors, words
 
 
 def documents(spark, sf_dir):
@@ -59,7 +59,13 @@ def op11_word_table(spark, sf_dir, tokenizer=P.path("word_bpe_49k.json")):
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_quality, op4_jaccard_join, op5_licence_scan, op6_nearest_neighbours, op7_token_matrices, op8_toxicity, op9_best_fit_packing, op10_masked_likelihood, op11_word_table)}
+def op13_change_applier(spark, sf_dir):
+    out = changes.apply_changes(table(spark, sf_dir, "client_changes"))
+    cents = F.floor(100 * F.col("balance") + 0.5).cast("long").alias("cents")
+    return out.select("change_id", "client_id", "status", "batch", "missed", "city", cents, "current")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_quality, op4_jaccard_join, op5_licence_scan, op6_nearest_neighbours, op7_token_matrices, op8_toxicity, op9_best_fit_packing, op10_masked_likelihood, op11_word_table, op13_change_applier)}
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
     "op2_topk_search": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) t FROM documents),
