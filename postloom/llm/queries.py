@@ -84,7 +84,8 @@ o AS (SELECT r, lang, source, unnest(w) term FROM d), k AS (SELECT lang, term FR
 c AS (SELECT lang, source, term, count(*) n FROM o JOIN k USING (lang, term) GROUP BY ALL), v AS (SELECT lang, count(*) v FROM k GROUP BY 1),
 g AS (SELECT lang, source, coalesce(n, 0) n, coalesce(v, 0) v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) n FROM c GROUP BY ALL) USING (lang, source) LEFT JOIN v USING (lang)),
 p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v) p FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
-l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v)) q FROM c JOIN v USING (lang) GROUP BY ALL),
+t AS (SELECT lang, sum(n) t FROM c GROUP BY lang),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (max(t) + max(v)) q FROM c JOIN v USING (lang) JOIN t USING (lang) GROUP BY lang, term),
 s AS (SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
 u AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) f FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
 UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE n > 0 AND p > q)
