@@ -1,4 +1,6 @@
 """Arrow helpers shared by the operators of this subpackage."""
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +24,19 @@ class Packed(dict):
         return v
 
 
+@contextlib.contextmanager
+def settings(spark, wanted):
+    """Session settings for what is run inside, put back after."""
+    had = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def lists(arrays, dtype):
     """Arrow list array of numpy arrays."""
     ends = np.cumsum([0] + [len(x) for x in arrays]).astype(np.int32)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import materialise
-from .arrow import lists, rows, word_hashes
+from .arrow import rows, settings, word_hashes
 from .packing import WordEncoder
 
-#: Unicode's White_Space, at which this tokenizer always ends a word.
-WHITE = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: ASCII white space, at which the tokenizer always ends a word; other white space is left within a unit, to the library.
+WHITE = r"[\t-\r ]+"
 BLOCKS = "block long, doc_ids array<long>, ends array<long>, places binary, buckets binary, sheets array<struct<bucket: int, words: string>>"
 #: Pieces that may be broadcast; a tokenizer with more is joined by a shuffle.
 BROADCAST = 1_000_000
@@ -30,7 +30,7 @@ def unplanes(data):
     return np.ascontiguousarray(flat.T).view("<u4").ravel()
 
 
-def blocks(df, buckets, words=4_000_000, id_col="doc_id", text_col="text"):
+def blocks(df, buckets, words=2_000_000, id_col="doc_id", text_col="text"):
     """Whole documents in blocks of about `words` words. places: each word's place in the block's list of distinct words; buckets: of each distinct word; sheets: the distinct words of each bucket, with a blank between."""
     names = [x.split(" ")[0].rstrip(":") for x in BLOCKS.split(", ")[:5]] + ["sheets"]
     sheet = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.string())]))
@@ -66,9 +66,9 @@ def blocks(df, buckets, words=4_000_000, id_col="doc_id", text_col="text"):
                 hi = max(lo + 1, int(np.searchsorted(upto, room, "right")))
                 flat = b.column(1).slice(lo, hi - lo).flatten()
                 keep = pc.greater(pc.binary_length(flat), 0)  # white space before the first word or after the last gives an empty one
-                row = np.repeat(np.arange(hi - lo), size[lo:hi])
-                counts += np.bincount(row[keep.to_numpy(zero_copy_only=False)], minlength=hi - lo).tolist()
-                parts.append(flat.filter(keep))
+                held_back = np.append(0, np.cumsum(keep.to_numpy(zero_copy_only=False), dtype=np.int64))
+                counts += np.diff(held_back[np.append(0, np.cumsum(size[lo:hi]))]).tolist()
+                parts.append(flat if pc.all(keep).as_py() else flat.filter(keep))
                 ids += b.column(0).slice(lo, hi - lo).to_pylist()
                 held += len(parts[-1])
                 lo = hi
@@ -151,7 +151,8 @@ def encode(df, tokenizer, id_col="doc_id", text_col="text"):
     """
     spark = df.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(blocks(df, buckets, id_col=id_col, text_col=text_col), "blocks")
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):  # a list of words takes more room than its text
+        found = materialise(blocks(df, buckets, id_col=id_col, text_col=text_col), "blocks")
     sheets = found.select("block", F.explode("sheets").alias("s")).select("block", "s.*")
     sheets = sheets.repartition("bucket").sortWithinPartitions("bucket")
     of = encode_sheets(sheets, tokenizer).groupBy("block").agg(F.collect_list(F.struct("bucket", "lengths", "ids")).alias("encoded"))
@@ -164,47 +165,77 @@ def pieces_of(spark, tokenizer):
     return spark.createDataFrame([(i, t) for t, i in vocab.items()], "id int, piece string"), len(vocab)
 
 
+PACKED = "block long, pos int, id int, doc_ids array<long>, lengths array<int>, ids binary"
+
+
+def packed(df, most=1_000_000):
+    """Rows of (doc_id, ids array<int>) about a million ids at once: a row at pos -1 with their documents and ids, then a row for each distinct id, in the order of their first places. Null ids count as absent."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    schema = pa.schema([(x.split(" ")[0], k) for x, k in zip(PACKED.split(", "), kinds)])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for b in batches:
+            length = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto, lo = np.cumsum(length), 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+                flat, n = b.column(1).slice(lo, hi - lo).flatten(), length[lo:hi]
+                if flat.null_count:
+                    real = flat.is_valid().to_numpy(zero_copy_only=False)
+                    n = np.bincount(np.repeat(np.arange(hi - lo), n)[real], minlength=hi - lo)
+                    flat = flat.drop_null()
+                held = [pa.array([block], kinds[0]), pa.array([-1], kinds[1]), pa.nulls(1, kinds[2])]
+                held += [pa.array([b.column(0).slice(lo, hi - lo).to_pylist()], kinds[3]), pa.array([n], kinds[4])]
+                yield pa.RecordBatch.from_arrays([*held, pa.array([flat.to_numpy().astype("<i4").tobytes()], kinds[5])], schema=schema)
+                known = pc.unique(flat)
+                held = [pa.array(np.full(len(known), block)), pa.array(np.arange(len(known)), kinds[1]), known]
+                yield pa.RecordBatch.from_arrays([*held, *[pa.nulls(len(known), k) for k in kinds[3:]]], schema=schema)
+                block, lo = block + 1, hi
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, PACKED)
+
+
 def decode(df, tokenizer):
     """doc_id, n_tokens long, ids binary (little-endian unsigned 32-bit), decoded: the pieces of (doc_id, ids array<int>) with a blank between, as the library joins them where the tokenizer has no decoder. Ids that the vocabulary lacks give no piece; null or empty ids give empty text.
 
-    The vocabulary is broadcast to the exploded ids, which therefore stay in order, and a row's pieces are put together where they are, without a shuffle. Vocabularies of over a million pieces are joined by a shuffle, and the rows sorted again.
+    The distinct ids of about a million at once are joined with the vocabulary, which is broadcast, so that they stay in order and no shuffle is needed. A vocabulary of over a million pieces is joined by a shuffle, and the rows sorted again.
     """
     pieces, n = pieces_of(df.sparkSession, tokenizer)
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
-    exploded = numbered.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
     if n <= BROADCAST:
-        joined = exploded.join(F.broadcast(pieces), "id", "left")
+        joined = packed(df).join(F.broadcast(pieces), "id", "left")
     else:
-        joined = exploded.join(pieces, "id", "left").repartition("row").sortWithinPartitions("row", "pos")
-
-    def whole(held):
-        """Rows that are complete."""
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        row = t.column(0).to_numpy()
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        real = t.column(2).is_valid()
-        n = np.add.reduceat(real.to_numpy(zero_copy_only=False).astype(np.int64), first)
-        ids = t.column(2).filter(real).to_numpy().astype("<u4").tobytes()
-        some = t.column(3).is_valid()
-        cuts = np.append(0, np.cumsum(np.add.reduceat(some.to_numpy(zero_copy_only=False).astype(np.int64), first))).astype(np.int32)
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), t.column(3).filter(some)), " ")
-        to = (4 * np.cumsum(n)).tolist()
-        return rows(kind, [t.column(1).take(pa.array(first)), pa.array(n), [ids[a:z] for a, z in zip([0, *to], to)], texts])
+        joined = packed(df).join(pieces, "id", "left").repartition("block").sortWithinPartitions("block", "pos")
+
+    def texts(doc_ids, lengths, ids, found):
+        flat = np.frombuffer(ids, "<i4")
+        length = lengths.to_numpy().astype(np.int64)
+        text = pa.concat_arrays(found).take(pa.array(flat).dictionary_encode().indices) if len(flat) else pa.array([], pa.string())
+        held = length
+        if text.null_count:
+            row = np.repeat(np.arange(len(length)), length)
+            held = np.bincount(row[text.is_valid().to_numpy(zero_copy_only=False)], minlength=len(length))
+            text = text.drop_null()
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), text), " ")
+        to = (4 * np.cumsum(length)).tolist()
+        return rows(kind, [doc_ids, pa.array(length), [ids[a:z] for a, z in zip([0, *to], to)], text])
 
     def run(batches):
-        held = []
+        head, found = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            row = b.column(0).to_numpy()
-            last = int(np.searchsorted(row, row[-1])) if row[0] <= row[-1] else 0
-            if last or held and held[0].column(0)[0].as_py() != row[0]:
-                done = held + [b.slice(0, last)] if last else held
-                yield whole([x for x in done if x.num_rows])
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield whole(held)
-
-    return joined.select("row", "doc_id", "id", "piece").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+            heads = np.flatnonzero(b.column(0).to_numpy() < 0)
+            cuts = [0, *heads.tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi and b.column(0)[lo].as_py() < 0:
+                    if head:
+                        yield texts(*head, found)
+                    head = b.column(1)[lo].values, b.column(2)[lo].values, b.column(3)[lo].as_py()
+                    found, lo = [], lo + 1
+                found.append(b.column(4).slice(lo, hi - lo))
+        if head:
+            yield texts(*head, found)
+
+    return joined.select("pos", "doc_ids", "lengths", "ids", "piece").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -20,7 +20,7 @@ def texts():
     return [None, "", "   ", "one", "one", " lead and trail ", "Word " * 5000, "x" * 3000, *made, *[f"a{w}b" for w in WHITE]]
 
 
-@pytest.mark.parametrize("size,parts", [(50, 3), (4_000_000, 1)])
+@pytest.mark.parametrize("size,parts", [(50, 3), (2_000_000, 1)])
 def test_equals_the_library(spark, size, parts, monkeypatch):
     given = texts()
     monkeypatch.setattr(words.blocks, "__defaults__", (size, "doc_id", "text"))
@@ -45,10 +45,20 @@ def test_each_distinct_word_is_encoded_once(spark):
 def test_empty_tables_and_unknown_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert words.decode(words.encode(empty, PATH), PATH).count() == 0
-    given = spark.createDataFrame([(1, [320, 99_999_999, 320]), (1, []), (None, None)], "doc_id long, ids array<int>")
+    given = spark.createDataFrame([(1, [320, 99_999_999, 320]), (1, []), (None, None), (2, [None, 320])], "doc_id long, ids array<int>")
     t = Tokenizer.from_file(PATH)
     got = {(r.doc_id, r.n_tokens): r.decoded for r in words.decode(given, PATH).collect()}
-    assert got == {(1, 3): t.decode([320, 320], skip_special_tokens=False), (1, 0): "", (None, 0): ""}
+    assert got == {(1, 3): t.decode([320, 320], skip_special_tokens=False), (1, 0): "", (None, 0): "", (2, 1): t.decode([320], skip_special_tokens=False)}
+
+
+def test_decodes_in_blocks(spark):
+    r = random.Random(2)
+    given = [(i, [r.randrange(49_000) for _ in range(r.randrange(60))]) for i in range(300)]
+    t = Tokenizer.from_file(PATH)
+    coded = words.packed(spark.createDataFrame(given, "doc_id long, ids array<int>").repartition(2), most=500)
+    assert coded.where("pos = -1").count() > 10
+    got = {x.doc_id: x.decoded for x in words.decode(spark.createDataFrame(given, "doc_id long, ids array<int>").repartition(2), PATH).collect()}
+    assert got == {i: t.decode(ids, skip_special_tokens=False) for i, ids in given}
 
 
 def test_large_vocabularies_are_joined_by_a_shuffle(spark, monkeypatch):
