@@ -16,7 +16,7 @@ LEAST = 1e-12
 def nearest(df, k, id="id", vector="embedding", metric="euclidean", block=BLOCK):
     """id, v, near: the k nearest other rows, array<struct<d, other>> from the nearest, ties to the smaller id; fewer where there are no more.
 
-    metric: euclidean, or cosine (1 - the dot product of vectors of norm 1). Vectors of unlike length are not neighbours. Rows without id, or whose vector is null, empty or holds null or non-finite numbers take no part. Rows of one id are told apart by nothing, so ids must be unique. Every pair of blocks is visited once.
+    metric: euclidean, or cosine (1 - the dot product of vectors of norm 1, to twelve places). Vectors of unlike length are not neighbours. Rows without id, or whose vector is null, empty or holds null or non-finite numbers take no part. Rows of one id are told apart by nothing, so ids must be unique. Every pair of blocks is visited once.
     """
     p = materialise(vectors(df, id, vector), "vectors")
     kind = p.schema["id"].dataType.simpleString()
@@ -28,7 +28,7 @@ def nearest(df, k, id="id", vector="embedding", metric="euclidean", block=BLOCK)
             a, b = list(x.v), list(y.v)
             if metric == "cosine":
                 a, b = ([np.asarray(v) / (np.linalg.norm(v) or 1) for v in z] for z in (a, b))
-                d = distances(a, b) ** 2 / 2
+                d = np.round(distances(a, b) ** 2 / 2, 12)  # so that copies are at 0
             else:
                 d = distances(a, b)
             if same:

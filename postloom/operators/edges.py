@@ -8,19 +8,17 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions.text import IN, OUT, tier
 from ..session import materialise
+from .blocks import BLOCK, cosines, finite, paired, sides, vectors
 from .components import connected_components
 
-#: Posts a block holds, about.
-BLOCK = 1024
-
 
 def similar(posts, least, hours=None, rising=False, falling=False, differ=False, block=BLOCK):
-    """(source, target, cos, dt) of pairs whose embeddings' dot product is above `least`; null ids and embeddings take no part.
+    """(source, target, cos, dt) of pairs whose embeddings' dot product is above `least`. Null ids, and embeddings that are null, empty or hold null or non-finite numbers, take no part; vectors of unlike length are not compared.
 
     hours: source is older, by at most so many (else source < target and dt is null); rising: the target's engagement is greater, falling: the source's; differ: both have clusters, unlike ones.
     A time bucket, or the whole table without hours, is split by id into blocks of about `block` posts, so a hot bucket is many tasks.
     """
-    p = posts.where("id is not null and embedding is not null")
+    p = posts.where(F.col("id").isNotNull() & finite("embedding"))
     p = p.select("id", F.col("embedding").cast("array<double>").alias("v"), "cluster_id" if differ else F.lit(None).cast("int").alias("cluster_id"), F.col("engagement").cast("double").alias("e") if rising or falling else F.lit(0.0).alias("e"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(3.6e9)).alias("t") if hours else F.lit(0.0).alias("t"))
     if hours:
         p = p.where("t is not null")
@@ -49,8 +47,7 @@ def similar(posts, least, hours=None, rising=False, falling=False, differ=False,
         out = pd.DataFrame({"source": [], "target": [], "cos": [], "dt": []}).astype({"source": pdf.id.dtype, "target": pdf.id.dtype, "cos": float, "dt": float})
         if not len(x) or not len(y):
             return out
-        a, b = (np.stack(z.v.to_numpy()) for z in (x, y))
-        cos = a @ b.T
+        cos = cosines(list(x.v), list(y.v))
         i, j = np.nonzero(cos > least)
         if both:
             i, j = i[i < j], j[i < j]
@@ -95,11 +92,63 @@ def bridges(posts, least):
     return similar(posts, least, differ=True).select("source", "target", F.col("cos").alias("force"))
 
 
-def adaptive_threshold(posts, percent):
-    """The exact percentile, interpolated, of the positive cosines of all pairs."""
-    from .posts import percentile
+#: Fixed by the form of a double: the bits of a positive one are in order of its value. How far to shift, and how many bits to look at, in each pass.
+DIGITS = ((42, 22), (21, 21), (0, 21))
+
+
+def kth_cosines(posts, ranks_of, block=BLOCK):
+    """Positive cosines of all pairs at given ranks (from 0): ranks_of gets their number. None if there are none.
+
+    Each task counts its pairs by the leading bits of their cosines, and hands on the counts; a second and a third pass count the next bits of those that agree with a wanted one so far. No pair is stored; what comes to the driver is at most 2^22 counts a pass, whatever the input.
+    """
+    p = materialise(vectors(posts), "vectors")
+    wanted = None
+    for shift, bits in DIGITS:
+        heads = None if wanted is None else sorted({head for head, _ in wanted})
+
+        def count(pdf):
+            x, y, same = sides(pdf)
+            cos = cosines(list(x.v), list(y.v)) if len(x) and len(y) else np.empty((0, 0))  # noqa: B023
+            cos = cos[np.triu_indices(len(x), 1)] if same and len(x) else cos.ravel()
+            key = np.ascontiguousarray(cos[cos > 0]).view(np.int64)
+            if heads is not None:  # noqa: B023
+                key = key[np.isin(key >> (shift + bits), heads)]  # noqa: B023
+            found, n = np.unique(key >> shift, return_counts=True)  # noqa: B023
+            return pd.DataFrame({"bits": found, "n": n})
+
+        found = paired(p, block).groupBy("g").applyInPandas(count, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
+        found = sorted((r.bits, r.n) for r in found)
+        if wanted is None:
+            total = sum(n for _, n in found)
+            if not total:
+                return None
+            wanted = [(0, r) for r in ranks_of(total)]
+        after = []
+        for head, rank in wanted:
+            for b, n in found:
+                if b >> bits != head:
+                    continue
+                if rank < n:
+                    after.append((b, rank))
+                    break
+                rank -= n
+        wanted = after
+    return [float(np.array([b], np.int64).view(np.float64)[0]) for b, _ in wanted]
+
+
+def adaptive_threshold(posts, percent, block=BLOCK):
+    """The exact percentile (0 to 100), interpolated, of the positive cosines of all pairs of posts that can take part (see similar); an error if there are none. Nothing is written for each pair."""
+    place = {}
+
+    def ranks(n):
+        at = percent / 100 * (n - 1)
+        place["part"] = at - int(at)
+        return [int(at), min(int(at) + 1, n - 1)]
 
-    return percentile(materialise(similar(posts, 0.0).select("cos"), "cosines"), "cos", percent / 100)
+    found = kth_cosines(posts, ranks, block)
+    if found is None:
+        raise ValueError("no positive cosine")
+    return found[0] + (found[1] - found[0]) * place["part"]
 
 
 def graft(posts, hubs, chain_posts, least, force=1.0):

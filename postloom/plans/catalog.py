@@ -172,4 +172,4 @@ def size_buckets(s, d):
     return posts.size_buckets(table(s, d, "events"), "value").select("event_id", "size")
 
 
-from . import graphs, tables, texts  # noqa: E402, F401  registers their queries
+from . import density, graphs, tables, texts  # noqa: E402, F401  registers their queries

@@ -148,3 +148,31 @@ def test_components_equal_a_search(spark):
     got = connected_components(spark.createDataFrame([*pairs, (None, "n1"), ("n2", None)], "a string, b string"))
     assert {x.node: x.component for x in got.collect()} == want
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize("n,block", [(90, 16), (3, 1024)])
+def test_threshold_without_pairs(spark, monkeypatch, n, block):
+    from postloom.operators import edges
+
+    r = np.random.default_rng(n)
+    x = np.round(r.normal(size=(n, 3)), 1)
+    x[0] = x[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0, 1.0, 1.0]), (1001, None), (1002, [1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    written = []
+    real = edges.materialise
+    monkeypatch.setattr(edges, "materialise", lambda df, tag, *a: (written.append(tag), real(df, tag, *a))[1])
+    cos = (x @ x.T)[np.triu_indices(n, 1)]
+    for percent in (0, 12.5, 50, 90, 100):
+        assert abs(edges.adaptive_threshold(df, percent, block) - np.percentile(cos[cos > 0], percent)) < 1e-12
+    assert set(written) == {"vectors"}
+    with pytest.raises(ValueError):
+        edges.adaptive_threshold(df.limit(1), 50)
+
+
+def test_similar_leaves_out_what_cannot_be_compared(spark):
+    from postloom.operators.edges import similar
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, None]), (3, [0.9, 0.1]), (4, [1.0, 0.0, 0.0]), (5, [0.8, 0.0, 0.6]), (6, []), (7, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    assert sorted((r.source, r.target) for r in similar(df, 0.5).collect()) == [(1, 3), (4, 5)]
