@@ -67,11 +67,15 @@ def citations(c):
     return F.zip_with(F.regexp_extract_all(c, F.lit(CITED), F.lit(1)), F.regexp_extract_all(c, F.lit(CITED), F.lit(2)), lambda h, i: F.struct(F.upper(h).alias("handle"), i.alias("id")))
 
 
+#: Words of an answer that declines to give a label.
+REFUSALS = ["n/a", "na", "insufficient", "unable to", "cannot determine", "not enough data", "not enough information", "unclear"]
+REFUSALS += [f"no {a}{b}" for a in ("", "clear ", "sufficient ") for b in ("topic", "data", "information")]
+
+
 def label_of(c):
-    """What follows `topic:`, or else the first line, without quotes; null for a refusal, nothing, or over eight words."""
-    line = F.regexp_extract(c, r"(?i)topic\s*:\s*([^\n]+)", 1)
-    line = F.trim(F.regexp_replace(F.when(line == "", F.regexp_extract(c, r"([^\n]*)", 1)).otherwise(line), "[\"'`*“”]", ""))
-    bad = (line == "") | (F.size(F.split(line, r"\s+")) > 8) | line.rlike("(?i)^(i am sorry|i'm sorry|sorry|i cannot|i can't|as an ai)")
+    """What follows the first `topic:` on its line, without quotes around it; null without it, for nothing, for over eight words, and where it holds a refusal's words, whole and in any case."""
+    line = F.trim(F.regexp_replace(F.regexp_extract(c, r"(?i)topic:\s*([^\n]+)", 1), r"^[\s\"']+|[\s\"']+$", ""))
+    bad = (line == "") | (F.size(F.split(line, r"\s+")) > 8) | line.rlike(r"(?i)\b(" + "|".join(REFUSALS) + r")\b")
     return F.when(~bad, line)
 
 

@@ -20,8 +20,22 @@ def prompt_block(df, most=300, cluster="cluster_id"):
     return x.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct(F.col("timestamp").isNull(), "timestamp", "id", "line"))).alias("x")).select(cluster, F.array_join(F.col("x.line"), "\n").alias("block"))
 
 
+#: What stands for fields that an answer leaves out; a missing title is first sought under `label`.
+DEFAULTS = {"title": "Untitled Timeline", "reasoning": "Posts grouped by semantic similarity.", "sentiment_arc": "Narrative evolution not specified."}
+
+
+def claimed(ids, known):
+    """The known ids that an answer's list names, each once: those that match without brackets and quotes; only if none does, for each the smallest known id that holds it or that it holds."""
+    ids = [str(i).strip().strip("[]\"' ") for i in (ids if isinstance(ids, list) else [ids] if ids else [])]
+    real = [i for i in ids if i in set(known)]
+    if not real:
+        near = [next((k for k in known if i in k or k in i), None) for i in ids if i]
+        real = [k for k in near if k is not None]
+    return list(dict.fromkeys(real))
+
+
 def repair(answer, known):
-    """Groups of an answer's JSON: [{id, title, label, reasoning, sentiment_arc, post_ids}], under whatever of the usual names; ids that are known as they are, without brackets, or else the smallest known id that holds them. None if there is no JSON."""
+    """Groups of an answer's JSON: [{id, title, label, reasoning, sentiment_arc, post_ids}], under whatever of the usual names, with DEFAULTS for what is not there; ids as by claimed. None if there is no JSON."""
     found = re.search(r"\{.*\}", re.sub(r"```[a-zA-Z]*", "", answer or ""), re.S)
     try:
         got = json.loads(found[0]) if found else None
@@ -32,14 +46,9 @@ def repair(answer, known):
     groups = next((got[k] for k in ROOTS if isinstance(got.get(k), list)), [])
     known, out = sorted(map(str, known)), []
     for n, g in enumerate(g for g in groups if isinstance(g, dict)):
+        g = DEFAULTS | ({"title": g["label"]} if "label" in g else {}) | g
         ids = next((g[k] for k in IDS if k in g), [])
-        real = []
-        for i in ids if isinstance(ids, list) else [ids]:
-            i = str(i).strip().strip("[]\"' ")
-            hit = i if i in known else next((k for k in known if i and (i in k or k in i)), None)
-            if hit and hit not in real:
-                real.append(hit)
-        out.append({"id": str(g.get("id", n + 1)), **{f: str(g.get(f) or "") for f in FIELDS}, "post_ids": real})
+        out.append({"id": str(g.get("id", n + 1)), **{f: str(g.get(f) or "") for f in FIELDS}, "post_ids": claimed(ids, known)})
     return out
 
 

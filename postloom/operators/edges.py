@@ -222,38 +222,85 @@ def second_pass(candidates, posts, first, cap_out, cap_in):
     return kept, posts.select("id", F.lit(cap_out).alias("cap_out"), F.lit(cap_in).alias("cap_in"))
 
 
-#: Edge types in order of priority when components are joined, least first to be cut, and their weights in the layout.
-PRIORITY = {"influence": 0, "follow": 1, "bridge": 2}
+#: Types of the edges that join components, the first to be kept first.
+JOINING = ("temporal_influence", "temporal", "semantic_inter")
+#: All types, the first to be cut first when a component is too large.
+CUT_FIRST = ("semantic_inter", "temporal", "temporal_influence", "adept_graft", "adept_spoke", "nova")
 
 
-def priority(c):
-    return F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), c)
+def place_of(kinds, c):
+    """A type's place in a list; an unknown type is an error."""
+    found = F.element_at(F.create_map(*[F.lit(x) for kv in zip(kinds, range(len(kinds))) for x in kv]), c)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown edge type: "), F.coalesce(c, F.lit("null")))).cast("int"))
 
 
-def prune_bridges(edges, components):
-    """(kept, dropped with a reason) of typed edges between components: those within one go, and of the rest a spanning forest stays, by (type priority, force desc, source, target).
+def between(edges, components):
+    """source, target, type, force with the components a and b of its ends; an end without a component is an error."""
+    comp = components.select("node", "component")
+    e = edges.join(comp.toDF("source", "a"), "source", "left").join(comp.toDF("target", "b"), "target", "left")
+    kind = components.schema["component"].dataType
+
+    def known(c, end):
+        said = F.concat(F.lit("an edge's end without a component: "), F.coalesce(F.col(end).cast("string"), F.lit("null")))
+        return F.coalesce(F.col(c), F.raise_error(said).cast(kind)).alias(c)
+
+    return e.select("source", "target", "type", "force", known("a", "source"), known("b", "target"))
+
+
+def order_key():
+    return F.struct(place_of(JOINING, F.col("type")).alias("p"), (-F.col("force")).alias("f"), "source", "target", "type")
+
+
+def guarded(e, components, guard):
+    """(edges that may join, edges that may not) of e with its key. An edge between two components of one post is barred: by `static` always, by `dynamic` as long as neither has been joined to another by an edge before it.
 
-    Borůvka rounds: each component takes its best edge out, which is the sequential result as the order is strict. components: node, component; an unknown end counts as its own component.
+    In the dynamic case a single post is joined first by its earliest edge to a component that was more than one post by then; so its time is the earliest arrival along edges of rising order, found in rounds from the larger components on.
     """
-    comp = components.select("node", "component")
-    e = edges.join(comp.toDF("source", "cs"), "source", "left").join(comp.toDF("target", "ct"), "target", "left").select("source", "target", "type", "force", F.coalesce("cs", "source").alias("a"), F.coalesce("ct", "target").alias("b"))
+    single = components.groupBy("component").agg(F.count("*").alias("n")).where("n = 1").select("component")
+    alone = e.join(single.toDF("a"), "a", "left_semi").join(single.toDF("b"), "b", "left_semi")
+    if guard == "static":
+        return e.join(alone.select("key"), "key", "left_anti"), alone
+    both = materialise(e.select("a", "b", "key").union(e.select("b", "a", "key")).join(single.toDF("b"), "b", "left_semi").select("a", "b", "key"), "to_single")
+    new = materialise(both.join(single.toDF("a"), "a", "left_anti").groupBy("b").agg(F.min("key").alias("at")), "joined")
+    found = new
+    while not new.isEmpty():
+        reached = both.join(new.select(F.col("b").alias("a"), "at"), "a").where("key > at").groupBy("b").agg(F.min("key").alias("now"))
+        new = materialise(reached.join(found, "b", "left").where("at is null or now < at").select("b", F.col("now").alias("at")), "earlier")
+        found = materialise(found.union(new).groupBy("b").agg(F.min("at").alias("at")), "joined")
+    times = found.select("b", "at")
+    late = alone.join(times.toDF("a", "at_a"), "a", "left").join(times.toDF("b", "at_b"), "b", "left").where("(at_a is null or at_a >= key) and (at_b is null or at_b >= key)")
+    late = materialise(late.select(*alone.columns), "barred")
+    return e.join(late.select("key"), "key", "left_anti"), late
+
+
+def prune_bridges(edges, components, guard=None):
+    """(kept, dropped with a reason) of typed edges between components: those within one go (inside), with a guard those between single posts go (isolated, see guarded), and of the rest a spanning forest stays, by (type's place in JOINING, force desc, source, target); what is left goes (redundant).
+
+    Borůvka rounds: each component takes its best edge out, which is the sequential result as the order is strict. components: node, component of every post; an unknown end or type is an error. Repeated edges count once.
+    """
+    e = between(edges, components).distinct()
     inside = e.where("a = b").withColumn("reason", F.lit("inside"))
-    left, kept = materialise(e.where("a <> b"), "between"), None
-    every = left
+    every = materialise(e.where("a <> b").withColumn("key", order_key()), "between")
+    left, barred = guarded(every, components, guard) if guard else (every, every.limit(0))
+    left, kept = materialise(left, "left"), every.limit(0)
     while not left.isEmpty():
-        key = F.struct(priority(F.col("type")).alias("p"), (-F.col("force")).alias("f"), "source", "target", "type")
-        keyed = left.withColumn("key", key)
-        best = keyed.select(F.col("a").alias("c"), "key").union(keyed.select("b", "key")).groupBy("c").agg(F.min("key").alias("key")).select("key").distinct()
-        won = materialise(keyed.join(best, "key", "left_semi").drop("key"), "won")
-        kept = won if kept is None else kept.unionByName(won)
+        best = left.select(F.col("a").alias("c"), "key").union(left.select("b", "key")).groupBy("c").agg(F.min("key").alias("key")).select("key").distinct()
+        won = materialise(left.join(best, "key", "left_semi").select(*every.columns), "won")
+        kept = kept.unionByName(won)
         c = connected_components(won, "a", "b")
-        left = left.join(c.toDF("a", "na"), "a", "left").join(c.toDF("b", "nb"), "b", "left").select("source", "target", "type", "force", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")).where("a <> b")
+        left = left.join(c.toDF("a", "na"), "a", "left").join(c.toDF("b", "nb"), "b", "left")
+        left = left.select("source", "target", "type", "force", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "key").where("a <> b")
         left = materialise(left, "left")
     cols = ["source", "target", "type", "force"]
-    if kept is None:
-        kept = every
-    dropped = every.join(kept.select("source", "target", "type"), ["source", "target", "type"], "left_anti").withColumn("reason", F.lit("redundant"))
-    return kept.select(*cols), inside.select(*cols, "reason").unionByName(dropped.select(*cols, "reason"))
+    reason = lambda x, why: x.select(*cols, F.lit(why).alias("reason"))
+    rest = every.join(kept.select("key"), "key", "left_anti").join(barred.select("key"), "key", "left_anti")
+    return kept.select(*cols), reason(inside, "inside").unionByName(reason(barred, "isolated")).unionByName(reason(rest, "redundant"))
+
+
+def prune_counts(kept, dropped):
+    """type, inside, isolated, redundant, kept: how many edges of each type went why, and how many stayed."""
+    x = dropped.select("type", "reason").unionByName(kept.select("type", F.lit("kept").alias("reason")))
+    return x.groupBy("type").agg(*[F.count_if(F.col("reason") == r).alias(r) for r in ("inside", "isolated", "redundant", "kept")])
 
 
 def cut_edges(nodes, links):
@@ -291,9 +338,9 @@ def cut_edges(nodes, links):
 
 
 def split_component(nodes, edges, cap):
-    """Indices of the edges cut so that pieces hold at most `cap` nodes, as far as cut edges allow. edges: (source, target, type priority, force), undirected.
+    """Indices of the edges cut so that pieces hold at most `cap` nodes, as far as cut edges allow. edges: (source, target, place of the type in CUT_FIRST, force), undirected.
 
-    One edge at a time, the most disposable type and then the weakest force first: the first that leaves both sides within the cap, else the one that halves the piece best.
+    One edge at a time, the first type in that list and then the weakest force first: the first that leaves both sides within the cap, else the one that halves the piece best.
     """
     gone, todo = [], [(list(nodes), list(range(len(edges))))]
     while todo:
@@ -305,7 +352,7 @@ def split_component(nodes, edges, cap):
         found = cut_edges(part, links)
         if not found:
             continue
-        ranked = sorted(found, key=lambda i: (-edges[mine[i]][2], edges[mine[i]][3], edges[mine[i]][:2]))
+        ranked = sorted(found, key=lambda i: (edges[mine[i]][2], edges[mine[i]][3], edges[mine[i]][:2]))
         fits = [i for i in ranked if found[i] <= cap and len(part) - found[i] <= cap]
         pick = fits[0] if fits else min(ranked, key=lambda i: abs(len(part) - 2 * found[i]))
         gone.append(mine[pick])
@@ -325,43 +372,54 @@ def split_component(nodes, edges, cap):
 
 
 def split_oversized(edges, cap):
-    """Typed edges without those cut to bring components within `cap` nodes. Smaller components pass through untouched; only larger ones reach a task, one each."""
+    """Typed edges without those cut to bring components within `cap` nodes. Smaller components pass through untouched; only larger ones reach a task, one each. A type that CUT_FIRST lacks is an error; of repeated edges all go or none; no edges give none."""
     comp = connected_components(edges, "source", "target")
+    edges = edges.withColumn("place", place_of(CUT_FIRST, F.col("type")))
     big = comp.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("component")
     at = edges.join(comp.select(F.col("node").alias("source"), "component"), "source").join(big, "component")
     kind = edges.schema["source"].dataType.simpleString()
 
     def cut(pdf):
         pdf = pdf.sort_values(["source", "target", "type"]).reset_index(drop=True)
-        rows = list(zip(pdf.source, pdf.target, pdf.type.map(PRIORITY).fillna(-1), pdf.force))
+        rows = list(zip(pdf.source, pdf.target, pdf.place, pdf.force))
         return pdf.loc[split_component(sorted({*pdf.source, *pdf.target}), rows, cap), ["source", "target", "type"]]
 
-    gone = at.select("component", "source", "target", "type", "force").groupBy("component").applyInPandas(cut, f"source {kind}, target {kind}, type string")
-    return edges.join(gone, ["source", "target", "type"], "left_anti")
+    gone = at.select("component", "source", "target", "type", "place", "force").groupBy("component").applyInPandas(cut, f"source {kind}, target {kind}, type string")
+    return edges.drop("place").join(gone, ["source", "target", "type"], "left_anti")
+
+
+#: Settings of a matching: cosines at least, decay and window in hours, and the percentile of pair similarities that forces must pass, if any.
+PASS = {"least": 0.9, "tau": 6.0, "hours": 48.0, "percent": None}
 
 
-def build(posts, nova, spokes, least=0.9, tau=6.0, hours=48.0, percent=0.0, caps=(2, 2), graft_least=0.9, cap=None):
+def build(posts, nova, spokes, first=None, second=None, bridge_least=0.9, caps=(2, 2), graft_least=0.3, graft_force=0.3, guard=None, cap=None):
     """All edges of a corpus (source, target, type, force): grafts, the two matchings, pruned bridges, and the chains' and pools' own edges; components over `cap` split.
 
-    posts: id, embedding, cluster_id, timestamp, engagement. nova and spokes: source, target, force.
+    posts: id, embedding, cluster_id, timestamp, engagement. nova and spokes: source, target, force. first and second replace entries of PASS for the matching by influence and for that in time. The first needs engagement, and goes without times if there are none; the second needs times. Posts with times are those whose timestamp is not null. guard: see guarded.
     """
     cols = ["source", "target", "type", "force"]
     typed = lambda e, t: e.withColumn("type", F.lit(t)).select(*cols)
+    first, second = PASS | (first or {}), PASS | (second or {})
     posts = materialise(posts, "posts")
-    threshold = adaptive_threshold(posts, percent) if percent else None
-    timed = posts.where("timestamp is not null").limit(1).count() > 0
+    has = posts.agg(F.count("timestamp").alias("timed"), F.count("engagement").alias("engaged")).first()
+    thresholds = {q: adaptive_threshold(posts, q) for q in {first["percent"], second["percent"]} - {None}}
     ends = nova.select(F.col("source").alias("id")).union(nova.select("target")).distinct()
-    grafts = graft(posts, spokes.select(F.col("source").alias("id")).distinct(), ends, graft_least)
-    influence = materialise(follow(posts, least, tau, hours, True, threshold) if timed else by_engagement(posts, least, threshold), "influence")
-    first = materialise(match(influence, tier_quotas(posts)), "first")
-    later = follow(posts, least, tau, hours, False, threshold) if timed else influence
-    kept, quotas = second_pass(later, posts, first, *caps)
-    second = materialise(match(kept, quotas), "second")
-    between = one_to_one(bridges(posts, least))
+    grafts = graft(posts, spokes.select(F.col("source").alias("id")).distinct(), ends, graft_least, graft_force)
     skeleton = typed(nova, "nova").unionByName(typed(spokes, "adept_spoke")).unionByName(typed(grafts, "adept_graft"))
     skeleton = materialise(skeleton, "skeleton")
-    loose = typed(first, "influence").unionByName(typed(second, "follow")).unionByName(typed(between, "bridge"))
-    joined, _ = prune_bridges(loose, connected_components(skeleton, "source", "target"))
+    loose, of_first = skeleton.limit(0), skeleton.limit(0).select("source", "target", "force")
+    if has.engaged:
+        above = thresholds.get(first["percent"])
+        e = follow(posts, first["least"], first["tau"], first["hours"], True, above) if has.timed else by_engagement(posts, first["least"], above)
+        of_first = materialise(match(e, tier_quotas(posts)), "first")
+        loose = loose.unionByName(typed(of_first, "temporal_influence"))
+    if has.timed:
+        e = follow(posts, second["least"], second["tau"], second["hours"], False, thresholds.get(second["percent"]))
+        loose = loose.unionByName(typed(match(*second_pass(e, posts, of_first, *caps)), "temporal"))
+    loose = loose.unionByName(typed(one_to_one(bridges(posts, bridge_least)), "semantic_inter"))
+    comp = connected_components(skeleton, "source", "target")
+    comp = posts.select(F.col("id").alias("node")).distinct().join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    joined, _ = prune_bridges(loose, comp, guard)
     out = skeleton.unionByName(joined)
     return split_oversized(materialise(out, "edges"), cap) if cap else out
 

@@ -9,7 +9,7 @@ from ..functions import text
 from .posts import size_buckets
 
 #: Layout weight of each edge type by default, and size factors of the engagement buckets.
-WEIGHTS = {"nova": 1.0, "adept_spoke": 1.0, "adept_graft": 1.0, "influence": 1.0, "follow": 1.0, "bridge": 1.0}
+WEIGHTS = {"nova": 1.0, "adept_spoke": 1.0, "adept_graft": 1.0, "temporal_influence": 1.0, "temporal": 1.0, "semantic_inter": 1.0}
 SIZES = {"normal": 1.0, "big": 1.5, "mega": 2.5}
 
 
@@ -87,19 +87,27 @@ def scaled(df, size=1000.0, uniform=True, cols=("x", "y", "z")):
     return x.select(*[F.when(by[c] == 0, 0.0).otherwise(F.col(c) / by[c] * size).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+#: The colour of a single cluster; base and span of saturation and lightness, in hundredths, and what the second and third axis add to the hue, in degrees.
+ONLY = "#5B8FF9"
+SATURATION, LIGHTNESS, TURNS = (58, 14), (63, 10), (42, 24)
+
+
 def colours(centroids):
-    """{cluster: '#rrggbb'} from its centroid (cluster -> vector): hue, saturation and lightness by the first three principal axes. For the K rows of a clustering."""
+    """{cluster: '#RRGGBB'} from its centroid (cluster -> vector): the first principal axis is the hue, the second saturation, the third lightness, each scaled to 0 to 1, a flat one to 0.5. For the K rows of a clustering; no clusters give none."""
     names = sorted(centroids)
+    if len(names) < 2:
+        return dict.fromkeys(names, ONLY)
     x = np.array([centroids[n] for n in names], float)
     x = x - x.mean(0)
-    axes = np.linalg.svd(x, full_matrices=False)[2][:3] if len(names) > 1 else np.zeros((1, x.shape[1]))
-    p = x @ axes.T
+    p = x @ np.linalg.svd(x, full_matrices=False)[2][:3].T
     p = np.hstack([p, np.zeros((len(p), 3 - p.shape[1]))])
-    lo, hi = p.min(0), p.max(0)
-    p = np.where(hi > lo, (p - lo) / np.where(hi > lo, hi - lo, 1), 0.5)
+    lo, span = p.min(0), np.ptp(p, 0)
+    p = np.where(span < 1e-9, 0.5, (p - lo) / np.where(span < 1e-9, 1, span))
     out = {}
-    for n, (h, s, lightness) in zip(names, p):
-        out[n] = "#" + "".join(f"{round(255 * c):02x}" for c in colorsys.hls_to_rgb(h * 0.9, 0.45 + 0.25 * lightness, 0.55 + 0.35 * s))
+    for n, (a, b, c) in zip(names, p):
+        hue = (360 * a + TURNS[0] * (b - 0.5) + TURNS[1] * (c - 0.5)) % 360
+        s, light = ((base + by * (v - 0.5)) / 100 for (base, by), v in ((SATURATION, b), (LIGHTNESS, c)))
+        out[n] = "#" + "".join(f"{round(255 * v):02X}" for v in colorsys.hls_to_rgb(hue / 360, light, s))
     return out
 
 

@@ -191,13 +191,18 @@ def valid_seeds(labels, n, k):
     return r.n == n and r.k == k
 
 
+def oas(cov, n):
+    """(share, mu) of oracle-approximating shrinkage of a covariance of n rows (Chen et al. 2010, eq. 23): its share of the identity times mu = tr(S) / p; 1 where the covariance is one already."""
+    p = len(cov)
+    mu, square, trace = np.trace(cov) / p, float((cov * cov.T).sum()), np.trace(cov)
+    low = (n + 1 - 2 / p) * (square - trace**2 / p)
+    return (min(1.0, ((1 - 2 / p) * square + trace**2) / low) if low > 0 else 1.0), mu
+
+
 def shrunk(cov, n):
-    """Oracle-approximating shrinkage of a covariance towards a scaled identity."""
-    d = len(cov)
-    mu, two = np.trace(cov) / d, (cov**2).sum() / d**2
-    top, low = two + mu**2, (n + 1) * (two - mu**2 / d)
-    rho = 1.0 if low == 0 else min(1.0, top / low)
-    return (1 - rho) * cov + rho * mu * np.eye(d)
+    """A covariance drawn towards a scaled identity by oas."""
+    share, mu = oas(cov, n)
+    return (1 - share) * cov + share * mu * np.eye(len(cov))
 
 
 class Adam:

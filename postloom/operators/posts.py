@@ -177,12 +177,13 @@ def merge_seeds(*frames, key="id", score="score"):
 
 
 def pool_roles(df, pool="hub", key="id", ts="timestamp"):
-    """hub, pioneer (earliest), latest (if later than the earliest) or member of each post of a pool; undated posts are neither earliest nor latest, and ties go to the smaller id."""
+    """hub, pioneer (earliest), latest or member of each post of a pool; only a pool of unlike times has a pioneer and a latest. Undated posts are neither, and ties go to the smaller id."""
     dated = F.struct(ts, key)
     of = df.where(F.col(ts).isNotNull()).groupBy(pool).agg(F.min(dated).alias("lo"), F.max(F.struct(F.col(ts))).alias("hi"), F.min(F.struct(F.col(ts))).alias("first"))
     last = df.where(F.col(ts).isNotNull()).join(of.select(pool, F.col(f"hi.{ts}").alias("_t")), pool).where(F.col(ts) == F.col("_t")).groupBy(pool).agg(F.min(key).alias("_last"))
     x = df.join(of, pool, "left").join(last, pool, "left")
-    role = F.when(F.col(key) == F.col(pool), "hub").when(F.col(key) == F.col(f"lo.{key}"), "pioneer").when((F.col(f"hi.{ts}") > F.col(f"first.{ts}")) & (F.col(key) == F.col("_last")), "latest").otherwise("member")
+    differ = F.col(f"hi.{ts}") > F.col(f"first.{ts}")
+    role = F.when(F.col(key) == F.col(pool), "hub").when(differ & (F.col(key) == F.col(f"lo.{key}")), "pioneer").when(differ & (F.col(key) == F.col("_last")), "latest").otherwise("member")
     return x.select(*df.columns, role.alias("role"))
 
 

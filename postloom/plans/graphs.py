@@ -145,12 +145,12 @@ def pass2_exclusions(s, d):
     return E.second_pass(cand, p, first, 2, 2)[0].select("source", "target")
 
 
-TYPED = f"{POSTS}, f AS (SELECT a.id s, b.id t, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) force, ['influence', 'follow', 'bridge'][(a.id + b.id) % 3 + 1] ty, (a.id + b.id) % 3 pr FROM p a JOIN p b ON a.id < b.id AND a.cluster_id <> b.cluster_id AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.36)"
+TYPED = f"{POSTS}, f AS (SELECT a.id s, b.id t, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) force, ['temporal_influence', 'temporal', 'semantic_inter'][(a.id + b.id) % 3 + 1] ty, (a.id + b.id) % 3 pr FROM p a JOIN p b ON a.id < b.id AND a.cluster_id <> b.cluster_id AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.36)"
 
 
 def typed_v(s, d):
     e = E.bridges(posts_v(s, d), 0.36)
-    return e.withColumn("type", F.element_at(F.array(F.lit("influence"), F.lit("follow"), F.lit("bridge")), ((F.col("source") + F.col("target")) % 3 + 1).cast("int")))
+    return e.withColumn("type", F.element_at(F.array(*map(F.lit, E.JOINING)), ((F.col("source") + F.col("target")) % 3 + 1).cast("int")))
 
 
 @query(f"""WITH RECURSIVE {TYPED}, x AS (SELECT id, row_number() OVER (ORDER BY id) i FROM p), o AS (SELECT f.s, f.t, ty, a.i src, b.i tgt, row_number() OVER (ORDER BY pr, force DESC, f.s, f.t) k FROM f JOIN x a ON a.id = f.s JOIN x b ON b.id = f.t),
@@ -166,14 +166,20 @@ def spanning_forest(s, d):
     return E.prune_bridges(typed_v(s, d), c)[0].select("source", "target", "type")
 
 
-@query(f"WITH RECURSIVE {TYPED}, x AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 10 c FROM p) SELECT ty AS type, count(*) AS inside FROM f JOIN x a ON a.id = s JOIN x b ON b.id = t WHERE a.c = b.c GROUP BY ty")
+FOREST = f"""WITH RECURSIVE {TYPED}, x AS (SELECT id, row_number() OVER (ORDER BY id) i FROM p), z AS (SELECT (i - 1) // 10 c, count(*) n FROM x GROUP BY 1),
+o AS (SELECT f.s, f.t, ty, (a.i - 1) // 10 src, (b.i - 1) // 10 tgt, a.i ai, b.i bi, row_number() OVER (ORDER BY pr, force DESC, f.s, f.t) k FROM f JOIN x a ON a.id = f.s JOIN x b ON b.id = f.t)"""
+
+
+@query(f"""{FOREST}, s AS (SELECT 0::BIGINT k, (SELECT list((i - 1) // 10 ORDER BY i) FROM x) c, FALSE won, '' ty UNION ALL
+SELECT o.k, list_transform(s.c, lambda v: CASE WHEN v = s.c[ai] THEN s.c[bi] ELSE v END), s.c[ai] <> s.c[bi], o.ty FROM s JOIN o ON o.k = s.k + 1)
+SELECT s.ty AS type, count(*) FILTER (src = tgt) AS inside, 0::BIGINT AS isolated, count(*) FILTER (src <> tgt AND NOT won) AS redundant, count(*) FILTER (won) AS kept FROM s JOIN o USING (k) GROUP BY s.ty""")
 def prune_statistics(s, d):
     from pyspark.sql import Window as W
 
     p = posts_v(s, d).select("id").withColumn("i", F.row_number().over(W.orderBy("id")) - 1)
     c = p.select(F.col("id").alias("node"), F.expr("i div 10").alias("c"))
     c = c.join(c.groupBy("c").agg(F.min("node").alias("component")), "c").select("node", "component")
-    return E.prune_bridges(typed_v(s, d), c)[1].where("reason = 'inside'").groupBy("type").agg(F.count("*").alias("inside"))
+    return E.prune_counts(*E.prune_bridges(typed_v(s, d), c))
 
 
 @query(f"WITH {POSTS}, f AS (SELECT a.id s, b.id t FROM p a JOIN p b ON a.id < b.id AND a.cluster_id <> b.cluster_id AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3) SELECT s AS source, t AS target FROM f WHERE s % 10 = 0 OR t % 10 = 0")

@@ -147,7 +147,7 @@ def cluster_best_posts(s, d):
     return x.where("place <= 15").select("cluster_id", "id", "place", "more")
 
 
-@query("SELECT user_id AS hub, event_id AS id, CASE WHEN event_id = h THEN 'hub' WHEN event_id = lo THEN 'pioneer' WHEN mx > mn AND event_id = la THEN 'latest' ELSE 'member' END AS role FROM (SELECT user_id, event_id, t, min(event_id) OVER w h, first_value(event_id) OVER (PARTITION BY user_id ORDER BY t NULLS LAST, event_id) lo, min(t) OVER w mn, max(t) OVER w mx, first_value(event_id) OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_id) la FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN ts END t FROM events) WINDOW w AS (PARTITION BY user_id))".replace("event_id = lo", "event_id = lo AND t IS NOT NULL"))
+@query("SELECT user_id AS hub, event_id AS id, CASE WHEN event_id = h THEN 'hub' WHEN event_id = lo THEN 'pioneer' WHEN mx > mn AND event_id = la THEN 'latest' ELSE 'member' END AS role FROM (SELECT user_id, event_id, t, min(event_id) OVER w h, first_value(event_id) OVER (PARTITION BY user_id ORDER BY t NULLS LAST, event_id) lo, min(t) OVER w mn, max(t) OVER w mx, first_value(event_id) OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_id) la FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN ts END t FROM events) WINDOW w AS (PARTITION BY user_id))".replace("event_id = lo", "mx > mn AND event_id = lo AND t IS NOT NULL"))
 def pool_roles(s, d):
     e = table(s, d, "events").select("user_id", F.col("event_id").alias("id"), F.expr("case when event_id % 4 > 0 then ts end").alias("timestamp"))
     hub = e.groupBy("user_id").agg(F.min("id").alias("hub"))

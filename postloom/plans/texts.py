@@ -45,11 +45,11 @@ def citations(s, d):
     return c.select("conv_id", "turn", F.explode(T.citations(F.col("t"))).alias("c")).select("conv_id", "turn", "c.handle", "c.id")
 
 
-@query("""WITH v AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Topic: "' || substr(text, 1, 12) || '"' WHEN 1 THEN 'I cannot help' WHEN 2 THEN 'one two three four five six seven eight nine' ELSE '**plain label**' END t FROM conversations),
-w AS (SELECT conv_id, turn, trim(regexp_replace(CASE WHEN regexp_extract(t, '(?i)topic\\s*:\\s*([^\\n]+)', 1) = '' THEN regexp_extract(t, '([^\\n]*)', 1) ELSE regexp_extract(t, '(?i)topic\\s*:\\s*([^\\n]+)', 1) END, '["''`*“”]', '', 'g')) l FROM v)
-SELECT conv_id, turn, CASE WHEN l <> '' AND len(regexp_split_to_array(l, '\\s+')) <= 8 AND NOT regexp_matches(l, '(?i)^(i am sorry|i''m sorry|sorry|i cannot|i can''t|as an ai)') THEN l END AS label FROM w""")
+@query(r"""WITH v AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'So:' || chr(10) || 'Topic: "' || regexp_extract(text, '^\S+(\s+\S+)?') || '"' WHEN 1 THEN 'topic: ' || text WHEN 2 THEN 'topic: N/A - insufficient data on ' || regexp_extract(text, '^\S+') ELSE text END t FROM conversations),
+w AS (SELECT conv_id, turn, trim(regexp_replace(regexp_extract(t, '(?i)topic:\s*([^\n]+)', 1), '^[\s"'']+|[\s"'']+$', '', 'g')) l FROM v)
+SELECT conv_id, turn, CASE WHEN l <> '' AND len(regexp_split_to_array(l, '\s+')) <= 8 AND NOT regexp_matches(l, '(?i)\b(n/?a|insufficient|unable to|cannot determine|not enough (data|information)|no (clear |sufficient )?(topic|data|information)|unclear)\b') THEN l END AS label FROM w""")
 def analyst_labels(s, d):
-    said = F.expr("""case turn % 4 when 0 then concat('Topic: "', substr(text, 1, 12), '"') when 1 then 'I cannot help' when 2 then 'one two three four five six seven eight nine' else '**plain label**' end""")
+    said = F.expr(r"""case turn % 4 when 0 then concat('So:\n', 'Topic: "', regexp_extract(text, r'^\S+(\s+\S+)?', 0), '"') when 1 then concat('topic: ', text) when 2 then concat('topic: N/A - insufficient data on ', regexp_extract(text, r'^\S+', 0)) else text end""")
     return table(s, d, "conversations").select("conv_id", "turn", T.label_of(said).alias("label"))
 
 

@@ -58,7 +58,7 @@ def plain_split(nodes, links, cap):
         if len(part) <= cap:
             continue
         best = None
-        for e in sorted(mine, key=lambda e: (-e[2], e[3], e[:2])):
+        for e in sorted(mine, key=lambda e: (e[2], e[3], e[:2])):
             two = pieces(part, [x for x in mine if x is not e])
             if len(two) == 2:
                 worst = max(map(len, two))
@@ -84,21 +84,23 @@ def test_split_equals_the_slow_way(seed):
 
 
 def test_oversized_components_only(spark):
-    e = [(i, i + 1, "follow", 1.0 - i / 100) for i in range(20)] + [(100, 101, "bridge", 0.1)]
+    e = [(i, i + 1, "temporal", 1.0 - i / 100) for i in range(20)] + [(100, 101, "semantic_inter", 0.1)]
     got = E.split_oversized(spark.createDataFrame(e, "source long, target long, type string, force double"), 8)
     sizes = G.component_sizes(G.component_map(spark.range(102).toDF("id"), got)).agg(F.max("n")).first()[0]
-    assert sizes <= 8 and (100, 101, "bridge", 0.1) in rows(got)
+    assert sizes <= 8 and (100, 101, "semantic_inter", 0.1) in rows(got)
 
 
 def test_edge_builder(spark):
     df, _ = posts(spark)
     nova = spark.createDataFrame([(1, 4, 1.0), (4, 7, 1.0)], "source long, target long, force double")
     spokes = spark.createDataFrame([(10, 13, 1.0), (10, 16, 1.0)], "source long, target long, force double")
-    out = E.build(df, nova, spokes, least=0.3, percent=10, graft_least=0.0, cap=40)
+    out = E.build(df, nova, spokes, {"least": 0.3, "percent": 10}, {"least": 0.3, "percent": 20}, 0.3, graft_least=0.0)
+    assert 0 < E.split_oversized(out, 40).count() <= out.count()
     kinds = {r.type for r in out.collect()}
-    assert {"nova", "adept_spoke", "adept_graft"} <= kinds <= {"nova", "adept_spoke", "adept_graft", "influence", "follow", "bridge"}
+    assert {"nova", "adept_spoke", "adept_graft"} <= kinds <= {"nova", "adept_spoke", "adept_graft", "temporal_influence", "temporal", "semantic_inter"}
     assert out.groupBy("source", "target", "type").count().where("count > 1").isEmpty()
-    assert E.build(df.withColumn("timestamp", F.lit(None).cast("timestamp")), nova, spokes, least=0.3, graft_least=0.0).count() > 0
+    kinds = lambda **gone: {r.type for r in E.build(df.withColumns({c: F.lit(None).cast(t) for c, t in gone.items()}), nova, spokes, {"least": 0.3}, {"least": 0.3}, 0.3).collect()}
+    assert "temporal" not in kinds(timestamp="timestamp") and "temporal_influence" not in kinds(engagement="double")
 
 
 def test_pools_follow_their_definition(spark):
