@@ -59,7 +59,8 @@ def heading_slug(c):
     return F.replace(F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}_ -]", ""), F.lit(" "), F.lit("-"))
 
 
-CITED = r"(?i)\[(E[0-9]+)(?:, *id +([\w-]+))?\]"
+#: A handle in brackets, alone or followed by a comma and a post's id, before which `id` may stand.
+CITED = r"(?i)\[(E[0-9]+) *(?:, *(?:id +)?([\w-]+))?\]"
 
 
 def citations(c):

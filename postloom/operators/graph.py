@@ -90,30 +90,35 @@ def roots(components, edges, labels):
 
 
 def walk(units_, edges, root):
-    """Units of one component in the order of a walk from `root`, a unit before those only reached through it; siblings by time, then source, unreached ones at the end.
+    """(steps, extra): steps are (unit, index of the edge by which it was reached, or None) of one component, from `root`, a unit before those only reached through it; extra are the indices of the other edges.
 
-    units_: list of unit ids; edges: list of (source_unit, target_unit, time, source). For a driver-sized component.
+    A unit gets its step when it is first seen from a neighbour, not when it is walked on from; siblings are seen from the latest to the earliest by (time, source), and the walk goes on from the one seen last. Units that are not reached stand at the end, in the order given. edges: list of (source_unit, target_unit, time, source).
     """
     around = {}
-    for a, b, t, s in edges:
-        around.setdefault(a, []).append((t or "", s, b))
-        around.setdefault(b, []).append((t or "", s, a))
-    seen, out, stack = {root}, [], [root]
-    while stack:
-        u = stack.pop()
-        out.append(u)
-        for _, _, v in sorted(around.get(u, []), reverse=True):
-            if v not in seen:
-                seen.add(v)
-                stack.append(v)
-    return out + [u for u in units_ if u not in seen]
+    for k, (a, b, t, s) in enumerate(edges):
+        around.setdefault(a, []).append((t or "", s, k, b))
+        around.setdefault(b, []).append((t or "", s, k, a))
+    steps, todo = {root: None}, [root]
+    while todo:
+        for _, _, k, other in sorted(around.get(todo.pop(), []), key=lambda x: x[:3], reverse=True):
+            if other not in steps:
+                steps[other] = k
+                todo.append(other)
+    used = set(steps.values())
+    out = [*steps.items(), *[(u, None) for u in units_ if u not in steps]]
+    return out, [k for k in range(len(edges)) if k not in used]
 
 
 def walks(units_, edges, seeds):
-    """component, step, unit: the walk of every component from its seed's unit. units_: component, unit; edges: component, source_unit, target_unit, time, source; seeds: component, unit. One task a component."""
+    """component, step, unit, source_unit, target_unit: the walk of every component from its seed's unit, each unit with the edge by which it was reached (null for the first, and for those not reached); edges not walked follow with a null step and unit.
+
+    units_: component, unit; edges: component, source_unit, target_unit, time, source; seeds: component, unit. One task a component; a component without a seed starts at its smallest unit; repeated units count once.
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     rows = units_.select("component", "unit").distinct().withColumn("kind", F.lit(0)).unionByName(seeds.select("component", "unit").withColumn("kind", F.lit(1)))
-    rows = rows.withColumn("to", F.lit(None).cast("string")).withColumn("time", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
-    rows = rows.unionByName(edges.select("component", F.col("source_unit").alias("unit"), F.col("target_unit").alias("to"), F.col("time").cast("string").alias("time"), F.col("source").cast("string").alias("source")).withColumn("kind", F.lit(2)))
+    rows = rows.select("component", "unit", "kind", *none("to", "time", "source"))
+    rows = rows.unionByName(edges.select("component", F.col("source_unit").alias("unit"), F.lit(2).alias("kind"), F.col("target_unit").alias("to"), text("time"), text("source")))
     kind = rows.schema["component"].dataType.simpleString()
 
     def run(pdf):
@@ -121,11 +126,14 @@ def walks(units_, edges, seeds):
 
         names = sorted(pdf[pdf.kind == 0].unit)
         start = pdf[pdf.kind == 1].unit
-        e = pdf[pdf.kind == 2]
-        out = walk(names, list(zip(e.unit, e.to, e.time, e.source)), start.min() if len(start) else names[0])
-        return pd.DataFrame({"component": [pdf.component.iloc[0]] * len(out), "step": range(len(out)), "unit": out})
-
-    return rows.groupBy("component").applyInPandas(run, f"component {kind}, step int, unit string")
+        e = pdf[pdf.kind == 2].sort_values(["time", "source", "unit", "to"])
+        e = list(zip(e.unit, e.to, e.time, e.source))
+        steps, extra = walk(names, e, start.min() if len(start) else names[0])
+        out = [(n, u, *((None, None) if k is None else e[k][:2])) for n, (u, k) in enumerate(steps)] + [(None, None, *e[k][:2]) for k in extra]
+        out = pd.DataFrame(out, columns=["step", "unit", "source_unit", "target_unit"])
+        return out.assign(component=pdf.component.iloc[0], step=out.step.astype("Int32"))[["component", "step", "unit", "source_unit", "target_unit"]]
+
+    return rows.groupBy("component").applyInPandas(run, f"component {kind}, step int, unit string, source_unit string, target_unit string")
 
 
 def entities(posts, units_):

@@ -4,6 +4,7 @@ import datetime
 import json
 import re
 import secrets
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,9 +100,11 @@ class Files:
         stream = fs.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not fs.rename(beside, p):
-            fs.delete(p, False)
-            fs.rename(beside, p)
+        # FileContext's rename replaces the old file in one step, where the store can; FileSystem's doesn't replace
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        p = fs.makeQualified(p)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), p, options)
 
     def delete(self, path):
         fs, p = self.at(path)
@@ -237,24 +240,39 @@ class Runs:
         self.put(self.path(run, "config.json"), out)
         return out
 
-    def lock(self, run, owner):
-        """Whether the run's lock is now ours."""
-        try:
-            self.files.write(self.path(run, "lock"), owner, new=True)
+    def held(self, run, now=None):
+        """Who holds a run's lock, if anybody still does: a lock whose time is over is nobody's."""
+        got = self.json(self.path(run, "lock"))
+        return got["owner"] if got and got["until"] > (now or time.time()) else None
+
+    def lock(self, run, owner, seconds=60, now=None):
+        """Whether the run's lock is now ours, for so many seconds; its owner renews it by locking again before they are over. A lock that its owner left, in a crash too, can be taken once its time is over."""
+        path, now = self.path(run, "lock"), now or time.time()
+        text = json.dumps({"owner": owner, "until": now + seconds})
+        holder = self.held(run, now)
+        if holder == owner:
+            self.files.write(path, text)
             return True
+        if holder:
+            return False
+        try:
+            if self.files.exists(path):
+                self.files.move(path, f"{path}.{secrets.token_hex(4)}.old")  # of several that find it over, one moves it
+            self.files.write(path, text, new=True)
         except Exception as e:
-            if "exist" in str(e).lower():
+            if "exist" in str(e).lower() or "not found" in str(e).lower():
                 return False
             raise
+        return self.held(run, now) == owner
 
     def unlock(self, run, owner):
-        if self.files.exists(self.path(run, "lock")) and self.files.read(self.path(run, "lock")) == owner:
+        if self.held(run) == owner:
             self.files.delete(self.path(run, "lock"))
 
-    def status(self, run):
+    def status(self, run, now=None):
         """A run in progress that nobody holds has crashed."""
         s = self.load(run)["status"]
-        return "crashed" if s == "in_progress" and not self.files.exists(self.path(run, "lock")) else s
+        return "crashed" if s == "in_progress" and not self.held(run, now) else s
 
     def list(self):
         """Runs by the time they began."""

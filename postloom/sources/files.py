@@ -1,5 +1,6 @@
 """Posts from a folder of files."""
 import os
+from functools import reduce
 
 from pyspark.sql import Window as W, functions as F
 
@@ -104,18 +105,23 @@ def browse(spark, folder):
 def load(spark, folder, mapping=None, limit=None, on_duplicate="suffix"):
     """Posts of a folder's files in the order of names: id, content, timestamp, engagement, file and whatever else they hold.
 
-    Engagement is ranked within its file, and missing values get the median. Ids: as ensure_ids; a repeated source id is an error if on_duplicate is "error". limit: the first rows by file and place, after all that.
+    Rows without content stay, with empty content. A column that files hold in unlike types is text. Engagement is ranked within its file, and missing values get the median. Ids: as ensure_ids; a repeated source id is an error if on_duplicate is "error". limit: the first rows by file and place, after all that.
     """
     files = [(p, os.path.splitext(p)[1].lower()) for p, _, d in listing(spark, folder) if not d]
     files = [(p, s) for p, s in files if s in READERS]
     if not files:
         raise ValueError(f"no file in {folder} that can be read")
-    out = None
+    frames, kinds = [], {}
     for k, (path, suffix) in enumerate(files):
         df = canonical(mapped(READERS[suffix](spark, path), mapping or {}))
         df = df.withColumn("file", F.lit(os.path.basename(path))).withColumn("file_no", F.lit(k)).withColumn("pos", F.monotonically_increasing_id())
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    out = require(out, "content").where("content <> ''")
+        frames.append(df)
+        for c in df.schema:
+            kinds.setdefault(c.name, set()).add(c.dataType.simpleString())
+    unlike = {c for c, found in kinds.items() if len(found) > 1}
+    frames = [df.withColumns({c: F.col(f"`{c}`").cast("string") for c in unlike & set(df.columns)}) for df in frames]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    out = require(out, "content")
     out = P.engagement_rank(out).withColumn("engagement", F.col("rank")).drop("rank")
     out = P.fill_median(out)
     if on_duplicate == "error":

@@ -120,12 +120,15 @@ def test_pools_follow_their_definition(spark):
 
 
 def test_walk_visits_a_unit_before_those_behind_it(spark):
-    u, e = ["a", "b", "c", "d", "z"], [("a", "b", "2", "x"), ("a", "c", "1", "y"), ("b", "d", "3", "w")]
-    assert G.walk(u, e, "a") == ["a", "c", "b", "d", "z"]
+    u, e = ["a", "b", "c", "d", "z"], [("a", "b", "2", "x"), ("a", "c", "1", "y"), ("b", "d", "3", "w"), ("c", "b", "4", "v")]
+    steps, extra = G.walk(u, e, "a")
+    assert steps == [("a", None), ("b", 0), ("c", 1), ("d", 2), ("z", None)] and extra == [3]
     units = spark.createDataFrame([(1, x) for x in u] + [(2, "q")], "component int, unit string")
     links = spark.createDataFrame([(1, *x) for x in e], "component int, source_unit string, target_unit string, time string, source string")
     got = G.walks(units, links, spark.createDataFrame([(1, "a")], "component int, unit string"))
-    assert [r.unit for r in got.where("component = 1").orderBy("step").collect()] == ["a", "c", "b", "d", "z"] and got.where("component = 2").first().unit == "q"
+    one = got.where("component = 1")
+    assert [tuple(r[2:]) for r in one.where("step is not null").orderBy("step").collect()] == [("a", None, None), ("b", "a", "b"), ("c", "a", "c"), ("d", "b", "d"), ("z", None, None)]
+    assert [tuple(r[2:]) for r in one.where("step is null").collect()] == [(None, "c", "b")] and got.where("component = 2").first().unit == "q"
 
 
 REPORT = "## Executive Summary\nx [E1]\n## Key Findings\ny [E2, id p_1]\n## Interpretation\n## Confidence Assessment\n- **Level:** High\n## Conclusion\nConfidence: High"
@@ -140,6 +143,7 @@ def test_report_contract(change, problem):
 def test_answers_and_rendering():
     said = iter(["bad", REPORT])
     assert R.answer(lambda p: next(said), "q", {"E1": {"a"}, "E2": {"p_1"}}) == (REPORT, [])
+    assert R.cited("[e1] [E2, id p-1] [E3,q] [X1]") == [("E1", ""), ("E2", "p-1"), ("E3", "q")]
     assert R.linkify("[e1] [E2, id p] [E3]", {"E1", "E2"}) == "[\\[E1\\]](#cite-E1) [\\[E2, id p\\]](#cite-E2) [E3]"
     out = R.render([(1, [("E1", "chain", "t", [("p", None, "a\nb")])])])
     assert out.startswith("1 groups, 1 of kind chain") and "  > a\n  > b" in out
