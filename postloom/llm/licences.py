@@ -62,13 +62,15 @@ RULES = [
     ("bsd3-ref", "BSD-3-Clause"), ("bsd2-ref", "BSD-2-Clause"), ("isc-grant", "ISC"), ("isc-ref", "ISC"), ("mit-ref", "MIT"), ("mit-grant", "MIT"), ("mit-notice", "MIT"), ("ccbync4-ref", "CC-BY-NC-4.0"), ("ccby4-ref", "CC-BY-4.0"),
     ("ccbysa4-ref", "CC-BY-SA-4.0"), ("unlicense-ref", "Unlicense"), ("unlicense", "Unlicense"), ("zlib-warranty|zlib-grant", "Zlib"), ("zlib-grant", "Zlib"), ("zlib-ref", "Zlib"), ("epl2-ref", "EPL-2.0"), ("bsl1-ref", "BSL-1.0"), ("cc0-ref", "CC0-1.0"), ("wtfpl", "WTFPL"), ("wtfpl-ref", "WTFPL"), ("reserved", "All-rights-reserved"),
 ]
+#: Words of the longest sentence; references by name are shorter.
+LONGEST = max(len(s.split(" ")) for s in SENTENCES)
 
 
 def scan(docs, id_col="doc_id", text_col="text"):
     """doc_id, sentence_ids and licences ('|'-joined, in order of the rules; empty if none) of every row. Null or empty text has none.
 
     A blank line, and a full stop or the like before white space, end a sentence; a sentence wrapped over lines counts where it starts, and a line may be a sentence
-    of its own too, unless it lies within a wrapped one that is known; one may start at any line of a paragraph of 40 lines at most. List marks ("1.", "(a)", "*") and comment marks before a line are no part of it. No shuffle.
+    of its own too, unless it lies within a wrapped one that is known; one may start at any line of a paragraph. List marks ("1.", "(a)", "*") and comment marks before a line are no part of it. No shuffle.
     """
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
     named = F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, f"{v}-ref")])
@@ -78,9 +80,18 @@ def scan(docs, id_col="doc_id", text_col="text"):
     parts = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+|([.!?;:])\n|\n[ \t]*\n+", "$1$2\u0001"), "\u0001")
     clean = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     name = lambda c: F.when(c.rlike(BEFORE), F.element_at(named, F.regexp_replace(F.regexp_replace(c, BEFORE, ""), AFTER, "")))
-    id_of = lambda s: F.coalesce(F.element_at(known, clean(s)), name(clean(s)))
-    rest = lambda x: F.transform(x, lambda s, i: F.coalesce(F.when(F.size(x) <= 40, id_of(F.array_join(F.slice(x, i + 1, F.size(x)), " "))), id_of(s)))
-    found_in = lambda s: F.when(id_of(s).isNotNull(), F.array(id_of(s))).otherwise(rest(F.split(s, "\n")))
+    id_of = lambda c: F.coalesce(F.element_at(known, c), name(c))
+    begin = F.struct(F.lit("").alias("tail"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("ids"))
+
+    def line(acc, c):
+        """From the last line up: what stands from this line to the end, as long as it has no more words than a sentence may have, else the line alone."""
+        tail = F.when(acc["over"], F.lit("")).otherwise(F.trim(F.concat(c, F.lit(" "), acc["tail"])))
+        over = acc["over"] | (F.size(F.split(tail, " ")) > LONGEST)
+        found = F.coalesce(F.when(~over, id_of(tail)), id_of(c))
+        return F.struct(tail.alias("tail"), over.alias("over"), F.when(found.isNull(), acc["ids"]).otherwise(F.concat(F.array(found), acc["ids"])).alias("ids"))
+
+    rest = lambda s: F.aggregate(F.reverse(F.transform(F.split(s, "\n"), clean)), begin, line)["ids"]
+    found_in = lambda s: F.when(id_of(clean(s)).isNotNull(), F.array(id_of(clean(s)))).otherwise(rest(s))
     ids = F.concat_ws("|", F.filter(F.flatten(F.transform(parts, found_in)), lambda x: x.isNotNull()))
     ids = F.when(F.lower(text_col).rlike("licen|reserved|redistribut|copyright|public domain|permission|permitted|warranty|(?:released|distributed|available)\\s+under"), ids).otherwise("")
     rules = F.array(*[F.struct(F.lit(f"|{a}|").alias("seq"), F.lit(b).alias("name")) for a, b in RULES])

@@ -30,7 +30,7 @@ def plain(text):
         if whole:
             ids.append(whole)
         else:
-            ids += [x for i in range(len(lines)) if (x := (name(" ".join(lines[i:])) if len(lines) <= 40 else None) or name(lines[i]))]
+            ids += [x for i in range(len(lines)) if (x := name(" ".join(lines[i:])) or name(lines[i]))]
     left, out = ids, []
     for rule, licence in L.RULES:
         seq, i, hit, rest = rule.split("|"), 0, False, []
@@ -66,3 +66,11 @@ def test_every_rule_can_be_met_and_empty_tables(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     plan = L.scan(spark.range(1).selectExpr("id doc_id", "'x' text"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+def test_a_grant_after_any_number_of_lines(spark):
+    mit = next(s for s, k in L.SENTENCES.items() if k == "mit-grant").split(" ")
+    grant = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    rows = [(n, "a note\n" * n + "---\n" * (n // 100) + grant) for n in (0, 33, 36, 45, 10_000)]
+    got = {r.doc_id: r.licences for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys((0, 33, 36, 45, 10_000), "MIT")
