@@ -135,8 +135,8 @@ FACTS = [("n", pa.int64()), *[(p, pa.int64()) for p in PARITY], ("w", pa.list_(p
 PROFILE = "key long, th long, doc_id long, node long, n long, " + ", ".join(f"{p} long" for p in PARITY) + ", w array<long>, sigs array<long>"
 
 
-def profiles(df, id_col, text_col):
-    """One row per row of df, from one reading of its text: a row number, the text's hash (JVM), the set's node, size, parity bits and, unless this worker has just seen the set, signatures."""
+def profiles(df, id_col, text_col, nameless=False):
+    """One row per row of df, from one reading of its text: a row number, the text's hash (JVM), the set's node, size, parity bits and signatures, unless this worker has just given them for the set. A row with a null id has none if it takes no part (not `nameless`), so that another row of its set gets them."""
     docs = df.count()
     x = df.select(F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -146,13 +146,14 @@ def profiles(df, id_col, text_col):
         key, seen = TaskContext.get().partitionId() << 33, set()
         for b in by_bytes(batches, 2):
             node, n, bits, ws, sigs = [], [], [], [], []
-            for s in sets_of(b.column(2)):
+            part = np.full(b.num_rows, True) if nameless else b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            for s, takes_part in zip(sets_of(b.column(2)), part.tolist()):
                 d = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
                 node.append(int.from_bytes(d, "little", signed=True) if len(s) else None)
                 n.append(len(s))
                 bits.append(parity(s))
                 ws.append(wide(s))
-                if len(s) < 4 or d in seen:
+                if not takes_part or len(s) < 4 or d in seen:
                     sigs.append(None)
                 else:
                     if len(seen) >= 200_000:
@@ -207,7 +208,7 @@ def verify(df, text_col, pairs, classes):
 
 def buckets(df, id_col, text_col, nameless=False):
     """(profile, classes of equal sets, (sig, node, lead) of every signature that several classes share). Rows with a null id are in classes only if `nameless`."""
-    profile = profiles(df, id_col, text_col)
+    profile = profiles(df, id_col, text_col, nameless)
     known = profile.where("node is not null" if nameless else "node is not null and doc_id is not null")
     first = known.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("rep"))
     facts = known.select("key", "th", *[c for c, _ in FACTS])

@@ -106,3 +106,16 @@ def test_linked_sets_share_a_signature_whatever_the_allocation(docs):
             both = len(np.intersect1d(x, y))
             if 100 * both >= 80 * (len(x) + len(y) - both):
                 assert len(np.intersect1d(jaccard.signatures(x, docs), jaccard.signatures(y, docs))) or np.array_equal(x, y)
+
+
+def test_rows_without_an_id_hide_no_link(spark):
+    """The same set under a null id, first, last or alone in its partition."""
+    base = [f"w{i}" for i in range(60)]
+    same, near = " ".join(base), " ".join(base[:57] + ["x", "y", "z"])
+    for rows in ([(None, same), (5, same), (6, near)], [(5, same), (6, near), (None, same)], [(None, same), (None, near), (5, same), (6, near)]):
+        for parts in (1, 3):
+            df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+            got = {r.doc_id: r.component_id for r in jaccard.classes_of(df if parts == 1 else df.repartition(parts)).collect()}
+            assert got[5] == got[6] == 5
+        members = {r.doc_id: (r.n_links, r.component_id) for r in jaccard.links_of(df)[1].where("doc_id is not null").collect()}
+        assert members == {5: (1, 5), 6: (1, 5)}
