@@ -68,10 +68,13 @@ def fill_median(df, value="engagement", default=5.5):
 
 
 def size_buckets(df, value="engagement", cuts=(0.8, 0.95)):
-    """'mega', 'big' or 'normal' by the column's percentiles."""
+    """'mega', 'big' or 'normal' by the column's percentiles; a missing value counts as 0."""
+    had = df.columns
+    df = df.withColumn("_v", F.coalesce(numeric(F.col(value)), F.lit(0.0)))
+    value = "_v"
     big, mega = (percentile(df, value, q) for q in cuts)
     v = F.col(value)
-    return df.withColumn("size", F.when(v >= F.lit(mega), "mega").when(v >= F.lit(big), "big").otherwise("normal"))
+    return df.withColumn("size", F.when(v >= F.lit(mega), "mega").when(v >= F.lit(big), "big").otherwise("normal")).select(*[c for c in had if c != "size"], "size")
 
 
 def ensure_ids(df, order, key="id", content="content"):

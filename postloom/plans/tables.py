@@ -3,7 +3,7 @@ from pyspark.sql import Window as W, functions as F
 
 from .. import runs
 from ..functions import text as T
-from ..operators import edges as E, models, pools, posts as P, retrieval as R
+from ..operators import edges as E, models, pools, posts as P, retrieval as R, summaries as S
 from ..session import table
 from .registry import POSTS, docs_v, posts_v, query
 
@@ -11,7 +11,7 @@ from .registry import POSTS, docs_v, posts_v, query
 @query("SELECT doc_id AS id, coalesce(len(embedding), -1) AS dim, coalesce(label, -1) AS label FROM documents LEFT JOIN embeddings ON doc_id = vec_id")
 def posts_with_embeddings(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return docs_v(s, d).select("id").join(e, "id", "left").select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).otherwise(-1).cast("long").alias("dim"), F.coalesce("label", F.lit(-1)).alias("label"))
+    return S.with_vectors(docs_v(s, d).select("id"), e).select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).otherwise(-1).cast("long").alias("dim"), F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 @query("SELECT doc_id AS id, source AS file, coalesce(quality, -1) AS cluster_label, coalesce(toxic, -1) AS cluster_topic FROM documents LEFT JOIN labels USING (doc_id)")
@@ -24,9 +24,10 @@ def relabelled(s, d):
 
 @query("SELECT o_orderkey, n_name AS label FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def label_lookup(s, d):
-    """J4, J17: a small table of labels, joined by broadcast."""
-    n = table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("label"))  # a nation a row: bounded
-    return table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), "c_nationkey", "left").select("o_orderkey", "label")
+    """J4, J17: a table of labels, broadcast if it is small."""
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("label"))
+    x = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return S.labelled(x, n, "c_nationkey").select("o_orderkey", "label")
 
 
 @query("SELECT c.conv_id, c.turn, f.text AS title FROM conversations c LEFT JOIN (SELECT conv_id, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1) f USING (conv_id)")
@@ -57,23 +58,22 @@ def adaptive_threshold(s, d):
 
 @query("SELECT label AS cluster_id, count(vec_id) AS size FROM embeddings GROUP BY label")
 def cluster_sizes(s, d):
-    return table(s, d, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.count("vec_id").alias("size"))
+    return S.sizes(table(s, d, "embeddings").withColumnRenamed("label", "cluster_id"), id="vec_id")
 
 
 @query("SELECT arg_min(source, (n, source)) AS smallest, arg_max(source, (n, source)) AS largest FROM (SELECT source, count(*) n FROM documents GROUP BY source)")
 def cluster_extremes(s, d):
-    n = table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return n.agg(F.min_by("source", F.struct("n", "source")).alias("smallest"), F.max_by("source", F.struct("n", "source")).alias("largest"))
+    return S.extremes(S.sizes(table(s, d, "documents"), "source", "doc_id"), "source")
 
 
 @query("SELECT event_type AS role, count(*) AS n FROM events GROUP BY event_type")
 def role_counts(s, d):
-    return table(s, d, "events").groupBy(F.col("event_type").alias("role")).agg(F.count("*").alias("n"))
+    return S.value_counts(table(s, d, "events"), "event_type", "role")
 
 
 @query("SELECT lang, count(DISTINCT source) AS sources, CAST(list_sort(list(DISTINCT source))[1] AS VARCHAR) AS first_source FROM documents GROUP BY lang")
 def distinct_values(s, d):
-    return table(s, d, "documents").groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.array_sort(F.collect_set("source"))[0].alias("first_source"))
+    return S.distinct_values(table(s, d, "documents"), "lang", "source").toDF("lang", "sources", "first_source")
 
 
 @query("WITH v AS (SELECT vec_id, generate_subscripts(embedding[1:4], 1) - 1 i, unnest(embedding[1:4])::DOUBLE x FROM embeddings) SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) GROUP BY ALL")
@@ -107,7 +107,8 @@ def k_bounds(s, d):
 
 @query("SELECT count(ts) > 0 AS has_time, count(value) > 0 AS has_engagement, count(CASE WHEN event_id < 0 THEN 1 END) > 0 AS has_none FROM events")
 def field_probes(s, d):
-    return table(s, d, "events").agg((F.count("ts") > 0).alias("has_time"), (F.count("value") > 0).alias("has_engagement"), (F.count(F.when(F.col("event_id") < 0, 1)) > 0).alias("has_none"))
+    e = table(s, d, "events").withColumn("none", F.when(F.col("event_id") < 0, 1))
+    return S.fields(e, has_time="ts", has_engagement="value", has_none="none")
 
 
 @query("SELECT doc_id AS id, source AS file FROM documents ORDER BY source, doc_id LIMIT 50")
@@ -118,8 +119,9 @@ def limit_rows(s, d):
 @query("SELECT event_id, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, value DESC, user_id, event_id) AS INT) AS place FROM events QUALIFY place <= 1000")
 def edge_order(s, d):
     """T2, T3: by type, then force, ties pinned."""
-    order = [F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).otherwise(2), F.desc("value"), "user_id", "event_id"]
-    top = table(s, d, "events").orderBy(*order).limit(1000)
+    e = table(s, d, "events").withColumn("kind", F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise("other"))
+    order = S.strongest(e, ("click", "view", "other"), ("user_id", "event_id"), "kind", "value")
+    top = e.orderBy(*order).limit(1000)
     return top.select("event_id", F.row_number().over(W.orderBy(*order)).alias("place"))
 
 
@@ -134,17 +136,31 @@ def pool_cap(s, d):
     return pools.capped(table(s, d, "events").select(F.col("user_id").alias("hub"), F.col("event_id").alias("id"), F.col("value").alias("delta")), 5)
 
 
-@query("SELECT conv_id, array_to_string(list(turn ORDER BY turn)[1:5], ',') AS first_five, string_agg(CASE WHEN length(text) <= 30 THEN text ELSE substr(text, 1, 29) || '…' END, '|' ORDER BY turn) FILTER (turn < 2) AS previews FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, array_to_string(list(turn ORDER BY turn)[1:5], ',') AS first_five, string_agg(CASE WHEN length(text) <= 30 THEN coalesce(text, '') ELSE substr(text, 1, 29) || '…' END, '|' ORDER BY turn) FILTER (r <= 5) AS previews FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) r FROM conversations) GROUP BY conv_id")
 def prompt_candidates(s, d):
-    c = table(s, d, "conversations").withColumn("p", T.truncate_hard(F.col("text"), 30))
-    x = c.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"), F.array_sort(F.collect_list(F.when(F.col("turn") < 2, F.struct("turn", "p")))).alias("p"))
-    return x.select("conv_id", F.concat_ws(",", F.slice("t", 1, 5).cast("array<string>")).alias("first_five"), F.when(F.size("p") > 0, F.array_join(F.col("p.p"), "|")).alias("previews"))
+    x = S.first_members(table(s, d, "conversations"), 5, 30, "conv_id", "turn", "text")
+    return x.select("conv_id", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("first_five"), F.array_join("previews", "|").alias("previews"))
 
 
 @query("SELECT label AS cluster_id, vec_id AS id, CAST(row_number() OVER w AS INT) AS place, greatest(count(*) OVER (PARTITION BY label) - 15, 0) AS more FROM embeddings JOIN events ON vec_id = event_id WINDOW w AS (PARTITION BY label ORDER BY value DESC, vec_id) QUALIFY place <= 15")
 def cluster_best_posts(s, d):
-    x = posts_v(s, d).withColumn("place", F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("engagement"), "id"))).withColumn("more", F.greatest(F.count("*").over(W.partitionBy("cluster_id")) - 15, F.lit(0)))
-    return x.where("place <= 15").select("cluster_id", "id", "place", "more")
+    return S.best_posts(posts_v(s, d))
+
+
+@query("SELECT count(DISTINCT lang) AS groups, count(CASE WHEN k = 0 THEN 1 END) AS chains, count(CASE WHEN k = 1 THEN 1 END) AS pools, count(CASE WHEN k = 2 THEN 1 END) AS isolated, sum(n)::BIGINT AS posts FROM (SELECT lang, source, length(source) % 3 k, count(*) n FROM documents GROUP BY ALL)")
+def context_counts(s, d):
+    """A15: units by kind."""
+    kind = F.element_at(F.array(F.lit("nova:"), F.lit("adept:"), F.lit("post:")), F.length("source") % 3 + 1)
+    return S.context_counts(table(s, d, "documents").select(F.col("lang").alias("group_no"), F.concat(kind, "source").alias("unit"), F.col("doc_id").alias("id")))
+
+
+@query("""WITH p AS (SELECT doc_id id, lang cluster_id, CASE WHEN doc_id % 2 = 0 THEN source END chain, CASE WHEN doc_id % 3 = 0 THEN source END pool, n_chars depth FROM documents),
+e AS (SELECT a.cluster_id, count(*) n FROM p a JOIN p b ON b.id = a.id + 1 AND b.cluster_id = a.cluster_id GROUP BY 1)
+SELECT cluster_id, count(*) AS posts, count(DISTINCT chain) AS chains, count(DISTINCT pool) AS pools, max(depth) AS depth, any_value(coalesce(n, 0)) AS edges FROM p LEFT JOIN e USING (cluster_id) GROUP BY cluster_id""")
+def cluster_overview(s, d):
+    """A16: posts, chains, pools, depth and edges of each cluster."""
+    p = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cluster_id"), F.expr("case when doc_id % 2 = 0 then source end").alias("subtopic_id"), F.expr("case when doc_id % 3 = 0 then source end").alias("adept_pool_hub_id"), F.col("n_chars").alias("nova_depth"))
+    return S.cluster_overview(p, p.select(F.col("id").alias("source"), (F.col("id") + 1).alias("target")))
 
 
 @query("SELECT user_id AS hub, event_id AS id, CASE WHEN event_id = h THEN 'hub' WHEN event_id = lo THEN 'pioneer' WHEN mx > mn AND event_id = la THEN 'latest' ELSE 'member' END AS role FROM (SELECT user_id, event_id, t, min(event_id) OVER w h, first_value(event_id) OVER (PARTITION BY user_id ORDER BY t NULLS LAST, event_id) lo, min(t) OVER w mn, max(t) OVER w mx, first_value(event_id) OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, event_id) la FROM (SELECT *, CASE WHEN event_id % 4 > 0 THEN ts END t FROM events) WINDOW w AS (PARTITION BY user_id))".replace("event_id = lo", "mx > mn AND event_id = lo AND t IS NOT NULL"))
