@@ -82,6 +82,39 @@ def breadth_first(edges, seeds, limit=None):
     return found
 
 
+#: What a tree follows first: a chain's edge along its direction and against it, a spoke from a pool's hub or named post, to one, and between others, and any other edge.
+CHAIN, SPOKE, ANY = (0, 8), (12, 18, 22), 30
+
+
+def ordered_tree(edges, posts, root, most=3000):
+    """order, id, depth, parent of the first `most` posts of a breadth-first tree from root, in the order of the walk: a post's neighbours are taken by the place of the best edge to them (see CHAIN, SPOKE, ANY), then by falling degree, then by id as text; a post belongs to the first that reaches it.
+
+    edges: source, target, type; posts: id, adept_role, adept_pool_label. A level is one job: what reaches the driver and is broadcast is at most `most` rows, whatever a post's degree. Edges of posts that are not in posts count; a root without edges is alone; repeated edges add to the degree.
+    """
+    both = edges.where("source is not null and target is not null")
+    both = both.select(F.col("source").alias("id"), F.col("target").alias("other"), "type", F.lit(True).alias("along")).union(both.select("target", "source", "type", F.lit(False)))
+    pool = (F.lower(F.coalesce("adept_role", F.lit(""))) == "hub") | (F.coalesce("adept_pool_label", F.lit("")) != "")
+    pooled = posts.where(pool).select(F.col("id").alias("p")).distinct().withColumn("is", F.lit(True))
+    x = both.join(pooled.toDF("id", "from_pool"), "id", "left").join(pooled.toDF("other", "to_pool"), "other", "left")
+    place = F.when(F.col("type") == "nova", F.when(F.col("along"), CHAIN[0]).otherwise(CHAIN[1]))
+    place = place.when(F.col("type") == "adept_spoke", F.when(F.col("from_pool"), SPOKE[0]).when(F.col("to_pool"), SPOKE[1]).otherwise(SPOKE[2])).otherwise(ANY)
+    x = x.select("id", "other", place.alias("place")).groupBy("id", "other").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    degree = x.groupBy(F.col("id").alias("other")).agg(F.sum("n").alias("degree"))
+    around = materialise(x.drop("n").join(degree, "other"), "around")
+    spark, kind = edges.sparkSession, edges.schema["source"].dataType.simpleString()
+    out = [(0, root, 0, None)]
+    front = out
+    while front and len(out) < most:
+        level = F.broadcast(spark.createDataFrame([(r[0], r[1], r[2]) for r in front], f"at int, id {kind}, depth int"))
+        seen = F.broadcast(spark.createDataFrame([(r[1],) for r in out], f"other {kind}"))
+        step = around.join(level, "id").join(seen, "other", "left_anti")
+        step = step.groupBy("other").agg(F.min(F.struct("at", "place", (-F.col("degree")).alias("d"), F.col("other").cast("string").alias("name"), "id", "depth")).alias("b"))
+        step = step.orderBy("b.at", "b.place", "b.d", "b.name").limit(most - len(out)).collect()
+        front = [(len(out) + k, r.other, r.b.depth + 1, r.b.id) for k, r in enumerate(step)]
+        out = out + front
+    return spark.createDataFrame(out, f"order int, id {kind}, depth int, parent {kind}")
+
+
 def roots(components, edges, labels):
     """component, root: the node of highest degree, then of smallest label, then of smallest id."""
     x = components.join(degrees(edges), "id", "left").join(labels.select("id", "label"), "id", "left")

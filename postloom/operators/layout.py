@@ -232,3 +232,68 @@ def cluster_layout(posts, edges, steps=100, seed=0):
         return pd.DataFrame({"id": a.id, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
     return posts.groupBy("cluster_id").cogroup(e.groupBy("cluster_id")).applyInPandas(run, f"id {kind}, x double, y double, z double")
+
+
+def free_along(centre, direction, least, places, radii):
+    """The smallest distance from centre along a direction of norm 1, `least` or more, at which a point lies in none of the spheres (places, radii)."""
+    gap = centre - places
+    along = gap @ direction
+    under = along**2 - (gap * gap).sum(1) + radii**2
+    hit = under > 0
+    half = np.sqrt(under[hit])
+    lo, hi = -along[hit] - half, -along[hit] + half
+    at = least
+    for a, b in sorted(zip(lo, hi)):
+        if a >= at:
+            break
+        at = max(at, b)
+    return at
+
+
+def pack_bubbles(centre, places, radii, margin, rng, tries=8):
+    """New centres of spheres, in the order given, so that none is nearer to another than margin times their radii together: from where each is, out along its direction from the centre, or along one of `tries` directions near it, drawn by rng, if that is nearer to where it was. A sphere at the centre goes in a drawn direction."""
+    out, eps = np.empty_like(places), 1e-9
+    for n in range(len(places)):
+        away = places[n] - centre
+        far = float(np.linalg.norm(away))
+        first = away / far if far > 1e-6 else rng.normal(size=3)
+        ways = [first, *(first + 0.3 * rng.normal(size=(tries, 3)))]
+        best = None
+        for way in ways:
+            way = way / (np.linalg.norm(way) + 1e-12)
+            t = free_along(centre, way, far if far > 1e-6 else 0.0, out[:n], (radii[:n] + radii[n]) * margin + eps) if n else far
+            spot = centre + t * way
+            moved = float(np.linalg.norm(spot - places[n]))
+            if best is None or moved < best[0] - eps:
+                best = moved, spot
+            if best[0] <= eps:
+                break
+        out[n] = best[1]
+    return out
+
+
+def pack_blocks(posts, margin=1.15, seed=0, least_posts=4):
+    """posts with x, y, z moved so that no two blocks of a cluster overlap: a block (a chain, a pool or a single post) keeps its form and is moved as one.
+
+    posts: id, cluster_id, unit, x, y, z, radius (null counts as 1). A block is a sphere around its mean place that holds its posts with their radii, 0.5 at least; the largest are placed first, ties by unit. Clusters of under `least_posts` posts or two blocks, posts without a cluster, and those without a place stay. Draws depend on the seed and the cluster. One task gets the spheres of a cluster, not its posts; its work is quadratic in their number.
+    """
+    some = posts.where("cluster_id is not null and unit is not null and x is not null and y is not null and z is not null")
+    mean = [F.avg(c).alias(f"c{c}") for c in "xyz"]
+    blocks = some.groupBy("cluster_id", "unit").agg(*mean, F.count("*").alias("n"))
+    centres = some.groupBy("cluster_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"], F.count("*").alias("posts"), F.count_distinct("unit").alias("blocks"))
+    centres = centres.where((F.col("posts") >= least_posts) & (F.col("blocks") > 1))
+    reach = F.sqrt(sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in "xyz")) + F.coalesce("radius", F.lit(1.0))
+    radius = some.join(blocks, ["cluster_id", "unit"]).groupBy("cluster_id", "unit").agg(F.greatest(F.lit(0.5), F.max(reach)).alias("r"))
+    spheres = blocks.join(radius, ["cluster_id", "unit"]).join(centres, "cluster_id")
+    kinds = {c: posts.schema[c].dataType.simpleString() for c in ("cluster_id", "unit")}
+
+    def place(pdf):
+        pdf = pdf.sort_values(["r", "unit"], ascending=[False, True])
+        was = pdf[["cx", "cy", "cz"]].to_numpy()
+        rng = np.random.default_rng([seed, int.from_bytes(str(pdf.cluster_id.iloc[0]).encode(), "big") % 2**63])
+        new = pack_bubbles(pdf[["mx", "my", "mz"]].to_numpy()[0], was, pdf.r.to_numpy(), margin, rng)
+        return pd.DataFrame({"cluster_id": pdf.cluster_id, "unit": pdf.unit, **{f"d{c}": (new - was)[:, k] for k, c in enumerate("xyz")}})
+
+    moves = spheres.groupBy("cluster_id").applyInPandas(place, f"cluster_id {kinds['cluster_id']}, unit {kinds['unit']}, dx double, dy double, dz double")
+    x = posts.join(moves, ["cluster_id", "unit"], "left")
+    return x.select(*[(F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) if c in ("x", "y", "z") else F.col(c) for c in posts.columns])

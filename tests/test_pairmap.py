@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import pairmap
-from tests.test_manifold import rows, trust
+from test_manifold import rows, trust
 
 
 def test_pairs_equal_a_plain_program(spark):

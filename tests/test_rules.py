@@ -115,3 +115,65 @@ def test_colours_follow_the_axes():
     assert L.colours({"a": [1.0, 2.0, 3.0]}) == {"a": "#5B8FF9"} and L.colours({}) == {}
     two = L.colours({"a": [0.0, 0.0, 0.0], "b": [3.0, 0.0, 0.0]})  # hue 0 and 360, saturation 58 %, lightness 63 %
     assert two["a"] == two["b"] == "#D76A6A"
+
+
+@pytest.mark.parametrize("most", [3000, 12])
+def test_trees_in_order_of_edges(spark, most):
+    from collections import deque
+
+    from postloom.operators import graph as G
+
+    r = random.Random(4)
+    edges = [(r.randrange(40), r.randrange(40), r.choice(["nova", "adept_spoke", "temporal"])) for _ in range(55)]
+    role = {i: ("hub" if i % 5 == 0 else None, "named" if i % 7 == 0 else "") for i in range(40)}
+    around = {}
+    for a, b, kind in edges:
+        around.setdefault(a, []).append((b, kind, True))
+        around.setdefault(b, []).append((a, kind, False))
+    pooled = lambda i: role[i][0] == "hub" or bool(role[i][1])
+
+    def place(a, b, kind, along):
+        if kind == "nova":
+            return 0 if along else 8
+        if kind == "adept_spoke":
+            return 12 if pooled(a) else 18 if pooled(b) else 22
+        return 30
+
+    root = max(around, key=lambda i: (len(around[i]), i))
+    want, todo = {root: (0, None)}, deque([root])
+    while todo:
+        a = todo.popleft()
+        best = {}
+        for b, kind, along in around[a]:
+            best[b] = min(best.get(b, 99), place(a, b, kind, along))
+        for b in sorted(best, key=lambda b: (best[b], -len(around[b]), str(b))):
+            if b not in want and len(want) < most:
+                want[b] = (want[a][0] + 1, a)
+                todo.append(b)
+    posts = spark.createDataFrame([(i, *role[i]) for i in range(40)], "id long, adept_role string, adept_pool_label string")
+    got = G.ordered_tree(spark.createDataFrame(edges, "source long, target long, type string"), posts, root, most).orderBy("order").collect()
+    assert [(x.id, x.depth, x.parent) for x in got] == [(i, *v) for i, v in want.items()] and len(got) > 10
+    assert G.ordered_tree(spark.createDataFrame([], "source long, target long, type string"), posts, 7).collect()[0][:] == (0, 7, 0, None)
+
+
+def test_blocks_are_packed_without_overlap(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, i % 2 if i < 118 else None, f"u{i % 23}" if i % 3 else f"alone{i}", *map(float, r.normal(size=3) * 3), float(r.uniform(0.2, 1)) if i % 4 else None) for i in range(120)]
+    rows += [(200, 7, "a", 0.0, 0.0, 0.0, 1.0), (201, 7, "b", 0.0, 0.0, 0.0, 1.0), (202, 0, "lost", None, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, cluster_id long, unit string, x double, y double, z double, radius double")
+    runs = [sorted(map(tuple, L.pack_blocks(df.repartition(n)).select("id", "cluster_id", "unit", "x", "y", "z").collect()), key=lambda t: t[0]) for n in (1, 4)]
+    assert all(np.allclose([t[3:] for t in runs[0] if t[3] is not None], [t[3:] for t in runs[1] if t[3] is not None]) for _ in "x") and len(runs[0]) == len(rows)
+    was = {x[0]: x for x in rows}
+    for c in (0, 1):
+        spheres = {}
+        for i, k, u, *p in runs[0]:
+            if k == c and p[0] is not None:
+                spheres.setdefault(u, []).append((np.array(p), was[i][6] or 1.0, np.array(was[i][3:6])))
+        balls = []
+        for held in spheres.values():
+            p, q = np.array([h[0] for h in held]), np.array([h[2] for h in held])
+            assert np.allclose(p - p.mean(0), q - q.mean(0))  # the form stays
+            balls.append((p.mean(0), max(0.5, max(np.linalg.norm(a - p.mean(0)) + h[1] for a, h in zip(p, held)))))
+        assert all(np.linalg.norm(a[0] - b[0]) >= 1.15 * (a[1] + b[1]) - 1e-6 for n, a in enumerate(balls) for b in balls[:n]) and len(balls) > 20
+    stay = {t[0]: t[3:] for t in runs[0]}
+    assert all(stay[i] == was[i][3:6] for i in (118, 119, 200, 201, 202))
