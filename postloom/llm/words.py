@@ -14,43 +14,57 @@ from .packing import WordEncoder
 
 #: ASCII white space, at which the tokenizer always ends a word; other white space is left within a unit, to the library.
 WHITE = r"[\t-\r ]+"
-BLOCKS = "block long, doc_ids array<long>, ends array<long>, places binary, buckets binary, sheets array<struct<bucket: int, words: string>>"
+BLOCKS = "block long, doc_ids array<long>, ends array<long>, places binary, buckets binary, sheets array<struct<bucket: int, words: binary>>"
 #: Pieces that may be broadcast; a tokenizer with more is joined by a shuffle.
 BROADCAST = 1_000_000
 
 
+def packed_bytes(data):
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unpacked_bytes(data):
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def planes(numbers):
     """uint32 as bytes: all first bytes, then all second ones and so on, compressed, as most numbers are small."""
-    flat = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(flat.tobytes())
+    out = np.empty((4, len(numbers)), np.uint8)
+    for k in range(4):
+        out[k] = numbers >> 8 * k & 255
+    return packed_bytes(out.data if out.size else b"")
 
 
 def unplanes(data):
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    flat = np.frombuffer(unpacked_bytes(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(flat.T).view("<u4").ravel()
 
 
-def blocks(df, buckets, words=2_000_000, id_col="doc_id", text_col="text"):
-    """Whole documents in blocks of about `words` words. places: each word's place in the block's list of distinct words; buckets: of each distinct word; sheets: the distinct words of each bucket, with a blank between."""
+def blocks(df, buckets, words=1_500_000, id_col="doc_id", text_col="text"):
+    """Whole documents in blocks of about `words` words. places: each word's place in the block's list of distinct words; buckets: of each distinct word; sheets: the distinct words of each bucket, with a blank between, compressed."""
     names = [x.split(" ")[0].rstrip(":") for x in BLOCKS.split(", ")[:5]] + ["sheets"]
-    sheet = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.string())]))
+    sheet = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), sheet]
 
     def block(number, ids, counts, parts):
         found = pa.concat_arrays(parts).dictionary_encode()
-        known, n = found.dictionary, len(found.dictionary)
-        places = found.indices.to_numpy(zero_copy_only=False)
+        n, places = len(found.dictionary), found.indices.to_numpy(zero_copy_only=False)
+        order = pc.sort_indices(found.dictionary).to_numpy()
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.arange(n, dtype=np.uint32)  # words in order share beginnings, and take fewer bytes
+        known, places = found.dictionary.take(pa.array(order)), rank[places]
         if n:
             one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), known), " ")
-            at = (word_hashes(np.frombuffer(one.buffers()[2], np.uint8))[0] % np.uint64(buckets)).astype(np.int32)
+            at = (word_hashes(np.frombuffer(one.buffers()[2], np.uint8), 1 << 19)[0] % np.uint64(buckets)).astype(np.int32)
         else:
             at = np.empty(0, np.int32)
         order = np.argsort(at, kind="stable")
         used, first = np.unique(at[order], return_index=True)
         ends = np.append(first, n).astype(np.int32)
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), known.take(pa.array(order))), " ")
+        texts = pa.array([packed_bytes(t.encode()) for t in texts.to_pylist()], pa.binary())
         sheets = pa.StructArray.from_arrays([pa.array(used, pa.int32()), texts], names=["bucket", "words"])
-        held = [pa.array([number]), pa.array([ids], kinds[1]), pa.array([np.cumsum(counts)], kinds[2]), pa.array([planes(places)], pa.binary()), pa.array([at.astype("<u4").tobytes()], pa.binary())]
+        held = [pa.array([number]), pa.array([ids], kinds[1]), pa.array([np.cumsum(counts)], kinds[2]), pa.array([planes(places)], pa.binary()), pa.array([planes(at)], pa.binary())]
         return pa.RecordBatch.from_arrays([*held, pa.ListArray.from_arrays(pa.array([0, len(sheets)], pa.int32()), sheets)], names=names)
 
     def run(batches):
@@ -73,8 +87,10 @@ def blocks(df, buckets, words=2_000_000, id_col="doc_id", text_col="text"):
                 held += len(parts[-1])
                 lo = hi
                 if held >= words or hi < b.num_rows:
-                    yield block(number, ids, counts, parts)
+                    out = block(number, ids, counts, parts)
                     number, ids, counts, parts, held = number + 1, [], [], [], 0
+                    yield out
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield block(number, ids, counts, parts)
 
@@ -91,7 +107,7 @@ def encode_sheets(sheets, tokenizer):
         encode, last = WordEncoder(tokenizer), None
         table = encode.cache
         for b in batches:
-            bucket, texts = b.column(1).to_pylist(), [t.split(" ") for t in b.column(2).to_pylist()]
+            bucket, texts = b.column(1).to_pylist(), [unpacked_bytes(t).decode().split(" ") for t in b.column(2).to_pylist()]
             cuts = [i for i in range(len(bucket)) if i == 0 or bucket[i] != bucket[i - 1]] + [len(bucket)]
             lengths, ids = [], []
             for lo, hi in zip(cuts, cuts[1:]):
@@ -101,8 +117,8 @@ def encode_sheets(sheets, tokenizer):
                 encode.learn(list(set().union(*texts[lo:hi]).difference(table)))
                 for words in texts[lo:hi]:
                     parts = list(map(table.__getitem__, words))
-                    lengths.append((np.fromiter(map(len, parts), np.int64, len(parts)) // 4).astype("<u4").tobytes())
-                    ids.append(b"".join(parts))
+                    lengths.append(planes(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
+                    ids.append(planes(np.frombuffer(b"".join(parts), "<u4")))
             yield rows(kind, [b.column(0), b.column(1), lengths, ids])
 
     return sheets.mapInArrow(run, "block long, bucket int, lengths binary, ids binary")
@@ -122,17 +138,17 @@ def assemble(joined):
         for b in batches:
             for i in range(b.num_rows):
                 doc_ids, ends, places, buckets, sheets = (c[i].as_py() for c in b.columns)
-                at = np.frombuffer(buckets, "<u4")
+                at = unplanes(buckets)
                 sheets = sorted(sheets or [], key=lambda s: s["bucket"])
-                data = np.frombuffer(b"".join(s["ids"] for s in sheets), "<u4").astype(np.int32)
+                data = np.concatenate([np.empty(0, "<u4"), *[unplanes(s["ids"]) for s in sheets]]).astype(np.int32)
                 length, start = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-                by_sheet = np.frombuffer(b"".join(s["lengths"] for s in sheets), "<u4").astype(np.int64)
+                by_sheet = np.concatenate([np.empty(0, "<u4"), *[unplanes(s["lengths"]) for s in sheets]]).astype(np.int64)
                 order = np.argsort(at, kind="stable")
                 length[order], start[order] = by_sheet, np.cumsum(by_sheet) - by_sheet
                 places, ends = unplanes(places), np.array([0, *ends], np.int64)
                 lo = 0
-                while lo < len(doc_ids):  # about a million words at once
-                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 1_000_000, "right")) - 1)
+                while lo < len(doc_ids):  # about 250,000 words at once
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 250_000, "right")) - 1)
                     mine = places[ends[lo] : ends[hi]]
                     flat = gathered(data, start[mine], length[mine])
                     cuts = np.append(0, np.cumsum(length[mine]))[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
@@ -151,7 +167,7 @@ def encode(df, tokenizer, id_col="doc_id", text_col="text"):
     """
     spark = df.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):  # a list of words takes more room than its text
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.compression.codec": "uncompressed"}):  # a list of words takes more room than its text
         found = materialise(blocks(df, buckets, id_col=id_col, text_col=text_col), "blocks")
     sheets = found.select("block", F.explode("sheets").alias("s")).select("block", "s.*")
     sheets = sheets.repartition("bucket").sortWithinPartitions("bucket")
@@ -168,8 +184,8 @@ def pieces_of(spark, tokenizer):
 PACKED = "block long, pos int, id int, doc_ids array<long>, lengths array<int>, ids binary"
 
 
-def packed(df, most=1_000_000):
-    """Rows of (doc_id, ids array<int>) about a million ids at once: a row at pos -1 with their documents and ids, then a row for each distinct id, in the order of their first places. Null ids count as absent."""
+def packed(df, most=250_000):
+    """Rows of (doc_id, ids array<int>) about 250,000 ids at once: a row at pos -1 with their documents and ids, then a row for each distinct id, in the order of their first places. Null ids count as absent."""
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     schema = pa.schema([(x.split(" ")[0], k) for x, k in zip(PACKED.split(", "), kinds)])
 
@@ -201,7 +217,7 @@ def packed(df, most=1_000_000):
 def decode(df, tokenizer):
     """doc_id, n_tokens long, ids binary (little-endian unsigned 32-bit), decoded: the pieces of (doc_id, ids array<int>) with a blank between, as the library joins them where the tokenizer has no decoder. Ids that the vocabulary lacks give no piece; null or empty ids give empty text.
 
-    The distinct ids of about a million at once are joined with the vocabulary, which is broadcast, so that they stay in order and no shuffle is needed. A vocabulary of over a million pieces is joined by a shuffle, and the rows sorted again.
+    The distinct ids of about 250,000 at once are joined with the vocabulary, which is broadcast, so that they stay in order and no shuffle is needed. A vocabulary of over a million pieces is joined by a shuffle, and the rows sorted again.
     """
     pieces, n = pieces_of(df.sparkSession, tokenizer)
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
