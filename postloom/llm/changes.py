@@ -21,9 +21,12 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": STATE,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "20s",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
+#: On file systems of the machine, Spark's other way to put a checkpoint file in place starts a process for each file.
+BY_RENAME = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
 FED = "lane long, client_id long, change_id long, n long, op string, city string, balance double, day long, at timestamp"
 OUT = "change_id long, client_id long, n long, op string, status string, batch int, missed long, city string, balance double"
 
@@ -137,12 +140,12 @@ def apply_changes(changes, batches=10, first_day=19_723, days=160, wait=8):
 
     A row's number n is the dense rank of its seq among its client's; h = crc32 of its decimal change_id; its day is that of valid_at plus 5 * (h % 4). Rows without valid_at or change_id, and those with h % 11 = 0, take no part, but count for the ranks. Days before the first go with batch 1. Null client ids are a client; a null seq is the lowest; an op other than I, U and D changes nothing; rows of equal day and change_id come in order of n, op, city and balance. Other columns make rows distinct and are not carried. An empty table gives no rows.
 
-    Batches are written to a new folder of the shared one, and moved in front of a query that starts anew for each and goes on from its checkpoint. The watermark follows the largest day by `wait` days. When it passes a client's earliest held day, the timer's callback, in the batch without data that follows, jumps to the least held number. That is the start of the following batch, whose number it bears; a last row with a day beyond all others flushes what is held as batch `batches` + 1. About 64 clients share a state key and a timer, which stands at the earliest day that any of them holds; the key's state is one value, read and written once in a batch that has rows of it. `current` is told by an aggregate over the results.
+    Batches are written to a new folder of the shared one, and moved in front of a query that starts anew for each and goes on from its checkpoint. The watermark follows the largest day by `wait` days. When it passes a client's earliest held day, the timer's callback, in the batch without data that follows, jumps to the least held number. That is the start of the following batch, whose number it bears; a row with a day beyond all others, fed with the last batch, flushes what is held then as batch `batches` + 1. About 64 clients share a state key and a timer, which stands at the earliest day that any of them holds; the key's state is one value, read and written once in a batch that has rows of it. `current` is told by an aggregate over the results.
     """
     spark = changes.sparkSession
     home = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
     fed(changes, batches, first_day, days).hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{home}/cut")
-    spark.range(1).selectExpr("0 lane", "null client_id", "null change_id", "-1 n", "null op", "null city", "null balance", f"{SENTINEL} day", f"timestamp_seconds({SENTINEL} * 86400l) at", f"{batches + 1} batch").selectExpr(*[f"cast({c.split(' ')[0]} as {c.split(' ')[1]}) {c.split(' ')[0]}" for c in FED.split(", ")], "batch").write.mode("append").partitionBy("batch").parquet(f"{home}/cut")
+    spark.range(1).selectExpr("0 lane", "null client_id", "null change_id", "-1 n", "null op", "null city", "null balance", f"{SENTINEL} day", f"timestamp_seconds({SENTINEL} * 86400l) at", f"{batches} batch").selectExpr(*[f"cast({c.split(' ')[0]} as {c.split(' ')[1]}) {c.split(' ')[0]}" for c in FED.split(", ")], "batch").write.mode("append").partitionBy("batch").parquet(f"{home}/cut")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(home).getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(path(f"{home}/fed"))
@@ -150,8 +153,9 @@ def apply_changes(changes, batches=10, first_day=19_723, days=160, wait=8):
     def label(day):
         return max(1, min(batches, 1 + (day - first_day) * batches // days))
 
-    with settings(spark, SETTINGS):
-        for b in range(1, batches + 2):
+    by_rename = {"spark.sql.streaming.checkpointFileManagerClass": BY_RENAME} if store.getScheme() == "file" else {}
+    with settings(spark, SETTINGS | by_rename):
+        for b in range(1, batches + 1):
             if exists(spark, f"{home}/cut/batch={b}"):
                 store.rename(path(f"{home}/cut/batch={b}"), path(f"{home}/fed/batch={b}"))
             stream = spark.readStream.schema(f"{FED}, batch int").parquet(f"{home}/fed").withWatermark("at", f"{wait} days")
