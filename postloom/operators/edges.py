@@ -151,8 +151,8 @@ def adaptive_threshold(posts, percent, block=BLOCK):
     return found[0] + (found[1] - found[0]) * place["part"]
 
 
-def graft(posts, hubs, chain_posts, least, force=1.0):
-    """Each hub to the nearest chain post of its cluster at a cosine of `least` or more, ties to the smaller id. hubs and chain_posts hold an id each."""
+def graft(posts, hubs, chain_posts, least, force=1.0, places=12):
+    """Each hub to the nearest chain post of its cluster at a cosine of `least` or more, cosines taken to so many decimal places and ties to the smaller id. hubs and chain_posts hold an id each."""
     p = posts.select("id", "cluster_id", F.col("embedding").cast("array<double>").alias("v")).where("cluster_id is not null")
     h, c = p.join(hubs.select("id"), "id", "left_semi"), p.join(chain_posts.select("id"), "id", "left_semi")
     # a cluster's chain posts are split into blocks; each block's best competes
@@ -165,12 +165,13 @@ def graft(posts, hubs, chain_posts, least, force=1.0):
         if not len(left) or not len(right):
             return pd.DataFrame({"source": [], "target": [], "cos": []})
         right = right.sort_values("target")
-        cos = np.stack(left.x.to_numpy()) @ np.stack(right.y.to_numpy()).T
+        cos = np.round(np.stack(left.x.to_numpy()) @ np.stack(right.y.to_numpy()).T, places)
         at = cos.argmax(1)
         return pd.DataFrame({"source": left.source.to_numpy(), "target": right.target.to_numpy()[at], "cos": cos[np.arange(len(at)), at]})
 
     found = h.groupBy("cluster_id", "salt").cogroup(c.groupBy("k", "part")).applyInPandas(nearest, f"source {kind}, target {kind}, cos double")
-    best = found.groupBy("source").agg(F.max("cos").alias("top")).join(found, "source").where("cos = top").groupBy("source").agg(F.min("target").alias("target"), F.max("cos").alias("cos"))
+    best = found.groupBy("source").agg(F.min(F.struct((-F.col("cos")).alias("cos"), "target")).alias("best"))
+    best = best.select("source", "best.target", (-F.col("best.cos")).alias("cos"))
     return best.where(F.col("cos") >= least).select("source", "target", F.lit(float(force)).alias("force"), "cos")
 
 

@@ -48,7 +48,7 @@ GRAFT = f"WITH {POSTS}, h AS (SELECT * FROM p WHERE id % 7 = 0), c AS (SELECT *
 @query(f"{GRAFT} SELECT source, target, cos FROM x WHERE cos >= 0.1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY cos DESC, target) = 1")
 def graft_top1(s, d):
     p = posts_v(s, d)
-    return E.graft(p, p.where("id % 7 = 0"), p.where("id % 7 in (1, 2)"), 0.1).select("source", "target", F.round("cos", 6).alias("cos"))
+    return E.graft(p, p.where("id % 7 = 0"), p.where("id % 7 in (1, 2)"), 0.1, places=6).select("source", "target", F.round("cos", 6).alias("cos"))
 
 
 @query(f"WITH {POSTS}, c AS (SELECT list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) c FROM p a JOIN p b ON a.id < b.id) SELECT round(quantile_cont(c, 0.9), 6) AS threshold FROM c WHERE c > 0")
