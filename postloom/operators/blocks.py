@@ -1,9 +1,16 @@
-"""Pairs of all rows of a table, block by block: rows are dealt into blocks of bounded size by a hash of their id, and each pair of blocks meets in one task."""
+"""Pairs of all rows of a table, block by block: rows are dealt into blocks by a hash of their id, and each pair of blocks meets in one task, which goes through it piece by piece.
+
+A row is sent once for each block, so a table is cut into BLOCKS blocks at most, whatever its size, until they would hold more than LARGEST rows: what is sent grows with the table, and a task's memory is bounded.
+"""
 import numpy as np
 from pyspark.sql import functions as F
 
-#: Rows a block holds, about.
-BLOCK = 1024
+#: Rows a block holds, about, in a table of few of them.
+BLOCK = 512
+#: The most blocks of a table, and the most of a part of it that meets only some others, unless they would hold more than LARGEST rows, about.
+BLOCKS, SOME, LARGEST = 24, 8, 50_000
+#: Rows of a block that are compared with as many of another at once.
+TILE = 1024
 
 
 def finite(vector):
@@ -19,7 +26,8 @@ def vectors(df, id="id", vector="embedding"):
 
 def paired(p, block=BLOCK):
     """Each row of p (with a column id) once for each block that its own meets: with g, the two blocks, and side: 0 in the first, 1 in the second, 2 where a block meets itself."""
-    subs = max(1, -(-p.count() // block))
+    n = p.count()
+    subs = max(1, min(BLOCKS, -(-n // block)), -(-n // LARGEST))
     p = p.withColumn("s", F.expr(f"pmod(xxhash64(id), {subs}L)"))
     groups = F.expr(f"transform(sequence(0L, {subs - 1}L), x -> named_struct('g', named_struct('a', least(s, x), 'b', greatest(s, x)), 'side', if(s = x, 2, if(s < x, 0, 1))))")
     return p.withColumn("x", F.explode(groups)).withColumn("g", F.col("x.g")).withColumn("side", F.col("x.side")).drop("x", "s")
@@ -40,12 +48,14 @@ def by_length(x, y):
         yield i, j, np.stack([x[a] for a in i]), np.stack([y[a] for a in j])
 
 
-def cosines(x, y):
-    """Dot products of two lists of vectors; -inf for vectors of unlike length."""
-    out = np.full((len(x), len(y)), -np.inf)
+def pieces(x, y, same, tile=TILE):
+    """(places in x, places in y, matrices of their rows, in double precision) of all pairs of two lists' vectors of one length, `tile` by `tile`; where the lists are the same, each pair of pieces once."""
     for i, j, a, b in by_length(x, y):
-        out[np.ix_(i, j)] = a @ b.T
-    return out
+        a = a.astype(float)
+        b = a if same else b.astype(float)
+        for s in range(0, len(i), tile):
+            for t in range(s if same else 0, len(j), tile):
+                yield i[s : s + tile], j[t : t + tile], a[s : s + tile], b[t : t + tile]
 
 
 def distances(x, y):

@@ -1,14 +1,16 @@
 """Candidate edges between posts (id, embedding, cluster_id, timestamp, engagement), greedy matching, and the edge builder.
 
-Similar pairs come from one kernel: posts are dealt into blocks of bounded size, and each pair of blocks that may hold pairs meets in one task, where a matrix product gives all cosines and only those that pass leave it.
+Similar pairs come from one kernel: posts are dealt into blocks, and each pair of blocks that may hold pairs meets in one task, where matrix products of pieces give all cosines and only those that pass leave it.
 """
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.text import IN, OUT, tier
 from ..session import materialise
-from .blocks import BLOCK, cosines, finite, paired, sides, vectors
+from .blocks import BLOCK, LARGEST, SOME, finite, paired, pieces, sides, vectors
 from .components import connected_components
 
 
@@ -16,59 +18,68 @@ def similar(posts, least, hours=None, rising=False, falling=False, differ=False,
     """(source, target, cos, dt) of pairs whose embeddings' dot product is above `least`. Null ids, and embeddings that are null, empty or hold null or non-finite numbers, take no part; vectors of unlike length are not compared.
 
     hours: source is older, by at most so many (else source < target and dt is null); rising: the target's engagement is greater, falling: the source's; differ: both have clusters, unlike ones.
-    A time bucket, or the whole table without hours, is split by id into blocks of about `block` posts, so a hot bucket is many tasks.
+    A time bucket, or the whole table without hours, is split by id into blocks (see blocks), so a hot bucket is many tasks.
     """
     p = posts.where(F.col("id").isNotNull() & finite("embedding"))
-    p = p.select("id", F.col("embedding").cast("array<double>").alias("v"), "cluster_id" if differ else F.lit(None).cast("int").alias("cluster_id"), F.col("engagement").cast("double").alias("e") if rising or falling else F.lit(0.0).alias("e"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(3.6e9)).alias("t") if hours else F.lit(0.0).alias("t"))
+    single = posts.schema["embedding"].dataType.simpleString() == "array<float>"  # sent as it is
+    p = p.select("id", (F.col("embedding") if single else F.col("embedding").cast("array<double>")).alias("v"), "cluster_id" if differ else F.lit(None).cast("int").alias("cluster_id"), F.col("engagement").cast("double").alias("e") if rising or falling else F.lit(0.0).alias("e"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(3.6e9)).alias("t") if hours else F.lit(0.0).alias("t"))
     if hours:
         p = p.where("t is not null")
     if differ:
         p = p.where("cluster_id is not null")
-    p = p.withColumn("k", F.floor(F.col("t") / hours) if hours else F.lit(0).cast("long"))
-    if hours:
-        subs = p.groupBy("k").agg(F.ceil(F.count("*") / block).alias("subs"))
-        after = subs.select((F.col("k") - 1).alias("k"), F.col("subs").alias("next"))
-        before = subs.select((F.col("k") + 1).alias("k"), F.col("subs").alias("last"))
-        p = p.join(subs.join(after, "k", "left").join(before, "k", "left"), "k")
-    else:
-        p = p.withColumn("subs", F.lit(max(1, -(-p.count() // block))).cast("long"))
+    if not hours:
+        return paired(p, block).groupBy("g").applyInPandas(meeting(least, hours, rising, falling, differ), PAIR.format(posts.schema["id"].dataType.simpleString()))
+    p = p.withColumn("k", F.floor(F.col("t") / hours))
+    subs = p.groupBy("k").agg(F.greatest(F.least(F.ceil(F.count("*") / block), F.lit(SOME)), F.ceil(F.count("*") / LARGEST)).alias("subs"))
+    after = subs.select((F.col("k") - 1).alias("k"), F.col("subs").alias("next"))
+    before = subs.select((F.col("k") + 1).alias("k"), F.col("subs").alias("last"))
+    p = p.join(subs.join(after, "k", "left").join(before, "k", "left"), "k")
     p = p.withColumn("s", F.expr("pmod(xxhash64(id), subs)"))
     # a group is (bucket, block, bucket or the next one, block); a post is on its left, its right or both
     own = F.expr("transform(sequence(0L, subs - 1), x -> named_struct('g', named_struct('k', k, 'a', least(s, x), 'l', k, 'b', greatest(s, x)), 'side', if(s = x, 2, if(s < x, 0, 1))))")
     later = F.expr("transform(sequence(0L, coalesce(next, 0L)), x -> named_struct('g', named_struct('k', k, 'a', s, 'l', k + 1, 'b', x), 'side', 0))")
     earlier = F.expr("transform(sequence(0L, coalesce(last, 0L)), x -> named_struct('g', named_struct('k', k - 1, 'a', x, 'l', k, 'b', s), 'side', 1))")
-    groups = F.concat(own, F.slice(later, 1, F.coalesce("next", F.lit(0)).cast("int")), F.slice(earlier, 1, F.coalesce("last", F.lit(0)).cast("int"))) if hours else own
+    groups = F.concat(own, F.slice(later, 1, F.coalesce("next", F.lit(0)).cast("int")), F.slice(earlier, 1, F.coalesce("last", F.lit(0)).cast("int")))
     p = p.select("id", "v", "cluster_id", "e", "t", F.explode(groups).alias("x")).select("id", "v", "cluster_id", "e", "t", "x.side", F.col("x.g").alias("g"))
-    kind = posts.schema["id"].dataType.simpleString()
-
-    def meet(pdf):
-        x, y = pdf[pdf.side != 1], pdf[pdf.side != 0]
-        both = (pdf.side == 2).any()
-        out = pd.DataFrame({"source": [], "target": [], "cos": [], "dt": []}).astype({"source": pdf.id.dtype, "target": pdf.id.dtype, "cos": float, "dt": float})
-        if not len(x) or not len(y):
-            return out
-        cos = cosines(list(x.v), list(y.v))
-        i, j = np.nonzero(cos > least)
-        if both:
-            i, j = i[i < j], j[i < j]
-        c = cos[i, j]
-        x, y = x.iloc[i].reset_index(drop=True), y.iloc[j].reset_index(drop=True)
-        dt = y.t - x.t
-        turn = (dt < 0) if hours else (x.id > y.id)
-        s, t = x.id.where(~turn, y.id), y.id.where(~turn, x.id)
-        es, et = x.e.where(~turn, y.e), y.e.where(~turn, x.e)
-        ok = pd.Series(True, x.index)
-        if hours:
-            ok &= (dt.abs() > 0) & (dt.abs() <= hours)
-        if rising:
-            ok &= et > es
-        if falling:
-            ok &= es > et
-        if differ:
-            ok &= x.cluster_id != y.cluster_id
-        return pd.DataFrame({"source": s, "target": t, "cos": c, "dt": dt.abs() if hours else None})[ok]
-
-    return p.groupBy("g").applyInPandas(meet, f"source {kind}, target {kind}, cos double, dt double")
+    return p.groupBy("g").applyInPandas(meeting(least, hours, rising, falling, differ), PAIR.format(posts.schema["id"].dataType.simpleString()))
+
+
+PAIR = "source {0}, target {0}, cos double, dt double"
+
+
+def meeting(least, hours, rising, falling, differ):
+    """What a task does with a pair of blocks: see similar."""
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames), ignore_index=True)
+        both = bool((pdf.side == 2).any())
+        x, y = pdf[pdf.side != 1].reset_index(drop=True), pdf[pdf.side != 0].reset_index(drop=True)
+        del pdf
+        for at_x, at_y, a, b in pieces(list(x.v), list(y.v), both):
+            cos = a @ b.T
+            i, j = np.nonzero(cos > least)
+            c, i, j = cos[i, j], at_x[i], at_y[j]
+            if both:
+                once = i < j
+                c, i, j = c[once], i[once], j[once]
+            if not len(i):
+                continue
+            ix, iy, tx, ty, ex, ey = x.id.to_numpy()[i], y.id.to_numpy()[j], x.t.to_numpy()[i], y.t.to_numpy()[j], x.e.to_numpy()[i], y.e.to_numpy()[j]
+            dt = ty - tx
+            turn = (dt < 0) if hours else (ix > iy)
+            es, et = np.where(turn, ey, ex), np.where(turn, ex, ey)
+            ok = np.ones(len(i), bool)
+            if hours:
+                ok &= (np.abs(dt) > 0) & (np.abs(dt) <= hours)
+            if rising:
+                ok &= et > es
+            if falling:
+                ok &= es > et
+            if differ:
+                ok &= (x.cluster_id.to_numpy()[i] != y.cluster_id.to_numpy()[j]).astype(bool)
+            yield pd.DataFrame({"source": np.where(turn, iy, ix)[ok], "target": np.where(turn, ix, iy)[ok], "cos": c[ok], "dt": np.abs(dt)[ok] if hours else None})
+
+    return meet
 
 
 def decayed(tau):
@@ -93,7 +104,7 @@ def bridges(posts, least):
 
 
 #: Fixed by the form of a double: the bits of a positive one are in order of its value. How far to shift, and how many bits to look at, in each pass.
-DIGITS = ((42, 22), (21, 21), (0, 21))
+DIGITS = ((43, 20), (22, 21), (0, 22))
 
 
 def kth_cosines(posts, ranks_of, block=BLOCK):
@@ -108,13 +119,24 @@ def kth_cosines(posts, ranks_of, block=BLOCK):
 
         def count(pdf):
             x, y, same = sides(pdf)
-            cos = cosines(list(x.v), list(y.v)) if len(x) and len(y) else np.empty((0, 0))  # noqa: B023
-            cos = cos[np.triu_indices(len(x), 1)] if same and len(x) else cos.ravel()
-            key = np.ascontiguousarray(cos[cos > 0]).view(np.int64)
-            if heads is not None:  # noqa: B023
-                key = key[np.isin(key >> (shift + bits), heads)]  # noqa: B023
-            found, n = np.unique(key >> shift, return_counts=True)  # noqa: B023
-            return pd.DataFrame({"bits": found, "n": n})
+            total, some = np.zeros(1 << bits if heads is None else 0, np.int64), {}  # noqa: B023
+            for i, j, a, b in pieces(list(x.v), list(y.v), same):
+                cos = a @ b.T
+                if same:
+                    cos = cos[i[:, None] < j]
+                key = np.ascontiguousarray(cos[cos > 0]).view(np.int64)
+                if heads is None:  # noqa: B023
+                    total += np.bincount(key >> shift, minlength=len(total))  # noqa: B023
+                    continue
+                head, mine = key >> (shift + bits), np.zeros(len(key), bool)  # noqa: B023
+                for h in heads:  # noqa: B023
+                    mine |= head == h
+                for k, n in zip(*np.unique(key[mine] >> shift, return_counts=True)):  # noqa: B023
+                    some[int(k)] = some.get(int(k), 0) + int(n)
+            if heads is None:  # noqa: B023
+                found = np.flatnonzero(total)
+                return pd.DataFrame({"bits": found, "n": total[found]})
+            return pd.DataFrame({"bits": list(some), "n": list(some.values())}, dtype="int64")
 
         found = paired(p, block).groupBy("g").applyInPandas(count, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
         found = sorted((r.bits, r.n) for r in found)
