@@ -58,12 +58,18 @@ def pieces(x, y, same, tile=TILE):
                 yield i[s : s + tile], j[t : t + tile], a[s : s + tile], b[t : t + tile]
 
 
-def distances(x, y):
-    """Euclidean distances, added up dimension by dimension, so that a pair's is the same in every block; inf for vectors of unlike length."""
-    out = np.full((len(x), len(y)), np.inf)
-    for i, j, a, b in by_length(x, y):
-        total = np.zeros((len(i), len(j)))
-        for d in range(a.shape[1]):
-            total += (a[:, d, None] - b[None, :, d]) ** 2
-        out[np.ix_(i, j)] = np.sqrt(total)
-    return out
+def exact(a, b, i, j):
+    """Euclidean distances of rows i of a from rows j of b, added up dimension by dimension, so that a pair's is the same in every block."""
+    total = np.zeros(len(i))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        total += (x[i] - y[j]) ** 2
+    return np.sqrt(total)
+
+
+def about(a, b):
+    """(squared distances of all rows by a product, how far off they may be, scale): those of rows times the scale, a power of two that keeps squares finite."""
+    most = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+    scale = 1.0 if most < 1e100 else 2.0**-700
+    a, b = a * scale, b * scale
+    of_a, of_b = (a * a).sum(1), (b * b).sum(1)
+    return of_a[:, None] + of_b - 2 * (a @ b.T), 1e-11 * (of_a.max(initial=0) + of_b.max(initial=0)), scale

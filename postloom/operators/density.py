@@ -1,10 +1,11 @@
 """Density clustering of vectors: nearest neighbours, core distances, the minimum spanning tree of mutual reachability, the condensed tree and the clusters taken from it."""
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .blocks import BLOCK, distances, paired, sides, vectors
+from .blocks import BLOCK, about, exact, paired, pieces, sides, vectors
 from .components import connected_components
 
 #: Edges that one task contracts at a time.
@@ -13,6 +14,48 @@ RANGE = 1_000_000
 LEAST = 1e-12
 
 
+def merged(best, i, j, d):
+    """Put pairs (row, other, distance) into the rows' lists, best: (distances, others), each of fixed length in order of (distance, other). Others that are new come after those in the lists."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.r_[True, i[1:] != i[:-1]]
+    place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+    rows, at, keep = i[first], np.cumsum(first) - 1, place < best[0].shape[1]
+    new = np.full((len(rows), best[0].shape[1]), np.inf), np.full((len(rows), best[0].shape[1]), -1)
+    for new_of, found in zip(new, (d, j)):
+        new_of[at[keep], place[keep]] = found[keep]
+    all_d, all_j = (np.concatenate([b[rows], n], 1) for b, n in zip(best, new))
+    order = np.argsort(all_d, 1, kind="stable")[:, : best[0].shape[1]]
+    best[0][rows], best[1][rows] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_j, order, 1)
+
+
+def nearest_of(x, y, same, k, cosine):
+    """((distances, places in y) of the k nearest of each vector of x, (distances, places in x) of each of y) for two lists; -1 where there are fewer. A product tells which pairs may be near enough, and only their distances are worked out."""
+    best = [(np.full((len(z), k), np.inf), np.full((len(z), k), -1)) for z in (x, y)]
+    for at_x, at_y, a, b in pieces(x, x if same else y, False):
+        square, off, scale = about(a, b)
+        off += 1e-11 if cosine else 0
+        if same and at_x[0] == at_y[0]:
+            np.fill_diagonal(square, np.inf)
+        for side in (0,) if same else (0, 1):
+            rows, m = (at_x, square) if side == 0 else (at_y, square.T)
+            last = best[side][0][rows, -1]
+            least = (2 * last if cosine else last * scale * last * scale) + off
+            new = np.isinf(last)
+            if new.any() and m.shape[1] > k:
+                least[new] = np.partition(m[new], k - 1, 1)[:, k - 1] + 2 * off
+            i, j = np.nonzero(square <= (least[:, None] if side == 0 else least))
+            i, j = (z[np.isfinite(square[i, j])] for z in (i, j))
+            if not len(i):
+                continue
+            d = exact(a, b, i, j)
+            d = np.round(d**2 / 2, 12) if cosine else d  # so that copies are at 0
+            i, j, d = (z[np.isfinite(d)] for z in (at_x[i], at_y[j], d))
+            if len(i):
+                merged(best[side], *((i, j) if side == 0 else (j, i)), d)
+    return best
+
+
 def nearest(df, k, id="id", vector="embedding", metric="euclidean", block=BLOCK):
     """id, v, near: the k nearest other rows, array<struct<d, other>> from the nearest, ties to the smaller id; fewer where there are no more.
 
@@ -20,30 +63,25 @@ def nearest(df, k, id="id", vector="embedding", metric="euclidean", block=BLOCK)
     """
     p = materialise(vectors(df, id, vector), "vectors")
     kind = p.schema["id"].dataType.simpleString()
-
-    def meet(pdf):
-        x, y, same = sides(pdf)
-        out = []
-        if len(x) and len(y):
-            a, b = list(x.v), list(y.v)
-            if metric == "cosine":
-                a, b = ([np.asarray(v) / (np.linalg.norm(v) or 1) for v in z] for z in (a, b))
-                d = np.round(distances(a, b) ** 2 / 2, 12)  # so that copies are at 0
-            else:
-                d = distances(a, b)
+    cosine = metric == "cosine"
+
+    def meet(table):
+        x, y, same = sides(table.to_pandas())
+        a, b = list(x.v), list(y.v)
+        if cosine:
+            a, b = ([np.asarray(v) / (np.linalg.norm(v) or 1) for v in z] for z in (a, b))
+        ids, near = [], []
+        for (d, j), own, other in zip(nearest_of(a, b, same, k, cosine), (x, y), (y, x)):
+            some = j >= 0
+            ends = pa.array(np.r_[0, some.sum(1).cumsum()], pa.int32())
+            theirs = table["id"].take(pa.array(other.index.to_numpy()[j[some]])).combine_chunks()
+            near.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(d[some]), theirs], ["d", "other"])))
+            ids.append(table["id"].take(pa.array(own.index.to_numpy())).combine_chunks())
             if same:
-                np.fill_diagonal(d, np.inf)
-            for m, own, other in ((d, x, y), (d.T, y, x)):
-                at = np.argsort(m, 1, kind="stable")[:, :k]
-                ids, theirs = own.id.to_numpy(), other.id.to_numpy()
-                for i in range(len(ids)):
-                    found = at[i][np.isfinite(m[i, at[i]])]
-                    out.append((ids[i], [{"d": float(m[i, j]), "other": theirs[j]} for j in found]))
-                if same:
-                    break
-        return pd.DataFrame(out, columns=["id", "near"])
-
-    found = paired(p, block).groupBy("g").applyInPandas(meet, f"id {kind}, near array<struct<d: double, other: {kind}>>")
+                break
+        return pa.table({"id": pa.chunked_array(ids), "near": pa.chunked_array(near)})
+
+    found = paired(p, block).groupBy("g").applyInArrow(meet, f"id {kind}, near array<struct<d: double, other: {kind}>>")
     found = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return p.join(found, "id")
 
@@ -54,47 +92,78 @@ def core_distances(df, k=7, id="id", vector="embedding", block=BLOCK):
     return found.select("id", "v", F.coalesce(F.try_element_at("near", F.lit(-1))["d"], F.lit(0.0)).alias("core"))
 
 
-def grown(w, places):
-    """Prim's tree of a complete graph: (i, j) of its edges, least by (weight, smaller place, larger place)."""
-    n = len(places)
-    lo, hi = np.minimum(places[:, None], places), np.maximum(places[:, None], places)
-    out = np.ones(n, bool)
-    best, by, key_lo, key_hi = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        out[at] = False
-        less = (w[at] < best) | (w[at] == best) & ((lo[at] < key_lo) | (lo[at] == key_lo) & (hi[at] < key_hi))
-        less &= out
-        best[less], by[less], key_lo[less], key_hi[less] = w[at][less], at, lo[at][less], hi[at][less]
-        rest = np.flatnonzero(out)
-        tied = rest[best[rest] == best[rest].min()]
-        at = tied[np.lexsort((key_hi[tied], key_lo[tied]))[0]]
-        edges.append((by[at], at))
-    return edges
+def least_out(best, part, w, lo, hi):
+    """Keep in best (w, lo, hi of each part) the least of the edges (part, w, lo, hi)."""
+    order = np.lexsort((hi, lo, w, part))
+    order = order[np.r_[True, part[order][1:] != part[order][:-1]]]
+    part, w, lo, hi = part[order], w[order], lo[order], hi[order]
+    of_w, of_lo, of_hi = (z[part] for z in best)
+    less = (w < of_w) | (w == of_w) & ((lo < of_lo) | (lo == of_lo) & (hi < of_hi))
+    for z, found in zip(best, (w, lo, hi)):
+        z[part[less]] = found[less]
+
+
+def leaving(pdf):
+    """part, other, w, a, b: the least edge of mutual reachability by (w, a, b) from each part of a pair of blocks (id, v, core, part, side) to any other part there."""
+    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+    pdf["code"], names = pd.factorize(pdf.part)
+    pdf = pdf.sort_values("code", kind="stable")  # a piece of one part only is passed over
+    x, y, same = pdf[pdf.side != 1], pdf[pdf.side != 0], bool((pdf.side == 2).any())
+    (core_x, part_x, rank_x), (core_y, part_y, rank_y) = ((z.core.to_numpy(), z.code.to_numpy(), z.index.to_numpy()) for z in (x, y))
+    bound, best = np.full(len(names), np.inf), (np.full(len(names), np.inf), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64))
+    for at_x, at_y, a, b in pieces(list(x.v), list(y.v), same):
+        of_x, of_y = part_x[at_x], part_y[at_y]
+        if of_x[0] == of_x[-1] == of_y[0] == of_y[-1]:
+            continue
+        square, off, scale = about(a, b)
+        own, other = core_x[at_x], core_y[at_y]
+        np.maximum(square, ((own * scale) ** 2)[:, None], out=square)
+        np.maximum(square, (other * scale) ** 2, out=square)
+        square[of_x[:, None] == of_y] = np.inf
+        off += 1e-11 * square[np.isfinite(square)].max(initial=0)
+        by_row, by_column = square.min(1), square.min(0)
+        np.minimum.at(bound, of_x, by_row / scale / scale)
+        np.minimum.at(bound, of_y, by_column / scale / scale)
+        for axis, of, low in ((0, of_x, by_row), (1, of_y, by_column)):
+            least = bound[of] * scale * scale + off
+            some = np.flatnonzero((low <= least) & np.isfinite(low))
+            if not len(some):
+                continue
+            m = square[some] if axis == 0 else square[:, some].T
+            r, c = np.nonzero((m <= least[some][:, None]) & np.isfinite(m))
+            i, j = (some[r], c) if axis == 0 else (c, some[r])
+            w = np.maximum(np.maximum(exact(a, b, i, j), own[i]), other[j])
+            u, v = rank_x[at_x[i]], rank_y[at_y[j]]
+            fine = np.isfinite(w)
+            if fine.any():
+                least_out(best, of[some[r]][fine], w[fine], np.minimum(u, v)[fine], np.maximum(u, v)[fine])
+    some = np.flatnonzero(np.isfinite(best[0]))
+    w, lo, hi = (z[some] for z in best)
+    pdf = pdf.sort_index()
+    code, ids = pdf.code.to_numpy(), pdf.id.to_numpy()
+    other = np.where(code[lo] == some, code[hi], code[lo])
+    return pd.DataFrame({"part": np.asarray(names)[some], "other": np.asarray(names)[other], "w": w, "a": ids[lo], "b": ids[hi]})
 
 
 def reachability_edges(cores, block=BLOCK):
-    """a, b, w: a set of edges that holds the minimum spanning tree of mutual reachability, max(distance, both core distances): the trees of all pairs of blocks, as an edge of the whole tree is in the tree of any part that holds both its ends.
+    """a, b, w: the minimum spanning tree of mutual reachability, max(distance, both core distances), by (w, a, b), a before b.
 
-    cores: id, v, core. Vectors of unlike length are joined by no edge.
+    cores: id, v, core. Vectors of unlike length are joined by no edge. Borůvka's rounds: all pairs of blocks are visited for the least edge out of each part, then parts are joined, so rounds are logarithmic; no edge but these leaves its task.
     """
+    cores = materialise(cores.select("id", "v", "core"), "cores")
     kind = cores.schema["id"].dataType.simpleString()
-    p = paired(cores, block)
-    several = p.select("g").distinct().limit(2).count() > 1
-    if several:
-        p = p.where("g.a <> g.b")
-
-    def meet(pdf):
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        core, out = pdf.core.to_numpy(), []
-        v = list(pdf.v)
-        w = np.maximum(np.maximum(distances(v, v), core[:, None]), core)
-        for i, j in grown(w, np.arange(len(v))):
-            if np.isfinite(w[i, j]):
-                out.append((*sorted((pdf.id[i], pdf.id[j])), w[i, j]))
-        return pd.DataFrame(out, columns=["a", "b", "w"])
-
-    return p.groupBy("g").applyInPandas(meet, f"a {kind}, b {kind}, w double")
+    parts, tree = materialise(cores.select("id", F.col("id").alias("part")), "parts"), None
+    while parts.select("part").distinct().limit(2).count() > 1:
+        found = paired(cores.join(parts, "id"), block).groupBy("g").applyInPandas(leaving, f"part {kind}, other {kind}, w double, a {kind}, b {kind}")
+        best = found.groupBy("part").agg(F.min(F.struct("w", "a", "b", "other")).alias("e"))
+        won = materialise(best.select("part", "e.*"), "won")
+        if won.isEmpty():
+            break
+        edges = won.select("a", "b", "w").distinct()
+        tree = edges if tree is None else tree.union(edges)
+        joined = connected_components(won, "part", "other").toDF("part", "next")
+        parts = materialise(parts.join(joined, "part", "left").select("id", F.coalesce("next", "part").alias("part")), "parts")
+    return cores.sparkSession.createDataFrame([], f"a {kind}, b {kind}, w double") if tree is None else tree
 
 
 def minimum_forest(edges, most=RANGE):

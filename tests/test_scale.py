@@ -37,3 +37,19 @@ def test_grafts_tie_at_six_places(spark, tmp_path):
     v[:, 0], v[:, 1] = 1, np.arange(30) * 3e-9
     v[::7, 1] = 1
     same_as_sql(spark, tables(spark, tmp_path / "u", v, [i % 2 for i in range(30)]), "graft_top1")
+
+
+def test_rows_are_sent_to_few_blocks(spark):
+    """Whatever the size of a table: before, a table of n rows was sent n / 1024 times."""
+    from postloom.operators import blocks
+
+    assert blocks.paired(spark.range(60_000)).count() <= 60_000 * blocks.BLOCKS
+
+
+def test_copies_are_neighbours_by_id(spark):
+    """More copies than neighbours, over pieces and blocks: the smaller ids are the nearest, at 0."""
+    from postloom.operators import density
+
+    df = spark.createDataFrame([(i, [0.1 * (i % 3), 0.3, 0.7]) for i in range(2400)], "id long, embedding array<double>")
+    for row in density.nearest(df, 3).where("id % 400 < 3").collect():
+        assert [(n.d, n.other) for n in row.near] == [(0.0, j) for j in range(row.id % 3, 15, 3) if j != row.id][:3]
