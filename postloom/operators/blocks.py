@@ -33,6 +33,14 @@ def paired(p, block=BLOCK):
     return p.withColumn("x", F.explode(groups)).withColumn("g", F.col("x.g")).withColumn("side", F.col("x.side")).drop("x", "s")
 
 
+def paired_within(p, group, block=BLOCK):
+    """As paired, for the rows of each group by themselves, each of SOME blocks at most: g has the group as `of`."""
+    subs = p.groupBy(F.col(group).alias("of")).agg(F.greatest(F.least(F.ceil(F.count("*") / block), F.lit(SOME)), F.ceil(F.count("*") / LARGEST)).alias("subs"))
+    p = p.withColumnRenamed(group, "of").join(subs, "of").withColumn("s", F.expr("pmod(xxhash64(id), subs)"))
+    groups = F.expr("transform(sequence(0L, subs - 1L), x -> named_struct('g', named_struct('of', of, 'a', least(s, x), 'b', greatest(s, x)), 'side', if(s = x, 2, if(s < x, 0, 1))))")
+    return p.withColumn("x", F.explode(groups)).withColumn("g", F.col("x.g")).withColumn("side", F.col("x.side")).drop("x", "s", "subs")
+
+
 def sides(pdf):
     """(first block's rows, second block's rows, whether it is one block), in order of ids, so that each pair's arithmetic is the same in every run."""
     pdf = pdf.sort_values("id", kind="stable")

@@ -53,3 +53,16 @@ def test_copies_are_neighbours_by_id(spark):
     df = spark.createDataFrame([(i, [0.1 * (i % 3), 0.3, 0.7]) for i in range(2400)], "id long, embedding array<double>")
     for row in density.nearest(df, 3).where("id % 400 < 3").collect():
         assert [(n.d, n.other) for n in row.near] == [(0.0, j) for j in range(row.id % 3, 15, 3) if j != row.id][:3]
+
+
+def test_a_pool_cluster_is_many_tasks(spark, tmp_path):
+    """Before, a cluster and all its distances were in one task; equal to SQL with more than one block of a cluster, and copies."""
+    from postloom.operators import pools
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(1300, 9))
+    v[1200:] = v[:100]
+    folder = tables(spark, tmp_path / "t", v, np.arange(1300) % 7 == 0)
+    df = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("id"))
+    assert pools.paired_within(df, "cluster_id").select("g").distinct().count() > 2
+    same_as_sql(spark, folder, "pool_rho_delta", "pool_members")
