@@ -14,15 +14,15 @@ from .blocks import BLOCK, LARGEST, SOME, finite, paired, pieces, sides, vectors
 from .components import connected_components
 
 
-def similar(posts, least, hours=None, rising=False, falling=False, differ=False, block=BLOCK):
+def similar(posts, least, hours=None, rising=False, falling=False, differ=False, block=BLOCK, new=None):
     """(source, target, cos, dt) of pairs whose embeddings' dot product is above `least`. Null ids, and embeddings that are null, empty or hold null or non-finite numbers, take no part; vectors of unlike length are not compared.
 
-    hours: source is older, by at most so many (else source < target and dt is null); rising: the target's engagement is greater, falling: the source's; differ: both have clusters, unlike ones.
+    hours: source is older, by at most so many (else source < target and dt is null); rising: the target's engagement is greater, falling: the source's; differ: both have clusters, unlike ones; new: the name of a column that is true for at least one of them.
     A time bucket, or the whole table without hours, is split by id into blocks (see blocks), so a hot bucket is many tasks.
     """
     p = posts.where(F.col("id").isNotNull() & finite("embedding"))
     single = posts.schema["embedding"].dataType.simpleString() == "array<float>"  # sent as it is
-    p = p.select("id", (F.col("embedding") if single else F.col("embedding").cast("array<double>")).alias("v"), "cluster_id" if differ else F.lit(None).cast("int").alias("cluster_id"), F.col("engagement").cast("double").alias("e") if rising or falling else F.lit(0.0).alias("e"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(3.6e9)).alias("t") if hours else F.lit(0.0).alias("t"))
+    p = p.select("id", (F.col("embedding") if single else F.col("embedding").cast("array<double>")).alias("v"), "cluster_id" if differ else F.lit(None).cast("int").alias("cluster_id"), F.col("engagement").cast("double").alias("e") if rising or falling else F.lit(0.0).alias("e"), (F.unix_micros(F.col("timestamp").cast("timestamp")) / F.lit(3.6e9)).alias("t") if hours else F.lit(0.0).alias("t"), F.coalesce(F.col(new), F.lit(False)).alias("new") if new else F.lit(True).alias("new"))
     if hours:
         p = p.where("t is not null")
     if differ:
@@ -40,7 +40,7 @@ def similar(posts, least, hours=None, rising=False, falling=False, differ=False,
     later = F.expr("transform(sequence(0L, coalesce(next, 0L)), x -> named_struct('g', named_struct('k', k, 'a', s, 'l', k + 1, 'b', x), 'side', 0))")
     earlier = F.expr("transform(sequence(0L, coalesce(last, 0L)), x -> named_struct('g', named_struct('k', k - 1, 'a', x, 'l', k, 'b', s), 'side', 1))")
     groups = F.concat(own, F.slice(later, 1, F.coalesce("next", F.lit(0)).cast("int")), F.slice(earlier, 1, F.coalesce("last", F.lit(0)).cast("int")))
-    p = p.select("id", "v", "cluster_id", "e", "t", F.explode(groups).alias("x")).select("id", "v", "cluster_id", "e", "t", "x.side", F.col("x.g").alias("g"))
+    p = p.select("id", "v", "cluster_id", "e", "t", "new", F.explode(groups).alias("x")).select("id", "v", "cluster_id", "e", "t", "new", "x.side", F.col("x.g").alias("g"))
     return p.groupBy("g").applyInPandas(meeting(least, hours, rising, falling, differ), PAIR.format(posts.schema["id"].dataType.simpleString()))
 
 
@@ -51,11 +51,14 @@ def meeting(least, hours, rising, falling, differ):
     """What a task does with a pair of blocks: see similar."""
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames), ignore_index=True)
+        pdf = pd.concat(list(frames), ignore_index=True).sort_values("new", ascending=False, kind="stable")
         both = bool((pdf.side == 2).any())
         x, y = pdf[pdf.side != 1].reset_index(drop=True), pdf[pdf.side != 0].reset_index(drop=True)
         del pdf
+        new_x, new_y = x.new.to_numpy(bool), y.new.to_numpy(bool)
         for at_x, at_y, a, b in pieces(list(x.v), list(y.v), both):
+            if not (new_x[at_x].any() or new_y[at_y].any()):
+                continue
             cos = a @ b.T
             i, j = np.nonzero(cos > least)
             c, i, j = cos[i, j], at_x[i], at_y[j]
@@ -68,7 +71,7 @@ def meeting(least, hours, rising, falling, differ):
             dt = ty - tx
             turn = (dt < 0) if hours else (ix > iy)
             es, et = np.where(turn, ey, ex), np.where(turn, ex, ey)
-            ok = np.ones(len(i), bool)
+            ok = new_x[i] | new_y[j]
             if hours:
                 ok &= (np.abs(dt) > 0) & (np.abs(dt) <= hours)
             if rising:
@@ -98,9 +101,9 @@ def by_engagement(posts, least, threshold=None):
     return e if threshold is None else e.where(F.col("force") > threshold)
 
 
-def bridges(posts, least):
-    """Pairs of different clusters above a cosine, smaller id first."""
-    return similar(posts, least, differ=True).select("source", "target", F.col("cos").alias("force"))
+def bridges(posts, least, new=None):
+    """Pairs of different clusters above a cosine, smaller id first; with a column `new`, those that hold a new post."""
+    return similar(posts, least, differ=True, new=new).select("source", "target", F.col("cos").alias("force"))
 
 
 #: Fixed by the form of a double: the bits of a positive one are in order of its value. How far to shift, and how many bits to look at, in each pass.
@@ -301,23 +304,27 @@ def prune_bridges(edges, components, guard=None):
 
     Borůvka rounds: each component takes its best edge out, which is the sequential result as the order is strict. components: node, component of every post; an unknown end or type is an error. Repeated edges count once.
     """
-    e = between(edges, components).distinct()
+    components = materialise(components.select("node", "component"), "components")
+    e = materialise(between(edges, components).distinct(), "between")
     inside = e.where("a = b").withColumn("reason", F.lit("inside"))
-    every = materialise(e.where("a <> b").withColumn("key", order_key()), "between")
+    every = e.where("a <> b").withColumn("key", order_key())
     left, barred = guarded(every, components, guard) if guard else (every, every.limit(0))
-    left, kept = materialise(left, "left"), every.limit(0)
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    least = lambda left: materialise(left.groupBy(*ends).agg(F.min("key").alias("key")), "left")  # noqa: E731  of parallel edges
+    left, kept = least(left), every.limit(0).select("key")
     while not left.isEmpty():
-        best = left.select(F.col("a").alias("c"), "key").union(left.select("b", "key")).groupBy("c").agg(F.min("key").alias("key")).select("key").distinct()
-        won = materialise(left.join(best, "key", "left_semi").select(*every.columns), "won")
-        kept = kept.unionByName(won)
-        c = connected_components(won, "a", "b")
+        x = F.struct("key", "a", "b").alias("x")
+        best = left.select(F.col("a").alias("c"), x).union(left.select("b", x)).groupBy("c").agg(F.min("x").alias("x"))
+        won = materialise(best.select("x.*").distinct(), "won")
+        kept = kept.union(won.select("key"))
+        c = materialise(connected_components(won, "a", "b"), "parts")
         left = left.join(c.toDF("a", "na"), "a", "left").join(c.toDF("b", "nb"), "b", "left")
-        left = left.select("source", "target", "type", "force", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "key").where("a <> b")
-        left = materialise(left, "left")
+        left = least(left.select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"), "key").where("a <> b"))
     cols = ["source", "target", "type", "force"]
     reason = lambda x, why: x.select(*cols, F.lit(why).alias("reason"))
-    rest = every.join(kept.select("key"), "key", "left_anti").join(barred.select("key"), "key", "left_anti")
-    return kept.select(*cols), reason(inside, "inside").unionByName(reason(barred, "isolated")).unionByName(reason(rest, "redundant"))
+    rest = every.join(kept, "key", "left_anti").join(barred.select("key"), "key", "left_anti")
+    stay = kept.select("key.source", "key.target", "key.type", (-F.col("key.f")).alias("force"))
+    return stay, reason(inside, "inside").unionByName(reason(barred, "isolated")).unionByName(reason(rest, "redundant"))
 
 
 def prune_counts(kept, dropped):
@@ -448,8 +455,9 @@ def build(posts, nova, spokes, first=None, second=None, bridge_least=0.9, caps=(
 
 
 def incremental(new, existing, make):
-    """Edges that touch a new post: `make` over both tables (columns that one lacks are null), then those with a new end."""
-    both = new.unionByName(existing, allowMissingColumns=True)
-    e = make(both)
-    ids = new.select("id").distinct()
-    return e.join(ids.toDF("source"), "source", "left_semi").unionByName(e.join(ids.toDF("source"), "source", "left_anti").join(ids.toDF("target"), "target", "left_semi").select(*e.columns))
+    """Edges that touch a new post: `make` over both tables (columns that one lacks are null), then those with a new end. A column is_new tells new posts, for a `make` that can leave other pairs out."""
+    both = new.withColumn("is_new", F.lit(True)).unionByName(existing.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
+    e, ids = make(both), new.select("id").distinct()
+    flag = lambda end: ids.select(F.col("id").alias(end), F.lit(True).alias(f"new_{end}"))
+    touched = e.join(flag("source"), "source", "left").join(flag("target"), "target", "left").where("new_source or new_target")
+    return touched.select(*e.columns)

@@ -186,7 +186,7 @@ def prune_statistics(s, d):
 def incremental_edges(s, d):
     """ST1: edges that touch a new post."""
     p = posts_v(s, d)
-    return E.incremental(p.where("id % 10 = 0"), p.where("id % 10 <> 0"), lambda x: E.bridges(x, 0.3)).select("source", "target")
+    return E.incremental(p.where("id % 10 = 0"), p.where("id % 10 <> 0"), lambda x: E.bridges(x, 0.3, new="is_new")).select("source", "target")
 
 
 DPC = """v AS (SELECT label, vec_id id, embedding[1:8]::DOUBLE[] e FROM embeddings), w AS (SELECT a.label, a.id, b.id other, list_distance(a.e, b.e) dist FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id),

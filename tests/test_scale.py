@@ -66,3 +66,14 @@ def test_a_pool_cluster_is_many_tasks(spark, tmp_path):
     df = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("id"))
     assert pools.paired_within(df, "cluster_id").select("g").distinct().count() > 2
     same_as_sql(spark, folder, "pool_rho_delta", "pool_members")
+
+
+def test_pairs_of_old_posts_are_left_out(spark):
+    """Before, incremental edges came from the pairs of all posts."""
+    from postloom.operators import edges
+
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=4).tolist(), i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, cluster_id int").withColumn("fresh", F.col("id") % 10 == 0)
+    every, some = edges.bridges(df, 0.5), edges.bridges(df, 0.5, new="fresh")
+    assert sorted(some.collect()) == sorted(every.where("source % 10 = 0 or target % 10 = 0").collect())
