@@ -1,7 +1,11 @@
 """Posts: normalisation, ranking, terms, chains."""
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text
+from ..session import materialise
 
 
 def engagement_rank(df, file="file", value="engagement", constant=10.0):
@@ -100,16 +104,90 @@ STOP = tuple(
 )
 
 
-def class_terms(df, cluster="cluster", content="content", key="id", least_posts=2, most=50_000, stop=(), grams=1):
-    """Term, cluster, count for the commonest terms that at least `least_posts` posts hold: words but `stop`, and with grams=2 pairs of words next to each other once those are taken out."""
-    t = df.select(cluster, F.col(key).alias("post"), text.tokens(F.col(content)).alias("term"))
-    t = t.withColumn("term", F.filter("term", lambda w: ~w.isin(*stop))) if stop else t
+#: Words, about, that a task counts at a time.
+HELD = 2_000_000
+
+
+def packed(*columns):
+    """Columns of whole numbers from 0 as one whose order is theirs."""
+    out = columns[0]
+    for c in columns[1:]:
+        size = int(c.max(initial=0)) + 1
+        if (int(out.max(initial=0)) + 1) * size > 2**62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * size + c
+    return out
+
+
+def counted(table, grams):
+    """cluster, term, n, posts of a table of cluster, post (whether it counts as one), words: a row is a post of its own."""
+    words = table["words"].combine_chunks()
+    doc = np.repeat(np.arange(len(words)), pc.list_value_length(words).fill_null(0).to_numpy(False))
+    flat = words.flatten().dictionary_encode()
+    first = flat.indices.to_numpy(False).astype(np.int64)
+    second = np.zeros(len(first), np.int64)
     if grams == 2:
-        t = t.withColumn("term", F.concat("term", F.zip_with(F.expr("slice(term, 1, greatest(size(term) - 1, 0))"), F.expr("slice(term, 2, greatest(size(term) - 1, 0))"), lambda x, y: F.concat_ws(" ", x, y))))
-    t = t.select(cluster, "post", F.explode("term").alias("term"))
-    per = t.groupBy(cluster, "term").agg(F.count("*").alias("n"), F.count_distinct("post").alias("posts"))
-    total = per.groupBy("term").agg(F.sum("n").alias("f"), F.sum("posts").alias("posts")).where(F.col("posts") >= least_posts).orderBy(F.desc("f"), "term").limit(most)
-    return per.drop("posts").join(total.select("term", "f"), "term")
+        next_to = np.flatnonzero(doc[1:] == doc[:-1])
+        first, second, doc = np.r_[first, first[next_to]], np.r_[second, first[next_to + 1] + 1], np.r_[doc, doc[next_to]]
+    cluster = table["cluster"].combine_chunks().dictionary_encode("encode")
+    term = packed(cluster.indices.to_numpy(False).astype(np.int64)[doc], first, second)
+    order = np.argsort(packed(term, doc))
+    term, doc = term[order], doc[order]
+    begin = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)])
+    seen = np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])][: len(term)] & table["post"].to_numpy()[doc]
+    at = order[begin]
+    after = pa.array(second[at] - 1, mask=second[at] == 0)
+    terms = pc.binary_join_element_wise(flat.dictionary.take(pa.array(first[at])), flat.dictionary.take(after), " ", null_handling="skip")
+    of = cluster.dictionary.take(cluster.indices).take(pa.array(doc[begin]))
+    n, posts = np.diff(np.r_[begin, len(term)]), np.add.reduceat(seen.astype(np.int64), begin) if len(begin) else begin
+    return pa.RecordBatch.from_arrays([of, terms, pa.array(n), pa.array(posts)], ["cluster", "term", "n", "posts"])
+
+
+def counting(grams, held):
+    """What a task does with batches for `counted`: it takes about `held` words at a time."""
+
+    def count(batches):
+        kept, size = [], 0
+        for batch in batches:
+            kept.append(batch)
+            size += len(batch.column("words").flatten())
+            if size >= held:
+                yield counted(pa.Table.from_batches(kept), grams)
+                kept, size = [], 0
+        if kept:
+            yield counted(pa.Table.from_batches(kept), grams)
+
+    return count
+
+
+def class_terms(df, cluster="cluster", content="content", key="id", least_posts=2, most=50_000, stop=(), grams=1, held=HELD):
+    """Term, cluster, count for the commonest terms that at least `least_posts` posts hold: words but `stop`, and with grams=2 pairs of words next to each other once those are taken out.
+
+    Texts are read once, a task's counts are added up before they are sent, and are sent once, to their term's partition. Posts whose id repeats, which count once in a cluster, are counted apart.
+    """
+    if grams not in (1, 2):
+        raise ValueError("grams: 1 or 2")
+    t = df.select(F.col(cluster).alias("cluster"), F.col(key).alias("post"), F.col(content).alias("content"))
+    again = materialise(t.where("post is not null").groupBy("post").agg(F.count("*").alias("rows")).where("rows > 1").select("post"), "repeated")
+    words = text.tokens(F.col("content"))
+    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    apart = None
+    if not again.isEmpty():
+        apart, t = t.join(again, "post", "left_semi").select("cluster", "post", words.alias("words")), t.join(again, "post", "left_anti")
+    t = t.select("cluster", F.col("post").isNotNull().alias("post"), words.alias("words"))
+    per = t.mapInArrow(counting(grams, held), f"cluster {df.schema[cluster].dataType.simpleString()}, term string, n long, posts long")
+    if apart is not None:
+        if grams == 2:
+            pairs = F.zip_with(F.expr("slice(words, 1, greatest(size(words) - 1, 0))"), F.expr("slice(words, 2, greatest(size(words) - 1, 0))"), lambda x, y: F.concat_ws(" ", x, y))
+            apart = materialise(apart, "apart").withColumn("words", F.concat("words", pairs))
+        apart = apart.select("cluster", "post", F.explode("words").alias("term"))
+        per = per.union(apart.groupBy("cluster", "term").agg(F.count("*").alias("n"), F.count_distinct("post").alias("posts")))
+    per = per.where("term is not null").repartition("term")
+    # totals and counts read the same columns (the cluster's hash decides nothing), so they come from one exchange
+    total = per.groupBy("term").agg(F.sum("n").alias("f"), F.sum("posts").alias("posts"), F.max(F.xxhash64("cluster")).alias("any")).where(F.col("posts") >= least_posts)
+    total = total.orderBy(F.desc("f"), "term", "any").limit(most).select("term", "f")
+    counts = per.join(F.broadcast(total), "term").groupBy("cluster", "term", "f").agg(F.sum("n").alias("n"), F.sum("posts").alias("posts"))
+    return materialise(counts, "counts").select(F.col("cluster").alias(cluster), "term", "n", "f")
 
 
 def ctfidf(counts, cluster="cluster", top=10):
