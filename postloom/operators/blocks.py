@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BLOCK = 512
 #: The most blocks of a table, and the most of a part of it that meets only some others, unless they would hold more than LARGEST rows, about.
 BLOCKS, SOME, LARGEST = 24, 8, 50_000
+#: The most partitions over which pairs of blocks are dealt.
+PAIRS = 400
 #: Rows of a block that are compared with as many of another at once.
 TILE = 1024
 
@@ -25,12 +27,13 @@ def vectors(df, id="id", vector="embedding"):
 
 
 def paired(p, block=BLOCK):
-    """Each row of p (with a column id) once for each block that its own meets: with g, the two blocks, and side: 0 in the first, 1 in the second, 2 where a block meets itself."""
+    """Each row of p (with a column id) once for each block that its own meets: with g, the two blocks, and side: 0 in the first, 1 in the second, 2 where a block meets itself. Pairs of blocks are dealt over as many partitions as there are pairs, up to PAIRS and one for 256 rows: they are few bytes but long work."""
     n = p.count()
     subs = max(1, min(BLOCKS, -(-n // block)), -(-n // LARGEST))
     p = p.withColumn("s", F.expr(f"pmod(xxhash64(id), {subs}L)"))
     groups = F.expr(f"transform(sequence(0L, {subs - 1}L), x -> named_struct('g', named_struct('a', least(s, x), 'b', greatest(s, x)), 'side', if(s = x, 2, if(s < x, 0, 1))))")
-    return p.withColumn("x", F.explode(groups)).withColumn("g", F.col("x.g")).withColumn("side", F.col("x.side")).drop("x", "s")
+    p = p.withColumn("x", F.explode(groups)).withColumn("g", F.col("x.g")).withColumn("side", F.col("x.side")).drop("x", "s")
+    return p.repartition(max(1, min(PAIRS, subs * (subs + 1) // 2, n // 256)), "g")
 
 
 def paired_within(p, group, block=BLOCK):

@@ -10,6 +10,8 @@ from .components import connected_components
 
 #: Edges that one task contracts at a time.
 RANGE = 1_000_000
+#: Neighbours of a row that are kept for the spanning tree.
+LISTED = 15
 #: Weights below count as this in 1 / weight.
 LEAST = 1e-12
 
@@ -86,10 +88,15 @@ def nearest(df, k, id="id", vector="embedding", metric="euclidean", block=BLOCK)
     return p.join(found, "id")
 
 
-def core_distances(df, k=7, id="id", vector="embedding", block=BLOCK):
-    """id, v, core: the distance to the k-th nearest other row, or to the last where there are fewer; 0 for a row alone."""
-    found = nearest(df, k, id, vector, block=block)
-    return found.select("id", "v", F.coalesce(F.try_element_at("near", F.lit(-1))["d"], F.lit(0.0)).alias("core"))
+def core_distances(df, k=7, id="id", vector="embedding", block=BLOCK, lists=False):
+    """id, v, core: the distance to the k-th nearest other row, or to the last where there are fewer; 0 for a row alone. lists: with near, the LISTED nearest or more (see nearest), and least, below which no row that it lacks is."""
+    if not lists:
+        found = nearest(df, k, id, vector, block=block)
+        return found.select("id", "v", F.coalesce(F.try_element_at("near", F.lit(-1))["d"], F.lit(0.0)).alias("core"))
+    most = max(k + 1, LISTED)
+    found, last = nearest(df, most, id, vector, block=block), F.try_element_at("near", F.lit(-1))["d"]
+    core = F.coalesce(F.try_element_at("near", F.lit(k))["d"], last, F.lit(0.0))
+    return found.select("id", "v", core.alias("core"), "near", F.when(F.size("near") < most, F.lit(float("inf"))).otherwise(last).alias("least"))
 
 
 def least_out(best, part, w, lo, hi):
@@ -104,39 +111,41 @@ def least_out(best, part, w, lo, hi):
 
 
 def leaving(pdf):
-    """part, other, w, a, b: the least edge of mutual reachability by (w, a, b) from each part of a pair of blocks (id, v, core, part, side) to any other part there."""
+    """part, other, w, a, b: the least edge of mutual reachability by (w, a, b) from the rows of each part that ask, in a pair of blocks (id, v, core, part, ask, bound, side), to any other part there; edges above a part's bound may be left out."""
     pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
     pdf["code"], names = pd.factorize(pdf.part)
     pdf = pdf.sort_values("code", kind="stable")  # a piece of one part only is passed over
     x, y, same = pdf[pdf.side != 1], pdf[pdf.side != 0], bool((pdf.side == 2).any())
-    (core_x, part_x, rank_x), (core_y, part_y, rank_y) = ((z.core.to_numpy(), z.code.to_numpy(), z.index.to_numpy()) for z in (x, y))
     bound, best = np.full(len(names), np.inf), (np.full(len(names), np.inf), np.zeros(len(names), np.int64), np.zeros(len(names), np.int64))
-    for at_x, at_y, a, b in pieces(list(x.v), list(y.v), same):
-        of_x, of_y = part_x[at_x], part_y[at_y]
-        if of_x[0] == of_x[-1] == of_y[0] == of_y[-1]:
-            continue
-        square, off, scale = about(a, b)
-        own, other = core_x[at_x], core_y[at_y]
-        np.maximum(square, ((own * scale) ** 2)[:, None], out=square)
-        np.maximum(square, (other * scale) ** 2, out=square)
-        square[of_x[:, None] == of_y] = np.inf
-        off += 1e-11 * square[np.isfinite(square)].max(initial=0)
-        by_row, by_column = square.min(1), square.min(0)
-        np.minimum.at(bound, of_x, by_row / scale / scale)
-        np.minimum.at(bound, of_y, by_column / scale / scale)
-        for axis, of, low in ((0, of_x, by_row), (1, of_y, by_column)):
-            least = bound[of] * scale * scale + off
+    bound[pdf.code] = pdf.bound.to_numpy() ** 2
+    for own, other in ((x, y),) if same else ((x, y), (y, x)):
+        own = own[own.ask]
+        other = other[other.core <= own.bound.max()] if len(own) else other
+        (core_x, part_x, rank_x), (core_y, part_y, rank_y) = ((z.core.to_numpy(), z.code.to_numpy(), z.index.to_numpy()) for z in (own, other))
+        for at_x, at_y, a, b in pieces(list(own.v), list(other.v), False):
+            of_x, of_y = part_x[at_x], part_y[at_y]
+            if of_x[0] == of_x[-1] == of_y[0] == of_y[-1]:
+                continue
+            square, off, scale = about(a, b)
+            of_a, of_b = core_x[at_x], core_y[at_y]
+            np.maximum(square, ((of_a * scale) ** 2)[:, None], out=square)
+            np.maximum(square, (of_b * scale) ** 2, out=square)
+            square[of_x[:, None] == of_y] = np.inf
+            off += 1e-11 * square[np.isfinite(square)].max(initial=0)
+            low = square.min(1)
+            np.minimum.at(bound, of_x, low / scale / scale)
+            least = bound[of_x] * scale * scale + off
             some = np.flatnonzero((low <= least) & np.isfinite(low))
             if not len(some):
                 continue
-            m = square[some] if axis == 0 else square[:, some].T
-            r, c = np.nonzero((m <= least[some][:, None]) & np.isfinite(m))
-            i, j = (some[r], c) if axis == 0 else (c, some[r])
-            w = np.maximum(np.maximum(exact(a, b, i, j), own[i]), other[j])
+            m = square[some]
+            r, j = np.nonzero((m <= least[some][:, None]) & np.isfinite(m))
+            i = some[r]
+            w = np.maximum(np.maximum(exact(a, b, i, j), of_a[i]), of_b[j])
             u, v = rank_x[at_x[i]], rank_y[at_y[j]]
             fine = np.isfinite(w)
             if fine.any():
-                least_out(best, of[some[r]][fine], w[fine], np.minimum(u, v)[fine], np.maximum(u, v)[fine])
+                least_out(best, of_x[i][fine], w[fine], np.minimum(u, v)[fine], np.maximum(u, v)[fine])
     some = np.flatnonzero(np.isfinite(best[0]))
     w, lo, hi = (z[some] for z in best)
     pdf = pdf.sort_index()
@@ -145,24 +154,67 @@ def leaving(pdf):
     return pd.DataFrame({"part": np.asarray(names)[some], "other": np.asarray(names)[other], "w": w, "a": ids[lo], "b": ids[hi]})
 
 
-def reachability_edges(cores, block=BLOCK):
+def joined(edges, a, b, most):
+    """As connected_components, of at most `most` edges in one task."""
+    if edges.count() > most:
+        return connected_components(edges, a, b)
+    kind = edges.schema[a].dataType.simpleString()
+
+    def join(pdf):
+        root = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        for x, y in zip(pdf.a, pdf.b):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        nodes = list(dict.fromkeys([*pdf.a, *pdf.b]))
+        return pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]})
+
+    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(0).alias("one"))
+    return edges.groupBy("one").applyInPandas(join, f"node {kind}, component {kind}")
+
+
+def reachability_edges(cores, block=BLOCK, most=RANGE):
     """a, b, w: the minimum spanning tree of mutual reachability, max(distance, both core distances), by (w, a, b), a before b.
 
-    cores: id, v, core. Vectors of unlike length are joined by no edge. Borůvka's rounds: all pairs of blocks are visited for the least edge out of each part, then parts are joined, so rounds are logarithmic; no edge but these leaves its task.
+    cores: id, v, core, and near and least if known (see core_distances). Vectors of unlike length are joined by no edge. Borůvka's rounds: the least edge out of each part is found, then parts are joined, so rounds are logarithmic. The nearest rows give an edge out of most parts at once, and only rows that may have a lesser one to a row not listed are compared with all others; no edge but these leaves its task.
     """
-    cores = materialise(cores.select("id", "v", "core"), "cores")
+    listed = "near" in cores.columns
+    if not listed:
+        cores = cores.withColumn("least", F.lit(0.0))
+    cores = materialise(cores, "cores")
     kind = cores.schema["id"].dataType.simpleString()
-    parts, tree = materialise(cores.select("id", F.col("id").alias("part")), "parts"), None
+    if listed:
+        near = cores.select("id", "core", F.explode("near").alias("x")).select("id", "core", "x.d", F.col("x.other").alias("o"))
+        near = near.join(cores.select(F.col("id").alias("o"), F.col("core").alias("of_o")), "o")
+        near = materialise(near.select("id", "o", F.greatest("d", "core", "of_o").alias("w"), F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")), "near")
+    rows = cores.select("id", "v", "core", "least")
+    parts, tree, edge = materialise(cores.select("id", F.col("id").alias("part")), "parts"), None, F.struct("w", "a", "b", "other").alias("e")
     while parts.select("part").distinct().limit(2).count() > 1:
-        found = paired(cores.join(parts, "id"), block).groupBy("g").applyInPandas(leaving, f"part {kind}, other {kind}, w double, a {kind}, b {kind}")
-        best = found.groupBy("part").agg(F.min(F.struct("w", "a", "b", "other")).alias("e"))
-        won = materialise(best.select("part", "e.*"), "won")
+        best = None
+        asking = rows.join(parts, "id").withColumn("bound", F.lit(float("inf")))
+        if listed:
+            out = near.join(parts, "id").join(parts.toDF("o", "other"), "o").where("part <> other")
+            out = out.select("part", edge).union(out.select("other", F.struct("w", "a", "b", F.col("part").alias("other"))))
+            best = materialise(out.groupBy("part").agg(F.min("e").alias("e")), "listed")
+            asking = asking.drop("bound").join(best.select("part", F.col("e.w").alias("bound")), "part", "left").fillna(float("inf"), ["bound"])
+        asking = materialise(asking.select("id", "v", "core", "part", "bound", (F.col("least") <= F.col("bound")).alias("ask")), "asking")
+        highest = asking.where("ask").agg(F.max("bound").alias("m")).first()["m"]
+        if highest is not None:
+            sent = asking.where(F.col("ask") | (F.col("core") <= F.lit(highest)))
+            found = paired(sent, block).groupBy("g").applyInPandas(leaving, f"part {kind}, other {kind}, w double, a {kind}, b {kind}").select("part", edge)
+            best = found if best is None else best.union(found)
+        won = materialise(best.groupBy("part").agg(F.min("e").alias("e")).select("part", "e.*"), "won")
         if won.isEmpty():
             break
         edges = won.select("a", "b", "w").distinct()
         tree = edges if tree is None else tree.union(edges)
-        joined = connected_components(won, "part", "other").toDF("part", "next")
-        parts = materialise(parts.join(joined, "part", "left").select("id", F.coalesce("next", "part").alias("part")), "parts")
+        now = joined(won, "part", "other", most).toDF("part", "next")
+        parts = materialise(parts.join(now, "part", "left").select("id", F.coalesce("next", "part").alias("part")), "parts")
     return cores.sparkSession.createDataFrame([], f"a {kind}, b {kind}, w double") if tree is None else tree
 
 
@@ -315,8 +367,8 @@ def density_clusters(df, least=15, samples=7, id="id", vector="embedding", block
 
     A core distance is that to the `samples`-th other point. Edges are taken by (mutual reachability, smaller id, larger id), which settles ties, so the result depends neither on partitions nor on blocks. A leaf holds all points it had when it began, also those that leave it later. With one cluster in all, as with fewer than two times `least` points, all is noise. Rows that cannot take part (see nearest) are not returned; an empty table gives no rows.
     """
-    cores = materialise(core_distances(df, samples, id, vector, block), "cores")
-    tree = materialise(minimum_forest(reachability_edges(cores, block), most), "forest")
+    cores = materialise(core_distances(df, samples, id, vector, block, lists=True), "cores")
+    tree = materialise(minimum_forest(reachability_edges(cores, block, most), most), "forest")
     homes, clusters = condensed(cores.select("id"), tree, least, most)
     clusters = materialise(clusters, "clusters")
     picked = leaves(clusters).select(F.col("cluster").alias("home"), F.col("cluster").alias("picked"))

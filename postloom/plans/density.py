@@ -26,7 +26,7 @@ SELECT id, w, TRUE FROM n UNION ALL SELECT r.id, m.w, FALSE FROM n JOIN m ON m.a
 SELECT count(*) - 1 AS edges, round(sum(w), 4) AS weight FROM t""")
 def spanning_tree_weight(s, d):
     """The minimum spanning tree of mutual reachability."""
-    tree = density.minimum_forest(density.reachability_edges(materialise(density.core_distances(vectors(s, d)), "cores")))
+    tree = density.minimum_forest(density.reachability_edges(materialise(density.core_distances(vectors(s, d), lists=True), "cores")))
     return tree.agg(F.count("*").alias("edges"), F.round(F.sum("w"), 4).alias("weight"))
 
 

@@ -77,3 +77,25 @@ def test_pairs_of_old_posts_are_left_out(spark):
     df = spark.createDataFrame(rows, "id long, embedding array<double>, cluster_id int").withColumn("fresh", F.col("id") % 10 == 0)
     every, some = edges.bridges(df, 0.5), edges.bridges(df, 0.5, new="fresh")
     assert sorted(some.collect()) == sorted(every.where("source % 10 = 0 or target % 10 = 0").collect())
+
+
+def test_the_tree_from_lists_is_that_from_all_pairs(spark, monkeypatch):
+    """Copies, ties on a grid, vectors of unlike length and short lists: the same edges; and rows whose neighbours settle their part's edge are not compared with all rows."""
+    from postloom.operators import density
+
+    r = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.r_[r.integers(0, 4, (60, 2)), r.normal(size=(80, 2)) * 0.1, r.normal(size=(60, 2)) + 9])]
+    rows += [(300 + i, [float(i % 5)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    tree = lambda cores: sorted(map(tuple, density.reachability_edges(cores, block=64).select("a", "b", "w").collect()))
+    want = tree(density.core_distances(df, 3))
+    assert len(want) == len(rows) - 2
+    for most in (4, 15):
+        monkeypatch.setattr(density, "LISTED", most)
+        assert tree(density.core_distances(df, 3, lists=True)) == want
+    few = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(300, 3)))], "id long, embedding array<double>")
+    cores = density.core_distances(few, 3, lists=True).localCheckpoint()
+    sent, paired = [], density.paired
+    monkeypatch.setattr(density, "paired", lambda p, block: (sent.append(p.where("ask").count()), paired(p, block))[1])
+    density.reachability_edges(cores).count()
+    assert sum(sent) < 300
