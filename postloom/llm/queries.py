@@ -55,7 +55,7 @@ def op10_masked_likelihood(spark, sf_dir):
 
 
 def op11_word_table(spark, sf_dir, tokenizer=P.path("word_bpe_49k.json")):
-    out = words.decode(words.encode(documents(spark, sf_dir), tokenizer), tokenizer)
+    out = words.round_trip(documents(spark, sf_dir), tokenizer)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

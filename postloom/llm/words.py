@@ -8,13 +8,15 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ..session import materialise
+from ..session import materialise_by
 from .arrow import rows, settings, word_hashes
 from .packing import WordEncoder
 
 #: ASCII white space, at which the tokenizer always ends a word; other white space is left within a unit, to the library.
 WHITE = r"[\t-\r ]+"
 BLOCKS = "block long, doc_ids array<long>, ends array<long>, places binary, buckets binary, sheets array<struct<bucket: int, words: binary>>"
+#: Sheets of a bucket whose words are Python strings at once.
+SHEETS = 64
 #: Pieces that may be broadcast; a tokenizer with more is joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -49,9 +51,9 @@ def blocks(df, buckets, words=1_500_000, id_col="doc_id", text_col="text"):
     def block(number, ids, counts, parts):
         found = pa.concat_arrays(parts).dictionary_encode()
         n, places = len(found.dictionary), found.indices.to_numpy(zero_copy_only=False)
-        order = pc.sort_indices(found.dictionary).to_numpy()
+        order = np.argsort(-np.bincount(places, minlength=n), kind="stable")
         rank = np.empty(n, np.uint32)
-        rank[order] = np.arange(n, dtype=np.uint32)  # words in order share beginnings, and take fewer bytes
+        rank[order] = np.arange(n, dtype=np.uint32)  # the commonest words have the smallest numbers, which take fewer bytes
         known, places = found.dictionary.take(pa.array(order)), rank[places]
         if n:
             one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), known), " ")
@@ -104,22 +106,27 @@ def encode_sheets(sheets, tokenizer):
 
     def run(batches):
         gc.disable()
-        encode, last = WordEncoder(tokenizer), None
-        table = encode.cache
-        for b in batches:
-            bucket, texts = b.column(1).to_pylist(), [unpacked_bytes(t).decode().split(" ") for t in b.column(2).to_pylist()]
-            cuts = [i for i in range(len(bucket)) if i == 0 or bucket[i] != bucket[i - 1]] + [len(bucket)]
-            lengths, ids = [], []
-            for lo, hi in zip(cuts, cuts[1:]):
-                if bucket[lo] != last:
-                    table.clear()
-                    last = bucket[lo]
-                encode.learn(list(set().union(*texts[lo:hi]).difference(table)))
-                for words in texts[lo:hi]:
-                    parts = list(map(table.__getitem__, words))
-                    lengths.append(planes(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
-                    ids.append(planes(np.frombuffer(b"".join(parts), "<u4")))
-            yield rows(kind, [b.column(0), b.column(1), lengths, ids])
+        try:
+            encode, last = WordEncoder(tokenizer), None
+            table = encode.cache
+            for b in batches:
+                bucket = b.column(1).to_pylist()
+                cuts = [i for i in range(len(bucket)) if i == 0 or bucket[i] != bucket[i - 1]] + [len(bucket)]
+                lengths, ids = [], []
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if bucket[lo] != last:
+                        table.clear()
+                        last = bucket[lo]
+                    for at in range(lo, hi, SHEETS):
+                        texts = [unpacked_bytes(t).decode().split(" ") for t in b.column(2).slice(at, min(SHEETS, hi - at)).to_pylist()]
+                        encode.learn(list(set().union(*texts).difference(table)))
+                        for words in texts:
+                            parts = list(map(table.__getitem__, words))
+                            lengths.append(planes(np.fromiter(map(len, parts), np.int64, len(parts)) // 4))
+                            ids.append(planes(np.frombuffer(b"".join(parts), "<u4")))
+                yield rows(kind, [b.column(0), b.column(1), lengths, ids])
+        finally:  # the worker goes on to other tasks
+            gc.enable()
 
     return sheets.mapInArrow(run, "block long, bucket int, lengths binary, ids binary")
 
@@ -130,32 +137,40 @@ def gathered(data, start, length):
     return data[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def assemble(joined):
-    """doc_id, ids of blocks joined with their encoded sheets."""
+def assemble(batches):
+    """Batches of doc_id, ids from those of blocks joined with their encoded sheets, about 250,000 words at once."""
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    for b in batches:
+        for i in range(b.num_rows):
+            doc_ids, ends, places, buckets, sheets = (c[i].as_py() for c in b.columns)
+            at = unplanes(buckets)
+            sheets = sorted(sheets or [], key=lambda s: s["bucket"])
+            data = np.concatenate([np.empty(0, "<u4"), *[unplanes(s["ids"]) for s in sheets]]).astype(np.int32)
+            length, start = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            by_sheet = np.concatenate([np.empty(0, "<u4"), *[unplanes(s["lengths"]) for s in sheets]]).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            length[order], start[order] = by_sheet, np.cumsum(by_sheet) - by_sheet
+            places, ends = unplanes(places), np.array([0, *ends], np.int64)
+            lo = 0
+            while lo < len(doc_ids):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 250_000, "right")) - 1)
+                mine = places[ends[lo] : ends[hi]]
+                flat = gathered(data, start[mine], length[mine])
+                cuts = np.append(0, np.cumsum(length[mine]))[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
+                yield rows(kind, [pa.array(doc_ids[lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))])
+                lo = hi
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                doc_ids, ends, places, buckets, sheets = (c[i].as_py() for c in b.columns)
-                at = unplanes(buckets)
-                sheets = sorted(sheets or [], key=lambda s: s["bucket"])
-                data = np.concatenate([np.empty(0, "<u4"), *[unplanes(s["ids"]) for s in sheets]]).astype(np.int32)
-                length, start = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-                by_sheet = np.concatenate([np.empty(0, "<u4"), *[unplanes(s["lengths"]) for s in sheets]]).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                length[order], start[order] = by_sheet, np.cumsum(by_sheet) - by_sheet
-                places, ends = unplanes(places), np.array([0, *ends], np.int64)
-                lo = 0
-                while lo < len(doc_ids):  # about 250,000 words at once
-                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 250_000, "right")) - 1)
-                    mine = places[ends[lo] : ends[hi]]
-                    flat = gathered(data, start[mine], length[mine])
-                    cuts = np.append(0, np.cumsum(length[mine]))[ends[lo : hi + 1] - ends[lo]].astype(np.int32)
-                    yield rows(kind, [pa.array(doc_ids[lo:hi], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))])
-                    lo = hi
-
-    return joined.select("doc_ids", "ends", "places", "buckets", "encoded").mapInArrow(run, "doc_id long, ids array<int>")
+
+def encoded_blocks(df, tokenizer, id_col="doc_id", text_col="text"):
+    """Blocks joined with their encoded sheets, for assemble. Blocks are stored in files by their number, so that only the sheets' ids are sent to them."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.compression.codec": "uncompressed"}):  # a list of words takes more room than its text
+        found = materialise_by(blocks(df, 4 * parts, id_col=id_col, text_col=text_col), "blocks", "block", parts)
+    sheets = found.select("block", F.explode("sheets").alias("s")).select("block", "s.*")
+    sheets = sheets.repartition("bucket").sortWithinPartitions("bucket")
+    of = encode_sheets(sheets, tokenizer).repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "lengths", "ids")).alias("encoded"))
+    return found.drop("sheets").join(of, "block", "left").select("doc_ids", "ends", "places", "buckets", "encoded")
 
 
 def encode(df, tokenizer, id_col="doc_id", text_col="text"):
@@ -165,14 +180,7 @@ def encode(df, tokenizer, id_col="doc_id", text_col="text"):
 
     What crosses the network is each block's distinct words and their ids, not the texts; a word that all documents share is sent once a block.
     """
-    spark = df.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.compression.codec": "uncompressed"}):  # a list of words takes more room than its text
-        found = materialise(blocks(df, buckets, id_col=id_col, text_col=text_col), "blocks")
-    sheets = found.select("block", F.explode("sheets").alias("s")).select("block", "s.*")
-    sheets = sheets.repartition("bucket").sortWithinPartitions("bucket")
-    of = encode_sheets(sheets, tokenizer).groupBy("block").agg(F.collect_list(F.struct("bucket", "lengths", "ids")).alias("encoded"))
-    return assemble(found.drop("sheets").join(of, "block", "left"))
+    return encoded_blocks(df, tokenizer, id_col, text_col).mapInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def pieces_of(spark, tokenizer):
@@ -184,8 +192,8 @@ def pieces_of(spark, tokenizer):
 PACKED = "block long, pos int, id int, doc_ids array<long>, lengths array<int>, ids binary"
 
 
-def packed(df, most=250_000):
-    """Rows of (doc_id, ids array<int>) about 250,000 ids at once: a row at pos -1 with their documents and ids, then a row for each distinct id, in the order of their first places. Null ids count as absent."""
+def packer(most=250_000):
+    """From batches of doc_id, ids to those of packed."""
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     schema = pa.schema([(x.split(" ")[0], k) for x, k in zip(PACKED.split(", "), kinds)])
 
@@ -211,7 +219,18 @@ def packed(df, most=250_000):
                 yield pa.RecordBatch.from_arrays([*held, *[pa.nulls(len(known), k) for k in kinds[3:]]], schema=schema)
                 block, lo = block + 1, hi
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, PACKED)
+    return run
+
+
+def packed(df, most=250_000):
+    """Rows of (doc_id, ids array<int>) about 250,000 ids at once: a row at pos -1 with their documents and ids, then a row for each distinct id, in the order of their first places. Null ids count as absent."""
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(packer(most), PACKED)
+
+
+def round_trip(df, tokenizer, id_col="doc_id", text_col="text"):
+    """As decode(encode(df)), with ids assembled and packed in one step: a task has one Python worker less, and ids don't become rows between."""
+    pack = packer()
+    return decode_packed(encoded_blocks(df, tokenizer, id_col, text_col).mapInArrow(lambda batches: pack(assemble(batches)), PACKED), tokenizer)
 
 
 def decode(df, tokenizer):
@@ -219,12 +238,17 @@ def decode(df, tokenizer):
 
     The distinct ids of about 250,000 at once are joined with the vocabulary, which is broadcast, so that they stay in order and no shuffle is needed. A vocabulary of over a million pieces is joined by a shuffle, and the rows sorted again.
     """
-    pieces, n = pieces_of(df.sparkSession, tokenizer)
+    return decode_packed(packed(df), tokenizer)
+
+
+def decode_packed(coded, tokenizer):
+    """What decode gives, of packed rows."""
+    pieces, n = pieces_of(coded.sparkSession, tokenizer)
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
     if n <= BROADCAST:
-        joined = packed(df).join(F.broadcast(pieces), "id", "left")
+        joined = coded.join(F.broadcast(pieces), "id", "left")
     else:
-        joined = packed(df).join(pieces, "id", "left").repartition("block").sortWithinPartitions("block", "pos")
+        joined = coded.join(pieces, "id", "left").repartition("block").sortWithinPartitions("block", "pos")
 
     def texts(doc_ids, lengths, ids, found):
         flat = np.frombuffer(ids, "<i4")

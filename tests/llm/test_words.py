@@ -71,3 +71,16 @@ def test_large_vocabularies_are_joined_by_a_shuffle(spark, monkeypatch):
     near = sorted((r.doc_id, r.decoded) for r in words.decode(coded, PATH).collect())
     monkeypatch.setattr(words, "BROADCAST", 10)
     assert sorted((r.doc_id, r.decoded) for r in words.decode(coded, PATH).collect()) == near
+
+
+def test_blocks_are_not_sent_again_and_a_task_has_two_workers(spark):
+    """Before, all blocks were shuffled to meet their ids, and ids became rows between two workers."""
+    df = spark.createDataFrame([(i, f"some words {i} of text") for i in range(50)], "doc_id long, text string").repartition(3)
+    joined = words.encoded_blocks(df, PATH)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1 and "Exchange hashpartitioning(bucket" in plan
+    out = words.round_trip(df, PATH)
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert final.count("MapInArrow") == 3  # of sheets, blocks and texts
+    want = sorted(map(tuple, words.decode(words.encode(df, PATH), PATH).collect()))
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 50
