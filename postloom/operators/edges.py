@@ -223,14 +223,16 @@ def tier_quotas(posts):
 
 
 def one_to_one(edges):
-    """Greedy matching by (force desc, source, target) in which no post has two edges, whichever end: rounds of edges that are the best at both their ends."""
+    """Greedy matching by (force desc, source, target) in which no post has two edges, whichever end: rounds of edges that are the best at both their ends. Repeated edges count once.
+
+    An edge has won if it is the best of two posts, so only each post's best is exchanged to tell.
+    """
     left, taken = materialise(edges.where("source <> target"), "edges"), None
     while not left.isEmpty():
         key = F.struct((-F.col("force")).alias("f"), "source", "target")
         ends = left.select(F.col("source").alias("id"), key.alias("key")).union(left.select("target", key))
-        best = materialise(ends.groupBy("id").agg(F.min("key").alias("best")), "best")
-        e = left.withColumn("key", key).join(best.toDF("source", "bs"), "source").join(best.toDF("target", "bt"), "target")
-        won = materialise(e.where("key = bs and key = bt").select("source", "target", "force"), "won")
+        best = ends.groupBy("id").agg(F.min("key").alias("best")).groupBy("best").agg(F.count("*").alias("posts"))
+        won = materialise(best.where("posts = 2").select("best.source", "best.target", (-F.col("best.f")).alias("force")), "won")
         taken = won if taken is None else taken.unionByName(won)
         gone = won.select(F.col("source").alias("id")).union(won.select("target"))
         left = left.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")

@@ -99,3 +99,22 @@ def test_the_tree_from_lists_is_that_from_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(density, "paired", lambda p, block: (sent.append(p.where("ask").count()), paired(p, block))[1])
     density.reachability_edges(cores).count()
     assert sum(sent) < 300
+
+
+def test_a_round_of_one_to_one_joins_no_edges_to_find_winners(spark, monkeypatch):
+    """Before, all edges were joined with the best of both their ends, and a repeated edge won twice."""
+    from postloom.operators import edges
+
+    r = np.random.default_rng(2)
+    rows = [(int(a), int(b), float(f)) for a, b, f in zip(r.integers(0, 40, 300), r.integers(0, 40, 300), r.integers(0, 9, 300) / 8)]
+    rows += rows[:150]
+    plans, kept = [], edges.materialise
+    monkeypatch.setattr(edges, "materialise", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString())), kept(df, tag))[1])
+    got = edges.one_to_one(spark.createDataFrame(rows, "source long, target long, force double")).collect()
+    used, want = set(), []
+    for a, b, f in sorted({x for x in rows if x[0] != x[1]}, key=lambda x: (-x[2], x[0], x[1])):
+        if not used & {a, b}:
+            used |= {a, b}
+            want.append((a, b, f))
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert [p for tag, p in plans if tag == "won"] and not any("Join" in p for tag, p in plans if tag == "won")
