@@ -222,6 +222,10 @@ def tier_quotas(posts):
     return posts.select("id", F.element_at(F.array(*map(F.lit, OUT)), t).alias("cap_out"), F.element_at(F.array(*map(F.lit, IN)), t).alias("cap_in"))
 
 
+#: Ids of posts matched in a round that may be broadcast; beyond, the edges left are shuffled to lose theirs.
+SENT = 1_000_000
+
+
 def one_to_one(edges):
     """Greedy matching by (force desc, source, target) in which no post has two edges, whichever end: rounds of edges that are the best at both their ends. Repeated edges count once.
 
@@ -235,6 +239,8 @@ def one_to_one(edges):
         won = materialise(best.where("posts = 2").select("best.source", "best.target", (-F.col("best.f")).alias("force")), "won")
         taken = won if taken is None else taken.unionByName(won)
         gone = won.select(F.col("source").alias("id")).union(won.select("target"))
+        if 2 * won.count() <= SENT:
+            gone = F.broadcast(gone)
         left = left.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
         left = materialise(left, "left")
     return taken if taken is not None else edges.limit(0).select("source", "target", "force")

@@ -118,3 +118,6 @@ def test_a_round_of_one_to_one_joins_no_edges_to_find_winners(spark, monkeypatch
             want.append((a, b, f))
     assert sorted(map(tuple, got)) == sorted(want)
     assert [p for tag, p in plans if tag == "won"] and not any("Join" in p for tag, p in plans if tag == "won")
+    assert all("strategy=broadcast" in p for tag, p in plans if tag == "left")  # so edges aren't shuffled either, unless very many posts are matched
+    monkeypatch.setattr(edges, "SENT", 0)
+    assert sorted(map(tuple, edges.one_to_one(spark.createDataFrame(rows, "source long, target long, force double")).collect())) == sorted(want)
