@@ -189,25 +189,25 @@ def incremental_edges(s, d):
     return E.incremental(p.where("id % 10 = 0"), p.where("id % 10 <> 0"), lambda x: E.bridges(x, 0.3, new="is_new")).select("source", "target")
 
 
-DPC = """v AS (SELECT label, vec_id id, embedding[1:8]::DOUBLE[] e FROM embeddings), w AS (SELECT a.label, a.id, b.id other, list_distance(a.e, b.e) dist FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id),
+DPC = """v AS (SELECT label, vec_id id, embedding::DOUBLE[] e FROM embeddings), w AS (SELECT a.label, a.id, b.id other, list_distance(a.e, b.e) dist FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id),
 c AS (SELECT label, quantile_cont(dist, 0.2) dc FROM w WHERE id < other GROUP BY label), r AS (SELECT label, id, count(*) FILTER (dist < dc) rho FROM w JOIN c USING (label) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY rho DESC, id) rank FROM r),
 n AS (SELECT w.label, w.id, min((round(dist, 9), other)) FILTER (b.rank < a.rank) best, max(dist) far, any_value(a.rho) rho FROM w JOIN k a ON a.id = w.id JOIN k b ON b.id = w.other GROUP BY ALL)"""
 
 
-def few(s, d):
-    return table(s, d, "embeddings").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("embedding"), F.expr("timestamp_seconds(vec_id div 3)").alias("timestamp"), (F.col("vec_id") % 10).cast("double").alias("engagement"))
+def labelled(s, d):
+    return table(s, d, "embeddings").select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("id"), "embedding", F.expr("timestamp_seconds(vec_id div 3)").alias("timestamp"), (F.col("vec_id") % 10).cast("double").alias("engagement"))
 
 
 @query(f"WITH {DPC} SELECT label AS cluster_id, id, rho, round(coalesce(best[1], far), 5) AS delta, coalesce(best[2], -1) AS parent FROM n")
 def pool_rho_delta(s, d):
-    return D.density(few(s, d), dc=20.0).select("cluster_id", "id", "rho", F.round("delta", 5).alias("delta"), F.coalesce("parent", F.lit(-1)).alias("parent"))
+    return D.density(labelled(s, d), dc=20.0).select("cluster_id", "id", "rho", F.round("delta", 5).alias("delta"), F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 @query(f"""WITH RECURSIVE {DPC}, g AS (SELECT *, coalesce(best[1], far) delta, rho * coalesce(best[1], far) gamma, best[2] parent FROM n), q AS (SELECT label, quantile_cont(gamma, 0.8) gq, quantile_cont(delta, 0.7) dq FROM g GROUP BY label),
 h AS (SELECT g.*, gamma >= gq - 1e-9 AND rho > 0 hub, delta <= dq + 1e-9 AND parent IS NOT NULL near FROM g JOIN q USING (label)), u AS (SELECT id start, id cur FROM h WHERE NOT hub UNION ALL SELECT u.start, h.parent FROM u JOIN h ON h.id = u.cur WHERE NOT h.hub AND h.near)
 SELECT u.start AS id, u.cur AS hub FROM u JOIN h ON h.id = u.cur WHERE h.hub""")
 def pool_members(s, d):
-    return D.members(D.density(few(s, d), dc=20.0, membership=70.0)).select("id", "hub")
+    return D.members(D.density(labelled(s, d), dc=20.0, membership=70.0)).select("id", "hub")
 
 
 @query("SELECT hub, members, coalesce(excluded, 0) AS excluded FROM (SELECT user_id hub, count(*) members FROM events GROUP BY user_id) LEFT JOIN (SELECT user_id hub, count(*) excluded FROM events WHERE event_id % 3 = 0 GROUP BY user_id) USING (hub)")

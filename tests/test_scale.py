@@ -121,3 +121,37 @@ def test_a_round_of_one_to_one_joins_no_edges_to_find_winners(spark, monkeypatch
     assert all("strategy=broadcast" in p for tag, p in plans if tag == "left")  # so edges aren't shuffled either, unless very many posts are matched
     monkeypatch.setattr(edges, "SENT", 0)
     assert sorted(map(tuple, edges.one_to_one(spark.createDataFrame(rows, "source long, target long, force double")).collect())) == sorted(want)
+
+
+def plain_pools(v, membership):
+    """{id: (rho, delta, parent)} and {(id, hub)} of one cluster, by a plain program over whole vectors."""
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    n, cut = len(v), np.percentile(d[np.triu_indices(len(v), 1)], 20)
+    rho = (d < cut).sum(1) - 1
+    rank = {i: k for k, i in enumerate(sorted(range(n), key=lambda i: (-rho[i], i)))}
+    best = [min(((round(d[i, j], 9), j) for j in range(n) if rank[j] < rank[i]), default=(d[i].max(), -1)) for i in range(n)]
+    delta, gamma = np.array([b[0] for b in best]), [rho[i] * best[i][0] for i in range(n)]
+    hub = {i for i in range(n) if gamma[i] >= np.percentile(gamma, 80) - 1e-9 and rho[i]}
+    near = {i for i in range(n) if delta[i] <= np.percentile(delta, membership) + 1e-9 and best[i][1] >= 0}
+    found = set()
+    for i in set(range(n)) - hub:
+        at = i
+        while at not in hub and at in near:
+            at = best[at][1]
+        found |= {(i, at)} if at in hub else set()
+    return {i: (int(rho[i]), round(best[i][0], 5), best[i][1]) for i in range(n)}, found
+
+
+def far_out(spark, folder):
+    """Vectors that differ after their eighth place only."""
+    v = np.zeros((60, 12), np.float32)
+    v[:, 8:] = np.random.default_rng(7).normal(size=(60, 4))
+    return tables(spark, folder, v, [0] * len(v)), v.astype(float)
+
+
+def test_pool_members_come_from_whole_vectors(spark, tmp_path):
+    """Before, only the first eight dimensions of each vector were read: all distances were 0 and no post had a hub."""
+    folder, v = far_out(spark, tmp_path / "t")
+    got = {(r.id, r.hub) for r in catalog.QUERIES["pool_members"](spark, folder).collect()}
+    assert got == plain_pools(v, 70)[1] and len(got) > 10
+    same_as_sql(spark, folder, "pool_members")
