@@ -155,3 +155,13 @@ def test_pool_members_come_from_whole_vectors(spark, tmp_path):
     got = {(r.id, r.hub) for r in catalog.QUERIES["pool_members"](spark, folder).collect()}
     assert got == plain_pools(v, 70)[1] and len(got) > 10
     same_as_sql(spark, folder, "pool_members")
+
+
+def test_pool_rho_delta_come_from_whole_vectors(spark, tmp_path):
+    """Before, only the first eight dimensions of each vector were read: every rho and delta was 0."""
+    folder, v = far_out(spark, tmp_path / "t")
+    got = {r.id: (r.rho, r.delta, r.parent) for r in catalog.QUERIES["pool_rho_delta"](spark, folder).collect()}
+    want = plain_pools(v, 70)[0]
+    assert {i: (r, p) for i, (r, _, p) in got.items()} == {i: (r, p) for i, (r, _, p) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 2e-5 for i in want) and min(d for _, d, _ in got.values()) > 0
+    same_as_sql(spark, folder, "pool_rho_delta")
