@@ -70,3 +70,40 @@ def test_blocks_that_cannot_matter_are_not_read():
     assert s.top(lists, np.ones(5), 10, mean, scores[-1])[0].tolist() == ids.tolist() and s.visited < 0.3 * s.blocks  # a bound handed on
     s.visited = 0
     assert len(s.candidates(lists, np.ones(5), 10, least=1000.0)) == 0 and s.visited == 0
+
+
+def test_scores_that_agree_to_nine_places_tie(spark):
+    """Documents with the same parts of a score in another order, so that their sums differ in the last bits: before, these bits settled the order, not the id."""
+    rows = []
+    for q in range(1, 9):
+        rows += [(100 * q, " ".join(f"q{q}t{i}" for i in range(12)))]
+        rows += [(100 * q + j, " ".join(w for i, n in enumerate((1, 2, 3, 5, 7, 11 + q)) for w in n * [f"q{q}t{(j + i) % 12}"])) for j in range(1, 13)]
+    same(search.topk(frame(spark, rows)).collect(), brute_force(rows))
+
+
+def test_blocks_of_unlike_documents_are_not_read():
+    """Four kinds of documents in turn: before, each block held all four, so that most were read for a query of one kind."""
+    r = random.Random(2)
+    texts = [" ".join(r.choices([f"k{i % 4}w{j}" for j in range(60)], [1 / (j + 1) for j in range(60)], k=40)) for i in range(32 * 120)]
+    s, mean = shard_of(texts)
+    lists = np.searchsorted(s.terms, np.sort(search.terms(texts[7], search.term_cache())[0]))
+    ids, scores = s.top(lists, np.ones(len(lists)), 10, mean)
+    assert all(i % 4 == 3 for i in ids)
+    s.visited = 0
+    assert s.top(lists, np.ones(len(lists)), 10, mean, scores[-1])[0].tolist() == ids.tolist() and s.visited < 0.35 * s.blocks
+
+
+def test_lots_equal_single_queries():
+    """A lot's candidates hold each query's best, with and without bounds, over common and rare terms and rows of more queries than a lot."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randrange(1, 40))) for _ in range(900)]
+    s, mean = shard_of(texts)
+    lists = [np.searchsorted(s.terms, np.sort(search.terms(t, search.term_cache())[0])) for t in texts[:60]]
+    df = np.diff(s.starts)
+    weights = [np.log(1 + (900 - df[x] + 0.5) / (df[x] + 0.5)) for x in lists]
+    one = [s.top(x, w, 10, mean) for x, w in zip(lists, weights)]
+    for least in ([0.0] * 60, [float(v[-1]) for _, v in one]):
+        for c, x, w, (ids, _) in zip(s.candidates_of(lists, weights, 10, least), lists, weights, one):
+            assert s.best_of(c, x, w, 10, mean)[0].tolist() == ids.tolist()
+    every = [(w[:, None] * np.stack([np.where(np.isin(np.arange(s.docs), s.doc[s.starts[t] : s.starts[t + 1]]), 1, 0) for t in x])).sum(0) for x, w in zip(lists, weights)]
+    assert all(len(ids) == min(10, int((e > 0).sum())) for (ids, _), e in zip(one, every))
