@@ -12,7 +12,7 @@ from pyspark.sql import Window, functions as F
 from xxhash import xxh3_64_digest
 
 from ..session import materialise
-from .arrow import Packed, by_bytes
+from .arrow import Packed, by_bytes, settings
 
 K1, B, BLOCK = 1.2, 0.75, 32
 #: Bytes of a shard's matrix of common terms by documents, and of text that a shard holds at most, but for one document.
@@ -21,6 +21,8 @@ ROOM, SHARD = 1 << 26, 1 << 26
 COMMON = 1024
 #: Queries of a lot, at most; blocks that are scored by one product; blocks of a query that give its first k-th best score.
 LOT, TILE, FIRST = 256, 8, 8
+#: A row of the index is tens of MB: rows are read, and sent to Python, one by one.
+ROW_BY_ROW = {"spark.sql.parquet.columnarReaderBatchSize": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "1"}
 #: One shard in so many is searched first; its k-th best scores bound the search of the others.
 AHEAD = 8
 #: Likeness: groups by the nearest of so many centres, in so many common terms.
@@ -269,7 +271,8 @@ def topk(docs, k=10, every=100, id_col="doc_id", text_col="text"):
     if not total:
         return none
     mean = total / n
-    index = materialise(raw.mapInArrow(impacts(mean), INDEX), "index")
+    with settings(spark, ROW_BY_ROW):
+        index = materialise(raw.mapInArrow(impacts(mean), INDEX), "index")
 
     def hashes(batches):
         cache = term_cache()
@@ -299,7 +302,8 @@ def topk(docs, k=10, every=100, id_col="doc_id", text_col="text"):
             some = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["i", "df"])
 
-        got = index.select("terms", "starts").mapInArrow(frequency, "i long, df long").groupBy("i").agg(F.sum("df").alias("df")).toPandas()
+        with settings(spark, ROW_BY_ROW):
+            got = index.select("terms", "starts").mapInArrow(frequency, "i long, df long").groupBy("i").agg(F.sum("df").alias("df")).toPandas()
         df = np.zeros(len(vocab))
         df[got.i] = got.df
         weight = spark.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
@@ -335,7 +339,8 @@ def topk(docs, k=10, every=100, id_col="doc_id", text_col="text"):
             # few tasks, so that a task sees several shards, but twice as many as cores
             new = shards.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(score(spark.sparkContext.broadcast(known)), "query_id long, doc_id long, score double")
             new = new if part is None else new.unionByName(part.drop("rank"))
-            part = materialise(new.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "doc_id", "score"), "found")
+            with settings(spark, ROW_BY_ROW):
+                part = materialise(new.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "doc_id", "score"), "found")
             if turn == 0:
                 low = part.where(F.col("rank") == k).select("query_id", "score").toPandas()
                 known[np.searchsorted([i for i, _ in q], low.query_id)] = low.score
